@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op9_jaccard_join
 from .media import op2_media_columns
 from .mixing import op8_mixing
 from .packing import op7_packing
@@ -14,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_media_columns, op7_packing, op8_mixing]
+    found = [op2_media_columns, op7_packing, op8_mixing, op9_jaccard_join]
     return {f.__name__: f for f in found}
 
 
