@@ -19,7 +19,10 @@ piece of one id; repeated rows are separate documents.  Ranks follow (doc_id, st
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, per_batch, raw_texts, stored, table
+from .common import id_text, per_batch, raw_texts, stored, table
 
 CAPACITY = 2048
 END = 1
@@ -36,23 +39,46 @@ RANKED = 200_000
 
 
 class Tokens:
-    """Ids of texts by a tokenizers file whose pretokens hold no ASCII white space.
+    """Ids of texts by a tokenizers file that ignores case and white space and takes runs of letters,
+    single digits and runs of other characters as pretokens.
 
-    Normalisation, special strings and pretokens stay within a run of other characters, so a
-    text's ids are those of its runs; runs seen before come from a bounded cache."""
+    In a text of ASCII and Latin letters (precomposed, without apostrophes, control characters or
+    special strings) a run of letters and digits and a run of punctuation are pretokens apart, so
+    its ids are those of its runs in lower case; runs seen before come from a bounded cache.  All
+    other texts go through the tokenizer whole."""
+
+    OTHER = re.compile("[^\t-\r -&(-~\xc0-\xd6\xd8-\xf6\xf8-\u024f]|<\\||\u0130")
+    RUNS = re.compile(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: Words = Words(self._one)
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.cache.__getitem__, text.split()))
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[bytes | None], at_once: int = 500) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        for lo in range(0, len(texts), at_once):
+            runs, whole = [], {}
+            for i, text in enumerate(texts[lo : lo + at_once]):
+                text = (text or b"").decode("utf-8")
+                if self.OTHER.search(text):
+                    whole[i] = text
+                    runs.append([])
+                else:
+                    runs.append(self.RUNS.findall(text.lower().encode("utf-8")))
+            if len(self.known) > self.LIMIT:
+                self.known.clear()
+            new = list(set().union(*runs).difference(self.known))
+            self.known.update(zip(new, self._encode([w.decode("utf-8") for w in new])))
+            coded = dict(zip(whole, self._encode(list(whole.values()))))
+            for i, found in enumerate(runs):
+                yield coded[i] if i in coded else b"".join(map(self.known.__getitem__, found))
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -71,8 +97,8 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int =
 
     def make(batch: pa.RecordBatch):
         tok, doc, rows = tokens(path), [], []
-        for i, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text"))):
-            ids = tok.ids(text or b"") + tail
+        for i, ids in zip(batch.column("doc_id").to_pylist(), tok.ids(raw_texts(batch.column("text")))):
+            ids += tail
             n = len(ids) // 4
             for start in range(0, n, capacity):
                 part = ids[4 * start : 4 * (start + capacity)]
@@ -145,7 +171,8 @@ def ranked(pieces: DataFrame) -> DataFrame:
     """``pieces`` with ``rank``: 0, 1, ... within each length, by salt and then (doc_id, start)."""
     counts = pieces.groupBy("length").agg(F.count("*").alias("n"))
     salts = counts.select("length", F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)).alias("salts"))
-    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts"))).drop("salts")
+    # The broadcast table has a row for each length: no more than the capacity.
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts"))).drop("salts")
     per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = per.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
