@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import Words, id_text, mixed, per_batch, raw_texts, table
 
-BITS = 20
-TRAIN_ROWS = 8000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.5
+BITS = 22
+TRAIN_ROWS = 16000
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.1
 THRESHOLD = 0.3
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -104,11 +104,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int =
 class Scorer:
     def __init__(self, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS):
         self.bits, self.bias = bits, model[2]
-        self.dense = np.zeros(1 << bits, np.float64)
+        self.dense = np.zeros(1 << bits, np.float32)
         self.dense[model[0]] = model[1]
 
     def __call__(self, text: bytes | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.dense[features(text, self.bits)].sum() + self.bias, -35, 35))))
+        return float(1 / (1 + np.exp(-np.clip(self.dense[features(text, self.bits)].sum(dtype=np.float64) + self.bias, -35, 35))))
 
 
 def scored(df: DataFrame, model, bits: int = BITS) -> DataFrame:
