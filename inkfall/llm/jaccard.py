@@ -2,25 +2,27 @@
 
 1. Every document's set of shingle hashes is made once for its size and a 128-bit signature;
    documents with equal sets form a class, of which the least id stands for all.
-2. A table of SLOTS counters holds how often shingles fall into each slot, over all documents.  It
-   has a fixed size.  It only orders shingles (rare first, then by hash): any order is right, a
-   good one is fast, and what very many documents share comes last.
-3. Prefix blocking: if 100 * common >= percent * union, the first n - ceil(percent * n / 100) + 1
-   shingles of both sets in that order have one in common.  Documents that share such a shingle
-   are linked to its least holder; the components of these links are communities, and no pair of
-   like documents lies in two of them.
-4. Within a community the adaptive multi-match join finds the links: shingles are ordered by their
-   exact counts there; a document's prefix may be lengthened by l - 1 shingles, and then a pair
-   must have min(l, l') shingles of both prefixes in common before it is verified.  l is chosen
-   for each document by estimated cost: the postings its prefix meets, and for verification the
-   bound postings / l on documents met l times.  Pairs already in one component need no check.
-   Only links that join two components are emitted, never all pairs of a group.
-5. Communities larger than BLOCK_ROWS sets or BLOCK_SHINGLES shingles are split by set size (like
-   sets differ little in size) and then into blocks; every pair of blocks is a group of its own.
+2. Blocking.  Like sets (100 * common >= percent * union) differ in few shingles, d at most for
+   their size.  The range of hashes is cut into m > d equal parts, and in at least m - d of them
+   like sets hold the same shingles.  Each document gives a key for every part that is not empty
+   (for its band of sizes, and for the band below, as sizes of like sets lie in one band or in two
+   adjacent ones); m - d exceeds the number of empty parts that a set of this size has, and the few
+   sets with more of them share one key of their own.  Holders of a key are linked to its least
+   holder; the components of these links are communities, and no pair of like documents lies in
+   two of them.  A whole part is shared by kin, hardly by documents that share a passage.
+3. Within a community the adaptive multi-match join finds the links: shingles are ordered by their
+   counts there; a document's prefix may be lengthened by l - 1 shingles, and then a pair must have
+   min(l, l') shingles of both prefixes in common before it is verified.  l is chosen for each
+   document by estimated cost: the postings its prefix meets, and for verification the bound
+   postings / l on documents met l times.  Pairs already in one component need no check.  Only
+   links that join two components are emitted, never all pairs of a group.
+4. Communities larger than BLOCK_ROWS sets or BLOCK_SHINGLES shingles are split by band and then
+   into blocks; every pair of blocks is a group of its own.
 
 Shingles are taken as equal if their 64-bit hashes are.  Defined results: a null text is empty; a
 document without words has an empty set and no links; with fewer words than a shingle has, its
-whole sequence is the one shingle; rows repeated with one id are documents of their own.  Extra columns are ignored.
+whole sequence is the one shingle; rows repeated with one id are documents of their own.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +39,6 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, id_text, mixed, per_batch, raw_texts, signed, stored, table, word_hashes
 from .components import components
 
-SLOTS = 1 << 20
-PIECES = 16
 BLOCK_ROWS = 2000
 BLOCK_SHINGLES = 4_000_000
 LONGEST_MATCH = 6
@@ -59,76 +59,110 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (doc_id, n, sig), and rows of counter blocks (slot, counts)."""
+    """doc_id, n (size of the set), sig (its signature)."""
 
-    def run(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in (b for b in batches if b.num_rows):
-            n, sig, slots = [], [], []
-            for text in raw_texts(batch.column("text")):
-                s = shingle_set(text, k)
-                slots.append(s >> np.uint64(44))
-                n.append(len(s))
-                sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-            total += np.bincount(np.concatenate(slots).astype(np.int64), minlength=SLOTS)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "slot": pa.nulls(len(n), pa.int32()), "counts": pa.nulls(len(n), pa.binary())})
-        for i, part in enumerate(np.split(total, PIECES)):
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "sig": pa.nulls(1, pa.binary()), "slot": pa.array([i], pa.int32()), "counts": pa.array([_narrow(part)], pa.binary())})
-
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, slot int, counts binary")
-
-
-def _narrow(part: np.ndarray) -> bytes:
-    """Counts with as few bytes each as the largest needs."""
-    for kind in ("u1", "u2", "u4"):
-        if part.max() < 1 << 8 * int(kind[1]):
-            return kind.encode() + part.astype(kind).tobytes()
-    return b"i8" + part.tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data[2:], data[:2].decode()).astype(np.int64)
-
-
-def _slot_counts(rows: DataFrame) -> np.ndarray:
-    """Sums of the counter blocks: PIECES rows to the driver, 8 MB in all."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS // PIECES, np.int64)
-        for data in pdf["counts"]:
-            total += _wide(data)
-        return pd.DataFrame({"slot": pdf["slot"].iloc[:1], "counts": [_narrow(total)]})
-
-    # two levels, so that the blocks of very many tasks don't meet in few
-    some = rows.select("slot", "counts", F.pmod(F.spark_partition_id(), F.lit(32)).alias("part"))
-    first = some.groupBy("slot", "part").applyInPandas(add, "slot int, counts binary")
-    out = np.zeros(SLOTS, np.int64)
-    for slot, data in first.groupBy("slot").applyInPandas(add, "slot int, counts binary").collect():
-        size = SLOTS // PIECES
-        out[slot * size : (slot + 1) * size] = _wide(bytes(data))
-    return out
-
-
-def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
-    """doc_id, n, tokens: the prefix of each set in the order of the counters."""
+    def make(batch: pa.RecordBatch):
+        sets = [shingle_set(t, k) for t in raw_texts(batch.column("text"))]
+        return {"doc_id": batch.column("doc_id"), "n": list(map(len, sets)), "sig": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}
+
+    return per_batch(docs, make, "doc_id long, n long, sig binary")
+
+
+class Bands:
+    """Bands of set sizes, in which sizes grow by the factor that like sets may differ in."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.width = -math.log(percent / 100 * 0.999)
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def of(self, n: int) -> int:
+        return math.floor(math.log(n) / self.width)
+
+    def parts(self, band: int) -> tuple[int, int]:
+        """Number of parts, and of empty parts that are allowed for, when the smaller set is of this band; (0, 0): like sets are equal."""
+        if band not in self.known:
+            least, most = math.exp(band * self.width), math.exp((band + 1) * self.width) * 1.001
+            differ = int(most * (100 - self.percent) / self.percent)  # like sets: difference <= (1 - t) / t * the smaller size
+            best = (math.inf, 0)
+            for spare in range(0, 1 + int(least)) if differ else ():
+                m, e = differ + 1 + spare, spare + 1  # the chance that e of m parts are empty, by the union bound
+                if m <= e:
+                    break
+                log = math.lgamma(m + 1) - math.lgamma(e + 1) - math.lgamma(m - e + 1) + least * math.log1p(-e / m)
+                best = min(best, (log, spare))
+                if log < -20:
+                    break
+            spare = best[1]
+            self.known[band] = (differ + 1 + spare, spare) if differ else (0, 0)
+        return self.known[band]
+
+
+def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys of a sorted set's parts, for its own band and for the one below."""
+    if not len(s):
+        return np.empty(0, np.uint64)
+    out = []
+    band = bands.of(len(s))
+    sums = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(mixed(s), out=sums[1:])
+    for b in (band, band - 1):
+        m, spare = bands.parts(b) if b >= 0 else (0, 0)
+        if not m:
+            continue
+        step = (1 << 64) // m + 1
+        edges = np.searchsorted(s, np.arange(1, m, dtype=np.uint64) * np.uint64(step))
+        lo, hi = np.append(0, edges), np.append(edges, len(s))
+        full = np.flatnonzero(hi > lo)
+        place = full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((b + 2) * 0xC2B2AE3D27D4EB4F % (1 << 64))
+        out.append(mixed((sums[hi[full]] - sums[lo[full]]) ^ mixed(place)))
+        if m - len(full) > spare:
+            out.append(mixed(np.array([(b + 2) * 0x165667B19E3779F9 % (1 << 64)], np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _block_links(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): documents with a key in common, as links to its least holder."""
+    bands = Bands(percent)
 
     def make(batch: pa.RecordBatch):
-        ns, tokens = [], []
-        for text in raw_texts(batch.column("text")):
-            s = shingle_set(text, k)
-            n = len(s)
-            if n:
-                met = order.value[(s >> np.uint64(44)).astype(np.int64)]
-                mix = mixed(s)
-                p = n - _needed(n, percent) + 1
-                first = np.lexsort((mix, met))[:p]
-                s = s[first[met[first] > 1]]  # a slot counted once has a shingle of one document
-            ns.append(n)
-            tokens.append(signed(s))
-        return {"doc_id": batch.column("doc_id"), "n": ns, "tokens": tokens}
-
-    return per_batch(docs, make, "doc_id long, n long, tokens array<long>")
+        keys = [part_keys(shingle_set(t, k), bands) for t in raw_texts(batch.column("text"))]
+        doc = np.repeat(batch.column("doc_id").to_numpy(), list(map(len, keys)))
+        key = np.concatenate(keys)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        ends = np.append(first[1:], len(key))
+        # Within a batch a key goes on once, with its other holders.
+        others = [doc[a + 1 : b].tobytes() if b - a > 1 else None for a, b in zip(first.tolist(), ends.tolist())]
+        return {"key": signed(key[first]), "doc_id": doc[first], "others": others}
+
+    dealt = per_batch(docs, make, "key long, doc_id long, others binary").repartition("key").sortWithinPartitions("key", "doc_id")
+
+    def run(batches):
+        held = least = None
+        for batch in batches:
+            a, b = [], []
+            keys, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            others = batch.column("others")
+            same = np.empty(len(keys), bool)
+            same[0] = keys[0] == held
+            same[1:] = keys[1:] == keys[:-1]
+            start = np.maximum.accumulate(np.where(same, -1, np.arange(len(keys))))
+            lead = np.where(start >= 0, ids[start], least if least is not None else ids[0])
+            a.append(ids[same])
+            b.append(lead[same])
+            for i in np.flatnonzero(others.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                more = np.frombuffer(others[i].as_py(), np.int64)
+                a.append(more)
+                b.append(np.full(len(more), lead[i]))
+            held, least = keys[-1], lead[-1]
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            if len(pairs):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 class Forest:
@@ -216,8 +250,7 @@ def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int)
     placed = members.join(small, "component")
     fits = (F.col("rows") <= BLOCK_ROWS) & (F.col("total") <= BLOCK_SHINGLES)
     # Like sets lie in the same band of sizes or in adjacent ones.
-    width = -math.log(percent / 100 * 0.999)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(Bands(percent).width)).cast("long")
     plain = placed.where(fits).select("doc_id", "component", F.lit(-1).cast("long").alias("band"), F.lit(1).cast("long").alias("blocks"), F.lit(0).alias("home"))
     large = placed.where(~fits).select("doc_id", "n", "component", F.explode(F.array(F.struct(band.alias("band"), F.lit(-1).alias("home")), F.struct((band - 1).alias("band"), F.lit(1).alias("home")))).alias("g")).select("doc_id", "n", "component", "g.band", "g.home")
     per = large.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
@@ -247,21 +280,13 @@ def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int)
 
 def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, for every document."""
-    spark = df.sparkSession
     docs = id_text(df)
-    profile = stored(_profiles(docs, k), "profiles")
-    base = profile.where("slot is null").select("doc_id", "n", "sig")
-    order = spark.sparkContext.broadcast(np.minimum(_slot_counts(profile.where("slot is not null").select("slot", "counts")), np.iinfo(np.int32).max).astype(np.int32))
-    classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    prefixes = _prefixes(docs, k, percent, order).where(F.size("tokens") > 0).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    postings = stored(prefixes.select("doc_id", "n", F.explode("tokens").alias("token")), "postings")
-    least = postings.groupBy("token").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")).where("m < most")
-    blocks = postings.join(least, "token").where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b"))
-    community = components(blocks)
-    sizes = postings.select("doc_id", "n").distinct()
-    members = stored(community.join(sizes, community["id"] == sizes["doc_id"]).select("doc_id", "n", "component"), "members")
+    base = stored(_profiles(docs, k), "profiles")
+    classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"))
+    community = components(_block_links(docs, k, percent))
+    members = stored(classes.join(community, F.col("rep") == F.col("id")).select(F.col("rep").alias("doc_id"), F.col("size").alias("n"), "component"), "members")
     found = components(_community_links(docs, members, k, percent))
-    classed = base.join(classes, "sig", "left").join(found, F.col("rep") == F.col("id"), "left")
+    classed = base.join(classes.drop("size"), "sig", "left").join(found, F.col("rep") == F.col("id"), "left")
     return classed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
