@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op4_chat_format
 from .fingerprint import op5_fingerprints
 from .jaccard import op9_jaccard_join
 from .media import op2_media_columns
 from .mixing import op8_mixing
 from .packing import op7_packing
 from .substring import op10_substring_dedup
+from .tokencount import op6_token_counts
 from .toxicity import op1_toxicity
+from .urls import op3_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_media_columns, op5_fingerprints, op7_packing, op8_mixing, op9_jaccard_join, op10_substring_dedup]
+    found = [op1_toxicity, op2_media_columns, op3_url_filter, op4_chat_format, op5_fingerprints, op6_token_counts, op7_packing, op8_mixing, op9_jaccard_join, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
