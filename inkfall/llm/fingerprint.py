@@ -10,7 +10,8 @@ The comparison sees one row of a digest from each batch (copies are compared wit
 already), then streams over partitions sorted by digest; a group of any size takes no memory.
 
 Defined results: a null text is empty, and the empty text has a fingerprint like any other;
-repeated rows have equal fingerprints.  Extra columns are ignored.
+repeated rows have equal fingerprints; rows without an id have no
+place in the order of ids and are left out of ``edited_digests``; a single document is its own next one.  Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@
 
 Shingles are taken as equal if their 64-bit hashes are.  Defined results: a null text is empty; a
 document without words has an empty set and no links; with fewer words than a shingle has, its
-whole sequence is the one shingle; rows repeated with one id are documents of their own.  Extra
-columns are ignored.
+whole sequence is the one shingle; rows repeated with one id are documents of their own; a row
+without an id has only the links of equal sets.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, id_text, mixed, per_batch, raw_texts, signed, stored, table, word_hashes
+from .common import fresh, gram_hashes, id_text, mixed, per_batch, raw_texts, signed, stored, table, word_hashes
 from .components import components
 
 BLOCK_ROWS = 2000
@@ -283,12 +283,21 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = id_text(df)
     base = stored(_profiles(docs, k), "profiles")
     classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"))
-    community = components(_block_links(docs, k, percent))
+    named = docs.where("doc_id is not null")
+    community = components(_block_links(named, k, percent))
     members = stored(classes.join(community, F.col("rep") == F.col("id")).select(F.col("rep").alias("doc_id"), F.col("size").alias("n"), "component"), "members")
-    found = components(_community_links(docs, members, k, percent))
+    found = components(_community_links(named, members, k, percent))
     classed = base.join(classes.drop("size"), "sig", "left").join(found, F.col("rep") == F.col("id"), "left")
     return classed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` whose id is the least of their component, with all their columns; rows without an id stay."""
+    kept = near_components(df, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    name = fresh(df, "kept")
+    kept = kept.withColumnRenamed("kept", name)
+    return df.join(kept, df["doc_id"].cast("long") == kept[name], "left_semi").dropDuplicates(["doc_id", "text"]).union(df.where("doc_id is null"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), k=3, percent=90)

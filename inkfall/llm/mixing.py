@@ -24,9 +24,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import fresh, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -90,7 +91,7 @@ def _round(df: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
             pdf.loc[odd, "p"] = [float(_draw(-1, int(i), 0, seed) < q) for i, q in zip(pdf.loc[odd, "doc_id"], pdf.loc[odd, "p"])]
         return pdf
 
-    return df.groupBy("src", "grp").applyInPandas(run, "doc_id long, size long, src int, grp long, p double")
+    return df.groupBy("src", "grp").applyInPandas(run, "doc_id long, named boolean, size long, src int, grp long, p double")
 
 
 def mixed_copies(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -109,7 +110,8 @@ def mixed_copies(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float
     rows = [(i, s, r["n"], want[s], want[s] / r["n"] if r["n"] else 0.0, -(-r["rows"] // GROUP)) for i, (s, r) in enumerate(found.items())]
     sources = spark.createDataFrame(rows, "src int, name string, source_size long, target double, rate double, groups long")
     joined = sized.join(sources, F.col("source").eqNullSafe(F.col("name")))
-    grouped = joined.select("doc_id", "size", "src", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")).alias("grp"), (F.col("rate") - F.floor("rate")).alias("p"))
+    # Python sees no null ids: a column with both would come as floats.
+    grouped = joined.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "size", "src", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")).alias("grp"), (F.col("rate") - F.floor("rate")).alias("p"))
     # The tree: each level's documents with a whole number are done, the others go up.
     done, groups, level = [], max((r[5] for r in rows), default=1), 0
     while True:
@@ -124,7 +126,21 @@ def mixed_copies(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float
     for more in done[1:]:
         picked = picked.union(more)
     copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("p").cast("int")).otherwise(0).cast("int").alias("copies")
-    return picked.join(sources, "src").select("doc_id", "size", "source_size", "target", copies)
+    doc_id = F.when(F.col("named"), F.col("doc_id")).alias("doc_id")
+    return picked.join(sources, "src").select(doc_id, "size", "source_size", "target", copies)
+
+
+def mixed(df: DataFrame, seed: int = 17, **how) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it (0, 1 or 2 times), with all their columns."""
+    copies = mixed_copies(df, seed, **how).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("l")).select(F.col("doc_id").alias("i"), "l")
+    nth, ident, found = fresh(df, "nth"), fresh(df, "mixed_id"), fresh(df, "mixed_copies")
+    copies = copies.toDF(ident, found)
+    # Rows with one id are told apart by size, on both sides.
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    rows = df.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy(size)))
+    joined = rows.join(copies, rows["doc_id"].cast("long").eqNullSafe(copies[ident]))
+    times = F.array_repeat(F.lit(1), F.element_at(F.col(found), F.col(nth))["copies"])
+    return joined.withColumn(nth, F.explode(times)).select(*df.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

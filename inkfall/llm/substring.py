@@ -15,7 +15,7 @@ phrase among very many contexts) are dealt by whole window instead.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none; documents with
 fewer words than a window lose nothing; rows repeated with one id count as one sequence position
-twice, so neither is earlier.  Windows are judged on the input.  Words are taken as equal if their
+twice, so neither is earlier; rows without an id are left as they are.  Windows are judged on the input.  Words are taken as equal if their
 64-bit hashes are.  Extra columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import gram_hashes, id_text, mixed, per_batch, raw_texts, signed, stored, table, word_hashes
+from .common import fresh, gram_hashes, id_text, mixed, per_batch, raw_texts, signed, stored, table, word_hashes
 
 GRAM = 4
 SHARD = 2000
@@ -195,6 +195,7 @@ def _by_window(words: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, n): windows start .. start + n - 1 of the document start earlier in the corpus."""
+    docs = docs.where("doc_id is not null")
     marks = stored(_linked(_segments(docs, window)), "marks")
     firsts = marks.where("not whole")
     large = firsts.groupBy("mini").count().where(F.col("count") > SHARD).select("mini", F.lit(True).alias("large"))
@@ -222,24 +223,31 @@ def _texts_and_marks(df: DataFrame, window: int) -> DataFrame:
 
 
 def without_repeats(df: DataFrame, window: int) -> DataFrame:
-    """doc_id, text, n_removed: texts without their repeated passages, words joined by a space where anything went.
+    """``df`` with its repeated passages removed from ``text`` (the words left joined by a space where
+    anything went) and ``n_chars``, if there, counted anew.  All rows and columns stay."""
+    mark, key = fresh(df, "marks"), fresh(df, "marked_id")
+    lists = repeated_windows(id_text(df), window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias(mark)).withColumnRenamed("doc_id", key)
+    joined = df.join(lists, df["doc_id"].cast("long") == lists[key], "left").drop(key)
+    text_at = df.columns.index("text")
+    chars_at = df.columns.index("n_chars") if "n_chars" in df.columns else None
 
-    Rows repeated with one id give a row each."""
-
-    def make(batch: pa.RecordBatch):
-        texts, removed = [], []
-        for text, marks in zip(raw_texts(batch.column("text")), batch.column("marks").to_pylist()):
-            text, gone = text or b"", 0
-            if marks:
-                words = text.split()
-                drop = covered(len(words), marks, window)
-                gone = int(drop.sum())
-                text = b" ".join(w for w, d in zip(words, drop.tolist()) if not d) if gone else text
-            texts.append(text.decode("utf-8"))
-            removed.append(gone)
-        return {"doc_id": batch.column("doc_id"), "text": texts, "n_removed": removed}
-
-    return per_batch(_texts_and_marks(df, window), make, "doc_id long, text string, n_removed long")
+    def run(batches):
+        for batch in batches:
+            texts, counts = [], batch.column(chars_at).to_pylist() if chars_at is not None else None
+            for i, (text, marks) in enumerate(zip(raw_texts(batch.column(text_at)), batch.column(batch.num_columns - 1).to_pylist())):
+                if marks:
+                    words = text.split()
+                    text = b" ".join(w for w, d in zip(words, covered(len(words), marks, window).tolist()) if not d)
+                    if counts is not None:
+                        counts[i] = len(text.decode("utf-8"))
+                texts.append(text)
+            columns = batch.columns[:-1]
+            columns[text_at] = pa.array(texts, pa.binary()).cast(batch.schema.field(text_at).type)
+            if counts is not None:
+                columns[chars_at] = pa.array(counts, batch.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+    return joined.mapInArrow(run, df.schema)
 
 
 def repeat_digests(df: DataFrame, window: int) -> DataFrame:
