@@ -2,7 +2,8 @@
 
 Messages (tree_id, msg_id, parent_id, role, text, score) form trees.  Pointer doubling enumerates
 root-to-leaf paths: in round k a self-join gives each message its 2**k-th ancestor and the score and
-length of the 2**k messages from it upwards, until the root is passed.  Leaves are then ranked
+length of the 2**k messages from it upwards, until the root is passed; messages that are done
+leave the join.  Leaves are then ranked
 within their tree by their branch's total score (then length, then id), the ``best`` first ones are
 chosen, and the same jump tables, from small to large, spread each chosen leaf over its ancestors.
 Rounds are log2 of the depth; texts join only the chosen paths.
@@ -76,22 +77,25 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     # A parent that doesn't exist is none.
     linked = nodes.join(known, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("m")), "left")
     jump = stored(linked.select("tree_id", "msg_id", F.when(F.col("there"), F.col("parent_id")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("size")), "jumps")
-    jumps = [jump]
+    jumps = [jump.where("up is not null")]
     rows = jump.count()
+    settled = jump.where("up is null")  # the root is within reach: nothing left to join
     for k in range(ROUNDS):
-        if (1 << k) > 2 * rows or not jump.where("up is not null").limit(1).count():
+        active = jumps[-1]
+        if (1 << k) > 2 * rows or not active.limit(1).count():
             break
-        far = jump.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("size").alias("longer"))
-        both = jump.join(far, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left")
-        jump = stored(both.select("tree_id", "msg_id", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("size") + F.coalesce("longer", F.lit(0))).alias("size")), "jumps")
-        jumps.append(jump)
-    parents = jumps[0].where("up is not null").select(F.col("tree_id").alias("t"), F.col("up").alias("m")).distinct()
-    leaves = jump.where("up is null").join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m")), "left_anti")
+        far = settled.union(active).select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("size").alias("longer"))
+        both = active.join(far, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")))
+        moved = stored(both.select("tree_id", "msg_id", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("size") + F.col("longer")).alias("size")), "jumps")
+        settled = settled.union(moved.where("up is null"))
+        jumps.append(moved.where("up is not null"))
+    parents = jumps[0].select(F.col("tree_id").alias("t"), F.col("up").alias("m")).distinct()
+    leaves = settled.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m")), "left_anti")
     order = W.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("size"), "msg_id")
     chosen = leaves.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best)
     paths = stored(chosen.select("tree_id", F.col("msg_id").alias("leaf"), "place", F.col("total").alias("branch_score"), (F.col("size") - 1).alias("depth"), "msg_id"), "paths")
-    for k, step in enumerate(jumps[:-1]):
-        hop = step.where("up is not null").select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "up")
+    for k, step in enumerate(jumps):
+        hop = step.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "up")
         moved = paths.join(hop, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m")))
         paths = stored(paths.union(moved.select("tree_id", "leaf", "place", "branch_score", F.col("depth") - (1 << k), F.col("up").alias("msg_id"))), "paths")
     return paths
