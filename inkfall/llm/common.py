@@ -17,7 +17,18 @@ from pyspark.sql import functions as F
 WORD_CACHE = 400_000
 
 
+#: Rows of an Arrow batch; whole texts make batches of Spark's default size too large for two tasks' memory.
+BATCH_ROWS = 2000
+
+
+def tuned(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -100,6 +111,7 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict] | d
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    tuned(df.sparkSession)
     kind = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 

@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, mixed, per_batch, raw_texts, table
+from .common import Words, id_text, mixed, per_batch, raw_texts, table, tuned
 
 BITS = 22
-TRAIN_ROWS = 16000
+TRAIN_ROWS = 12000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.1
 THRESHOLD = 0.3
@@ -53,11 +53,11 @@ class Ftrl:
     """Per-coordinate follow-the-regularised-leader; the last place is the bias."""
 
     def __init__(self, bits: int = BITS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2):
-        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+        self.z, self.n = np.zeros((1 << bits) + 1, np.float32), np.zeros((1 << bits) + 1, np.float32)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
+        z, n = self.z[at].astype(np.float64), self.n[at].astype(np.float64)
         kept = np.abs(z) - self.l1
         return np.where(kept > 0, -np.sign(z) * kept / ((self.beta + np.sqrt(n)) / self.alpha + self.l2), 0.0)
 
@@ -65,9 +65,15 @@ class Ftrl:
         at = np.append(at, -1)
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-        root = np.sqrt(self.n[at])
-        self.n[at] += g * g
-        self.z[at] += g - (np.sqrt(self.n[at]) - root) / self.alpha * w
+        before = self.n[at].astype(np.float64)
+        after = before + g * g
+        self.n[at] = after
+        self.z[at] += g - (np.sqrt(after) - np.sqrt(before)) / self.alpha * w
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Places and weights that are not 0, and the bias."""
+        at = np.flatnonzero((self.z[:-1] > self.l1) | (self.z[:-1] < -self.l1))
+        return at, self.weights(at), float(self.weights(np.array([-1]))[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -90,9 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int =
         for _ in range(EPOCHS):
             for _, y, at in kept:
                 model.learn(at, y)
-        w = model.weights(slice(None))
-        at = np.flatnonzero(w[:-1])
-        yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1), pa.int32()), "w": pa.array(np.append(w[at], w[-1]), pa.float64())})
+        at, w, bias = model.kept()
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1), pa.int32()), "w": pa.array(np.append(w, bias), pa.float64())})
 
     found = coded.repartition(1).mapInArrow(train, "at int, w double")
     got = found.toPandas()  # the weights that are not 0
@@ -126,6 +131,7 @@ def scored(df: DataFrame, model, bits: int = BITS) -> DataFrame:
 
 def not_toxic(df: DataFrame, model, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """The rows of ``df`` that score below the threshold, with all their columns."""
+    tuned(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
