@@ -78,5 +78,5 @@ def less(a: Column, b: Column, ints: tuple[bool, bool], or_equal: bool) -> Colum
 
 def same_float(a: Column, b: Column) -> Column:
     """Equal as numbers and in the sign of zero; NaN equals NaN."""
-    zero = F.when(a == 0, F.atan2(a, F.lit(-1.0)) == F.atan2(b, F.lit(-1.0))).otherwise(True)
+    zero = F.when(a == 0, a.cast("string") == b.cast("string")).otherwise(True)
     return a.eqNullSafe(b) & F.coalesce(zero, F.lit(True))

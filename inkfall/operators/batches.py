@@ -1,8 +1,6 @@
 """Rendering in Python batches, for trees beyond the budget of one column."""
 
-from __future__ import annotations
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,35 +11,20 @@ from .lower import END, MARK
 
 
 def python_column(node: N.Node, params: dict[str, VarType], columns: dict[str, Column], catch: bool = False) -> Column:
-    """A pandas UDF over a struct of the parameters that the tree reads."""
+    """An Arrow UDF over a struct of the parameters that the tree reads."""
     used = sorted(N.params_of(node))
 
-    def render(rows: pd.DataFrame) -> pd.Series:
+    def render(rows: pa.Array) -> pa.Array:
         out = []
-        for row in rows.to_dict("records"):
-            env = {n: interp.shape(params[n], _plain(row[n])) for n in used}
+        for row in rows.to_pylist():
+            env = {n: interp.shape(params[n], row[n]) for n in used}
             try:
                 out.append(interp.render(node, env))
             except interp.Stopped as e:
                 if not catch:
                     raise interp.as_error(e) from None
                 out.append(f"{MARK}{e.kind}\x01{e.message}{END}")
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    run = F.pandas_udf(render, "string")
+    run = F.arrow_udf(render, "string")
     return run(F.struct(*[columns[n].alias(n) for n in used], F.lit(1).alias("_")))
-
-
-def _plain(value):
-    """Arrow's values as Python's."""
-    if value is None or isinstance(value, (str, bool, int)):
-        return value
-    if isinstance(value, float):
-        return value
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    if isinstance(value, list):
-        return [_plain(v) for v in value]
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    return value

@@ -6,7 +6,6 @@ what constants decide, and reports the first fault."""
 from __future__ import annotations
 
 import difflib
-import glob
 import os
 import re
 from dataclasses import dataclass, field, replace
@@ -19,6 +18,7 @@ from .types import BOOL, FLOAT, INT, NUMBERS, RESERVED, STR, Enum, List, Option,
 
 MAX_DEPTH = 16
 MAX_NODES = 200_000
+MAX_FILES = 500
 PREFIXES = ("consts", "opts", "options", "params")
 ABSENT = "absent"
 
@@ -38,10 +38,8 @@ class Unit:
     def of(cls, source: str, base_dir: str | None, env: dict | None, parent: "Unit | None" = None) -> "Unit":
         front, text, line = split_source(source)
         head = parse(front, base_dir, env, parent.head if parent else None)
-        if parent:
-            text = re.sub(r"\A\n(?!\n)", "", text)
-        unit = cls(head, S.parse_body(text, line + 1), base_dir, env or {}, parent)
-        unit.inline = {n: cls.of(src.strip("\n") + ("\n" if src.endswith("\n") else ""), base_dir, env, unit) for n, src in unit.body.inline.items()}
+        unit = cls(head, S.parse_body(text, line + 1, bare=parent is not None), base_dir, env or {}, parent)
+        unit.inline = {n: cls.of(src.lstrip("\n"), base_dir, env, unit) for n, src in unit.body.inline.items()}
         names = {d.name for d in (*head.params, *head.consts, *head.env)} | set(head.types) | set(head.imports)
         for n in unit.inline:
             if n in RESERVED:
@@ -82,6 +80,7 @@ class Compiler:
         self.loop = 0
         self.used: set[str] = set()
         self.nodes = 0
+        self.shadow: TemplateSyntaxError | None = None
 
     # --- templates ----------------------------------------------------------
 
@@ -99,6 +98,8 @@ class Compiler:
             free = [d.name for d in head.params if d.name not in self.used | self.mentioned(unit)]
             if free:
                 raise TemplateSyntaxError(f"unused parameter '{free[0]}': use it, or mention it in a comment")
+        if self.shadow is not None:
+            raise self.shadow
         return got
 
     def mentioned(self, unit: Unit) -> set[str]:
@@ -162,8 +163,8 @@ class Compiler:
     def binding(self, name: str, scope: Scope) -> None:
         head = scope.unit.head
         taken = {d.name for d in (*head.params, *head.consts, *head.env)} | set(head.imports) | set(scope.unit.inline)
-        if name in taken:
-            raise TemplateSyntaxError(f"loop variable '{name}' shadows a declared name")
+        if name in taken and self.shadow is None:  # told after parameters that nothing uses
+            self.shadow = TemplateSyntaxError(f"loop variable '{name}' shadows a declared name")
         if name in RESERVED:
             raise TemplateSyntaxError(f"reserved keyword used as name: '{name}'")
 
@@ -196,7 +197,8 @@ class Compiler:
         if isinstance(subject.type, (Enum, Option)) and n.other is None and not n.inline:
             missing = [v for v in _variants(subject.type) if v not in seen]
             if missing:
-                raise TemplateSyntaxError(f"match on '{n.expr}' is not exhaustive: missing {', '.join(missing)}")
+                arms = "{% case " + " | ".join(missing) + " %}"
+                raise TemplateSyntaxError(f"match on '{n.expr}' is not exhaustive: missing {', '.join(missing)}; add arms or combined arm: {arms}")
         flow = dict(scope.flow)
         if path and n.other is not None and isinstance(subject.type, (Enum, Option)):
             rest = [v for v in _variants(subject.type) if v not in seen]
@@ -217,7 +219,7 @@ class Compiler:
                 variants = _variants(kind)
                 if not isinstance(label, S.Path) or len(label.names) > 1:
                     quoted = isinstance(label, (S.Literal, S.Template)) and isinstance(getattr(label, "value", ""), str)
-                    raise TemplateSyntaxError(f"case label on {kind} must be a variant name" + (": remove the quotes" if quoted else ""))
+                    raise TemplateSyntaxError(f"case label on {kind} must be a variant name" + (", not a quoted string: remove the quotes" if quoted else ""))
                 if str(label) not in variants:
                     raise TemplateSyntaxError(f"unknown variant '{label}' in case: {kind} has {', '.join(variants)}")
                 names.append(str(label))
@@ -234,7 +236,8 @@ class Compiler:
                 got = self.value(label, scope)
                 if got.type != kind and not (kind == FLOAT and got.type == INT):
                     hint = {STR: "quote it", INT: "write a whole number", FLOAT: "write a number", BOOL: "write true or false"}[kind]
-                    raise TemplateSyntaxError(f"case label of type {got.type} on a {kind}: {hint}")
+                    what = {STR: "quoted string", INT: "numeric literal", FLOAT: "float literal", BOOL: "bool literal"}[got.type]
+                    raise TemplateSyntaxError(f"cannot match {kind} with a {what}: {hint}")
                 if got.type != kind:
                     got = N.Const(float(got.value), FLOAT)
             tests.append(N.Test("eq", (subject, got)))
@@ -314,10 +317,9 @@ class Compiler:
         pieces = path.split("\0")
         whole = text_of([x for pair in zip([N.Const(p, STR) for p in pieces], [*[self.shown(o, "path") for o in open_parts], N.Const("", STR)]) for x in pair])
         base = scope.unit.base_dir or "."
-        pattern = "*".join(glob.escape(p) for p in pieces)
+        pattern = re.compile(".*".join(map(re.escape, pieces)))
         branches = []
-        for full in sorted(glob.glob(os.path.join(glob.escape(base), pattern))):
-            name = "./" + os.path.relpath(full, base) if path.startswith("./") else os.path.relpath(full, base) if not path.startswith("/") else full
+        for name in (n for n in _files(base) if pattern.fullmatch(n)):
             try:
                 unit = self.file(name, scope)
                 branches.append((N.Test("eq", (whole, N.Const(name, STR))), self.child(unit, name, scope, given, templates, loops)))
@@ -333,7 +335,7 @@ class Compiler:
 
     def child(self, unit: Unit, name: str, scope: Scope, given: dict, templates: dict, loops: dict) -> N.Node:
         if scope.depth + 1 > self.max_depth:
-            return N.Stop(N.Const(f"include depth limit exceeded in '{name}'", STR), "syntax")
+            return N.Stop(N.Const(f"maximum include depth exceeded in '{name}'", STR), "syntax")
         head = unit.head
         declared = {d.name: d for d in head.params}
         more = [g for g in (*given, *templates) if g not in declared]
@@ -374,7 +376,7 @@ class Compiler:
                 return N.Const(*values[name])
             unit = unit.parent
         if name in scope.names:
-            if scope.depth == 0:
+            if scope.depth == 0 and isinstance(scope.names[name], N.Param):
                 self.used.add(name)
             return scope.names[name]
         return None
@@ -477,10 +479,10 @@ class Compiler:
 
         def need(ok: bool, what: str) -> None:
             if not ok:
-                raise TemplateSyntaxError(f"filter {name} needs a {what}, got {kind}")
+                raise TemplateSyntaxError(f"filter {name} requires a {what}, got {kind}")
 
         if name in ("upper", "lower", "trim"):
-            need(kind == STR, "str")
+            need(kind == STR, "string")
             return fold(N.Apply(name, base, None, STR))
         if name == "fixed":
             need(kind in NUMBERS, "number")
@@ -489,7 +491,7 @@ class Compiler:
             need(isinstance(kind, List), "list")
             inner = kind.item.inner if isinstance(kind.item, Option) else kind.item
             if not isinstance(inner, Scalar) and not (isinstance(inner, Enum) and inner.plain):
-                raise TemplateSyntaxError(f"filter join needs a list of scalars, got {kind}")
+                raise TemplateSyntaxError(f"filter join requires a list of scalars, not of struct, list or tmpl: got {kind}")
             return fold(N.Apply("join", base, arg, STR))
         if name == "limit":
             need(isinstance(kind, List), "list")
@@ -558,6 +560,10 @@ class Compiler:
             return self.labels(self.value(e.args[0], scope, whole=True), list(e.args[1]), scope)[0], {}, {}
         if e.name == "truth":
             return self.truth(e.args[0], scope)
+        if e.name in ("==", "!="):
+            got = self.enum_equal(e, scope)
+            if got is not None:
+                return got, {}, {}
         a, b = self.value(e.args[0], scope), self.value(e.args[1], scope)
         if e.name in ("==", "!="):
             return self.equal(e, a, b), {}, {}
@@ -583,6 +589,17 @@ class Compiler:
             raise TemplateSyntaxError(f"cannot evaluate truthiness of {kind}" + (f": use has({x})" if kind == "option" else ""))
         return fold_test(N.Test("truth", (got,))), {}, {}
 
+    def enum_equal(self, e: S.Op, scope: Scope) -> N.Node | None:
+        """``value == Type.Variant``, either way round."""
+        for x, literal in (e.args, e.args[::-1]):
+            kind = self.named_type(literal.names[:-1], scope) if isinstance(literal, S.Path) and len(literal.names) > 1 and self.lookup(literal.names[0], scope) is None else None
+            if isinstance(kind, Enum) and literal.names[-1] in kind.names:
+                got = self.value(x, scope, whole=True)
+                if got.type == kind:
+                    same = is_variant(got, [literal.names[-1]])
+                    return negated(same) if e.name == "!=" else same
+        return None
+
     def equal(self, e: S.Op, a: N.Node, b: N.Node) -> N.Node:
         inner = [t.inner if isinstance(t, Option) else t for t in (a.type, b.type)]
         if any(isinstance(t, Enum) for t in inner):
@@ -607,6 +624,16 @@ class Compiler:
         raise TemplateSyntaxError(f"cannot test {a.type} in {b.type}")
 
 
+def _files(base: str) -> list[str]:
+    """Template files at or below a directory, as ``./`` paths."""
+    found = []
+    for folder, _, names in sorted(os.walk(base)):
+        found += [os.path.join(".", os.path.relpath(os.path.join(folder, n), base)) for n in sorted(names) if n.endswith(".tmpl.md")]
+        if len(found) > MAX_FILES:
+            raise TemplateSyntaxError(f"more than {MAX_FILES} template files below '{base}': name the include's file")
+    return found
+
+
 # --- building and folding ---------------------------------------------------
 
 

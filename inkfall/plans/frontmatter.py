@@ -114,21 +114,8 @@ def entries(text: str) -> dict[str, str | list[str]]:
 
 
 def _uncommented(item: str) -> str:
-    """Without a comment that begins after white space, outside of quotes."""
-    pieces = split_top_hash(item)
-    return pieces.strip()
-
-
-def split_top_hash(item: str) -> str:
-    quote = ""
-    for i, c in enumerate(item):
-        if quote:
-            quote = "" if c == quote and item[i - 1] != "\\" else quote
-        elif c in "\"'":
-            quote = c
-        elif c == "#" and i and item[i - 1].isspace():
-            return item[:i]
-    return item
+    """Without a comment: as in YAML one begins at white space and ``#``, unless the whole item is quoted."""
+    return item if literals.is_quoted(item) else re.split(r"\s#", item, maxsplit=1)[0].strip()
 
 
 def _bare(text: str) -> str:
@@ -175,7 +162,7 @@ def parse(source_header: str, base_dir: str | None, env: dict | None, parent: He
         if given is not NONE:
             d.default = _from_env(d, given)
         elif d.required and not shallow:
-            raise TemplateSyntaxError(f"env variable '{d.name}' is required but not provided")
+            raise TemplateSyntaxError(f"env variable '{d.name}' is required but not provided: no value provided and no default")
         head.env.append(d)
     pending = list(raw.get("consts", []))
     for _ in range(2):  # constants that need imports are read after them
@@ -276,7 +263,7 @@ def interpolate_path(path: str, value, what: str) -> str:
 
 def strict_path(path: str, what: str) -> str:
     if not path.startswith(("./", "../", "/")):
-        raise TemplateSyntaxError(f"{what} '{path}' must begin with './' or '../'")
+        raise TemplateSyntaxError(f"{what} '{path}' must start with './' or '../'")
     return path
 
 

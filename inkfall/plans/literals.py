@@ -41,6 +41,8 @@ def default(text: str, kind: VarType, constants, where: str):
         return None if text == "None" else default(text, kind.inner, constants, where)
     found = constants(text) if re.match(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)*\Z", text) else None
     if isinstance(kind, Enum):
+        if is_quoted(text) and text[1:-1] in kind.names:  # quotes are let pass
+            text = text[1:-1]
         m = re.match(r"([A-Za-z_]\w*)\s*(?:\((.*)\))?\Z", text, re.S)
         if m and m[1] in kind.names:
             fields = dict(kind.fields_of(m[1]))
@@ -59,7 +61,7 @@ def default(text: str, kind: VarType, constants, where: str):
         got = scalar(text)
         if got and (got[1] == kind or (kind == FLOAT and got[1] == INT)):
             return float(got[0]) if kind == FLOAT else got[0]
-        raise wrong()
+        raise wrong(": a string must be quoted" if kind == STR else "")
     if isinstance(kind, List) and text[:1] == "[" and text[-1:] == "]":
         return [default(p, kind.item, constants, f"{where}[{i}]") for i, p in enumerate(split_top(text[1:-1]))]
     if isinstance(kind, List) and re.match(r"kinds\(", text):

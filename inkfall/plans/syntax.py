@@ -127,7 +127,7 @@ class Body:
 # --- lines ------------------------------------------------------------------
 
 _TAG_LINE = re.compile(r"\s*>[ ]?(\s*\{[%#].*)\Z", re.S)
-_RAW_OPEN = re.compile(r"\s*>.*\{%-?\s*raw(=\S+)?\s*-?%\}")
+_RAW_OPEN = re.compile(r"\s*>.*?\{%-?\s*raw(=\S+)?\s*-?%\}")
 
 
 def _tag_of(line: str) -> str | None:
@@ -144,13 +144,14 @@ def _alone(tag: str) -> bool:
 
 def check_lines(text: str) -> None:
     """Tags that begin a line need ``> `` in front; those alone on it need blank lines around, or other tags."""
-    lines, raw = text.split("\n"), False
+    lines, raw = text.split("\n"), None
     for i, line in enumerate(lines):
         start, tag = line.lstrip(), _tag_of(line)
-        if raw:
-            raw = not re.search(r"\{%-?\s*/", line)
-        elif tag is not None and _RAW_OPEN.match(line) and not re.search(r"\{%-?\s*/", line):
-            raw = True
+        if raw:  # up to its own end
+            raw = None if raw.search(line) else raw
+        elif tag is not None and (m := _RAW_OPEN.match(line)):
+            end = re.compile(r"\{%-?\s*/" + re.escape((m[1] or "=raw")[1:]) + r"\s*-?%\}")
+            raw = None if end.search(line, m.end()) else end
             continue
         elif start.startswith("{#"):
             raise TemplateSyntaxError("a comment at the beginning of a line must have a blockquote prefix: '> {# ... #}'", i + 1, start[:60])
@@ -276,6 +277,7 @@ def tokens(text: str, body: Body, first_line: int) -> list[Token]:
 class _Parser:
     def __init__(self, found: list[Token]):
         self.tokens, self.at = found, 0
+        self.open: list[Token] = []
 
     def block(self, ends: tuple[str, ...]) -> list:
         """Nodes up to a statement that begins with one of ``ends`` (not taken)."""
@@ -295,7 +297,8 @@ class _Parser:
                 continue
             self.at += 1
         if ends:
-            raise TemplateSyntaxError(f"unclosed block: expected {{% {ends[-1]} %}}")
+            t = self.open[-1]
+            raise TemplateSyntaxError(f"unclosed block: expected {{% {ends[-1]} %}}", t.line, t.text)
         return out
 
     def word(self) -> Token:
@@ -308,7 +311,10 @@ class _Parser:
         make = {"if": self.if_, "for": self.for_, "match": self.match, "include": self.include, "panic": self.panic}.get(word)
         if make is None:
             raise TemplateSyntaxError(f"unexpected statement '{t.text}'", t.line, t.text)
-        return make(rest, t)
+        self.open.append(t)
+        got = make(rest, t)
+        self.open.pop()
+        return got
 
     def if_(self, rest: str, t: Token):
         branches, other = [(condition(rest, t.line), self.block(("elif", "else", "/if")))], None
@@ -401,10 +407,13 @@ def _case(text: str, line: int) -> tuple[list, object]:
     return [expression(x, line, label=True) for x in labels], condition(" && ".join(more), line) if more else None
 
 
-def parse_body(text: str, first_line: int = 1) -> Body:
-    check_lines(text)
+def parse_body(text: str, first_line: int = 1, bare: bool = False) -> Body:
+    """bare: the body of an inline template, whose lines were joined with those of its file."""
     body = Body([])
-    parser = _Parser(tokens(join_lines(text), body, first_line))
+    if not bare:
+        check_lines(text)
+        text = join_lines(text)
+    parser = _Parser(tokens(text, body, first_line))
     body.nodes = parser.block(())
     return body
 

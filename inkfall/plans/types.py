@@ -165,6 +165,9 @@ def parse_type(text: str, aliases) -> VarType:
     if any(n is None for n in named):
         raise TemplateSyntaxError(f"expected 'field = type' in '{text}'")
     fields = tuple((n, parse_type(t, aliases)) for n, t in named)
+    for n, _ in fields:
+        if n in RESERVED and n.startswith("__"):
+            raise TemplateSyntaxError(f"reserved keyword used as name: '{n}'")
     twice = {n for n, _ in fields if [m for m, _ in fields].count(n) > 1}
     if twice:
         raise TemplateSyntaxError(f"duplicate field '{sorted(twice)[0]}' in '{text}'")

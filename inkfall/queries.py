@@ -201,7 +201,7 @@ _nation_query("q_for", "", "", f"SELECT r_regionkey, '# ' || r_name || ' (' || c
 _nation_query("q_for_else", f"{_NATIONS}\nregion = str", "{{ region }}:{% for n in nations | limit(0) %}{{ n.name }}{% else %}nobody{% /for %}:{% for n in nations %}{{ n.name }} {% else %}nobody{% /for %}", f"SELECT r_regionkey, r_name || ':nobody:' || coalesce(t, 'nobody') AS out {_AGG.format('string_agg(n_name || chr(32), chr(0) ORDER BY n_nationkey)')}".replace("chr(0)", "''"))
 _nation_query("q_idx_len", f"{_NATIONS}\nregion = str", "{{ region }} {{ len(nations) }}{# {{ nations }} #}{% for n in nations %}{% if idx(n) == 0 %} first={{ n.name }}{% /if %}{% /for %}", f"SELECT r_regionkey, r_name || ' ' || coalesce(n, 0) || coalesce(' first=' || t, '') AS out {_AGG.format('min_by(n_name, n_nationkey)')}")
 _nation_query("q_include_for", "", "", f"SELECT r_regionkey, r_name || ' ' || coalesce(t, '') AS out {_AGG.format('string_agg(chr(45) || i || chr(58) || n_name || chr(59), chr(0) ORDER BY n_nationkey)')}".replace("chr(0)", "''").replace("FROM nation GROUP BY 1", "FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation) GROUP BY 1"), lambda: Template(_source(f"region = str\n{_NATIONS}", "{{ region }} {% include [row](./row.tmpl.md) for nation in nations with mark=\"-\" %}"), base_dir=_folder()))
-_nation_query("q_inline_tmpl", f"region = str\n{_NATIONS}", "> {% tmpl item %}\n\n---\n\nparams:\n\n- name = str\n\n---\n\n<{{ name }}>{{ SEP }}\n\n> {% /tmpl %}\n\n{{ region }} {% for n in nations %}{% include item with name=n.name %}{% /for %}", f"SELECT r_regionkey, r_name || ' ' || coalesce(t, '') AS out {_AGG.format('string_agg(chr(60) || n_name || chr(62) || chr(43) || chr(10), chr(0) ORDER BY n_nationkey)')}".replace("chr(0)", "''"), more="consts:\n  - SEP = str := \"+\"\n\n")
+_nation_query("q_inline_tmpl", f"region = str\n{_NATIONS}", "> {% tmpl item %}\n---\nparams: [name = str]\n---\n<{{ name }}>{{ SEP }}\n\n> {% /tmpl %}\n\n{{ region }} {% for n in nations %}{% include item with name=n.name %}{% /for %}", f"SELECT r_regionkey, r_name || ' ' || coalesce(t, '') AS out {_AGG.format('string_agg(chr(60) || n_name || chr(62) || chr(43) || chr(10), chr(0) ORDER BY n_nationkey)')}".replace("chr(0)", "''"), more="consts:\n  - SEP = str := \"+\"\n\n")
 
 
 @_query("q_nested_for", "SELECT r_regionkey, r_name || coalesce(string_agg(' ' || n_name || '[' || coalesce(s, '-') || ']', '' ORDER BY n_nationkey), '') AS out FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, string_agg(s_suppkey::varchar, ',' ORDER BY s_suppkey) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey GROUP BY r_regionkey, r_name")
