@@ -134,7 +134,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
         return dict(zip(("range", "doc_id", "lead", "packed"), zip(*rows)))
 
     dealt = per_batch(docs.where("doc_id is not null"), make, "range int, doc_id long, lead boolean, packed binary")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", F.desc("lead"), "doc_id", "packed"), at.tolist()
+    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", F.desc("lead"), "doc_id", "packed"), at.tolist()
 
 
 def edited_digests(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 ``to_wav`` stores bytes losslessly as 8-bit mono samples of a WAV file, read again with the
 ``wave`` module.  ``landmarks`` takes Hann-windowed frames of FRAME samples every HOP samples,
 keeps the strongest bin of each of BANDS frequency bands where it rises above the frame's mean,
-and pairs each peak with peaks of the following REACH frames.  A pair is coded as
+and pairs each peak with peaks of its own and the following REACH frames.  A pair is coded as
 (bin << 16 | later bin << 8 | frame distance); its time code is the earlier frame's number, so
 two recordings of the same sound agree in codes and differ in times by a constant.
 
@@ -67,7 +67,7 @@ def peaks(samples: np.ndarray) -> np.ndarray:
         for b in range(BANDS):
             band = power[:, _EDGES[b] - 1 : _EDGES[b + 1] - 1]
             top = band.argmax(axis=1)
-            strong = band[np.arange(len(top)), top] > 1.5 * mean
+            strong = band[np.arange(len(top)), top] > 1.2 * mean
             out[lo : lo + BLOCK, b] = np.where(strong, top + _EDGES[b], -1)
     return out
 
@@ -76,12 +76,12 @@ def landmarks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the peak pairs and the frames they start in, by time and then by code."""
     top = peaks(np.frombuffer(payload, np.uint8))
     codes, times = [], []
-    for gap in range(1, REACH + 1):
-        a, b = top[:-gap], top[gap:]
+    for gap in range(REACH + 1):
+        a, b = top[: len(top) - gap], top[gap:]
         if not len(a):
             break
         for i in range(BANDS):
-            j = (i + gap) % BANDS  # one partner band for each distance bounds the pairs of a frame
+            j = (i + gap + (gap == 0)) % BANDS  # one partner band for each distance bounds the pairs of a frame
             both = (a[:, i] >= 0) & (b[:, j] >= 0)
             t = np.flatnonzero(both)
             codes.append((a[t, i].astype(np.int32) << 16) | (b[t, j].astype(np.int32) << 8) | gap)
