@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .chat import op4_chat_format
 from .fingerprint import op5_fingerprints
 from .jaccard import op9_jaccard_join
@@ -26,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": sql.CHAT, "op9_jaccard_join": sql.JACCARD, "op10_substring_dedup": sql.SUBSTRING}
