@@ -14,7 +14,10 @@ class TemplateSyntaxError(TemplateError):
 
     def __init__(self, message: str, line: int | None = None, snippet: str | None = None):
         self.message, self.line, self.snippet = message, line, snippet
-        super().__init__(f"template syntax error: {message}" + (f" (line {line}: {snippet})" if line else ""))
+        super().__init__(message)
+
+    def __str__(self) -> str:
+        return f"template syntax error: {self.message}" + (f" (line {self.line}: {self.snippet})" if self.line else "")
 
 
 class UndefinedVariable(TemplateError):

@@ -5,7 +5,6 @@ what constants decide, and reports the first fault."""
 
 from __future__ import annotations
 
-import difflib
 import os
 import re
 from dataclasses import dataclass, field, replace
@@ -19,6 +18,7 @@ from .types import BOOL, FLOAT, INT, NUMBERS, RESERVED, STR, Enum, List, Option,
 MAX_DEPTH = 16
 MAX_NODES = 200_000
 MAX_FILES = 500
+NEAR = 2
 PREFIXES = ("consts", "opts", "options", "params")
 ABSENT = "absent"
 
@@ -35,11 +35,13 @@ class Unit:
     inline: dict[str, "Unit"] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, source: str, base_dir: str | None, env: dict | None, parent: "Unit | None" = None) -> "Unit":
+    def of(cls, source: str, base_dir: str | None, env: dict | None, parent: "Unit | None" = None, before: int = 0) -> "Unit":
+        """before: lines of the file before an inline template."""
         front, text, line = split_source(source)
+        line += before
         head = parse(front, base_dir, env, parent.head if parent else None)
         unit = cls(head, S.parse_body(text, line + 1, bare=parent is not None), base_dir, env or {}, parent)
-        unit.inline = {n: cls.of(src.lstrip("\n"), base_dir, env, unit) for n, src in unit.body.inline.items()}
+        unit.inline = {n: cls.of(src.lstrip("\n"), base_dir, env, unit, at) for n, (src, at) in unit.body.inline.items()}
         names = {d.name for d in (*head.params, *head.consts, *head.env)} | set(head.types) | set(head.imports)
         for n in unit.inline:
             if n in RESERVED:
@@ -422,8 +424,10 @@ class Compiler:
                 raise TemplateSyntaxError(f"'{p}' is a template: use include")
             if names[0] in self.types_of(scope) and len(names) > 1:
                 raise TemplateSyntaxError(f"'{p}' is an enum literal: write kind({p})")
-            near = difflib.get_close_matches(names[0], [*scope.names, *(d.name for d in (*scope.unit.head.consts, *scope.unit.head.env))], 1, 0.6)
-            raise TemplateSyntaxError(f"undeclared variable '{names[0]}'" + (f": did you mean '{near[0]}'?" if near else ""))
+            known = [*scope.names, *(d.name for d in (*scope.unit.head.consts, *scope.unit.head.env))]
+            near = min(known, key=lambda k: distance(k, names[0]), default=None)
+            hint = f": did you mean '{near}'?" if near is not None and distance(near, names[0]) <= NEAR else ""
+            raise TemplateSyntaxError(f"undeclared variable '{names[0]}'{hint}")
         key = ".".join(names[:at])
         got = self.flowed(got, key, scope, last=at == len(names) and whole)
         for i in range(at, len(names)):
@@ -624,6 +628,16 @@ class Compiler:
         raise TemplateSyntaxError(f"cannot test {a.type} in {b.type}")
 
 
+def distance(a: str, b: str) -> int:
+    """Edits from one word to the other."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def _files(base: str) -> list[str]:
     """Template files at or below a directory, as ``./`` paths."""
     found = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 
@@ -120,7 +121,7 @@ class Panic:
 @dataclass
 class Body:
     nodes: list
-    inline: dict[str, str] = field(default_factory=dict)
+    inline: dict[str, tuple[str, int]] = field(default_factory=dict)
     mentioned: set[str] = field(default_factory=set)
 
 
@@ -142,7 +143,7 @@ def _alone(tag: str) -> bool:
     return (tag.startswith("{#") and tag.endswith("#}")) or (tag.startswith("{%") and tag.find("%}") == len(tag) - 2)
 
 
-def check_lines(text: str) -> None:
+def check_lines(text: str, first_line: int = 1) -> None:
     """Tags that begin a line need ``> `` in front; those alone on it need blank lines around, or other tags."""
     lines, raw = text.split("\n"), None
     for i, line in enumerate(lines):
@@ -154,25 +155,28 @@ def check_lines(text: str) -> None:
             raw = None if end.search(line, m.end()) else end
             continue
         elif start.startswith("{#"):
-            raise TemplateSyntaxError("a comment at the beginning of a line must have a blockquote prefix: '> {# ... #}'", i + 1, start[:60])
+            raise TemplateSyntaxError("a comment at the beginning of a line must have a blockquote prefix: '> {# ... #}'", first_line + i, start[:60])
         elif start.startswith("{%"):
-            raise TemplateSyntaxError(f"a bare statement tag at the beginning of a line: write '> {start[:60]}'", i + 1, start[:60])
+            raise TemplateSyntaxError(f"a bare statement tag at the beginning of a line: write '> {start[:60]}'", first_line + i, start[:60])
         if tag is None or not _alone(tag) or raw:
             continue
         for j, word in ((i - 1, "preceded"), (i + 1, "followed")):
             if 0 <= j < len(lines) and lines[j].strip() not in ("", "---") and _tag_of(lines[j]) is None:
-                raise TemplateSyntaxError(f"standalone tag '{line.strip()}' must be {word} by a blank line or another tag line", i + 1, line.strip()[:60])
+                raise TemplateSyntaxError(f"standalone tag '{line.strip()}' must be {word} by a blank line or another tag line", first_line + i, line.strip()[:60])
 
 
-def join_lines(text: str) -> str:
-    """Without the ``>`` of tag lines, and without the blank lines that stand around tags for Markdown's sake."""
-    out, blanks, after = "", 0, False
+def join_lines(text: str) -> tuple[str, list[int]]:
+    """Without the ``>`` of tag lines, and without the blank lines that stand around tags for Markdown's sake.
+
+    Also where each line of the text begins in what is returned (or would, where it is left out)."""
+    out, blanks, after, begins = "", 0, False, []
     for i, line in enumerate(text.split("\n")):
         tag = _tag_of(line)
         line = line if tag is None else tag
         alone = tag is not None and _alone(tag)
         if after and not line.strip():
             blanks += 1
+            begins.append(len(out))
             continue
         if not after:
             out += "\n" if i else ""
@@ -180,9 +184,10 @@ def join_lines(text: str) -> str:
             out += "\n" * max(0, blanks - 1)
         if alone and (out == "\n" or out.endswith("\n\n")):
             out = out[:-1]
+        begins.append(len(out))
         out += line
         after, blanks = alone, 0
-    return out
+    return out, begins
 
 
 # --- tokens -----------------------------------------------------------------
@@ -213,7 +218,7 @@ def _close(text: str, start: int, end: str) -> int:
     return text.find(end, start)
 
 
-def tokens(text: str, body: Body, first_line: int) -> list[Token]:
+def tokens(text: str, body: Body, first_line: int, begins: list[int]) -> list[Token]:
     out: list[Token] = []
     at, eat = 0, False
 
@@ -233,7 +238,7 @@ def tokens(text: str, body: Body, first_line: int) -> list[Token]:
         if not m:
             literal(text[at:], False)
             return out
-        line, kind = first_line + text.count("\n", 0, m.start()), m[0]
+        line, kind = first_line + bisect.bisect_right(begins, m.start()) - 1, m[0]
         end = {"{{": "}}", "{%": "%}", "{#": "#}"}[kind]
         stop = text.find(end, m.end()) if kind == "{#" else _close(text, m.end(), end)
         if stop < 0:
@@ -265,7 +270,7 @@ def tokens(text: str, body: Body, first_line: int) -> list[Token]:
                 raise TemplateSyntaxError(f"unclosed inline template '{name}'", line, inner)
             if name in body.inline:
                 raise TemplateSyntaxError(f"duplicate inline template '{name}'", line, inner)
-            body.inline[name] = text[at : close.start()]
+            body.inline[name] = (text[at : close.start()], line)
             at = close.end()
         else:
             out.append(Token("stmt", inner, line))
@@ -410,10 +415,12 @@ def _case(text: str, line: int) -> tuple[list, object]:
 def parse_body(text: str, first_line: int = 1, bare: bool = False) -> Body:
     """bare: the body of an inline template, whose lines were joined with those of its file."""
     body = Body([])
-    if not bare:
-        check_lines(text)
-        text = join_lines(text)
-    parser = _Parser(tokens(text, body, first_line))
+    if bare:
+        begins = [0, *(m.end() for m in re.finditer("\n", text))]
+    else:
+        check_lines(text, first_line)
+        text, begins = join_lines(text)
+    parser = _Parser(tokens(text, body, first_line, begins))
     body.nodes = parser.block(())
     return body
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from .plans import interp
 from .plans import tree as N
 from .plans.analysis import MAX_DEPTH, Compiler, Unit, _is_tmpl
 from .plans.frontmatter import NONE, Decl
-from .plans.types import FLOAT, INT, Enum, List, Option, Scalar, Struct, VarType, check_spark, check_value, to_spark
+from .plans.types import FLOAT, INT, KIND, Enum, List, Option, Scalar, Struct, VarType, check_spark, check_value, to_spark
 
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -44,9 +44,15 @@ class Template:
     def __init__(self, source: str, *, base_dir: str | None = None, env: dict | None = None, allow_unused: bool = False, templates: dict[str, "Template"] | None = None, max_include_depth: int = MAX_DEPTH, load=load_unit):
         self.source = source.replace("\r\n", "\n")
         self._how = {"base_dir": base_dir, "env": env, "allow_unused": allow_unused, "max_include_depth": max_include_depth, "load": load}
-        self.unit = Unit.of(self.source, base_dir, env)
         self.given = dict(templates or {})
-        self.tree = Compiler(load, max_include_depth).compile(self.unit, {n: t.unit for n, t in self.given.items()}, allow_unused)
+        try:
+            self.unit = Unit.of(self.source, base_dir, env)
+            self.tree = Compiler(load, max_include_depth).compile(self.unit, {n: t.unit for n, t in self.given.items()}, allow_unused)
+        except errors.TemplateSyntaxError as e:
+            lines = self.source.split("\n")
+            if e.line and e.line <= len(lines):
+                e.snippet = lines[e.line - 1].strip()[:80]
+            raise
         self._checked: set[str] = set()
 
     # --- construction -------------------------------------------------------
@@ -122,6 +128,12 @@ class Template:
         """The columns that rendering takes."""
         return T.StructType([T.StructField(d.name, to_spark(d.type), isinstance(d.type, Option)) for d in self._columns()])
 
+    def frame(self, spark: SparkSession, records: list[dict]) -> DataFrame:
+        """Python records as a frame to render; parameters that no record has stay away, so their defaults hold."""
+        decls = [d for d in self._columns() if any(d.name in r for r in records)]
+        kinds = T.StructType([T.StructField(d.name, to_spark(d.type), True) for d in decls])
+        return spark.createDataFrame([tuple(spark_value(d.type, r.get(d.name)) for d in decls) for r in records], kinds)
+
     def _columns(self) -> list[Decl]:
         return [d for d in self.unit.head.params if not _is_tmpl(d.type)]
 
@@ -240,6 +252,24 @@ class Template:
         return self.render_dict({})
 
 
+def spark_value(kind: VarType, value):
+    """A Python value as ``createDataFrame`` takes it for the type's column."""
+    if value is None:
+        return None
+    if isinstance(kind, Option):
+        return spark_value(kind.inner, value)
+    if isinstance(kind, List):
+        return [spark_value(kind.item, v) for v in value]
+    if isinstance(kind, Struct):
+        return tuple(spark_value(t, value.get(n)) for n, t in kind.fields)
+    if isinstance(kind, Enum) and not kind.plain:
+        value = value if isinstance(value, dict) else {KIND: value}
+        columns = {kind.column_of(v, n): t for v, fields in kind.variants for n, t in fields}
+        mine = {kind.column_of(value[KIND], n): n for n, _ in kind.fields_of(value[KIND])}
+        return (value[KIND], *(spark_value(t, value[mine[c]]) if c in mine else None for c, t in columns.items()))
+    return float(value) if kind == FLOAT else value
+
+
 def _narrow(kind: VarType, have: T.DataType) -> bool:
     """A list whose numbers are narrower than declared."""
     item = kind.item.inner if isinstance(kind.item, Option) else kind.item
@@ -250,7 +280,7 @@ def _faults(path: str, kind: VarType, col: Column) -> list[tuple[str, Column, st
     """(path, test, expected, what is there) for a value and, in structs, for its fields."""
     out = [(path, col.isNull(), str(kind), F.lit("none ()"))]
     if isinstance(kind, Enum):
-        name = col if kind.plain else col.getField("__kind__")
+        name = col if kind.plain else col.getField(KIND)
         out.append((path, ~F.coalesce(name.isin(kind.names), F.lit(False)), str(kind), F.concat(F.lit("str ("), F.coalesce(name, F.lit("")), F.lit(")"))))
     if isinstance(kind, Struct):
         for n, t in kind.fields:

@@ -5,41 +5,15 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkfall import errors
-from inkfall.plans.types import Enum, List, Option, Struct
 from inkfall.template import Template
 
 from .test_templates import OUTPUTS, STAGE, body
 
 
-def spark_value(kind, value):
-    """A Python value as ``createDataFrame`` takes it for the type's column."""
-    if value is None:
-        return None
-    if isinstance(kind, Option):
-        return spark_value(kind.inner, value)
-    if isinstance(kind, List):
-        return [spark_value(kind.item, v) for v in value]
-    if isinstance(kind, Struct):
-        return tuple(spark_value(t, value.get(n)) for n, t in kind.fields)
-    if isinstance(kind, Enum) and not kind.plain:
-        value = value if isinstance(value, dict) else {"__kind__": value}
-        columns = {kind.column_of(v, n): (v, n, t) for v, fields in kind.variants for n, t in fields}
-        mine = {kind.column_of(value["__kind__"], n): n for n, _ in kind.fields_of(value["__kind__"])}
-        return (value["__kind__"], *(spark_value(t, value[mine[c]]) if c in mine else None for c, (_, _, t) in columns.items()))
-    return float(value) if str(kind) == "float" else value
-
-
 def frame(spark, t, records):
-    """Records as a frame; columns that no record has stay away, so that defaults hold."""
-    decls = [d for d in t._columns() if any(d.name in r for r in records)]
-    schema = T.StructType([t.schema()[d.name] for d in decls])
-    for f in schema.fields:
-        f.nullable = True
-    rows = [tuple(spark_value(d.type, r.get(d.name)) for d in decls) for r in records]
-    return spark.createDataFrame(rows, schema) if decls else spark.range(len(records)).select()
+    return t.frame(spark, records) if any(records) else spark.range(len(records)).select()
 
 
 @pytest.mark.parametrize("engine", ["catalyst", "python"])

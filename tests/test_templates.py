@@ -91,7 +91,7 @@ FAULTS = {
     "unused": (body(["x = str"], "no"), "unused"),
     "undeclared": (body(["name = str"], "{{ name }} {{ nam }}"), "undeclared variable 'nam': did you mean 'name'"),
     "unclosed expression": (body(["x = str"], "{{ x "), "unclosed"),
-    "unclosed block tells its line": (body(["x = bool"], "a\n\n> {% if x %}\n\nb"), "line 7"),
+    "unclosed block tells its line": (body(["x = bool"], "a\n\n> {% if x %}\n\nb"), "line 8"),
     "unknown filter": (body(["x = str"], "{{ x | nope }}"), "unknown filter: nope"),
     "unknown function": (body(["x = str"], "{{ str(x) }}"), "unknown function"),
     "bad numbers": (body([], "{{ 1e3 }}"), "malformed"),
@@ -152,6 +152,15 @@ def test_fault(name):
     assert words in str(e.value)
 
 
+def test_faults_tell_line_and_text():
+    with pytest.raises(errors.TemplateSyntaxError) as e:
+        Template(body(["x = bool"], "a\n\n> {% if x %}\n\nb\n\n> {% /if %}\n\n\nc {{ oops }} d\n"))
+    assert (e.value.line, e.value.snippet) == (15, "c {{ oops }} d")
+    with pytest.raises(errors.TemplateSyntaxError) as e:
+        Template(body(["x = bool"], "{{ x }}\n{% if x %}1{% /if %}"))
+    assert (e.value.line, e.value.snippet) == (6, "{% if x %}1{% /if %}")
+
+
 def test_render_faults():
     t = Template(body(["n = int", "s = Stage"], "{{ n }}{{ kind(s) }}", STAGE))
     with pytest.raises(errors.MissingParams, match="missing required parameters: s"):
