@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources import TemplateCatalog, catalog_df
+from .sources import TemplateCatalog, catalog_df, shared_dir
 from .streaming import render_stream
 from .template import Template
 
@@ -319,13 +320,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The events as a stream, rendered and read again when all is there."""
     events = _table(spark, sf_dir, "events")
-    folder = tempfile.mkdtemp(prefix="inkfall-stream-")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     t = _template(_source("kind_of = str\nuser = int", "{{ kind_of }} {{ user }}"))
     shown = render_stream(stream.select("event_id", F.col("event_type").alias("kind_of"), F.col("user_id").alias("user")), t).select("event_id", "out")
-    run = shown.writeStream.format("parquet").option("path", f"file://{folder}/out").option("checkpointLocation", f"file://{folder}/state").trigger(availableNow=True).start()
+    run = shown.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("event_id long, out string").parquet(f"file://{folder}/out")
+    return spark.read.schema("event_id long, out string").parquet(f"{folder}/out")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def test_faults_tell_line_and_text():
     assert (e.value.line, e.value.snippet) == (15, "c {{ oops }} d")
     with pytest.raises(errors.TemplateSyntaxError) as e:
         Template(body(["x = bool"], "{{ x }}\n{% if x %}1{% /if %}"))
-    assert (e.value.line, e.value.snippet) == (6, "{% if x %}1{% /if %}")
+    assert (e.value.line, e.value.snippet) == (7, "{% if x %}1{% /if %}")
 
 
 def test_render_faults():
