@@ -225,6 +225,24 @@ class Template:
         params = held.select(*df.columns, *[F.col("_record")[d.name].alias(d.name) for d in self._columns()])
         return params.withColumn(out, self.column(params, **how)).select(*df.columns, out)
 
+    def render_cbor(self, df: DataFrame, cbor: str = "cbor", out: str = "out", **how) -> DataFrame:
+        """Rows of a column of CBOR records as the parameters."""
+        from .sources import binary
+
+        return self._render_binary(df, cbor, binary.cbor, out, how)
+
+    def render_flexbuffers(self, df: DataFrame, buffers: str = "buffers", out: str = "out", **how) -> DataFrame:
+        """Rows of a column of FlexBuffers records as the parameters."""
+        from .sources import binary
+
+        return self._render_binary(df, buffers, binary.flexbuffer, out, how)
+
+    def _render_binary(self, df: DataFrame, name: str, decode, out: str, how: dict) -> DataFrame:
+        from .sources.binary import json_text
+
+        held = df.withColumn("_json", json_text(F.col(name), decode))
+        return self.render_json(held, "_json", out, **how).drop("_json")
+
     def document(self, df: DataFrame, order: list[str], separator: str = "", **how) -> DataFrame:
         """One text of all rows in order; for reports that one task can hold."""
         rows = df.select(F.struct(*order).alias("k"), self.column(df, **how).alias("t"))

@@ -133,6 +133,44 @@ def test_json_append_document(spark):
     assert t.document(rows.select("k"), ["k"], "|").first()["out"] == "<1w>|<2w>"
 
 
+RECORD = {"k": -7, "big": 1 << 40, "w": "héllo", "xs": [1, 2, 300], "rows": [{"a": "x", "b": 2.5}, {"a": "y", "b": None}], "on": True}
+RECORD_TEMPLATE = body(["k = int", "big = int", "w = str", "xs = list(int)", "rows = list(a = str, b = option(float))", "on = bool"], "{{ k }} {{ big }} {{ w }} {{ xs | join(\",\") }} {% for r in rows %}{{ r.a }}={{ r.b }};{% /for %} {{ on }}")
+
+
+def cbor_bytes(v):
+    """A plain encoder for the test."""
+
+    def head(kind, n):
+        return bytes([kind << 5 | n]) if n < 24 else bytes([kind << 5 | 27]) + n.to_bytes(8, "big")
+
+    if v is None or isinstance(v, bool):
+        return {None: b"\xf6", True: b"\xf5", False: b"\xf4"}[v]
+    if isinstance(v, int):
+        return head(0, v) if v >= 0 else head(1, -1 - v)
+    if isinstance(v, float):
+        import struct
+
+        return b"\xfb" + struct.pack(">d", v)
+    if isinstance(v, str):
+        return head(3, len(v.encode())) + v.encode()
+    if isinstance(v, list):
+        return b"\x9f" + b"".join(map(cbor_bytes, v)) + b"\xff"
+    return head(5, len(v)) + b"".join(cbor_bytes(x) for pair in v.items() for x in pair)
+
+
+def test_cbor(spark):
+    t = Template(RECORD_TEMPLATE)
+    df = spark.createDataFrame([(1, bytearray(cbor_bytes(RECORD)))], "id long, cbor binary")
+    assert t.render_cbor(df).select("id", "out").first()["out"] == t.render_dict(RECORD)
+
+
+def test_flexbuffers(spark):
+    flexbuffers = pytest.importorskip("flatbuffers.flexbuffers")
+    t = Template(RECORD_TEMPLATE)
+    df = spark.createDataFrame([(1, bytearray(flexbuffers.Dumps(RECORD)))], "id long, buffers binary")
+    assert t.render_flexbuffers(df).first()["out"] == t.render_dict(RECORD)
+
+
 def test_catalog_frame(spark):
     from inkfall.sources import catalog_df
 
