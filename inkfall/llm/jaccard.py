@@ -2,21 +2,26 @@
 
 1. Every document's set of shingle hashes is made once for its size and a 128-bit signature;
    documents with equal sets form a class, of which the least id stands for all.
-2. Blocking.  Like sets (100 * common >= percent * union) differ in few shingles, d at most for
-   their size.  The range of hashes is cut into m > d equal parts, and in at least m - d of them
-   like sets hold the same shingles.  Each document gives a key for every part that is not empty
-   (for its band of sizes, and for the band below, as sizes of like sets lie in one band or in two
-   adjacent ones); m - d exceeds the number of empty parts that a set of this size has, and the few
-   sets with more of them share one key of their own.  Holders of a key are linked to its least
-   holder; the components of these links are communities, and no pair of like documents lies in
-   two of them.  A whole part is shared by kin, hardly by documents that share a passage.
-3. Within a community the adaptive multi-match join finds the links: shingles are ordered by their
+2. A table of SLOTS counters holds how often shingles fall into each slot, over all documents; its
+   size is fixed.  It gives each shingle a level: 0, or how far its slot is above the usual.
+   Shingles are ordered by level and then by hash, so what very many documents share comes last.
+   Any order is right, a good one is fast.
+3. Blocking.  Let a and b be the shingles of x and y that the other lacks.  Among the first
+   (a + b + 1)(RUN - 1) + 1 common shingles in that order there are RUN that follow each other
+   without a lacking one in between (a + b breaks leave a run of that length).  So each document
+   gives a key for each RUN shingles in a row within a prefix that is long enough for any like
+   set's a and b, and like documents have a key in common.  Sets up to SMALL shingles, for which
+   that need not hold, and those that may be like them, give their single prefix shingles as keys.
+   Holders of a key are linked to its least holder; the components of these links are communities,
+   and no pair of like documents lies in two of them.  Kin share runs, documents that share a
+   passage hardly do.
+4. Within a community the adaptive multi-match join finds the links: shingles are ordered by their
    counts there; a document's prefix may be lengthened by l - 1 shingles, and then a pair must have
    min(l, l') shingles of both prefixes in common before it is verified.  l is chosen for each
    document by estimated cost: the postings its prefix meets, and for verification the bound
    postings / l on documents met l times.  Pairs already in one component need no check.  Only
    links that join two components are emitted, never all pairs of a group.
-4. Communities larger than BLOCK_ROWS sets or BLOCK_SHINGLES shingles are split by band and then
+5. Communities larger than BLOCK_ROWS sets or BLOCK_SHINGLES shingles are split by band and then
    into blocks; every pair of blocks is a group of its own.
 
 Shingles are taken as equal if their 64-bit hashes are.  Defined results: a null text is empty; a
@@ -36,11 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hashes, id_text, mixed, per_batch, raw_texts, signed, stored, table, word_hashes
+from .common import fresh, gram_hashes, id_text, map_batches, mixed, packed_texts, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
 from .components import components
 
+SLOTS = 1 << 20
+PIECES = 16
+RUN, SMALL = 3, 20
 BLOCK_ROWS = 2000
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_500_000
 LONGEST_MATCH = 6
 
 
@@ -58,75 +66,82 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(44)).astype(np.int64)
+
+
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), sig (its signature)."""
+    """Rows of documents (doc_id, n, sig), and each task's counters in PIECES rows (piece, counts)."""
 
-    def make(batch: pa.RecordBatch):
-        sets = [shingle_set(t, k) for t in raw_texts(batch.column("text"))]
-        return {"doc_id": batch.column("doc_id"), "n": list(map(len, sets)), "sig": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}
-
-    return per_batch(docs, make, "doc_id long, n long, sig binary")
-
-
-class Bands:
-    """Bands of set sizes, in which sizes grow by the factor that like sets may differ in."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.width = -math.log(percent / 100 * 0.999)
-        self.known: dict[int, tuple[int, int]] = {}
-
-    def of(self, n: int) -> int:
-        return math.floor(math.log(n) / self.width)
-
-    def parts(self, band: int) -> tuple[int, int]:
-        """Number of parts, and of empty parts that are allowed for, when the smaller set is of this band; (0, 0): like sets are equal."""
-        if band not in self.known:
-            least, most = math.exp(band * self.width), math.exp((band + 1) * self.width) * 1.001
-            differ = int(most * (100 - self.percent) / self.percent)  # like sets: difference <= (1 - t) / t * the smaller size
-            best = (math.inf, 0)
-            for spare in range(0, 1 + int(least)) if differ else ():
-                m, e = differ + 1 + spare, spare + 1  # the chance that e of m parts are empty, by the union bound
-                if m <= e:
-                    break
-                log = math.lgamma(m + 1) - math.lgamma(e + 1) - math.lgamma(m - e + 1) + least * math.log1p(-e / m)
-                best = min(best, (log, spare))
-                if log < -20:
-                    break
-            spare = best[1]
-            self.known[band] = (differ + 1 + spare, spare) if differ else (0, 0)
-        return self.known[band]
-
-
-def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a sorted set's parts, for its own band and for the one below."""
-    if not len(s):
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in (b for b in batches if b.num_rows):
+            sets = [shingle_set(t, k) for t in raw_texts(batch.column("text"))]
+            total += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+            n = len(sets)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(list(map(len, sets)), pa.int64()), "sig": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "piece": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
+        for i, part in enumerate(np.split(total, PIECES)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "sig": pa.nulls(1, pa.binary()), "piece": pa.array([i], pa.int32()), "counts": pa.array([_narrow(part)], pa.binary())})
+
+    return map_batches(docs, run, "doc_id long, n long, sig binary, piece int, counts binary")
+
+
+def _narrow(part: np.ndarray) -> bytes:
+    """Counts with as few bytes each as the largest needs."""
+    kind = next((k for k in ("u1", "u2", "u4") if part.max() < 1 << 8 * int(k[1])), "i8")
+    return kind.encode() + part.astype(kind).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[2:], data[:2].decode()).astype(np.int64)
+
+
+def _levels(counters: DataFrame) -> np.ndarray:
+    """The level of each slot.  The counters are summed in two steps; PIECES rows come to the driver, 8 MB in all."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLOTS // PIECES, np.int64)
+        for data in pdf["counts"]:
+            total += _wide(data)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "counts": [_narrow(total)]})
+
+    some = counters.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(32)))
+    first = some.groupBy("piece", "part").applyInPandas(add, "piece int, counts binary")
+    total = np.zeros((PIECES, SLOTS // PIECES), np.int64)
+    for piece, data in first.groupBy("piece").applyInPandas(add, "piece int, counts binary").collect():
+        total[piece] = _wide(bytes(data))
+    usual = max(4.0, 2 * total.mean() + 5 * math.sqrt(total.mean()))
+    return np.floor(np.log2(np.maximum(total.ravel() / usual, 1))).astype(np.uint8)
+
+
+def _band(n, percent: int):
+    """Bands of set sizes, in which sizes grow by the factor that like sets may differ in; as a column."""
+    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(percent / 100 * 0.999))).cast("long")
+
+
+def block_keys(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set: like sets have one in common."""
+    n, run = len(s), RUN if percent >= 75 else 1
+    if not n:
         return np.empty(0, np.uint64)
+    # Level and hash in one number, which stands for the shingle from here on: its last bits can go, as keys may agree by chance.
+    ordered = np.sort(levels[_slot(s)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6))
     out = []
-    band = bands.of(len(s))
-    sums = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(mixed(s), out=sums[1:])
-    for b in (band, band - 1):
-        m, spare = bands.parts(b) if b >= 0 else (0, 0)
-        if not m:
-            continue
-        step = (1 << 64) // m + 1
-        edges = np.searchsorted(s, np.arange(1, m, dtype=np.uint64) * np.uint64(step))
-        lo, hi = np.append(0, edges), np.append(edges, len(s))
-        full = np.flatnonzero(hi > lo)
-        place = full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((b + 2) * 0xC2B2AE3D27D4EB4F % (1 << 64))
-        out.append(mixed((sums[hi[full]] - sums[lo[full]]) ^ mixed(place)))
-        if m - len(full) > spare:
-            out.append(mixed(np.array([(b + 2) * 0x165667B19E3779F9 % (1 << 64)], np.uint64)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def _block_links(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    if n * percent <= 100 * SMALL or run == 1:
+        out.append(mixed(ordered[: n - _needed(n, percent) + 1]))
+    if n > SMALL and run > 1:
+        lacking = (100 - percent) * n / 100
+        out.append(gram_hashes(ordered[: int(max(run, (run - 1) * 100 / percent) * lacking) + run + 1], run))
+    return np.concatenate(out)
+
+
+def _block_links(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(a, b): documents with a key in common, as links to its least holder."""
-    bands = Bands(percent)
+    sent = docs.sparkSession.sparkContext.broadcast(levels)  # a byte for each slot: 1 MB
 
     def make(batch: pa.RecordBatch):
-        keys = [part_keys(shingle_set(t, k), bands) for t in raw_texts(batch.column("text"))]
+        keys = [block_keys(shingle_set(t, k), sent.value, percent) for t in raw_texts(batch.column("text"))]
         doc = np.repeat(batch.column("doc_id").to_numpy(), list(map(len, keys)))
         key = np.concatenate(keys)
         order = np.lexsort((doc, key))
@@ -162,7 +177,7 @@ def _block_links(docs: DataFrame, k: int, percent: int) -> DataFrame:
             if len(pairs):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 class Forest:
@@ -250,7 +265,7 @@ def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int)
     placed = members.join(small, "component")
     fits = (F.col("rows") <= BLOCK_ROWS) & (F.col("total") <= BLOCK_SHINGLES)
     # Like sets lie in the same band of sizes or in adjacent ones.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(Bands(percent).width)).cast("long")
+    band = _band(F.col("n"), percent)
     plain = placed.where(fits).select("doc_id", "component", F.lit(-1).cast("long").alias("band"), F.lit(1).cast("long").alias("blocks"), F.lit(0).alias("home"))
     large = placed.where(~fits).select("doc_id", "n", "component", F.explode(F.array(F.struct(band.alias("band"), F.lit(-1).alias("home")), F.struct((band - 1).alias("band"), F.lit(1).alias("home")))).alias("g")).select("doc_id", "n", "component", "g.band", "g.home")
     per = large.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
@@ -259,9 +274,9 @@ def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int)
     keys = groups.groupBy("doc_id").agg(F.collect_set(F.struct("component", "band", "block", "blocks", "home")).alias("keys"))
 
     def make(batch: pa.RecordBatch):
-        return {"doc_id": batch.column("doc_id"), "keys": batch.column("keys"), "shingles": [shingle_set(t, k).tobytes() for t in raw_texts(batch.column("text"))]}
+        return {"doc_id": batch.column("doc_id"), "keys": batch.column("keys"), "shingles": [shingle_set(t, k).tobytes() for t in unpacked(batch.column("packed"))]}
 
-    texts = per_batch(docs.join(keys, "doc_id").select("doc_id", "keys", "text"), make, "doc_id long, keys array<struct<component:long,band:long,block:long,blocks:long,home:int>>, shingles binary")
+    texts = per_batch(packed_texts(docs).join(keys, "doc_id").select("doc_id", "keys", "packed"), make, "doc_id long, keys array<struct<component:long,band:long,block:long,blocks:long,home:int>>, shingles binary")
     one = texts.select("doc_id", "shingles", F.explode("keys").alias("key")).select("doc_id", "shingles", "key.*")
     # A block meets every block: pairs (i, j), i <= j.
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
@@ -281,10 +296,12 @@ def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int)
 def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, for every document."""
     docs = id_text(df)
-    base = stored(_profiles(docs, k), "profiles")
+    profiles = stored(_profiles(docs, k), "profiles")
+    levels = _levels(profiles.where("piece is not null").select("piece", "counts"))
+    base = profiles.where("piece is null").select("doc_id", "n", "sig")
     classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"))
     named = docs.where("doc_id is not null")
-    community = components(_block_links(named, k, percent))
+    community = components(_block_links(named, k, percent, levels))
     members = stored(classes.join(community, F.col("rep") == F.col("id")).select(F.col("rep").alias("doc_id"), F.col("size").alias("n"), "component"), "members")
     found = components(_community_links(named, members, k, percent))
     classed = base.join(classes.drop("size"), "sig", "left").join(found, F.col("rep") == F.col("id"), "left")
