@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared_dir
+
 #: Entries after which a worker's word cache starts anew; bounds its memory.
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 
 
 #: Rows of an Arrow batch; whole texts make batches of Spark's default size too large for two tasks' memory.
@@ -32,15 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "inkfall")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: lineage ends there,
     and a lost executor costs no more than the tasks it ran."""
@@ -106,12 +100,24 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist() if not pa.types.is_large_string(column.type) else column.cast(pa.large_binary()).to_pylist()
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow``; a task's freed memory goes back to the system, as workers stay for later tasks."""
+    tuned(df.sparkSession)
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(wrapped, schema)
+
+
 def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str) -> DataFrame:
     """``mapInArrow`` by a function from a batch to columns, or to several sets of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    tuned(df.sparkSession)
     kind = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
@@ -123,7 +129,22 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict] | d
             for columns in [got] if isinstance(got, dict) else got or ():
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return map_batches(df, run, kind)
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, packed: each text compressed by itself, for shuffles of whole texts."""
+
+    def make(batch: pa.RecordBatch):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        return {"doc_id": batch.column("doc_id"), "packed": [squeeze.compress(t or b"") for t in raw_texts(batch.column("text"))]}
+
+    return per_batch(docs, make, "doc_id long, packed binary")
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return (unpack.decompress(z) for z in column.to_pylist())
 
 
 def signed(x: np.ndarray) -> np.ndarray:

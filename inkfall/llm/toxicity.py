@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, mixed, per_batch, raw_texts, table, tuned
+from .common import Words, id_text, map_batches, mixed, per_batch, raw_texts, table
 
 BITS = 22
 TRAIN_ROWS = 12000
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int =
         at, w, bias = model.kept()
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1), pa.int32()), "w": pa.array(np.append(w, bias), pa.float64())})
 
-    found = coded.repartition(1).mapInArrow(train, "at int, w double")
+    found = map_batches(coded.repartition(1), train, "at int, w double")
     got = found.toPandas()  # the weights that are not 0
     bias = got.loc[got["at"] < 0, "w"]
     got = got[got["at"] >= 0]
@@ -131,7 +131,6 @@ def scored(df: DataFrame, model, bits: int = BITS) -> DataFrame:
 
 def not_toxic(df: DataFrame, model, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """The rows of ``df`` that score below the threshold, with all their columns."""
-    tuned(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -141,7 +140,7 @@ def not_toxic(df: DataFrame, model, threshold: float = THRESHOLD, bits: int = BI
             keep = pa.array([score(t) < threshold for t in texts], pa.bool_())
             yield batch.filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
