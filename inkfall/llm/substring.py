@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import fresh, gram_hashes, id_text, mixed, per_batch, raw_texts, signed, stored, table, word_hashes
+from .common import fresh, gram_hashes, id_text, map_batches, mixed, packed_texts, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
 
 GRAM = 4
 SHARD = 2000
@@ -127,7 +127,7 @@ def _linked(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], ["doc_id", "start", "n", "mini", "whole"])
                 out = []
 
-    return sorted_rows.mapInArrow(run, MARK)
+    return map_batches(sorted_rows, run, MARK)
 
 
 WORDS = "mini long, doc_id long, start int, n int, words binary"
@@ -139,12 +139,12 @@ def _with_words(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
 
     def make(batch: pa.RecordBatch):
         rows = []
-        for i, text, found in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), batch.column("marks").to_pylist()):
-            h = word_hashes((text or b"").split())
+        for i, text, found in zip(batch.column("doc_id").to_pylist(), unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
+            h = word_hashes(text.split())
             rows += [(m["mini"], i, m["start"], m["n"], h[m["start"] : m["start"] + m["n"] + window - 1].tobytes()) for m in found if m["start"] + m["n"] + window - 1 <= len(h)]
         return dict(zip(("mini", "doc_id", "start", "n", "words"), zip(*rows))) if rows else None
 
-    return per_batch(docs.join(lists, "doc_id").select("doc_id", "text", "marks"), make, WORDS)
+    return per_batch(packed_texts(docs).join(lists, "doc_id").select("doc_id", "packed", "marks"), make, WORDS)
 
 
 def _matched(shards: DataFrame, window: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _matched(shards: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "start", "n"])
                 out = []
 
-    return rows.mapInArrow(run, "doc_id long, start int, n int")
+    return map_batches(rows, run, "doc_id long, start int, n int")
 
 
 def _by_window(words: DataFrame, window: int) -> DataFrame:
@@ -219,7 +219,7 @@ def covered(n_words: int, marks: list[dict], window: int) -> np.ndarray:
 def _texts_and_marks(df: DataFrame, window: int) -> DataFrame:
     docs = id_text(df)
     lists = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "marks")
+    return packed_texts(docs).join(lists, "doc_id", "left").select("doc_id", "packed", "marks")
 
 
 def without_repeats(df: DataFrame, window: int) -> DataFrame:
@@ -247,7 +247,7 @@ def without_repeats(df: DataFrame, window: int) -> DataFrame:
                 columns[chars_at] = pa.array(counts, batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
-    return joined.mapInArrow(run, df.schema)
+    return map_batches(joined, run, df.schema)
 
 
 def repeat_digests(df: DataFrame, window: int) -> DataFrame:
@@ -255,8 +255,8 @@ def repeat_digests(df: DataFrame, window: int) -> DataFrame:
 
     def make(batch: pa.RecordBatch):
         rows = []
-        for text, marks in zip(raw_texts(batch.column("text")), batch.column("marks").to_pylist()):
-            words = (text or b"").split()
+        for text, marks in zip(unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
+            words = text.split()
             drop = covered(len(words), marks, window)
             kept = [w for w, d in zip(words, drop.tolist()) if not d] if marks else words
             rows.append((len(words), int(drop.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
