@@ -6,8 +6,10 @@ bucket of equal digests the canonical bytes themselves are compared; should two
 differ, all but the least get a suffix that tells them apart, so fingerprints are equal exactly
 where canonical texts are.
 
-The comparison sees one row of a digest from each batch (copies are compared within the batch
-already), then streams over partitions sorted by digest; a group of any size takes no memory.
+Digests are counted first.  Those that occur more than once mark their slots in a bitmap of fixed
+size, and only texts of marked slots go to the comparison (a full bitmap would let all pass, which
+costs but changes nothing).  It sees one row of a digest from each batch (copies are compared within
+the batch already), then streams over partitions sorted by digest; a group of any size takes no memory.
 
 Defined results: a null text is empty, and the empty text has a fingerprint like any other;
 repeated rows have equal fingerprints; rows without an id have no
@@ -20,13 +22,17 @@ import hashlib
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, parts, per_batch, raw_texts, table
+from .common import id_text, map_batches, parts, per_batch, raw_texts, table
+
+
+SLOTS = 1 << 20
 
 
 def canonical(text: str) -> bytes:
@@ -51,8 +57,37 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return marked
 
 
+def _slot(key: bytes) -> int:
+    return int.from_bytes(key[:4], "little") % SLOTS
+
+
+def repeated_slots(docs: DataFrame) -> np.ndarray:
+    """Slots of the digests that occur more than once."""
+
+    def digests(batch: pa.RecordBatch):
+        return {"key": [bytes.fromhex(digest(canonical((t or b"").decode("utf-8")))) for t in raw_texts(batch.column("text"))]}
+
+    def mark(batches):
+        bits = np.zeros(SLOTS, bool)
+        for batch in batches:
+            bits[[_slot(k) for k in batch.column("key").to_pylist()]] = True
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+
+    often = per_batch(docs.select("text"), digests, "key binary").groupBy("key").count().where("count > 1").select("key")
+    maps = map_batches(often, mark, "bits binary").withColumn("part", F.pmod(F.xxhash64("bits"), F.lit(16)))
+    found = np.zeros(SLOTS // 8, np.uint8)
+    for (bits,) in maps.groupBy("part").applyInPandas(together, "bits binary").collect():  # 16 bitmaps at most
+        found |= np.frombuffer(bits, np.uint8)
+    return np.unpackbits(found).astype(bool)
+
+
 def collisions(docs: DataFrame) -> DataFrame:
-    """fingerprint, canon_sha256, suffix: canonical texts that share a digest with a lesser one.  All but always empty."""
+    """fingerprint, canon_sha256: canonical texts of buckets with different ones.  All but always empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_slots(docs))  # 1 MB
 
     def make(batch: pa.RecordBatch):
         seen: dict[tuple[str, bytes], bytes] = {}
@@ -60,7 +95,7 @@ def collisions(docs: DataFrame) -> DataFrame:
         for text in raw_texts(batch.column("text")):
             canon = canonical((text or b"").decode("utf-8"))
             key = digest(canon)
-            if (key, canon) not in seen:
+            if sent.value[_slot(bytes.fromhex(key))] and (key, canon) not in seen:
                 seen[key, canon] = squeeze.compress(canon)
         return {"key": [bytes.fromhex(k) for k, _ in seen], "canon": list(seen.values())}
 
@@ -81,7 +116,7 @@ def collisions(docs: DataFrame) -> DataFrame:
             yield _named([(key, x) for x in held])
 
     rows = per_batch(docs.select("text"), make, "key binary, canon binary").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(compare, "fingerprint string, canon_sha256 string")
+    return map_batches(rows, compare, "fingerprint string, canon_sha256 string")
 
 
 def _named(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -169,7 +204,7 @@ def edited_digests(df: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

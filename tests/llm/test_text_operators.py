@@ -24,7 +24,7 @@ def test_media_digests(odd_docs, odd_texts, no_docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
         assert by_text.setdefault(text or "", r["feature"]) == r["feature"]
-    assert len(set(by_text.values())) > 0.9 * len(by_text)  # blank texts sound alike
+    assert len(set(by_text.values())) > 0.8 * len(by_text)  # blank texts sound alike
 
 
 def test_media_round_trip_and_shift(spark):
@@ -65,10 +65,19 @@ def test_edited_digests(odd_docs, odd_texts, no_docs):
 
 
 def test_equal_digests_are_compared_by_bytes(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "_clashing", lambda docs: {("k", "b"): "-1"})
-    assert fingerprint._clashing(None)  # the suffix of a collision is what tells two texts apart
-    docs = spark.createDataFrame([(1, "a"), (2, "A "), (3, "b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "A ", "b", "c", "c", "a"])], "doc_id long, text string").repartition(3)
     assert fingerprint.collisions(docs).count() == 0
+    real = fingerprint.digest
+    short = lambda canon: real(b"x" if canon in (b"a", b"b") else canon)  # noqa: E731  a and b collide
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(fingerprint)  # workers get the patched module
+    try:
+        monkeypatch.setattr(fingerprint, "digest", short)
+        got = dict(fingerprint.fingerprints(docs).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(fingerprint)
+    assert got[0] == got[1] == got[5] != got[2] and got[3] == got[4] and got[0][:32] == got[2][:32]
 
 
 def test_token_counts(odd_docs, odd_texts, no_docs):
