@@ -75,6 +75,18 @@ OUTPUTS = {
     "constants": (body([], "{{ N }} {{ consts.S | upper }}{% for r in R %} {{ r.k }}{% /for %}", "consts:\n  - N = int := 3\n  - S = str := \"s\"\n  - R = list(k = int) := [{k = 1}, {k = 2}]\n\n"), {}, "3 S 1 2"),
     "inline template": (body(["x = list(str)"], "> {% tmpl row %}\n---\nparams: [it = str]\n---\n- {{ it }}\n\n> {% /tmpl %}\n\n> {% include row for it in x %}"), {"x": ["a", "b"]}, "- a\n- b\n"),
     "inline inside inline": (body(["v = str"], "> {% tmpl a %}\n---\nparams: [v = str]\n---\n[{{ v }}]\n\n> {% /tmpl %}\n\n> {% tmpl b %}\n---\nparams: [v = str]\n---\n\n> {% include a with v=v %}\n\n> {% /tmpl %}\n\n> {% include b with v=\"<{{ v }}>\" %}"), {"v": "x"}, "[<x>]\n"),
+    "option inside list": (body(["ps = list(option(Stage))"], "> {% for p in ps %}{% match p %}{% case Some %}{% match p %}{% case Plan %}p{% case Make | Ship %}m{% /match %}{% case None %}-{% /match %} {% /for %}", STAGE), {"ps": ["Plan", None, "Ship"]}, "p - m "),
+    "option inside struct": (body(["u = struct(n = str, bio = option(str))"], "{{ u.n }}:{% if has(u.bio) %}{{ u.bio | upper }}{% else %}-{% /if %}"), {"u": {"n": "B", "bio": "dev"}}, "B:DEV"),
+    "trimmed statements": (body(["x = list(int)"], "[X {%- for n in x -%}  {%- if n > 0 -%} {{ n }} {%- /if -%} {%- /for -%} Y]"), {"x": [-1, 2, 4]}, "[X24Y]"),
+    "trim after a comment": (body(["x = str"], "a  {# note -#}  b{{ x }}"), {"x": ""}, "a  b"),
+    "trim keeps the line": (body(["b = bool"], "> {% if b %}\n\nc   \n\n> {%- /if %}"), {"b": True}, "c   \n"),
+    "kind compared": (body(["s = Stage"], "> {% if kind(s) == \"Make\" %}1{% else %}0{% /if %}", STAGE), {"s": "Make"}, "1"),
+    "quote in single quotes": (body(["n = str"], "> {% if n == 'x\\' || y' %}1{% else %}0{% /if %}"), {"n": "x' || y"}, "1"),
+    "unquoted label on text": (body(["s = str"], "> {% match s %}{% case Active %}on{% else %}off{% /match %}"), {"s": "Active"}, "on"),
+    "constant rows of enums": (body([], "> {% for r in L %}\n> {% match r.s %}\n> {% case Plan %}\n\np {{ r.d }}\n\n> {% else %}\n\nq {{ r.d }}\n\n> {% /match %}\n> {% /for %}", STAGE + "consts:\n  - L = list(s = Stage, d = str) := [{s = Plan, d = \"x\"}, {s = Ship, d = \"y\"}]\n\n"), {}, "p x\nq y\n"),
+    "enum field of a payload": (body(["f = enum(Hit(s = Stage, d = str), Miss)"], "> {% match f %}{% case Hit %}{{ kind(f.s) }} {{ f.d }}{% case Miss %}-{% /match %}", STAGE), {"f": {"__kind__": "Hit", "s": "Ship", "d": "z"}}, "Ship z"),
+    "unit variant of a payload enum as text": (body(["f = enum(Hit(d = str), Miss)"], "> {% match f %}{% case Hit %}{{ f.d }}{% case Miss %}-{% /match %}{% if match f case Miss %}!{% /if %}"), {"f": "Miss"}, "-!"),
+    "empty params": ("---\nparams:\n---\n> {% raw %}{{ a }}{% /raw %}", {}, "{{ a }}"),
     "windows lines": ("---\r\nparams: [x = str]\r\n---\r\na\r\n{{ x }}\r\n", {"x": "b"}, "a\nb\n"),
     "unused in a comment": (body(["x = str := \"q\""], "ok{# unused: {{ x }} #}"), {}, "ok"),
     "no declarations": ("---\n---\n# T", {}, "# T"),
