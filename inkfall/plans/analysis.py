@@ -9,10 +9,10 @@ import os
 import re
 from dataclasses import dataclass, field, replace
 
-from ..errors import IncludeNotFound, TemplateError, TemplateSyntaxError
+from ..errors import IncludeNotFound, TemplateSyntaxError
 from . import syntax as S
 from . import tree as N
-from .frontmatter import NONE, Header, interpolate_path, parse, split_source, strict_path
+from .frontmatter import Header, interpolate_path, parse, split_source, strict_path
 from .types import BOOL, FLOAT, INT, NUMBERS, RESERVED, STR, Enum, List, Option, Scalar, Struct, Tmpl, VarType
 
 MAX_DEPTH = 16
@@ -747,5 +747,3 @@ def fold_test(t: N.Node) -> N.Node:
         return N.Test("const", (holds(t, {}),))
     return t
 
-
-__all__ = ["Compiler", "Unit", "NONE", "TemplateError"]

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from ..errors import TemplateIOError, TemplateSyntaxError, TypeMismatch
 from . import literals
-from .types import NAME, RESERVED, Enum, List, Option, STR, Scalar, Struct, Tmpl, VarType, check_value, parse_type, pascal, split_top
+from .types import NAME, RESERVED, Enum, List, STR, Scalar, Tmpl, VarType, check_value, parse_type, pascal, split_top
 
 BLOCKS = ("params", "env", "consts", "types", "imports")
 NONE = object()

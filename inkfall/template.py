@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from .operators.lower import BUDGET, MARK, END, lower, split_error
 from .plans import interp
 from .plans import tree as N
 from .plans.analysis import MAX_DEPTH, Compiler, Unit, _is_tmpl
-from .plans.frontmatter import NONE, Decl
+from .plans.frontmatter import Decl
 from .plans.types import FLOAT, INT, KIND, Enum, List, Option, Scalar, Struct, VarType, check_spark, check_value, to_spark
 
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
