@@ -35,11 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written in this process; frames made of them end with it."""
+    n = len(_STORED)
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: lineage ends there,
     and a lost executor costs no more than the tasks it ran."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -255,6 +255,15 @@ def test_like_sets_share_a_block_key():
             assert keys[0] & keys[1], (percent, n)
 
 
+def test_stored_tables_can_go(spark):
+    from inkfall.llm.common import drop_stored, stored
+
+    held = stored(spark.range(3), "t")
+    assert held.count() == 3 and drop_stored(spark) >= 1 and drop_stored(spark) == 0
+    with pytest.raises(Exception):
+        held.count()
+
+
 def test_components(spark):
     from inkfall.llm.components import components
 
