@@ -36,19 +36,17 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _rows(name: str, table: str, keys: dict[str, str], columns: dict[str, str], params: str, body: str, sql: str, more: str = "", where: str | None = None) -> None:
+def _rows(name: str, table: str, keys: dict[str, str], columns: dict[str, str], params: str, body: str, sql: str, more: str = "") -> None:
     """A query over one table: keys and template columns are SQL expressions."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = _template(_source(params, body, more))
-        df = _table(spark, sf_dir, table)
-        df = df.where(where) if where else df
-        df = df.select(*[F.expr(e).alias(k) for k, e in keys.items()], *[F.expr(e).alias(c) for c, e in columns.items()])
+        df = _table(spark, sf_dir, table).select(*[F.expr(e).alias(k) for k, e in keys.items()], *[F.expr(e).alias(c) for c, e in columns.items()])
         return df.select(*keys, t.column(df).alias("out"))
 
     listed = ", ".join(f"{e} AS {k}" for k, e in keys.items())
     _QUERIES[name] = run
-    _SQL[name] = f"SELECT {listed}, {sql} AS out FROM {table}" + (f" WHERE {where}" if where else "")
+    _SQL[name] = f"SELECT {listed}, {sql} AS out FROM {table}"
 
 
 def _query(name: str, sql: str | None):
@@ -77,7 +75,7 @@ _rows("q_fixed_exact", "lineitem", LINE, {"x": "l_quantity / 8"}, "x = float", "
 _rows("q_fixed_int", "orders", ORDER, {"x": "o_custkey"}, "x = int", "{{ x | fixed(3) }}", "o_custkey || '.000'")
 _rows("q_add_sub", "orders", ORDER, {"k": "o_custkey", "x": "o_orderkey / 4"}, "k = int\nx = float", "{{ k | add(7) }}/{{ k | sub(3) }}/{{ k | sub(9223372036854775807) | sub(100000000) }}/{{ x | add(0.5) | fixed(2) }}", "(o_custkey + 7) || '/' || (o_custkey - 3) || '/' || greatest(o_custkey::hugeint - 9223372036854775807 - 100000000, -9223372036854775808) || '/' || printf('%.2f', o_orderkey / 4 + 0.5)")
 _rows("q_display_float", "supplier", {"s_suppkey": "s_suppkey"}, {"x": "s_acctbal"}, "x = float", "{{ x }}", "regexp_replace(s_acctbal::varchar, '\\.0$', '')")
-_rows("q_len_bytes", "documents", DOC, {"t": "text"}, "t = str", "{{ len(t) }}", "strlen(text)", where="text is not null")
+_rows("q_len_bytes", "documents", DOC, {"t": "coalesce(text, '')"}, "t = str", "{{ len(t) }}", "strlen(coalesce(text, ''))")
 _rows("q_string_interpolation", "customer", CUSTOMER, {"seg": "c_mktsegment", "key": "c_custkey"}, "seg = str\nkey = int", "{% if seg == \"{{ key }}\" %}same{% elif \"x{{ seg | lower }}\" == \"xbuilding\" %}b{% else %}{{ \"[{{ seg }}-{{ key }}]\" }}{% /if %}".replace("{% if", "> {% if", 1), "CASE WHEN c_mktsegment = 'BUILDING' THEN 'b' ELSE '[' || c_mktsegment || '-' || c_custkey || ']' END")
 
 # --- conditions -------------------------------------------------------------
