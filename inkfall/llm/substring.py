@@ -57,8 +57,9 @@ def range_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def segments(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, key, first window and number of windows of each segment of a document's word hashes."""
-    grams = gram_hashes(h, GRAM)
-    wide = window - GRAM + 1
+    gram = min(GRAM, window)
+    grams = gram_hashes(h, gram)
+    wide = window - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1)
     lo = np.flatnonzero(np.diff(at, prepend=-1))
     n = np.diff(lo, append=len(at))
