@@ -299,7 +299,7 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     profiles = stored(_profiles(docs, k), "profiles")
     levels = _levels(profiles.where("piece is not null").select("piece", "counts"))
     base = profiles.where("piece is null").select("doc_id", "n", "sig")
-    classes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"))
+    classes = stored(base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size")), "classes")
     named = docs.where("doc_id is not null")
     community = components(_block_links(named, k, percent, levels))
     members = stored(classes.join(community, F.col("rep") == F.col("id")).select(F.col("rep").alias("doc_id"), F.col("size").alias("n"), "component"), "members")
