@@ -168,6 +168,11 @@ class Lowering:
 
     def loop(self, n: N.Loop) -> Column:
         over = self.value(n.over)
+        around = self.around(n)
+        if around is not None:  # no lambda: stays in generated code
+            before, after = around
+            joined = F.concat(F.lit(before), F.array_join(over, after + before), F.lit(after))
+            return F.when(F.size(over) > 0, joined).otherwise(F.lit("") if n.other is None else self.text(n.other))
 
         def body(x: Column, i: Column) -> Column:
             self.items[n.number] = (x, i)
@@ -177,6 +182,18 @@ class Lowering:
         return got if n.other is None else F.when(F.size(over) == 0, self.text(n.other)).otherwise(got)
 
 
+    @staticmethod
+    def around(n: N.Loop) -> tuple[str, str] | None:
+        """The constants before and after the element, if that is all of a body over texts."""
+        parts = n.body.parts if isinstance(n.body, N.Join) else (n.body,)
+        items = [i for i, p in enumerate(parts) if isinstance(p, N.Item) and p.loop == n.number and p.type == STR]
+        if len(items) != 1 or not all(isinstance(p, N.Const) for i, p in enumerate(parts) if i != items[0]):
+            return None
+        if not isinstance(n.over.type, List) or n.over.type.item != STR:
+            return None
+        return "".join(p.value for p in parts[: items[0]]), "".join(p.value for p in parts[items[0] + 1 :])
+
+
 def lower(node: N.Node, column: Callable[[str], Column], catch: bool = False) -> Column:
     got = Lowering(column, catch).text(node)
     return got.cast("string")

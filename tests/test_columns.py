@@ -111,6 +111,13 @@ def test_plan_reads_what_the_template_reads(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_acctbal:double>" in text and "GreaterThan(c_custkey,5)" in text
 
 
+def test_plain_loops_need_no_lambda(spark):
+    df = spark.createDataFrame([(["a", "b"],)], "x array<string>")
+    t = Template(body(["x = list(str)"], "> {% for i in x %}- {{ i }};{% /for %}"))
+    text = plan(df.select(t.column(df, unchecked=True).alias("out")))
+    assert "transform" not in text and t.render(df).first()["out"] == "- a;- b;"
+
+
 def test_nested_columns_are_pruned(spark, tmp_path):
     spark.sql("select struct('a' x, 'b' y) u, 1 z").write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")

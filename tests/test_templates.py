@@ -48,6 +48,7 @@ OUTPUTS = {
     "interpolated comparison": (body(["r = str", "e = str"], "> {% if r == \"admin_{{ e | upper }}\" %}1{% else %}0{% /if %}"), {"r": "admin_X", "e": "x"}, "1"),
     "escaped quote in a condition": (body(["r = str", "e = str"], "> {% if r == \"say \\\"{{ e }}\\\"\" %}1{% else %}0{% /if %}"), {"r": 'say "x"', "e": "x"}, "1"),
     "for": (body(["x = list(k = str, n = int)"], "\n> {% for i in x %}\n\n- {{ idx(i) }} {{ i.k }}\n\n> {% /for %}\n"), {"x": [{"k": "a", "n": 1}, {"k": "b", "n": 2}]}, "- 0 a\n- 1 b\n"),
+    "for over texts": (body(["x = list(str)"], "{{ len(x) }}:{% for i in x %}<{{ i }}>{% /for %}{% for i in x | limit(0) %}{{ i }}{% else %}0{% /for %}{% for i in x %}{{ i }}{% /for %}"), {"x": ["a", "", "b"]}, "3:<a><><b>0ab"),
     "for else": (body(["x = list(int)"], "> {% for i in x %}{{ i }}{% else %}none{% /for %}"), {"x": []}, "none"),
     "nested for": (body(["g = list(m = list(int))"], "> {% for a in g %}{% for b in a.m %}{{ idx(a) }}.{{ idx(b) }}={{ b }} {% /for %}{% /for %}"), {"g": [{"m": [7, 8]}, {"m": [9]}]}, "0.0=7 0.1=8 1.0=9 "),
     "kinds": (body([], "{{ kinds(Stage) | join(\"/\") }} {{ kind(Stage.Make) }}{% for s in kinds(Stage) %} {{ s }}{% /for %}", STAGE), {}, "Plan/Make/Ship Make Plan Make Ship"),
