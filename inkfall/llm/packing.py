@@ -49,7 +49,7 @@ class Tokens:
 
     OTHER = re.compile("[^\t-\r -&(-~\xc0-\xd6\xd8-\xf6\xf8-\u024f]|<\\||\u0130")
     RUNS = re.compile(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
-    LIMIT = 600_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
