@@ -32,7 +32,7 @@ from .automaton import SuffixAutomaton
 from .common import fresh, gram_hashes, id_text, map_batches, mixed, packed_texts, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
 
 GRAM = 4
-SHARD = 2000
+SHARD = 500
 _B = np.uint64(0x2545F4914F6CDD1D)
 _B_INVERSE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
