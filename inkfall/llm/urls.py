@@ -1,12 +1,16 @@
 """URL filter: given rules, and association rules mined from labels; DataFrame functions only.
 
 A url's tokens are the suffixes of its host (``h:example.com``), its path segments (``p:en``; runs of
-digits become ``#``) and the keys of its query (``q:page``).  Labelled urls are baskets of tokens
-with ``label:block`` or ``label:allow``; FP-growth finds the frequent sets, and rules from a set of
+digits become ``#``) and the keys of its query (``q:page``).  Labelled urls are baskets of all their
+tokens; FP-growth finds the frequent sets, and rules from a set of
 tokens to ``label:block`` are kept by support, confidence and lift.  A rule none of whose parts adds confidence
 (a subset of its tokens is as confident) is pruned.  Rules match by an inverted index: each stands
 under the rarest of its tokens, a page looks up its tokens, and the rule holds if the page has all.
 
+So that subsets of long urls don't explode, FP-growth is not shown sets that pruning takes anyway:
+tokens below the support among blocked urls are left out, and a set has only tokens of which any
+two are partners (``_partners``), so never two suffixes of one host or tokens that always come together.
+
 A given rule fits its host and all subdomains if the url's path starts with the rule's; the longest
 wins, and given rules come before mined ones.
 
@@ -17,6 +21,8 @@ of rules is bounded by support (at most tokens-per-url over support for each set
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +39,10 @@ GIVEN = (
 )
 SUPPORT, LEAST_COUNT = 0.0005, 20
 CONFIDENCE, LIFT = 0.6, 1.5
-#: Tokens of one url that take part in mining, by kind and then order; longer urls keep all of theirs for matching.
-HOST_PARTS, PATH_PARTS, QUERY_PARTS = 4, 4, 4
+#: The item of FP-growth that stands for ``label:block``; ids of pairs are not negative.
+BLOCK = -1
+#: Equal baskets are counted together within 2 ** CHUNK_BITS rows.
+CHUNK_BITS = 12
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,23 +82,51 @@ def tokens_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, segments, keys)))
 
 
-def _bounded(tokens: Column) -> Column:
-    """The part of the tokens that mining looks at: the subsets of a basket must not explode."""
-    some = lambda kind, n: F.slice(F.reverse(F.filter(tokens, lambda t: t.startswith(kind))), 1, n)
-    return F.concat(some("h:", HOST_PARTS), some("p:", PATH_PARTS), some("q:", QUERY_PARTS))
+def _pairs(baskets: DataFrame, single: DataFrame) -> DataFrame:
+    """All pairs a < b of frequent tokens of each basket: basket, block, allow, a, b."""
+    numbered = baskets.select(F.monotonically_increasing_id().alias("basket"), "tokens", "block", "allow")
+    kept = numbered.withColumn("token", F.explode("tokens")).join(single.select("token"), "token").groupBy("basket", "block", "allow").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    split = stored(kept.where("size(tokens) > 1"), "frequent")
+    first = split.select("basket", "block", "allow", "tokens", F.posexplode("tokens").alias("at", "a"))
+    return first.select("basket", "block", "allow", "a", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("b"))
+
+
+def _partners(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    """The pairs that a rule left after pruning can have: each token must lack some allowed url of the other.
+    If all allowed urls of a have b, then a set with both is no more confident than without b, and is pruned."""
+    of = lambda c: single.select(F.col("token").alias(c), F.col("allow").alias(f"allow_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("allow < allow_a and allow < allow_b")
 
 
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST_COUNT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """labelled (url, bad boolean) -> antecedent, confidence, lift, support: rules to ``label:block``."""
-    baskets = stored(labelled.where("url is not null and bad is not null").select(F.concat(_bounded(tokens_of(F.col("url"))), F.array(F.when(F.col("bad"), F.lit("label:block")).otherwise(F.lit("label:allow")))).alias("items")), "baskets")
-    n = baskets.count()
+    rows = labelled.where("url is not null and bad is not null").select(tokens_of(F.col("url")).alias("tokens"), "bad", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"))
+    # Equal baskets of a chunk of rows become one: ``block`` and ``allow`` are its rows by label.
+    counted = lambda df, *by: df.groupBy(*by).agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    baskets = stored(counted(rows.select("tokens", "chunk", F.col("bad").cast("long").alias("block"), (~F.col("bad")).cast("long").alias("allow")), "tokens", "chunk"), "baskets")
     spark = labelled.sparkSession
-    if n < least:
+    blocked, n = baskets.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum(F.col("block") + F.col("allow")), F.lit(0))).first()
+    if n < least or not blocked:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, lift double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(baskets)
+    floor = max(1, least, math.ceil(support * n))
+    single = stored(counted(baskets.select(F.explode("tokens").alias("token"), "block", "allow"), "token").where(F.col("block") >= floor), "tokens")
+    paired = _pairs(baskets, single)
+    pairs = stored(_partners(counted(paired, "a", "b").where(F.col("block") >= floor), single).select(F.monotonically_increasing_id().alias("id"), "a", "b"), "pairs")
+    # A token's partners in a basket are a transaction, so sets of ids are sets of that token and its partners.
+    grouped = stored(paired.join(pairs, ["a", "b"]).groupBy("basket", "block", "allow", "a").agg(F.collect_list("id").alias("ids")), "transactions")
+    total = grouped.agg(F.coalesce(F.sum(F.col("block") + F.col("allow")), F.lit(0))).first()[0]
+    found = single.select(F.array("token").alias("antecedent"), (F.col("block") / (F.col("block") + F.col("allow"))).alias("confidence"), "block")
+    if total:
+        items = F.when(F.col("copy") <= F.col("block"), F.concat("ids", F.array(F.lit(BLOCK)))).otherwise(F.col("ids"))
+        copies = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("block") + F.col("allow")))).select(items.alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / total, minConfidence=confidence).fit(copies)
+        sets = model.associationRules.where(F.element_at("consequent", 1) == BLOCK).select("antecedent", "confidence", F.round(F.col("support") * total).cast("long").alias("block"))
+        tokens = F.sort_array(F.array_union(F.collect_set("a"), F.collect_set("b"))).alias("tokens")
+        named = sets.withColumn("id", F.explode("antecedent")).join(pairs, "id").groupBy("antecedent", "confidence", "block").agg(tokens)
+        found = found.union(named.select("tokens", "confidence", "block"))
     rules = stored(
-        model.associationRules.where((F.element_at("consequent", 1) == "label:block") & (F.col("lift") >= lift) & ~F.array_contains("antecedent", "label:allow"))
-        .select(F.sort_array("antecedent").alias("antecedent"), "confidence", "lift", "support"),
+        found.select("antecedent", "confidence", (F.col("confidence") / (blocked / n)).alias("lift"), (F.col("block") / n).alias("support"))
+        .where((F.col("confidence") >= confidence) & (F.col("lift") >= lift)),
         "rules",
     )
     # A rule goes if one with fewer of its tokens is at least as confident; they meet under that one's first token.

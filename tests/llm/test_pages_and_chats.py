@@ -1,8 +1,10 @@
 """URL filter, chat formatting, and the pipeline."""
 
 import hashlib
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,47 @@ def test_mined_rules(spark):
     assert few.count() == 0
 
 
+def brute_rules(spark, rows):
+    """Rules by counting all sets of all tokens, then pruning."""
+    tokens = [frozenset(r["t"]) for r in spark.createDataFrame([(u,) for u, _ in rows], "url string").select(urls.tokens_of(F.col("url")).alias("t")).collect()]
+    n, blocked = Counter(), Counter()
+    for t, (_, bad) in zip(tokens, rows):
+        for k in range(1, len(t) + 1):
+            for s in combinations(sorted(t), k):
+                n[s] += 1
+                blocked[s] += bad
+    base = sum(b for _, b in rows) / len(rows)
+    least = max(urls.LEAST_COUNT, urls.SUPPORT * len(rows))
+    sure = {s: b / n[s] for s, b in blocked.items() if b >= least and b / n[s] >= urls.CONFIDENCE and b / n[s] / base >= urls.LIFT}
+    inner = lambda s: (o for k in range(1, len(s)) for o in combinations(s, k))
+    return {s: (c, blocked[s] / len(rows)) for s, c in sure.items() if not any(sure.get(o, 0) >= c for o in inner(s))}
+
+
+def test_rules_of_long_urls(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):  # five labels and more, five sections and keys and more; the first ones tell
+        host = rng.choice(["a.b.c.d.bad.example.org", "b.c.d.bad.example.org", "x.c.d.fine.example.org"])
+        path = rng.choice(["shop/a/b/c/d", "news/a/b/c/d", "shop/b/c/d"])
+        query = "&".join(k for k in ("buy", "s", "t") if rng.random() < 0.5)
+        rows.append((f"http://{host}/{path}/?{query}", rng.random() < (0.05 + 0.4 * ("shop/a" in path) * ("buy" in query) + 0.45 * ("a.b" in host))))
+    found = {tuple(r["antecedent"]): (r["confidence"], r["support"]) for r in urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    want = brute_rules(spark, rows)
+    assert any(len(s) > 2 for s in want) and {s: pytest.approx(v) for s, v in want.items()} == found
+    deep = [(f"http://a.b.c.d.bad{i % 2}.example.org/shop/a/b/c/d?k1&k2&k3&k4&k5", i % 2 == 0) for i in range(100)]
+    rules = urls.mined_rules(spark.createDataFrame(deep, "url string, bad boolean"))
+    assert ["h:a.b.c.d.bad0.example.org"] in [r["antecedent"] for r in rules.collect()]
+
+
+def test_copies_of_very_long_urls(spark):
+    """All subsets of these would be 2 ** 60 and more."""
+    path, keys = "/".join(f"s{c}" for c in "abcdefghijklmnopqrst"), "&".join(f"k{i}" for i in range(40))
+    rows = [("http://bad.org/" + path + "?" + keys, i % 5 > 0) for i in range(100)]
+    rows += [("http://bad.org/" + path[: 3 * (1 + i % 20)], i % 2 == 0) for i in range(400)] + [("http://fine.org/x", False)] * 500
+    found = {tuple(r["antecedent"]): r["confidence"] for r in urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert all(found[(f"q:k{i}",)] == pytest.approx(0.8) for i in range(40))
+
+
 def test_matching_is_native(spark):
     rules = spark.createDataFrame([(["h:a.b", "p:x"], 0.9, 2.0, 0.1)], "antecedent array<string>, confidence double, lift double, support double")
     plan = urls.judged(spark.createDataFrame([(1, "http://a.b/x")], "page_id long, url string"), rules)._jdf.queryExecution().toString()
