@@ -15,7 +15,7 @@ A given rule fits its host and all subdomains if the url's path starts with the
 wins, and given rules come before mined ones.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no tokens, no rule
-and the verdict allow; repeated rows get a row each; without labels nothing is mined.  The number
+and the verdict allow; repeated rows get a row each; with fewer than LEAST_COUNT labels nothing is mined.  The number
 of rules is bounded by support (at most tokens-per-url over support for each set size), not by rows.
 """
 
@@ -37,6 +37,7 @@ GIVEN = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: A rule needs both: the share of labelled urls, and so many blocked ones, which decide below 40 000 labelled urls.
 SUPPORT, LEAST_COUNT = 0.0005, 20
 CONFIDENCE, LIFT = 0.6, 1.5
 #: The item of FP-growth that stands for ``label:block``; ids of pairs are not negative.
