@@ -3,8 +3,8 @@
 ``to_wav`` stores bytes losslessly as 8-bit mono samples of a WAV file, read again with the
 ``wave`` module.  ``landmarks`` takes Hann-windowed frames of FRAME samples every HOP samples,
 keeps the strongest bin of each of BANDS frequency bands where it rises above the frame's mean,
-and pairs each peak with peaks of its own and the following REACH frames.  A pair is coded as
-(bin << 16 | later bin << 8 | frame distance); its time code is the earlier frame's number, so
+and pairs each peak with all other peaks of its own and all of the following REACH frames.  A pair is coded as
+(bin << 16 | later bin << 8 | frame distance), at most 15 + 36 * REACH a frame; its time code is the earlier frame's number, so
 two recordings of the same sound agree in codes and differ in times by a constant.
 
 Defined results: a null text is an empty one; an empty text gives one unit of padding; equal
@@ -52,6 +52,8 @@ def from_wav(media: bytes) -> bytes:
 
 
 _WINDOW = np.hanning(FRAME).astype(np.float32)
+#: Within a frame, each two bands are a pair once.
+_ONCE = np.triu(np.ones((BANDS, BANDS), bool), 1)
 _EDGES = np.linspace(1, FRAME // 2 + 1, BANDS + 1).astype(int)
 
 
@@ -75,22 +77,18 @@ def peaks(samples: np.ndarray) -> np.ndarray:
 def landmarks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the peak pairs and the frames they start in, by time and then by code."""
     top = peaks(np.frombuffer(payload, np.uint8))
-    codes, times = [], []
-    for gap in range(REACH + 1):
-        a, b = top[: len(top) - gap], top[gap:]
-        if not len(a):
-            break
-        for i in range(BANDS):
-            j = (i + gap + (gap == 0)) % BANDS  # one partner band for each distance bounds the pairs of a frame
-            both = (a[:, i] >= 0) & (b[:, j] >= 0)
-            t = np.flatnonzero(both)
-            codes.append((a[t, i].astype(np.int32) << 16) | (b[t, j].astype(np.int32) << 8) | gap)
-            times.append(t.astype(np.int32))
-    if not codes:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
-    code, time = np.concatenate(codes), np.concatenate(times)
-    order = np.lexsort((code, time))
-    return code[order], time[order]
+    found = []
+    for lo in range(0, len(top), BLOCK):
+        keys = []
+        for gap in range(REACH + 1):
+            b = top[lo + gap : lo + gap + BLOCK]
+            a = top[lo : lo + len(b)]
+            both = (a >= 0)[:, :, None] & (b >= 0)[:, None, :]
+            t, i, j = np.nonzero(both if gap else both & _ONCE)
+            keys.append((lo + t) << 24 | a[t, i].astype(np.int64) << 16 | b[t, j].astype(np.int64) << 8 | gap)
+        found.append(np.sort(np.concatenate(keys)))
+    key = np.concatenate(found)
+    return (key & 0xFFFFFF).astype(np.int32), (key >> 24).astype(np.int32)
 
 
 def media_columns(df: DataFrame) -> DataFrame:

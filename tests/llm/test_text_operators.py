@@ -27,6 +27,16 @@ def test_media_digests(odd_docs, odd_texts, no_docs):
     assert len(set(by_text.values())) > 0.8 * len(by_text)  # blank texts sound alike
 
 
+@pytest.mark.parametrize("units", [1, 2, 30, 2100])
+def test_every_peak_meets_all_peaks_within_reach(units):
+    payload = bytes(np.random.default_rng(units).integers(0, 256, media.UNIT * units, dtype=np.uint8))
+    top = [[x for x in frame if x >= 0] for frame in media.peaks(np.frombuffer(payload, np.uint8)).tolist()]
+    want = [(t, x << 16 | y << 8) for t, frame in enumerate(top) for k, x in enumerate(frame) for y in frame[k + 1 :]]
+    want += [(t, x << 16 | y << 8 | gap) for t, frame in enumerate(top) for gap in range(1, media.REACH + 1) if t + gap < len(top) for x in frame for y in top[t + gap]]
+    code, time = media.landmarks(payload)
+    assert code.dtype == time.dtype == np.int32 and list(zip(time.tolist(), code.tolist())) == sorted(want)
+
+
 def test_media_round_trip_and_shift(spark):
     payload = bytes(np.random.default_rng(1).integers(0, 256, 192 * 50, dtype=np.uint8))
     assert media.from_wav(media.to_wav(payload)) == payload
