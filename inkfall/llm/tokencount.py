@@ -11,6 +11,8 @@ library's Metaspace with split); words seen before come from a bounded cache.
 
 Defined results: a null or empty text has 0 tokens and score 0; repeated rows get a row each.
 The vocabulary is a sentencepiece file: its path is a parameter and must exist on each executor.
+The default one is a BPE file, as no unigram file is available: its merge ranks serve as scores, and
+counts are not those of its own ``encode()`` (figures in the README).
 """
 
 from __future__ import annotations
