@@ -9,14 +9,20 @@ unknown text falls back to its UTF-8 bytes, one token each.
 Words are runs of ``[^\\x20\\x09-\\x0D]+`` with the word mark in front and are counted apart (the
 library's Metaspace with split); words seen before come from a bounded cache.
 
-Defined results: a null or empty text has 0 tokens and score 0; repeated rows get a row each.
+Scores are log probabilities.  A file of a unigram model has them.  A BPE file has merge ranks in
+their place, different whole numbers; as merges are found in order of frequency, a piece's rank r gives
+its probability by the law of Zipf and Mandelbrot, proportional to 1 / (r + MANDELBROT).  Nothing is trained or counted.
+Control pieces are no text and left out; byte pieces are for fallback and have a score that no other piece is below.
+
+Defined results: a null or empty text has 0 tokens and score 0; repeated rows get a row each; a word of any
+length is one segmentation, whose arrays are as long as the word.
 The vocabulary is a sentencepiece file: its path is a parameter and must exist on each executor.
-The default one is a BPE file, as no unigram file is available: its merge ranks serve as scores, and
-counts are not those of its own ``encode()`` (figures in the README).
+The default one is a BPE file, as no unigram file is available; how near counts are to those of its own ``encode()`` is in the README.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,14 +32,23 @@ from .common import id_text, per_batch, raw_texts, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+MANDELBROT = 2.7
+BYTE_SCORE = -1000.0
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece file, in order of their ids."""
+    """Pieces and log probabilities of a sentencepiece file, in order of their ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    score = {i: model.get_score(i) for i in ids if not model.is_byte(i)}
+    by_rank = sorted(score, key=lambda i: (-score[i], i))
+    ranked = [x for x in score.values() if x > -1e8]  # runs of word marks stand far below all others
+    if len(set(ranked)) == len(ranked) and all(x == int(x) for x in ranked):  # merge ranks
+        total = math.fsum(1 / (r + MANDELBROT) for r in range(1, len(by_rank) + 1))
+        score = {i: -math.log((r + MANDELBROT) * total) for r, i in enumerate(by_rank, 1)}
+    return [(model.id_to_piece(i), score.get(i, BYTE_SCORE)) for i in ids]
 
 
 class UnigramCounter:
@@ -47,7 +62,7 @@ class UnigramCounter:
             if piece:
                 self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
-        self.unknown = min(score for _, score in vocab) - UNKNOWN_PENALTY
+        self.unknown = min((score for _, score in vocab), default=0.0) - UNKNOWN_PENALTY
         self.count: dict[bytes, int] = {}
         self.score: dict[bytes, float] = {}
 
