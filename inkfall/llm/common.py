@@ -140,7 +140,8 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict] | d
                 continue
             got = make(batch)
             for columns in [got] if isinstance(got, dict) else got or ():
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in arrow], schema=arrow)
+                arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type, from_pandas=False) for f in arrow for c in [columns[f.name]]]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return map_batches(df, run, kind)
 

@@ -92,38 +92,42 @@ def landmarks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def media_columns(df: DataFrame) -> DataFrame:
-    """doc_id, text -> the WAV file, and its fingerprint as time-coded arrays."""
+    """doc_id, text -> the length of the text in bytes, the WAV file, and its fingerprint as time-coded arrays."""
 
     def make(batch: pa.RecordBatch):
-        media, codes, times = [], [], []
+        size, media, codes, times = [], [], [], []
         for text in raw_texts(batch.column("text")):
+            size.append(len(text or b""))
             media.append(to_wav(padded(text or b"")))
             c, t = landmarks(from_wav(media[-1]))
             codes.append(c)
             times.append(t)
-        return {"doc_id": batch.column("doc_id"), "media": media, "codes": codes, "times": times}
+        return {"doc_id": batch.column("doc_id"), "n_bytes": size, "media": media, "codes": codes, "times": times}
 
-    return per_batch(id_text(df), make, "doc_id long, media binary, codes array<int>, times array<int>")
+    return per_batch(id_text(df), make, "doc_id long, n_bytes long, media binary, codes array<int>, times array<int>")
 
 
-def media_digests(df: DataFrame) -> DataFrame:
-    """What the query returns: digests of the stored file, of the payload read back from it, and of its fingerprint.
+def feature_of(codes: np.ndarray, times: np.ndarray) -> str:
+    """The number of peak pairs, of distinct codes, and a digest of codes and times."""
+    return f"{len(codes)}-{len(np.unique(codes))}-{xxhash.xxh3_128_hexdigest(codes.tobytes() + times.tobytes())}"
 
-    ``feature`` is the number of peak pairs, of distinct codes, and a digest of codes and times."""
+
+def media_digests(media: DataFrame) -> DataFrame:
+    """Digests of the stored files of ``media_columns``, of the payloads read back from them, and of their arrays, which stay."""
 
     def make(batch: pa.RecordBatch):
         rows = []
-        for text in raw_texts(batch.column("text")):
-            text = text or b""
-            media = to_wav(padded(text))
-            back = from_wav(media)
-            code, time = landmarks(back)
-            feature = f"{len(code)}-{len(np.unique(code))}-{xxhash.xxh3_128_hexdigest(code.tobytes() + time.tobytes())}"
-            rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        return {"doc_id": batch.column("doc_id")} | dict(zip(("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), zip(*rows)))
+        flat = [batch.column(c).flatten().to_numpy() for c in ("codes", "times")]
+        ends = batch.column("codes").offsets.to_numpy()
+        for i, wav in enumerate(batch.column("media").to_pylist()):
+            back = from_wav(wav)
+            code, time = (x[ends[i] - ends[0] : ends[i + 1] - ends[0]] for x in flat)
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature_of(code, time)))
+        kept = {c: batch.column(c) for c in ("doc_id", "n_bytes", "codes", "times")}
+        return kept | dict(zip(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), zip(*rows)))
 
-    return per_batch(id_text(df), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return per_batch(media, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codes array<int>, times array<int>")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(media_columns(table(spark, sf_dir, "documents")))
