@@ -5,16 +5,20 @@ The whole part is certain; the rest is a probability.  Pivotal rounding takes tw
 source with fractional probabilities, and at random moves mass from one to the other until one of
 the two is 0 or 1.  Mass is words: what one gives in (size x probability) the other gets, so a
 source's expected words stay what they are at every step, and each probability is a martingale.
-Within a group this leaves one fractional document; these residuals go up a tree: groups of a
-source's documents (by a hash of the id, GROUP documents on average), then groups of FAN groups,
-until one is left for each source.  That last one is rounded at random.  So a source's words miss
-its target by less than one document's size.
+A document that is LARGE in its group is not paired with one other, as it would stay fractional beside
+small ones to the end, but with all smaller ones at once, which share what it gives or takes, each by the room it has.
+Within a group this leaves one fractional document, a small one; these residuals go up a tree: groups of a
+source's documents (by a hash, GROUP documents on average), then groups of FAN groups,
+until one is left for each source.  That last one is rounded to what is nearer to the source's target.  So a source's words miss
+its target by at most half the size of one document, and of a small one where the source has some.
 
 Randomness is a hash of seed, level and document id: reruns agree, whatever the partitioning.
+Rows that are alike in id, source and text are one unit with as many expected copies as they have together, counted
+before the shuffle, so no group grows with repeated rows; the unit's copies are dealt evenly.
 
-Defined results: sizes count words of ``[^\\x20\\x09-\\x0D]+``; a null or empty text has size 0 and
-is taken 0 times; a null source is a source of its own, last in order; rows repeated with the same
-id are separate documents, ordered by size.  The number of sources is what the driver holds (one
+Defined results: sizes count words of ``[^\x20\x09-\x0D]+``; a null or empty text has size 0 and
+is taken 0 times; a null source is a source of its own, last in order; rows with the same
+id and different texts are separate documents; rows without an id are too.  The number of sources is what the driver holds (one
 row each), not the number of documents.
 """
 
@@ -33,6 +37,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 GROUP, FAN = 4000, 64
+#: A document with more than this share of its group's words is large.
+LARGE = 0.004
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,64 +61,106 @@ def _draw(level: int, a: int, b: int, seed: int) -> float:
     return xxhash.xxh3_64_intdigest(f"{level}:{a}:{b}".encode(), seed) / 2.0**64
 
 
-def pivotal(ids: np.ndarray, size: np.ndarray, p: np.ndarray, level: int, seed: int) -> np.ndarray:
-    """Probabilities after rounding all but one of them, in the given order.  Words are conserved."""
-    p = p.astype(np.float64).copy()
-    hold = -1
-    for i in range(len(p)):
-        if size[i] <= 0 or not 1e-12 < p[i] < 1 - 1e-12:
-            p[i] = round(p[i])
+def _open(p: np.ndarray) -> np.ndarray:
+    return (p > 0) & (p < 1)
+
+
+def _settle(ids: np.ndarray, mass: np.ndarray, p: np.ndarray, level: int, seed: int) -> None:
+    """Large documents come to 0 or 1, each in exchange with all smaller ones that are still open.  ``mass`` falls."""
+    total = mass.sum()
+    for i in np.flatnonzero(mass > LARGE * total).tolist():
+        rest = np.flatnonzero(_open(p[i + 1 :])) + i + 1
+        if not 0 < p[i] < 1 or not len(rest):
+            continue
+        up, down = (1 - p[i]) * mass[i], p[i] * mass[i]
+        room = p[rest] * (1 - p[rest]) * mass[rest]  # one share for both ways, so that nobody's expectation moves
+        room /= room.sum()
+        if (up * room > p[rest] * mass[rest]).any() or (down * room > (1 - p[rest]) * mass[rest]).any():
             continue
+        if _draw(level, int(ids[i]), -1, seed) < p[i]:
+            p[rest] -= up * room / mass[rest]
+            p[i] = 1
+        else:
+            p[rest] += down * room / mass[rest]
+            p[i] = 0
+        p[rest] = _clean(p[rest])
+
+
+def _clean(p: np.ndarray) -> np.ndarray:
+    return np.where((p < 1e-9) | (p > 1 - 1e-9), np.round(p), p)
+
+
+def pivotal(ids: np.ndarray, mass: np.ndarray, p: np.ndarray, level: int, seed: int) -> np.ndarray:
+    """Probabilities after rounding all but one of them, in the given order (mass falls).  Words are conserved."""
+    p = np.where(mass > 0, _clean(p.astype(np.float64)), np.round(p))
+    _settle(ids, mass, p, level, seed)
+    hold = -1
+    for i in np.flatnonzero(_open(p)).tolist():
         if hold < 0:
             hold = i
             continue
         a, b = hold, i
-        sa, sb = size[a], size[b]
+        sa, sb = mass[a], mass[b]
         up = min((1 - p[a]) * sa, p[b] * sb)  # most words that a can take from b
         down = min(p[a] * sa, (1 - p[b]) * sb)
         move = up if _draw(level, int(ids[a]), int(ids[b]), seed) * (up + down) < down else -down
         p[a] += move / sa
         p[b] -= move / sb
-        for x in (a, b):
-            if p[x] < 1e-9 or p[x] > 1 - 1e-9:
-                p[x] = round(p[x])
+        p[[a, b]] = _clean(p[[a, b]])
         hold = next((x for x in (b, a) if 0 < p[x] < 1), -1)
     return p
 
 
+UNIT = "src int, grp long, doc_id long, mark long, size long, p double"
+
+
 def _round(df: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
-    """One level of the tree: each (src, grp) keeps at most one fractional document; the last level keeps none."""
+    """One level of the tree: each (src, grp) keeps at most one fractional unit; the last level keeps none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-        pdf["p"] = pivotal(pdf["doc_id"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(), level, seed)
-        if last:
-            odd = ((pdf["p"] > 0) & (pdf["p"] < 1)).to_numpy()
-            pdf.loc[odd, "p"] = [float(_draw(-1, int(i), 0, seed) < q) for i, q in zip(pdf.loc[odd, "doc_id"], pdf.loc[odd, "p"])]
+        pdf = pdf.sort_values(["size", "doc_id", "mark"], ascending=[False, True, True], kind="stable")
+        pdf["p"] = pivotal(pdf["doc_id"].to_numpy() ^ pdf["mark"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(), level, seed)
+        if last:  # one at most: to the nearer number, as words are conserved up to here
+            pdf["p"] = np.floor(pdf["p"] + 0.5)
         return pdf
 
-    return df.groupBy("src", "grp").applyInPandas(run, "doc_id long, named boolean, size long, src int, grp long, p double")
+    return df.groupBy("src", "grp").applyInPandas(run, UNIT)
 
 
-def mixed_copies(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, copies: a row for each row of ``docs`` (doc_id, text, source)."""
-    spark = docs.sparkSession
-    sized = stored(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "sizes",
+def _units(docs: DataFrame):
+    """Rows alike in id, source and text, and how many there are; a unit is known by its source, doc_id and mark."""
+    text = F.col("text").cast("string")
+    sized = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"),  # Python sees no null ids: a column with both would come as floats
+        F.col("doc_id").isNotNull().alias("named"),
+        F.col("source").cast("string").alias("source"),
+        _mark(F.col("doc_id"), text).alias("mark"),
+        _size(text).alias("size"),
     )
-    found = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()}  # a row for each source
+    return sized.groupBy("doc_id", "named", "source", "mark", "size").agg(F.count("*").alias("rows"))
+
+
+def _mark(doc_id, text):
+    """Tells the texts of one id apart, and rows without an id (-1 here) from those of id -1."""
+    return F.xxhash64(doc_id.isNotNull(), F.coalesce(text, F.lit("")))
+
+
+def _size(text):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _copies(docs: DataFrame, seed: int, weights, share: float, most: float) -> DataFrame:
+    """Units with source_size, target and ``copies`` of all their rows together."""
+    spark = docs.sparkSession
+    units = stored(_units(docs), "sizes")
+    found = {r["source"]: r for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("n"), F.count("*").alias("units")).collect()}  # a row for each source
     want = targets({s: r["n"] for s, r in found.items()}, weights, share, most)
-    rows = [(i, s, r["n"], want[s], want[s] / r["n"] if r["n"] else 0.0, -(-r["rows"] // GROUP)) for i, (s, r) in enumerate(found.items())]
+    rows = [(i, s, r["n"], want[s], want[s] / r["n"] if r["n"] else 0.0, -(-r["units"] // GROUP)) for i, (s, r) in enumerate(found.items())]
     sources = spark.createDataFrame(rows, "src int, name string, source_size long, target double, rate double, groups long")
-    joined = sized.join(sources, F.col("source").eqNullSafe(F.col("name")))
-    # Python sees no null ids: a column with both would come as floats.
-    grouped = joined.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "size", "src", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")).alias("grp"), (F.col("rate") - F.floor("rate")).alias("p"))
-    # The tree: each level's documents with a whole number are done, the others go up.
+    joined = units.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).withColumn("expected", F.col("rate") * F.col("rows"))
+    grp = F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.col("groups")).alias("grp")
+    grouped = joined.where("size > 0").select("src", grp, "doc_id", "mark", "size", (F.col("expected") - F.floor("expected")).alias("p"))
+    # The tree: each level's units with a whole number are done, the others go up.
     done, groups, level = [], max((r[5] for r in rows), default=1), 0
     while True:
         last = groups <= 1
@@ -125,22 +173,35 @@ def mixed_copies(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float
     picked = done[0]
     for more in done[1:]:
         picked = picked.union(more)
-    copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("p").cast("int")).otherwise(0).cast("int").alias("copies")
-    doc_id = F.when(F.col("named"), F.col("doc_id")).alias("doc_id")
-    return picked.join(sources, "src").select(doc_id, "size", "source_size", "target", copies)
+    whole = joined.join(picked.select("src", "doc_id", "mark", F.col("p").cast("long").alias("more")), ["src", "doc_id", "mark"], "left")
+    copies = F.when(F.col("size") > 0, F.floor("expected") + F.coalesce("more", F.lit(0))).otherwise(0)
+    return whole.select("doc_id", "named", "source", "mark", "size", "rows", "source_size", "target", copies.alias("copies"))
+
+
+def mixed_copies(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, copies: a row for each row of ``docs`` (doc_id, text, source)."""
+    units = _copies(docs, seed, weights, share, most)
+    each = units.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    own = F.floor(F.col("copies") / F.col("rows")) + (F.col("at") <= F.col("copies") % F.col("rows")).cast("long")
+    return each.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "size", "source_size", "target", own.cast("int").alias("copies"))
 
 
-def mixed(df: DataFrame, seed: int = 17, **how) -> DataFrame:
+def mixed(df: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it (0, 1 or 2 times), with all their columns."""
-    copies = mixed_copies(df, seed, **how).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("l")).select(F.col("doc_id").alias("i"), "l")
-    nth, ident, found = fresh(df, "nth"), fresh(df, "mixed_id"), fresh(df, "mixed_copies")
-    copies = copies.toDF(ident, found)
-    # Rows with one id are told apart by size, on both sides.
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    rows = df.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy(size)))
-    joined = rows.join(copies, rows["doc_id"].cast("long").eqNullSafe(copies[ident]))
-    times = F.array_repeat(F.lit(1), F.element_at(F.col(found), F.col(nth))["copies"])
-    return joined.withColumn(nth, F.explode(times)).select(*df.columns)
+    units = _copies(df, seed, weights, share, most).where("copies > 0")
+    names = {c: fresh(df, f"mixed_{c}") for c in ("doc_id", "source", "mark", "rows", "copies")}
+    units = units.select(*[F.col(c).alias(n) for c, n in names.items()])
+    mark, nth = fresh(df, "mark"), fresh(df, "nth")
+    rows = df.withColumn(mark, _mark(df["doc_id"], F.col("text").cast("string")))
+    same = (F.coalesce(rows["doc_id"].cast("long"), F.lit(-1)) == F.col(names["doc_id"])) & (rows[mark] == F.col(names["mark"]))
+    same &= rows["source"].cast("string").eqNullSafe(F.col(names["source"]))
+    joined = rows.join(units, same)
+    single = joined.where(F.col(names["rows"]) == 1).withColumn(nth, F.lit(1))
+    order = W.partitionBy(*[names[c] for c in ("doc_id", "source", "mark")]).orderBy(names["mark"])
+    several = joined.where(F.col(names["rows"]) > 1).withColumn(nth, F.row_number().over(order))
+    n, all_ = F.col(names["rows"]), F.col(names["copies"])
+    times = (F.floor(all_ / n) + (F.col(nth) <= all_ % n).cast("long")).cast("int")
+    return single.union(several).withColumn(nth, F.explode(F.array_repeat(F.lit(1), times))).select(*df.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
