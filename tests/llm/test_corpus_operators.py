@@ -152,6 +152,27 @@ def test_mixing(odd_docs, odd_texts, no_docs, monkeypatch):
     assert kept.columns == odd_docs.columns and kept.count() == sum(r["copies"] for r in rows.values())
 
 
+def test_one_large_document_is_no_obstacle(spark):
+    """A fifth of a source in one document, the rest small: the source still meets its target."""
+    rows = [(i, "w " * (900 if i % 60 == 0 else 20 + i % 90), f"s{i // 60}") for i in range(480)]
+    got = mixing.mixed_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, want = {}, {}
+    for r in got:
+        s = r["doc_id"] // 60
+        taken[s], want[s] = taken.get(s, 0) + r["copies"] * r["size"], r["target"]
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in want)
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    rows = [(None, "a b c", "s")] * 40 + [(-1, "a b c", "s")] * 3 + [(7, "a b c", "s"), (7, "d e", "s"), (7, "d e", "t"), (None, "x " * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mixed_copies(docs).collect()
+    assert sorted(map(str, ((r["doc_id"], r["size"]) for r in got))) == sorted(map(str, ((i, len(t.split())) for i, t, _ in rows)))
+    ones = [r["copies"] for r in got if r["doc_id"] is None and r["size"] == 3]
+    assert max(ones) - min(ones) <= 1
+    assert mixing.mixed(docs).count() == sum(r["copies"] for r in got)
+
+
 def test_mixing_tree_of_many_groups(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP", 20)
     monkeypatch.setattr(mixing, "FAN", 3)

@@ -15,7 +15,7 @@ def docs(spark):
 
 
 @pytest.mark.parametrize("name,make", {
-    "media": media.media_digests,
+    "media": lambda d: media.media_digests(media.media_columns(d)),
     "media columns": media.media_columns,
     "toxicity": lambda d: toxicity.scored(d, MODEL),
     "fingerprints": fingerprint.fingerprints,

@@ -1,10 +1,12 @@
 """Media, fingerprints, token counts, toxicity: against plain Python."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from inkfall.llm import fingerprint, media, tokencount, toxicity
@@ -13,9 +15,26 @@ from inkfall.llm.common import id_text
 from .conftest import SMALL
 
 
+def plain_pairs(payload):
+    """(time, code) of all peak pairs, frame by frame and by the definition."""
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 191) for i in range(192)]
+    edges, peaks = [1, 17, 33, 49, 65, 81, 97], []
+    for at in range(0, len(payload) - 191, 96):
+        power = np.abs(np.fft.rfft([(b - 128) * w for b, w in zip(payload[at : at + 192], window)]))
+        mean, found = power[1:].mean(), []
+        for lo, hi in zip(edges, edges[1:]):
+            best = max(range(lo, hi), key=lambda k: power[k])
+            if power[best] > 1.2 * mean:
+                found.append(best)
+        peaks.append(found)
+    out = [(t, x << 16 | y << 8) for t, f in enumerate(peaks) for i, x in enumerate(f) for y in f[i + 1 :]]
+    out += [(t, x << 16 | y << 8 | gap) for t, f in enumerate(peaks) for gap in (1, 2, 3) if t + gap < len(peaks) for x in f for y in peaks[t + gap]]
+    return sorted(out)
+
+
 def test_media_digests(odd_docs, odd_texts, no_docs):
-    got = {r["doc_id"]: r for r in media.media_digests(odd_docs).collect()}
-    assert len(got) == len(odd_texts) and media.media_digests(no_docs).count() == 0
+    got = {r["doc_id"]: r for r in media.media_digests(media.media_columns(odd_docs)).collect()}
+    assert len(got) == len(odd_texts) and media.media_digests(media.media_columns(no_docs)).count() == 0
     by_text = {}
     for i, text in odd_texts:
         data = (text or "").encode()
@@ -24,6 +43,12 @@ def test_media_digests(odd_docs, odd_texts, no_docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
         assert by_text.setdefault(text or "", r["feature"]) == r["feature"]
+        if len(payload) < 20000:
+            pairs = plain_pairs(payload)
+            codes, times = [c for _, c in pairs], [t for t, _ in pairs]
+            assert (r["codes"], r["times"]) == (codes, times)
+            raw = np.array(codes, np.int32).tobytes() + np.array(times, np.int32).tobytes()
+            assert r["feature"] == f"{len(codes)}-{len(set(codes))}-{xxhash.xxh3_128_hexdigest(raw)}"
     assert len(set(by_text.values())) > 0.8 * len(by_text)  # blank texts sound alike
 
 
@@ -95,7 +120,8 @@ def test_token_counts(odd_docs, odd_texts, no_docs):
 
     path = tokencount.default_vocabulary()
     vocab = tokencount.vocabulary(path)
-    exact = Tokenizer(models.Unigram(vocab, 0, byte_fallback=True))
+    assert not any(p in ("<unk>", "<s>", "</s>") for p, _ in vocab)
+    exact = Tokenizer(models.Unigram([("\0", tokencount.BYTE_SCORE), *vocab], 0, byte_fallback=True))
     exact.normalizer = normalizers.Replace(Regex("[ \t-\r]+"), " ")
     exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(odd_docs, path).collect()}
@@ -105,6 +131,20 @@ def test_token_counts(odd_docs, odd_texts, no_docs):
     assert tokencount.token_counts(no_docs, path).count() == 0
 
 
+def test_ranks_become_probabilities():
+    import sentencepiece
+
+    path = tokencount.default_vocabulary()
+    vocab = dict(tokencount.vocabulary(path))
+    pieces = [s for p, s in vocab.items() if s != tokencount.BYTE_SCORE]
+    assert sum(math.exp(s) for s in pieces) == pytest.approx(1)
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the quick brown fox jumps over the lazy dog", "internationalization of documents", "Ein kurzer Satz."]
+    counter = tokencount.UnigramCounter(list(vocab.items()))
+    assert [counter(t.encode())[0] for t in texts[:2]] == [len(own.encode(t)) for t in texts[:2]]
+    assert counter(b"x" * 50000)[0] > 0  # one very long word
+
+
 def test_viterbi_ties_and_unknown():
     from tokenizers import Tokenizer, models
 
