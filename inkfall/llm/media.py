@@ -29,6 +29,8 @@ from .common import id_text, per_batch, raw_texts, table
 UNIT = 192
 RATE = 8000
 FRAME, HOP, BANDS, REACH, BLOCK = 192, 96, 6, 3, 4096
+#: Bytes of texts whose arrays are made before they leave the worker.
+AT_ONCE = 1 << 18
 
 
 def padded(data: bytes, unit: int = UNIT, fill: bytes = b" ") -> bytes:
@@ -91,18 +93,27 @@ def landmarks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (key & 0xFFFFFF).astype(np.int32), (key >> 24).astype(np.int32)
 
 
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+
+
+def _made(batch: pa.RecordBatch):
+    """The columns of a batch's rows, some texts at a time, so that no set of arrays is much larger than AT_ONCE."""
+    texts = [t or b"" for t in raw_texts(batch.column("text"))]
+    part = np.cumsum([len(t) + UNIT for t in texts]) // AT_ONCE
+    for lo, hi in zip(starts := np.flatnonzero(np.diff(part, prepend=-1)), [*starts[1:], len(texts)]):
+        media = [to_wav(padded(t)) for t in texts[lo:hi]]
+        codes, times = zip(*(landmarks(from_wav(m)) for m in media))
+        yield {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_bytes": [len(t) for t in texts[lo:hi]], "media": media, "codes": codes, "times": times}
+
+
 def media_columns(df: DataFrame) -> DataFrame:
     """doc_id, text -> the length of the text in bytes, the WAV file, and its fingerprint as time-coded arrays."""
 
     def make(batch: pa.RecordBatch):
-        size, media, codes, times = [], [], [], []
-        for text in raw_texts(batch.column("text")):
-            size.append(len(text or b""))
-            media.append(to_wav(padded(text or b"")))
-            c, t = landmarks(from_wav(media[-1]))
-            codes.append(c)
-            times.append(t)
-        return {"doc_id": batch.column("doc_id"), "n_bytes": size, "media": media, "codes": codes, "times": times}
+        for made in _made(batch):
+            yield made | {c: _lists(made[c]) for c in ("codes", "times")}
 
     return per_batch(id_text(df), make, "doc_id long, n_bytes long, media binary, codes array<int>, times array<int>")
 
@@ -112,22 +123,20 @@ def feature_of(codes: np.ndarray, times: np.ndarray) -> str:
     return f"{len(codes)}-{len(np.unique(codes))}-{xxhash.xxh3_128_hexdigest(codes.tobytes() + times.tobytes())}"
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of the stored files of ``media_columns``, of the payloads read back from them, and of their arrays, which stay."""
+def media_digests(df: DataFrame) -> DataFrame:
+    """``media_columns`` with its files as digests: of the stored file, and of the payload read back from it.  The arrays stay."""
 
     def make(batch: pa.RecordBatch):
-        rows = []
-        flat = [batch.column(c).flatten().to_numpy() for c in ("codes", "times")]
-        ends = batch.column("codes").offsets.to_numpy()
-        for i, wav in enumerate(batch.column("media").to_pylist()):
-            back = from_wav(wav)
-            code, time = (x[ends[i] - ends[0] : ends[i + 1] - ends[0]] for x in flat)
-            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature_of(code, time)))
-        kept = {c: batch.column(c) for c in ("doc_id", "n_bytes", "codes", "times")}
-        return kept | dict(zip(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), zip(*rows)))
+        for made in _made(batch):
+            rows = []
+            for wav, codes, times in zip(made["media"], made["codes"], made["times"]):
+                back = from_wav(wav)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature_of(codes, times)))
+            kept = {c: made[c] for c in ("doc_id", "n_bytes")} | {c: _lists(made[c]) for c in ("codes", "times")}
+            yield kept | dict(zip(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), zip(*rows)))
 
-    return per_batch(media, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codes array<int>, times array<int>")
+    return per_batch(id_text(df), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codes array<int>, times array<int>")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(media_columns(table(spark, sf_dir, "documents")))
+    return media_digests(table(spark, sf_dir, "documents"))
