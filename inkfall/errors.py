@@ -66,6 +66,13 @@ class DeclarationsMutated(TemplateError):
         super().__init__(f"template parameter declarations were modified at runtime: {details}")
 
 
+class InvalidRecord(TemplateError):
+    kind = "invalid_record"
+
+    def __init__(self, message: str):
+        super().__init__(f"invalid record: {message}")
+
+
 class Panic(TemplateError):
     kind = "panic"
 

@@ -10,17 +10,32 @@ _SPACE = r"[\x09-\x0D\x20\x85\xA0  -     　]"
 MAX, MIN = (1 << 63) - 1, -(1 << 63)
 
 
+def _whole(x: Column) -> Column:
+    """A number from 2**53, where all are whole, to 9.2e18: the exact value, rounded as far as it still reads as the same number."""
+    exact = x.cast("long")
+    rounded = [F.round(exact, -k) for k in (4, 3, 2, 1)]
+    return F.coalesce(*[F.when(n.cast("double") == x, n) for n in rounded], exact).cast("string")
+
+
+def _large(x: Column) -> Column:
+    """From 9.2e18 to 1e30: as few digits as read as the same number."""
+    forms = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+    return F.coalesce(*[F.when(f.cast("double") == x, f) for f in forms]).cast("decimal(38,0)").cast("string")
+
+
 def show_float(x: Column) -> Column:
     """Shortest digits without an exponent; -0.0 is 0.
 
-    Whole numbers go by way of long and the middle range by the plain cast, which are cheap; only
-    the rest needs a number format."""
+    Whole numbers go by way of long and the middle range by the plain cast, which are cheap; the rest
+    needs a number format.  Before version 19 the JVM's digits are not always the shortest
+    from 1e16 to 1e26, so whole numbers from 2**53 on have ways of their own."""
     size = F.abs(x)
     return (
         F.when(F.isnan(x), "NaN")
         .when((x == F.floor(x)) & (size < 1e15), x.cast("long").cast("string"))
         .when((size >= 1e-3) & (size < 1e7), x.cast("string"))
         .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when((size >= 2.0**53) & (size < 1e30), F.concat(F.when(x < 0, "-").otherwise(""), F.when(size < 9.2e18, _whole(size)).otherwise(_large(size))))
         .otherwise(F.call_function("format_number", x, F.lit("0." + "#" * 340)))
     )
 

@@ -10,13 +10,16 @@ from ..plans.types import VarType
 from .lower import END, MARK
 
 
-def python_column(node: N.Node, params: dict[str, VarType], columns: dict[str, Column], catch: bool = False) -> Column:
-    """An Arrow UDF over a struct of the parameters that the tree reads."""
+def python_column(node: N.Node, params: dict[str, VarType], columns: dict[str, Column], catch: bool = False, bad: Column | None = None) -> Column:
+    """An Arrow UDF over a struct of the parameters that the tree reads; rows that are ``bad`` don't get there."""
     used = sorted(N.params_of(node))
 
     def render(rows: pa.Array) -> pa.Array:
         out = []
         for row in rows.to_pylist():
+            if row is None:
+                out.append(None)
+                continue
             env = {n: interp.shape(params[n], row[n]) for n in used}
             try:
                 out.append(interp.render(node, env))
@@ -27,4 +30,5 @@ def python_column(node: N.Node, params: dict[str, VarType], columns: dict[str, C
         return pa.array(out, pa.string())
 
     run = F.arrow_udf(render, "string")
-    return run(F.struct(*[columns[n].alias(n) for n in used], F.lit(1).alias("_")))
+    row = F.struct(*[columns[n].alias(n) for n in used], F.lit(1).alias("_"))
+    return run(row if bad is None else F.when(~bad, row))

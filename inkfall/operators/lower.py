@@ -20,7 +20,7 @@ from ..plans.types import BOOL, FLOAT, INT, KIND, STR, Enum, List, Option, Struc
 #: Nodes up to which a tree becomes one column.
 BUDGET = 2000
 MARK, END = "\x01\x02\x01", "\x01\x03\x01"
-PREFIX = {"undefined_variable": "undefined variable: ", "panic": "template panic: ", "include_not_found": "include not found: ", "missing_params": "missing required parameters: ", "type_mismatch": "type mismatch: ", "syntax": "template syntax error: "}
+PREFIX = {"undefined_variable": "undefined variable: ", "panic": "template panic: ", "include_not_found": "include not found: ", "missing_params": "missing required parameters: ", "type_mismatch": "type mismatch: ", "extra_params": "extra undeclared parameters: ", "invalid_record": "invalid record: ", "syntax": "template syntax error: "}
 
 
 def constant(value, kind: VarType) -> Column:

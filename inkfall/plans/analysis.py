@@ -323,10 +323,10 @@ class Compiler:
         branches = []
         for name in (n for n in _files(base) if pattern.fullmatch(n)):
             try:
-                unit = self.file(name, scope)
-                branches.append((N.Test("eq", (whole, N.Const(name, STR))), self.child(unit, name, scope, given, templates, loops)))
-            except TemplateSyntaxError:
-                continue  # a file that cannot take these arguments is not among them
+                body = self.child(self.file(name, scope), name, scope, given, templates, loops)
+            except TemplateSyntaxError as e:  # the fault of a file is that of the rows that name it
+                body = N.Stop(N.Const(f"in include '{name}': {e.message}", STR), "syntax")
+            branches.append((N.Test("eq", (whole, N.Const(name, STR))), body))
         return choice(branches, N.Stop(whole, "include_not_found"))
 
     def file(self, path: str, scope: Scope) -> Unit:

@@ -126,67 +126,99 @@ class Body:
 
 
 # --- lines ------------------------------------------------------------------
+#
+# Each line has one of five forms, seen once:
+#   blank  white space only
+#   tag    ``>`` and one statement tag, or comments from end to end
+#   lead   ``>``, a tag or comment, and more behind it
+#   bare   a tag or comment without ``>``
+#   text   anything else, quotes among it
 
-_TAG_LINE = re.compile(r"\s*>[ ]?(\s*\{[%#].*)\Z", re.S)
-_RAW_OPEN = re.compile(r"\s*>.*?\{%-?\s*raw(=\S+)?\s*-?%\}")
+_LINE = re.compile(r"\s*(?:(?P<quote>>)[ ]?)?(?P<rest>\s*\{[%#].*)\Z", re.S)
+_WHOLE = re.compile(r"\s*(?:\{#.*#\}|\{%(?:(?!%\}).)*%\})\s*\Z", re.S)
+_RAW = re.compile(r"\{%-?\s*raw(?:=(?P<word>\S+))?\s*-?%\}")
 
 
-def _tag_of(line: str) -> str | None:
-    """What follows the ``>`` of a line that begins with a tag or comment."""
-    m = _TAG_LINE.match(line)
-    return m[1] if m else None
-
-
-def _alone(tag: str) -> bool:
-    """The line is one tag, or comments from end to end."""
-    tag = tag.strip()
-    return (tag.startswith("{#") and tag.endswith("#}")) or (tag.startswith("{%") and tag.find("%}") == len(tag) - 2)
+@dataclass(frozen=True)
+class Line:
+    form: str
+    source: str
+    text: str  # without the ``>`` that is not part of the output
+
+
+def line_of(source: str) -> Line:
+    m = _LINE.match(source)
+    if not m:
+        return Line("text" if source.strip() else "blank", source, source)
+    if not m["quote"]:
+        return Line("bare", source, source)
+    return Line("tag" if _WHOLE.match(m["rest"]) else "lead", source, m["rest"])
+
+
+def _without_raw(lines: list[Line]) -> list[Line | None]:
+    """The lines, None in place of those that open a raw block or lie within one."""
+    out: list[Line | None] = []
+    end = None
+    for line in lines:
+        if end is None:
+            opened = _RAW.search(line.source) if line.form in ("tag", "lead") else None
+            if opened:
+                close = re.compile(r"\{%-?\s*/" + re.escape(opened["word"] or "raw") + r"\s*-?%\}")
+                end = None if close.search(line.source, opened.end()) else close
+            out.append(None if opened else line)
+        else:
+            end = None if end.search(line.source) else end
+            out.append(None if end or line.form == "bare" else line)
+    return out
 
 
-def check_lines(text: str, first_line: int = 1) -> None:
-    """Tags that begin a line need ``> `` in front; those alone on it need blank lines around, or other tags."""
-    lines, raw = text.split("\n"), None
-    for i, line in enumerate(lines):
-        start, tag = line.lstrip(), _tag_of(line)
-        if raw:  # up to its own end
-            raw = None if raw.search(line) else raw
-        elif tag is not None and (m := _RAW_OPEN.match(line)):
-            end = re.compile(r"\{%-?\s*/" + re.escape((m[1] or "=raw")[1:]) + r"\s*-?%\}")
-            raw = None if end.search(line, m.end()) else end
-            continue
-        elif start.startswith("{#"):
-            raise TemplateSyntaxError("a comment at the beginning of a line must have a blockquote prefix: '> {# ... #}'", first_line + i, start[:60])
-        elif start.startswith("{%"):
-            raise TemplateSyntaxError(f"a bare statement tag at the beginning of a line: write '> {start[:60]}'", first_line + i, start[:60])
-        if tag is None or not _alone(tag) or raw:
+def check_lines(lines: list[Line], first_line: int = 1) -> None:
+    """No bare tags, and nothing but blank lines, other tags and the declarations' rule beside a tag."""
+    seen = _without_raw(lines)
+    for i, line in enumerate(seen):
+        if line is not None and line.form == "bare":
+            start = line.source.strip()[:60]
+            if start.startswith("{#"):
+                raise TemplateSyntaxError("a comment at the beginning of a line must have a blockquote prefix: '> {# ... #}'", first_line + i, start)
+            raise TemplateSyntaxError(f"a bare statement tag at the beginning of a line: write '> {start}'", first_line + i, start)
+    for i, pair in enumerate(zip(lines, lines[1:])):
+        for at, other, word in ((0, 1, "followed"), (1, 0, "preceded")):
+            if seen[i + at] is not None and pair[at].form == "tag" and pair[other].form in ("text", "bare") and pair[other].source.strip() != "---":
+                tag = pair[at].source.strip()
+                raise TemplateSyntaxError(f"standalone tag '{tag}' must be {word} by a blank line or another tag line", first_line + i + at, tag[:60])
+
+
+def _between(before: str, gap: list[str], after: str) -> str:
+    """What stands between two neighbours (a form, or ``edge``), given the blank lines there."""
+    if before == "tag":  # one blank line is Markdown's, and all of them before another tag or the end
+        return "\n" * (len(gap) - 1) if after == "text" else ""
+    if after == "tag" and gap and not gap[-1]:
+        gap = gap[:-1]
+    lead = "" if before == "edge" else "\n"
+    return lead + "".join(g + "\n" for g in gap) if after != "edge" else "".join(lead + g for g in gap) if lead else "\n".join(gap)
+
+
+def join_lines(lines: list[Line]) -> tuple[str, list[int]]:
+    """The text without the ``>`` of tags, and without the blank lines that stand around tags for Markdown's sake.
+
+    Also where each line begins in it (or would, where it is left out)."""
+    out, begins, gap, before = "", [], [], "edge"
+    for line in [*lines, None]:
+        form = "edge" if line is None else "tag" if line.form == "tag" else "blank" if line.form == "blank" else "text"
+        if form == "blank":
+            gap.append(line.text)
             continue
-        for j, word in ((i - 1, "preceded"), (i + 1, "followed")):
-            if 0 <= j < len(lines) and lines[j].strip() not in ("", "---") and _tag_of(lines[j]) is None:
-                raise TemplateSyntaxError(f"standalone tag '{line.strip()}' must be {word} by a blank line or another tag line", first_line + i, line.strip()[:60])
-
-
-def join_lines(text: str) -> tuple[str, list[int]]:
-    """Without the ``>`` of tag lines, and without the blank lines that stand around tags for Markdown's sake.
-
-    Also where each line of the text begins in what is returned (or would, where it is left out)."""
-    out, blanks, after, begins = "", 0, False, []
-    for i, line in enumerate(text.split("\n")):
-        tag = _tag_of(line)
-        line = line if tag is None else tag
-        alone = tag is not None and _alone(tag)
-        if after and not line.strip():
-            blanks += 1
+        between = _between(before, gap, form)
+        # Blank lines that are kept begin where they stand; the others at the end of what is kept.
+        at = len(out) + (before == "text")
+        for g in gap:
+            begins.append(min(at, len(out) + len(between)))
+            at += len(g) + 1
+        out += between
+        if line is not None:
             begins.append(len(out))
-            continue
-        if not after:
-            out += "\n" if i else ""
-        elif not alone:  # one blank line belongs to the tag, more are the author's
-            out += "\n" * max(0, blanks - 1)
-        if alone and (out == "\n" or out.endswith("\n\n")):
-            out = out[:-1]
-        begins.append(len(out))
-        out += line
-        after, blanks = alone, 0
+            out += line.text
+        before, gap = form, []
     return out, begins
 
 
@@ -245,7 +277,11 @@ def tokens(text: str, body: Body, first_line: int, begins: list[int]) -> list[To
             raise TemplateSyntaxError(f"unclosed '{kind}'", line, text[m.start() :].split("\n")[0][:60])
         inner = text[m.end() : stop]
         before, after = inner.startswith("-") and not re.match(r"-\d", inner), inner.endswith("-")
-        inner = inner[1 if before else 0 : -1 if after else None].strip()
+        inner = inner[1 if before else 0 : -1 if after else None]
+        if kind != "{{" and inner and not (inner[0].isspace() and inner[-1].isspace()):
+            what = "statement tags" if kind == "{%" else "comments"
+            raise TemplateSyntaxError(f"{what} must have spaces around the content: '{kind} {inner.strip()} {end}'", line, f"{kind}{inner}{end}".split("\n")[0][:60])
+        inner = inner.strip()
         literal(text[at : m.start()], before)
         at, eat = stop + 2, after
         if kind == "{#":
@@ -418,8 +454,9 @@ def parse_body(text: str, first_line: int = 1, bare: bool = False) -> Body:
     if bare:
         begins = [0, *(m.end() for m in re.finditer("\n", text))]
     else:
-        check_lines(text, first_line)
-        text, begins = join_lines(text)
+        lines = [line_of(x) for x in text.split("\n")]
+        check_lines(lines, first_line)
+        text, begins = join_lines(lines)
     parser = _Parser(tokens(text, body, first_line, begins))
     body.nodes = parser.block(())
     return body

@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from . import errors
 from .operators.batches import python_column
-from .operators.lower import BUDGET, MARK, END, lower, split_error
+from .operators.checks import Columns, Records
+from .operators.lower import BUDGET, END, MARK, PREFIX, constant, lower, split_error
 from .plans import interp
 from .plans import tree as N
 from .plans.analysis import MAX_DEPTH, Compiler, Unit, _is_tmpl
 from .plans.frontmatter import Decl
-from .plans.types import FLOAT, INT, KIND, Enum, List, Option, Scalar, Struct, VarType, check_spark, check_value, to_spark
+from .plans.types import FLOAT, INT, KIND, Enum, List, Option, Struct, VarType, check_spark, check_value, to_spark
 
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -165,11 +166,28 @@ class Template:
             self.check_schema(df.schema, allow_extra)
             self._checked.add(key)
         columns = self._inputs(df)
+        return self._text(columns, [] if unchecked else self._faults(df, columns), engine, catch)
+
+    def _text(self, columns: dict[str, Column], faults: list[tuple[Column, str, Column]], engine: str, catch: bool) -> Column:
+        """The text, or the error of the first fault (test, kind, message) that a row has."""
+        bad = None
+        for test, _, _ in faults:
+            bad = test if bad is None else bad | test
         if self.engine(engine) == "catalyst":
             text = lower(self.tree, columns.__getitem__, catch)
         else:
-            text = python_column(self.tree, {d.name: d.type for d in self._columns()}, columns, catch)
-        return text if unchecked else self._guarded(text, columns, catch)
+            text = python_column(self.tree, {d.name: d.type for d in self._columns()}, columns, catch, bad)
+        if bad is None:
+            return text
+        told = F.coalesce(*[F.when(test, self._error(kind, message, catch)) for test, kind, message in faults])
+        return F.when(bad, told).otherwise(text)
+
+    @staticmethod
+    def _error(kind: str, message: Column, catch: bool) -> Column:
+        if catch:
+            return F.concat(F.lit(f"{MARK}{kind}\x01"), message, F.lit(END))
+        prefix = "type mismatch for " if kind == "type_mismatch" else PREFIX[kind]
+        return F.raise_error(F.concat(F.lit(prefix), message)).cast("string")
 
     def engine(self, asked: str = "auto") -> str:
         """``catalyst``, or ``python`` for a tree beyond the budget of one column."""
@@ -179,30 +197,22 @@ class Template:
         out = {}
         for d in self._columns():
             if d.name not in df.columns:
-                from .operators.lower import constant
-
                 out[d.name] = constant(d.default, d.type)
                 continue
             have = df.schema[d.name].dataType
             col = df[d.name]
-            inner = d.type.inner if isinstance(d.type, Option) else d.type
-            widen = (inner == FLOAT and not isinstance(have, T.DoubleType)) or (inner == INT and not isinstance(have, T.LongType)) or (isinstance(inner, List) and _narrow(inner, have)) or isinstance(have, T.NullType)
-            out[d.name] = col.cast(to_spark(d.type)) if widen else col
+            out[d.name] = col.cast(to_spark(d.type)) if isinstance(have, T.NullType) or _narrow(d.type, have) else col
         return out
 
-    def _guarded(self, text: Column, columns: dict[str, Column], catch: bool) -> Column:
-        """An error where a parameter that is no option is null, or names no variant of its enum."""
-        got = None
-        used = N.params_of(self.tree)
+    def _faults(self, df: DataFrame, columns: dict[str, Column]) -> list[tuple[Column, str, Column]]:
+        """Where a parameter does not have its type.  One that has its default, or that the template doesn't read, is not looked at."""
+        used, out = N.params_of(self.tree), []
         for d in self._columns():
-            # A parameter that has its default, or that the template doesn't read, is not looked at.
-            if d.name not in used or isinstance(d.type, Option):
-                continue
-            for path, bad, expected, actual in _faults(d.name, d.type, columns[d.name]):
-                message = F.concat(F.lit(f"type mismatch for '{path}': expected {expected}, got "), actual)
-                error = F.concat(F.lit(f"{MARK}type_mismatch\x01"), F.lit(f"'{path}': expected {expected}, got "), actual, F.lit(END)) if catch else F.raise_error(message).cast("string")
-                got = F.when(bad, error) if got is None else got.when(bad, error)
-        return text if got is None else got.otherwise(text)
+            if d.name in used and d.name in df.columns:
+                field = df.schema[d.name]
+                found = Columns().found(d.type, columns[d.name], field.dataType, field.nullable)
+                out += [(test, "type_mismatch", F.concat(F.lit(f"'{d.name}"), text)) for test, text in found]
+        return out
 
     def render(self, df: DataFrame, out: str = "out", **how) -> DataFrame:
         """``df`` with the text in a new column."""
@@ -219,28 +229,52 @@ class Template:
         return held.withColumns({out: value, "error_kind": kind, "error": message}).drop("_caught")
 
     def render_json(self, df: DataFrame, json: str = "json", out: str = "out", **how) -> DataFrame:
-        """Rows of a JSON column as the parameters."""
-        held = df.withColumn("_record", F.from_json(F.col(json), self.schema()))
-        params = held.select(*df.columns, *[F.col("_record")[d.name].alias(d.name) for d in self._columns()])
-        return params.withColumn(out, self.column(params, **how)).select(*df.columns, out)
+        """Rows of a JSON column as the parameters: an absent key has its default, a null is none; kinds must fit
+        (an int may be a float), and other keys are refused unless ``allow_extra``."""
+        return self._render_records(df, F.col(json), out, **how)
 
     def render_cbor(self, df: DataFrame, cbor: str = "cbor", out: str = "out", **how) -> DataFrame:
-        """Rows of a column of CBOR records as the parameters."""
+        """Rows of a column of CBOR records as the parameters, as for JSON."""
         from .sources import binary
 
-        return self._render_binary(df, cbor, binary.cbor, out, how)
+        return self._render_records(df, binary.json_text(F.col(cbor), binary.cbor), out, **how)
 
     def render_flexbuffers(self, df: DataFrame, buffers: str = "buffers", out: str = "out", **how) -> DataFrame:
-        """Rows of a column of FlexBuffers records as the parameters."""
+        """Rows of a column of FlexBuffers records as the parameters, as for JSON."""
         from .sources import binary
 
-        return self._render_binary(df, buffers, binary.flexbuffer, out, how)
-
-    def _render_binary(self, df: DataFrame, name: str, decode, out: str, how: dict) -> DataFrame:
-        from .sources.binary import json_text
-
-        held = df.withColumn("_json", json_text(F.col(name), decode))
-        return self.render_json(held, "_json", out, **how).drop("_json")
+        return self._render_records(df, binary.json_text(F.col(buffers), binary.flexbuffer), out, **how)
+
+    def _render_records(self, df: DataFrame, json: Column, out: str, *, allow_extra: bool = False, engine: str = "auto", catch: bool = False) -> DataFrame:
+        """With ``catch`` errors are columns, as in ``render_try``."""
+        # Each step is a projection of its own, so a record is parsed once.
+        parsed = df.withColumn("_variant", F.try_parse_json(json)).withColumn("_record", F.col("_variant").try_cast("map<string,variant>"))
+        record, rules, columns, fields = F.col("_record"), Records(), {}, []
+        faults = [(record.isNull(), "invalid_record", F.when(F.col("_variant").isNull(), "not JSON").otherwise("no object"))]
+        absent = {d.name: ~F.map_contains_key(record, d.name) for d in self._columns()}
+        required = [d.name for d in self._columns() if d.required]
+        if required:
+            names = F.concat_ws(", ", *[F.when(absent[n], n) for n in required])
+            faults.append((names != "", "missing_params", names))
+        for d in self._columns():
+            own = F.try_element_at(record, F.lit(d.name))
+            for test, text in rules.found(d.type, own):
+                faults.append((~absent[d.name] & test, "type_mismatch", F.concat(F.lit(f"'{d.name}"), text)))
+            value = rules.value(d.type, own)
+            fields.append((value if d.required else F.when(absent[d.name], constant(d.default, d.type)).otherwise(value)).alias(d.name))
+            columns[d.name] = F.col("_params").getField(d.name)
+        if not allow_extra:
+            extra = F.concat_ws(", ", F.sort_array(F.array_except(F.map_keys(record), F.array(*map(F.lit, absent)).cast("array<string>"))))
+            faults.append((extra != "", "extra_params", extra))
+        # Values are made of records without a fault only.
+        told = F.coalesce(*[F.when(test, F.struct(F.lit(kind).alias("kind"), message.alias("message"))) for test, kind, message in faults])
+        checked = parsed.withColumn("_fault", told).withColumn("_params", F.when(F.col("_fault").isNull(), F.struct(F.lit(1).alias("_"), *fields)))
+        text = self._text(columns, [(F.col("_fault.kind") == kind, kind, F.col("_fault.message")) for kind in ("invalid_record", "missing_params", "type_mismatch", "extra_params")], engine, catch)
+        done = checked.withColumn("_text", text).drop("_variant", "_record", "_fault", "_params")
+        if not catch:
+            return done.withColumn(out, F.col("_text")).drop("_text")
+        value, kind, message = split_error(F.col("_text"))
+        return done.withColumns({out: value, "error_kind": kind, "error": message}).drop("_text")
 
     def document(self, df: DataFrame, order: list[str], separator: str = "", **how) -> DataFrame:
         """One text of all rows in order; for reports that one task can hold."""
@@ -288,21 +322,8 @@ def spark_value(kind: VarType, value):
 
 
 def _narrow(kind: VarType, have: T.DataType) -> bool:
-    """A list whose numbers are narrower than declared."""
-    item = kind.item.inner if isinstance(kind.item, Option) else kind.item
-    return isinstance(have, T.ArrayType) and isinstance(item, Scalar) and have.elementType != to_spark(item)
-
-
-def _faults(path: str, kind: VarType, col: Column) -> list[tuple[str, Column, str, Column]]:
-    """(path, test, expected, what is there) for a value and, in structs, for its fields."""
-    out = [(path, col.isNull(), str(kind), F.lit("none ()"))]
-    if isinstance(kind, Enum):
-        name = col if kind.plain else col.getField(KIND)
-        out.append((path, ~F.coalesce(name.isin(kind.names), F.lit(False)), str(kind), F.concat(F.lit("str ("), F.coalesce(name, F.lit("")), F.lit(")"))))
-    if isinstance(kind, Struct):
-        for n, t in kind.fields:
-            if not isinstance(t, Option):
-                out += _faults(f"{path}.{n}", t, col.getField(n))
-    if isinstance(kind, List) and isinstance(kind.item, Scalar):
-        out.append((path, F.exists(col, lambda x: x.isNull()), str(kind), F.lit("a none element")))
-    return out
+    """Numbers narrower than declared, by themselves or in a list."""
+    kind = kind.inner if isinstance(kind, Option) else kind
+    if isinstance(kind, List) and isinstance(have, T.ArrayType):
+        return _narrow(kind.item, have.elementType)
+    return kind in (INT, FLOAT) and have != to_spark(kind)

@@ -201,3 +201,99 @@ def test_stream_of_windows(spark, tmp_path):
 
 def test_math_is_there():
     assert math.isnan(float("nan"))
+
+
+# --- faults inside of values ------------------------------------------------
+
+KINDS = "types:\n  - K = enum(A, B)\n  - P = enum(Hit(d = str, n = option(int)), Miss, Deep(xs = list(v = float)))\n\n"
+DEEP = ["rows = list(a = str, b = option(int), k = K)", "p = P", "ks = list(K)", "o = option(struct(m = list(list(int)))) := None", "f = float := 1.5", "t = str := \"d\""]
+DEEP_TEMPLATE = body(DEEP, "> {% for r in rows %}<{{ r.a }}:{{ r.b }}:{{ kind(r.k) }}>{% /for %}{% match p %}{% case Hit %}{{ p.d }}{{ p.n }}{% case Miss %}-{% case Deep %}{% for x in p.xs %}{{ x.v }};{% /for %}{% /match %}{% for k in ks %}{{ k }}{% /for %}{% if has(o) %}{% for m in o.m %}{% for i in m %}{{ i }},{% /for %}{% /for %}{% /if %}{{ f }}{{ t }}", KINDS)
+GOOD = {"rows": [{"a": "x", "b": None, "k": "A"}, {"a": "y", "b": 4, "k": "B"}], "p": {"__kind__": "Hit", "d": "d", "n": None}, "ks": ["A", "B"], "o": {"m": [[1, 2], []]}, "f": 2.5, "t": "u"}
+#: What is changed in a good record, and where the fault is (None: it stays good).
+CHANGES = [
+    ({}, None),
+    ({"rows": []}, None),
+    ({"p": {"__kind__": "Miss"}, "o": None}, None),
+    ({"p": {"__kind__": "Deep", "xs": [{"v": 1.5}]}}, None),
+    ({"rows": None}, "'rows'"),
+    ({"rows": [GOOD["rows"][0], {"a": None, "b": 1, "k": "A"}]}, "'rows[1].a'"),
+    ({"rows": [GOOD["rows"][0], {"a": "z", "b": 1, "k": "C"}]}, "'rows[1].k'"),
+    ({"rows": [None]}, "'rows[0]'"),
+    ({"p": {"__kind__": "Hit", "d": None, "n": 1}}, "'p.d'"),
+    ({"p": {"__kind__": "Deep", "xs": [{"v": 0.5}, {"v": None}]}}, "'p.xs[1].v'"),
+    ({"p": {"__kind__": "Nope"}}, "'p'"),
+    ({"ks": ["A", "Z"]}, "'ks[1]'"),
+    ({"ks": [None]}, "'ks[0]'"),
+    ({"o": {"m": [[1], [2, None]]}}, "'o.m[1][1]'"),
+    ({"o": {"m": None}}, "'o.m'"),
+    ({"t": None}, "'t'"),
+]
+
+
+def expected(t, record):
+    try:
+        return t.render_dict(record), None
+    except errors.TemplateError as e:
+        return None, e.kind
+
+
+@pytest.mark.parametrize("engine", ["catalyst", "python"])
+def test_faults_inside_of_columns(spark, engine):
+    t = Template(DEEP_TEMPLATE)
+    records = [GOOD | change for change, _ in CHANGES]
+
+    def row(r):
+        p = r["p"]
+        return (r["rows"], (p["__kind__"], p.get("d"), p.get("n"), p.get("xs")), r["ks"], r["o"], r["f"], r["t"])
+
+    schema = "rows array<struct<a:string,b:long,k:string>>, p struct<__kind__:string,d:string,n:long,xs:array<struct<v:double>>>, ks array<string>, o struct<m:array<array<long>>>, f double, t string"
+    df = spark.createDataFrame([row(r) for r in records], schema).coalesce(1)
+    for r, record, (_, where) in zip(t.render_try(df, engine=engine).collect(), records, CHANGES):
+        assert (r["out"], r["error_kind"]) == expected(t, record)
+        assert (where in r["error"]) if where else r["error"] is None
+    with pytest.raises(Exception, match=r"type mismatch for 'rows\[1\].a': expected str, got none"):
+        t.render(df.where("exists(rows, r -> r is not null and r.a is null)"), engine=engine).collect()
+
+
+def test_records_are_held_to_their_types(spark):
+    import json
+
+    t = Template(DEEP_TEMPLATE)
+    records = [GOOD | change for change, _ in CHANGES]
+    drop = lambda *names: {k: v for k, v in GOOD.items() if k not in names}
+    records += [drop("t"), drop("f", "o"), drop("rows"), drop("p", "rows"), GOOD | {"z": 1, "y": 2}, GOOD | {"f": 3}, GOOD | {"t": 5}, GOOD | {"ks": "A"}, GOOD | {"p": "Miss"}, GOOD | {"p": "Hit"}, GOOD | {"f": "1"}, GOOD | {"rows": [{"a": "x", "k": "A"}]}, GOOD | {"rows": [{"b": 1, "k": "A"}]}, GOOD | {"rows": [{"a": "x", "b": 1.0, "k": "A"}]}, GOOD | {"f": 1 << 70}, GOOD | {"o": {"m": [[1 << 63]]}}]
+    texts = [json.dumps(r) for r in records] + ["{bad", "[1]", "", None, "3"]
+    df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(texts)], "id long, json string, t string").coalesce(1)
+    got = t.render_json(df, catch=True).orderBy("id").collect()
+    for r, record in zip(got, records):
+        want = expected(t, record)
+        if isinstance(record.get("f"), int) and record["f"] > 1 << 64:
+            continue  # a number too large for an int is a float in JSON
+        assert (r["out"], r["error_kind"]) == want, record
+        assert r["t"] == "clash"
+    assert [r["error_kind"] for r in got[len(records) :]] == ["invalid_record"] * 5
+    assert [r["error"] for r in got if r["error_kind"] == "extra_params"] == ["extra undeclared parameters: y, z"]
+    assert [r["error"] for r in got if r["error_kind"] == "missing_params"] == ["missing required parameters: rows", "missing required parameters: rows, p"]
+    assert t.render_json(df.where("id = 20"), allow_extra=True).first()["out"] == t.render_dict(GOOD)
+
+
+def test_broken_binary_records(spark):
+    t = Template(body(["n = int := 3", "s = str"], "{{ n }}{{ s }}"))
+    rows = [(1, bytearray(cbor_bytes({"s": "x"}))), (2, bytearray(b"\xff")), (3, bytearray(b"")), (4, bytearray(cbor_bytes({"s": "x", "n": "y"}))), (5, None)]
+    got = t.render_cbor(spark.createDataFrame(rows, "id long, cbor binary"), catch=True).orderBy("id").collect()
+    assert [(r["out"], r["error_kind"]) for r in got] == [("3x", None), (None, "invalid_record"), (None, "invalid_record"), (None, "type_mismatch"), (None, "invalid_record")]
+
+
+def test_digits_of_large_and_small_numbers(spark):
+    import random
+    import struct
+    from decimal import Decimal
+
+    rng = random.Random(11)
+    xs = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(1500)] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 20) for _ in range(1500)]
+    xs += [-7.42745909780761e17, 2e23, 1e23, 9e-22, 1.7976931348623157e308, 9007199254740993.0, 1039514241563211.8, 9.223372036854775e18, 123456789.125]
+    xs = [x for x in xs if math.isfinite(x) and abs(x) > 1e-300]  # the JVM shows the least of all as 4.9e-324
+    t = Template(body(["x = float"], "{{ x }}"))
+    got = [r["out"] for r in t.render(spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)).collect()]
+    plain = [format(Decimal(repr(x)), "f") for x in xs]
+    assert got == [p.rstrip("0").rstrip(".") if "." in p else p for p in plain]

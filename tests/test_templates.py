@@ -295,3 +295,42 @@ def test_catalog(files, tmp_path):
         catalog.load("none")
     catalog.clear()
     assert catalog.template_count == 0
+
+
+@pytest.mark.parametrize("tag", ["{%if x %}", "{% if x%}", "{%-if x -%}", "{# a#}", "{#a #}", "{%if x%}"])
+def test_tags_need_spaces(tag):
+    text = f"> {tag}\n\na\n\n> {{% /if %}}\n" if "if" in tag else f"> {tag}\n\n{{{{ x }}}}\n"
+    with pytest.raises(errors.TemplateSyntaxError, match="must have spaces around the content") as e:
+        Template(body(["x = bool"], text))
+    assert e.value.line == 6
+
+
+def test_lines_by_their_form():
+    from inkfall.plans.syntax import join_lines, line_of
+
+    forms = {"": "blank", " \t": "blank", "> {% if x %}": "tag", "  >{% if x %} ": "tag", "> {# a #} {# b #}": "tag", "> {% if x %}y": "lead", "> {% if x %}{% /if %}": "lead", "{% if x %}": "bare", " {# a #}": "bare", "> said": "text", "a {% if x %}": "text", "---": "text"}
+    assert {s: line_of(s).form for s in forms} == forms
+    cases = {  # N blank lines beside a tag give N - 1; between tags and at the end none
+        "a\n\n> {% t %}\n\nb": "a\n{% t %}b",
+        "a\n\n\n\n> {% t %}\n\n\nb\n": "a\n\n\n{% t %}\nb\n",
+        "> {% t %}\n\n\n> {% u %}\n\n": "{% t %}{% u %}",
+        "\n> {% t %}": "{% t %}",
+        "\n\n> {% t %}\n> {% u %}\n\nb\n\n\nc": "\n{% t %}{% u %}b\n\n\nc",
+        "a\n> {% t %}b\n\nc": "a\n{% t %}b\n\nc",
+        "\n\na": "\n\na",
+    }
+    for text, want in cases.items():
+        out, begins = join_lines([line_of(x) for x in text.split("\n")])
+        assert out == want and len(begins) == text.count("\n") + 1 and begins == sorted(begins)
+
+
+def test_a_broken_file_is_told_where_a_row_names_it(tmp_path):
+    (tmp_path / "good.tmpl.md").write_text("---\nparams: [n = str]\n---\n<{{ n }}>")
+    (tmp_path / "bad.tmpl.md").write_text("---\nparams: [n = str]\n---\n{{ n | nope }}")
+    (tmp_path / "other.tmpl.md").write_text("---\nparams: [q = str]\n---\n{{ q }}")
+    t = Template(body(["n = str", "f = str"], "{% include [part](./{{ f }}.tmpl.md) with n=n %}".replace("{%", "> {%", 1)), base_dir=str(tmp_path))
+    assert t.render_dict({"n": "x", "f": "good"}) == "<x>"
+    for name, kind, text in (("bad", "syntax", "unknown filter: nope"), ("other", "syntax", "n"), ("gone", "include_not_found", "gone")):
+        with pytest.raises(errors.TemplateError, match=text) as e:
+            t.render_dict({"n": "x", "f": name})
+        assert e.value.kind == kind
