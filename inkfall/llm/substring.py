@@ -8,10 +8,14 @@ every task: it grows with the input.  Instead shards are made by content.  The m
 least hash of its ``GRAM``-word runs, and windows of equal words have equal minimizers; so each
 document is cut into segments, runs of windows with the same minimizer, and the minimizer's shard
 gets them.  Equal segments are told from their first occurrence by key alone (already within a
-batch, so that copies don't travel).  Where a shard has several different segments, an automaton
+batch, so that copies don't travel): what an automaton holds it matches whole.  Where a shard has several different segments, an automaton
 is built over their first occurrences in document order, and its matching statistics, streamed
-while it grows, give the windows that start earlier.  Shards of more than SHARD segments (one
-phrase among very many contexts) are dealt by whole window instead.
+while it grows, give the windows that start earlier.
+
+An automaton holds at most SHARD different segments.  A shard with more (one phrase among very many
+contexts) is split by content again: its segments are cut by the minimizers of longer runs, at last by runs as long as the
+window.  Then all windows of a shard are equal and its automaton is one window, however many stream through it.  So every
+shard at every size gets an automaton of bounded size.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none; documents with
 fewer words than a window lose nothing; rows repeated with one id count as one sequence position
@@ -55,9 +59,14 @@ def range_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
 
 
-def segments(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, key, first window and number of windows of each segment of a document's word hashes."""
-    gram = min(GRAM, window)
+def run_lengths(window: int) -> list[int]:
+    """Words of the runs whose hashes make minimizers, from level to level; the last is the window itself."""
+    first = min(GRAM, window)
+    return sorted({first, (first + window) // 2, window})
+
+
+def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, key, first window and number of windows of each segment of a run of word hashes."""
     grams = gram_hashes(h, gram)
     wide = window - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1)
@@ -86,7 +95,7 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
         for i, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text"))):
             words = (text or b"").split()
             if len(words) >= window:
-                mini, key, lo, n = segments(word_hashes(words), window)
+                mini, key, lo, n = segments(word_hashes(words), window, run_lengths(window)[0])
                 for x, y in zip(got, (mini, key, np.full(len(lo), i, np.int64), lo, n)):
                     x.append(y)
         return _folded(*map(np.concatenate, got)) if got[0] else None
@@ -179,32 +188,35 @@ def _matched(shards: DataFrame, window: int) -> DataFrame:
     return map_batches(rows, run, "doc_id long, start int, n int")
 
 
-def _by_window(words: DataFrame, window: int) -> DataFrame:
-    """Segments of one window each, keyed by their words."""
+def _split(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """Pieces of shards that are too large, cut again by the minimizers of runs of ``gram`` words."""
 
     def make(batch: pa.RecordBatch):
-        got: list[list] = [[], [], [], [], []]
-        for i, start, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n", "words"))):
+        rows = []
+        for mini, doc, start, data in zip(*(batch.column(c).to_pylist() for c in ("mini", "doc_id", "start", "words"))):
             h = np.frombuffer(data, np.uint64)
-            lo = np.arange(n)
-            for x, y in zip(got, (gram_hashes(h, window), range_hashes(h, lo, lo + window), np.full(n, i, np.int64), start + lo, np.ones(n, np.int64))):
-                x.append(y)
-        return _folded(*map(np.concatenate, got))
+            fine, _, lo, n = segments(h, window, gram)
+            fine = signed(mixed(fine + np.uint64(mini & (1 << 64) - 1)))
+            rows += [(m, doc, start + a, k, h[a : a + k + window - 1].tobytes()) for m, a, k in zip(fine.tolist(), lo.tolist(), n.tolist())]
+        return dict(zip(("mini", "doc_id", "start", "n", "words"), zip(*rows))) if rows else None
 
-    return per_batch(words, make, SEGMENT)
+    return per_batch(pieces, make, WORDS)
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, n): windows start .. start + n - 1 of the document start earlier in the corpus."""
     docs = docs.where("doc_id is not null")
     marks = stored(_linked(_segments(docs, window)), "marks")
-    firsts = marks.where("not whole")
-    large = firsts.groupBy("mini").count().where(F.col("count") > SHARD).select("mini", F.lit(True).alias("large"))
-    words = stored(_with_words(docs, firsts.select("mini", "doc_id", "start", "n"), window).join(large, "mini", "left"), "shards")
-    matched = _matched(words.where("large is null").drop("large"), window)
-    windows = _linked(_by_window(words.where("large").drop("large", "mini"), window)).where("whole")
-    keep = ["doc_id", "start", "n"]
-    return marks.where("whole").select(*keep).union(matched.select(*keep)).union(windows.select(*keep))
+    pieces = _with_words(docs, marks.where("not whole").select("mini", "doc_id", "start", "n"), window)
+    found = marks.where("whole").select("doc_id", "start", "n")
+    counts = marks.where("not whole")
+    for gram in run_lengths(window)[1:]:
+        large = counts.groupBy("mini").count().where(F.col("count") > SHARD).select("mini", F.lit(True).alias("large"))
+        placed = stored(pieces.join(large, "mini", "left"), "shards")
+        found = found.union(_matched(placed.where("large is null").drop("large"), window))
+        pieces = counts = stored(_split(placed.where("large").drop("large"), window, gram), "split")
+    # Here a shard's windows are all equal, or there was one level only.
+    return found.union(_matched(pieces, window))
 
 
 def covered(n_words: int, marks: list[dict], window: int) -> np.ndarray:

@@ -317,7 +317,7 @@ def plain_spaces(rows):
     return [(i, None if t is None else " ".join(t.encode().decode("utf-8").replace("　", "_").split())) for i, t in rows]
 
 
-@pytest.mark.parametrize("window,shard", [(20, 2000), (5, 2000), (2, 2000), (20, 1)])
+@pytest.mark.parametrize("window,shard", [(20, 2000), (5, 2000), (2, 2000), (20, 1), (5, 1), (2, 1)])
 def test_repeat_digests(spark, odd_texts, monkeypatch, window, shard):
     monkeypatch.setattr(substring, "SHARD", shard)
     rows = plain_spaces(odd_texts)
