@@ -2,8 +2,8 @@
 
 1. Every document's set of shingle hashes is made once for its size and a 128-bit signature;
    documents with equal sets form a class, of which the least id stands for all.
-2. A table of SLOTS counters holds how often shingles fall into each slot, over all documents; its
-   size is fixed.  It gives each shingle a level: 0, or how far its slot is above the usual.
+2. A table of counters holds how often shingles fall into each slot, over all documents.  It has
+   more slots for larger inputs (by the plan's estimate of bytes), within fixed bounds.  It gives each shingle a level: 0, or how far its slot is above the usual.
    Shingles are ordered by level and then by hash, so what very many documents share comes last.
    Any order is right, a good one is fast.
 3. Blocking.  Let a and b be the shingles of x and y that the other lacks.  Among the first
@@ -21,13 +21,18 @@
    document by estimated cost: the postings its prefix meets, and for verification the bound
    postings / l on documents met l times.  Pairs already in one component need no check.  Only
    links that join two components are emitted, never all pairs of a group.
-5. Communities larger than BLOCK_ROWS sets or BLOCK_SHINGLES shingles are split by band and then
-   into blocks; every pair of blocks is a group of its own.
+5. Communities larger than BLOCK_ROWS sets or BLOCK_SHINGLES shingles are joined in rounds.  First in blocks
+   by hash, so that a set meets its block only: near copies are one class of links then.  The
+   least of each class stands for it while classes are joined in blocks anew, as long as that leaves fewer of them.  What may
+   still be missing are links between sets of two classes, and such sets share a token of their prefixes (in the
+   order of 2): only sets with a token that two classes hold go on, and of those the sets outside of the largest class
+   meet all others, block by block.  The work is (sets outside of the largest class) x (all that are left) / block, not the square of the community.
 
 Shingles are taken as equal if their 64-bit hashes are.  Defined results: a null text is empty; a
 document without words has an empty set and no links; with fewer words than a shingle has, its
-whole sequence is the one shingle; rows repeated with one id are documents of their own; a row
-without an id has only the links of equal sets.  Extra columns are ignored.
+whole sequence is the one shingle.  Rows repeated with one id, and rows without an id, are documents of their own: where there
+are such rows all rows are numbered and linked by number; a component's id is the least id in it, null if it has none.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +49,10 @@ from pyspark.sql import functions as F
 from .common import fresh, gram_hashes, id_text, map_batches, mixed, packed_texts, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
 from .components import components
 
-SLOTS = 1 << 20
+#: Bits of the number of slots: least and most.  Of the most, a task holds 64 MB, the driver as much, and 16 MB are broadcast.
+SLOT_BITS = 20, 24
+#: Bytes of input for a slot, within those bounds.
+SLOT_BYTES = 4096
 PIECES = 16
 RUN, SMALL = 3, 20
 BLOCK_ROWS = 2000
@@ -66,18 +74,25 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(44)).astype(np.int64)
+def _slot(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _profiles(docs: DataFrame, k: int) -> DataFrame:
+def slot_bits(docs: DataFrame) -> int:
+    """By the optimizer's estimate of the input's bytes; any number is right."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((size // SLOT_BYTES).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+
+
+def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Rows of documents (doc_id, n, sig), and each task's counters in PIECES rows (piece, counts)."""
 
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in (b for b in batches if b.num_rows):
             sets = [shingle_set(t, k) for t in raw_texts(batch.column("text"))]
-            total += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+            at, many = np.unique(_slot(np.concatenate(sets), bits), return_counts=True)
+            total[at] += many.astype(np.uint32)
             n = len(sets)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(list(map(len, sets)), pa.int64()), "sig": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "piece": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
         for i, part in enumerate(np.split(total, PIECES)):
@@ -97,27 +112,27 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data[2:], data[:2].decode()).astype(np.int64)
 
 
-def _levels(counters: DataFrame) -> np.ndarray:
-    """The level of each slot.  The counters are summed in two steps; PIECES rows come to the driver, 8 MB in all."""
+def _levels(counters: DataFrame, bits: int) -> np.ndarray:
+    """The level of each slot.  The counters are summed in two steps; PIECES rows come to the driver."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS // PIECES, np.int64)
+        total = np.zeros((1 << bits) // PIECES, np.int64)
         for data in pdf["counts"]:
             total += _wide(data)
         return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "counts": [_narrow(total)]})
 
     some = counters.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(32)))
     first = some.groupBy("piece", "part").applyInPandas(add, "piece int, counts binary")
-    total = np.zeros((PIECES, SLOTS // PIECES), np.int64)
+    total = np.zeros((PIECES, (1 << bits) // PIECES), np.int64)
     for piece, data in first.groupBy("piece").applyInPandas(add, "piece int, counts binary").collect():
         total[piece] = _wide(bytes(data))
     usual = max(4.0, 2 * total.mean() + 5 * math.sqrt(total.mean()))
     return np.floor(np.log2(np.maximum(total.ravel() / usual, 1))).astype(np.uint8)
 
 
-def _band(n, percent: int):
-    """Bands of set sizes, in which sizes grow by the factor that like sets may differ in; as a column."""
-    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(percent / 100 * 0.999))).cast("long")
+def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Level and hash in one number, which stands for the shingle from here on: its last bits can go, as keys may agree by chance."""
+    return np.sort(levels[_slot(s, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6))
 
 
 def block_keys(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
@@ -125,8 +140,7 @@ def block_keys(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     n, run = len(s), RUN if percent >= 75 else 1
     if not n:
         return np.empty(0, np.uint64)
-    # Level and hash in one number, which stands for the shingle from here on: its last bits can go, as keys may agree by chance.
-    ordered = np.sort(levels[_slot(s)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6))
+    ordered = _ordered(s, levels)
     out = []
     if n * percent <= 100 * SMALL or run == 1:
         out.append(mixed(ordered[: n - _needed(n, percent) + 1]))
@@ -138,7 +152,7 @@ def block_keys(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 def _block_links(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(a, b): documents with a key in common, as links to its least holder."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels)  # a byte for each slot: 1 MB
+    sent = docs.sparkSession.sparkContext.broadcast(levels)  # a byte for each slot: 16 MB at most
 
     def make(batch: pa.RecordBatch):
         keys = [block_keys(shingle_set(t, k), sent.value, percent) for t in raw_texts(batch.column("text"))]
@@ -199,10 +213,10 @@ class Forest:
         return a != b
 
 
-def adaptive_links(sets: list[np.ndarray], percent: int, visitor: np.ndarray, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+def adaptive_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links among sets that join two components, by adaptive multi-match prefixes.
 
-    Pairs of two visitors, and where blocks are given pairs within one block, are left to other groups."""
+    Where sides are given, pairs of one side are left to other groups; sets of one label are joined already."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     alive = [i for i in range(n) if size[i]]
@@ -230,6 +244,10 @@ def adaptive_links(sets: list[np.ndarray], percent: int, visitor: np.ndarray, bl
             if best is None or cost < best:
                 best, match[i] = cost, ell
     forest, links = Forest(n), []
+    if label is not None:
+        first = {}
+        for i, x in enumerate(label.tolist()):
+            forest.join(first.setdefault(x, i), i)
     postings: dict[int, list[int]] = {}
     mark = np.zeros(len(tokens), bool)
     order = sorted(alive, key=lambda i: (size[i], i))
@@ -240,10 +258,8 @@ def adaptive_links(sets: list[np.ndarray], percent: int, visitor: np.ndarray, bl
         if lists:
             met, count = np.unique(np.concatenate([np.array(v, np.int64) for v in lists]), return_counts=True)
             good = (count >= np.minimum(match[met], match[x])) & (100 * size[met] >= percent * size[x])
-            if visitor[x]:
-                good &= ~visitor[met]
-            if block is not None:
-                good &= block[met] != block[x]
+            if side is not None:
+                good &= side[met] != side[x]
             met, count = met[good], count[good]
             if len(met):
                 mark[ranked[x]] = True
@@ -259,61 +275,161 @@ def adaptive_links(sets: list[np.ndarray], percent: int, visitor: np.ndarray, bl
     return links
 
 
-def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+def _join(groups: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """groups (keys, doc_id, shingles, and maybe side, label) -> links (a, b) within each group."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        ids, sets = pdf["doc_id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        side, label = (pdf[c].to_numpy() if c in pdf else None for c in ("side", "label"))
+        links = adaptive_links(sets, percent, side, label)
+        return pd.DataFrame({"a": ids[[x for x, _ in links]], "b": ids[[y for _, y in links]]}, dtype="int64")
+
+    return groups.groupBy(*keys).applyInPandas(join, "a long, b long")
+
+
+def _blocks(rows, shingles):
+    return F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("long")
+
+
+def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """members (doc_id, n, component) -> links (a, b) that connect what is alike within each component."""
-    small = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
-    placed = members.join(small, "component")
-    fits = (F.col("rows") <= BLOCK_ROWS) & (F.col("total") <= BLOCK_SHINGLES)
-    # Like sets lie in the same band of sizes or in adjacent ones.
-    band = _band(F.col("n"), percent)
-    plain = placed.where(fits).select("doc_id", "component", F.lit(-1).cast("long").alias("band"), F.lit(1).cast("long").alias("blocks"), F.lit(0).alias("home"))
-    large = placed.where(~fits).select("doc_id", "n", "component", F.explode(F.array(F.struct(band.alias("band"), F.lit(-1).alias("home")), F.struct((band - 1).alias("band"), F.lit(1).alias("home")))).alias("g")).select("doc_id", "n", "component", "g.band", "g.home")
-    per = large.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    split = large.join(per, ["component", "band"]).select("doc_id", "component", "band", "blocks", "home")
-    groups = plain.union(split).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    keys = groups.groupBy("doc_id").agg(F.collect_set(F.struct("component", "band", "block", "blocks", "home")).alias("keys"))
+    sizes = members.groupBy("component").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    placed = members.join(sizes, "component")
+
+    def make(batch: pa.RecordBatch):
+        kept = {c: batch.column(c) for c in ("doc_id", "n", "component", "blocks")}
+        return kept | {"shingles": [shingle_set(t, k).tobytes() for t in unpacked(batch.column("packed"))]}
+
+    texts = packed_texts(docs).join(placed, "doc_id").select("doc_id", "n", "component", "blocks", "packed")
+    sets = per_batch(texts, make, "doc_id long, n long, component long, blocks long, shingles binary")
+    if not sizes.where("blocks > 1").limit(1).count():
+        return _join(sets, percent, "component")
+    sets = stored(sets, "sets")
+    found = _join(sets.where("blocks = 1"), percent, "component")
+    return found.union(_large_links(sets.where("blocks > 1"), percent, levels))
+
+
+ROUNDS = 8
+
+
+def _large_links(sets: DataFrame, percent: int, levels: np.ndarray) -> DataFrame:
+    """sets (doc_id, n, component, shingles) of large communities -> links (a, b)."""
+    links = left = None
+    for seed in range(ROUNDS):
+        # All sets, then the least of each class.
+        chosen = sets if links is None else sets.join(_classes(sets, links).where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
+        count = chosen.groupBy("component").agg(F.count("*").alias("rows"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        now, most = count.agg(F.sum("rows"), F.max("blocks")).first()
+        if left is not None and now > 0.9 * left:
+            break
+        left = now
+        dealt = chosen.drop("blocks").join(count.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
+        more = _join(dealt, percent, "component", "block")
+        links = stored(more if links is None else links.union(more), "links")
+        if most == 1:
+            break
+    return links.union(_open_links(sets, _classes(sets, links), percent, levels))
+
+
+def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, component, label: the least id that links lead to."""
+    found = components(links).toDF("id", "label")
+    return sets.select("doc_id", "component").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "component", F.coalesce("label", "doc_id").alias("label"))
+
+
+def _open_links(sets: DataFrame, classes: DataFrame, percent: int, levels: np.ndarray) -> DataFrame:
+    """Links between sets of different classes (doc_id, component, label)."""
+    sent = sets.sparkSession.sparkContext.broadcast(levels)
 
     def make(batch: pa.RecordBatch):
-        return {"doc_id": batch.column("doc_id"), "keys": batch.column("keys"), "shingles": [shingle_set(t, k).tobytes() for t in unpacked(batch.column("packed"))]}
+        prefixes = []
+        for x in batch.column("shingles").to_pylist():
+            s = np.frombuffer(x, np.uint64)
+            prefixes.append(_ordered(s, sent.value)[: len(s) - _needed(len(s), percent) + 1])
+        many = list(map(len, prefixes))
+        doc, component, label = (np.repeat(batch.column(c).to_numpy(), many) for c in ("doc_id", "component", "label"))
+        return {"component": component, "token": signed(np.concatenate(prefixes)), "label": label, "doc_id": doc}
+
+    labelled = stored(sets.select("doc_id", "n", "shingles").join(classes, "doc_id"), "labelled")
+    tokens = stored(per_batch(labelled, make, "component long, token long, label long, doc_id long"), "tokens")
+    shared = tokens.groupBy("component", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("component", "token")
+    rest = stored(labelled.join(tokens.join(shared, ["component", "token"]).select("doc_id").distinct(), "doc_id"), "open")
+    # The largest class of a community against the others; its own sets are joined already.
+    most = rest.groupBy("component", "label").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    parted = rest.join(most, "component").withColumn("out", F.col("label") != F.col("main"))
+    sizes = parted.groupBy("component").agg(*[F.coalesce(_blocks(F.sum(F.when(test, 1)), F.sum(F.when(test, F.col("n")))), F.lit(0).cast("long")).alias(name) for name, test in (("outer", F.col("out")), ("inner", ~F.col("out")))])
+    dealt = parted.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(ROUNDS)), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))))
+    # Groups: outer block i with outer block j >= i, and with each inner block j.
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    own = F.col("own")
+    outer = F.transform(upto(F.col("outer")), lambda j: F.struct(F.lit(True).alias("among"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    inner = F.transform(upto(F.col("inner")), lambda j: F.struct(F.lit(False).alias("among"), own.alias("i"), j.alias("j")))
+    visited = F.transform(upto(F.col("outer")), lambda i: F.struct(F.lit(False).alias("among"), i.alias("i"), own.alias("j")))
+    groups = dealt.withColumn("group", F.explode(F.when(F.col("out"), F.concat(outer, inner)).otherwise(visited)))
+    # Within one outer block all pairs count, else those across.
+    side = F.when(~F.col("group.among"), F.col("out").cast("long")).when(F.col("group.i") < F.col("group.j"), own).otherwise(F.col("doc_id"))
+    return _join(groups.select("component", "group.among", "group.i", "group.j", "doc_id", "shingles", "label", side.alias("side")), percent, "component", "among", "i", "j")
+
+
+def _components(docs: DataFrame, k: int, percent: int, profiles: DataFrame, bits: int) -> DataFrame:
+    """doc_id, n, component of documents with ids that are there and different."""
+    levels = _levels(profiles.where("piece is not null").select("piece", "counts"), bits)
+    base = profiles.where("piece is null").select("doc_id", "n", "sig")
+    classes = stored(base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size")), "classes")
+    community = components(_block_links(docs, k, percent, levels))
+    members = stored(classes.join(community, F.col("rep") == F.col("id")).select(F.col("rep").alias("doc_id"), F.col("size").alias("n"), "component"), "members")
+    found = components(_community_links(docs, members, k, percent, levels))
+    classed = base.join(classes.drop("size"), "sig", "left").join(found, F.col("rep") == F.col("id"), "left")
+    return classed.select("doc_id", "n", F.coalesce("component", "rep", "doc_id").alias("component"))
 
-    texts = per_batch(packed_texts(docs).join(keys, "doc_id").select("doc_id", "keys", "packed"), make, "doc_id long, keys array<struct<component:long,band:long,block:long,blocks:long,home:int>>, shingles binary")
-    one = texts.select("doc_id", "shingles", F.explode("keys").alias("key")).select("doc_id", "shingles", "key.*")
-    # A block meets every block: pairs (i, j), i <= j.
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = one.withColumn("pair", F.explode(pairs)).select("component", "band", "pair.i", "pair.j", "doc_id", "block", "home", "shingles")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "home", "shingles"]).sort_values(["doc_id"], kind="stable")
-        ids = pdf["doc_id"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        links = adaptive_links(sets, percent, pdf["home"].to_numpy() > 0, pdf["block"].to_numpy() if across else None)
-        return pd.DataFrame({"a": ids[[x for x, _ in links]], "b": ids[[y for _, y in links]]}, dtype="int64")
+def _profiled(docs: DataFrame, k: int) -> tuple[DataFrame, int, bool]:
+    """Profiles, slot bits, and whether every row has an id of its own."""
+    bits = slot_bits(docs)
+    profiles = stored(_profiles(docs, k, bits), "profiles")
+    ids = profiles.where("piece is null")
+    odd = ids.where("doc_id is null").limit(1).count() or ids.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return profiles, bits, not odd
 
-    return dealt.groupBy("component", "band", "i", "j").applyInPandas(join, "a long, b long")
+
+def _numbered(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, str]:
+    """``df`` with a number for each row, and (row, doc_id, n, component) by these numbers."""
+    row = fresh(df, "row")
+    rows = stored(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    docs = id_text(rows, id_col=row)
+    profiles, bits, _ = _profiled(docs, k)
+    found = _components(docs, k, percent, profiles, bits).select(F.col("doc_id").alias("row"), "n", "component")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows, found.join(ids, "row"), row
 
 
 def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, for every document."""
     docs = id_text(df)
-    profiles = stored(_profiles(docs, k), "profiles")
-    levels = _levels(profiles.where("piece is not null").select("piece", "counts"))
-    base = profiles.where("piece is null").select("doc_id", "n", "sig")
-    classes = stored(base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size")), "classes")
-    named = docs.where("doc_id is not null")
-    community = components(_block_links(named, k, percent, levels))
-    members = stored(classes.join(community, F.col("rep") == F.col("id")).select(F.col("rep").alias("doc_id"), F.col("size").alias("n"), "component"), "members")
-    found = components(_community_links(named, members, k, percent))
-    classed = base.join(classes.drop("size"), "sig", "left").join(found, F.col("rep") == F.col("id"), "left")
-    return classed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    profiles, bits, plain = _profiled(docs, k)
+    if plain:
+        return _components(docs, k, percent, profiles, bits).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    _, found, _ = _numbered(df.select("doc_id", "text"), k, percent)
+    found = stored(found, "numbered")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose id is the least of their component, with all their columns; rows without an id stay."""
-    kept = near_components(df, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    name = fresh(df, "kept")
-    kept = kept.withColumnRenamed("kept", name)
-    return df.join(kept, df["doc_id"].cast("long") == kept[name], "left_semi").dropDuplicates(["doc_id", "text"]).union(df.where("doc_id is null"))
+    """One row of ``df`` for each component, that of its least id, with all its columns."""
+    docs = id_text(df)
+    profiles, bits, plain = _profiled(docs, k)
+    if plain:
+        name = fresh(df, "kept")
+        kept = _components(docs, k, percent, profiles, bits).where("doc_id = component").select(F.col("doc_id").alias(name))
+        return df.join(kept, df["doc_id"].cast("long") == kept[name], "left_semi")
+    rows, found, row = _numbered(df, k, percent)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+    kept = first.select(F.col("least.row").alias(row))
+    chosen = rows.join(kept, row, "left_semi").select(*df.columns)
+    # Rows without words are linked with nothing; those of one id and text are still one.
+    return chosen.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(chosen.where("doc_id is null"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,38 @@ def test_near_components_in_small_blocks(odd_docs, odd_texts, monkeypatch):
     assert got == brute_components(odd_texts, 3, 80)
 
 
+@pytest.mark.parametrize("rows", [3, 20])
+def test_large_communities(spark, monkeypatch, rows):
+    """Near copies of a few texts that share a passage, as one community dealt in blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    rng = random.Random(rows)
+    passage, bases = words(rng, 60), [words(rng, 60) for _ in range(4)]
+    texts = []
+    for i in range(150):
+        w = (passage + " " + bases[i % 4 if i % 7 else 0]).split()
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 8, 12])):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append((i, " ".join(w)))
+    members = spark.createDataFrame([(i, len(jaccard.shingle_set(t.encode(), 3)), 0) for i, t in texts], "doc_id long, n long, component long")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    levels = np.zeros(1 << jaccard.SLOT_BITS[0], np.uint8)
+    for percent in (60, 80, 90):
+        forest = jaccard.Forest(150)
+        for r in jaccard._community_links(docs, members, 3, percent, levels).collect():
+            forest.join(r["a"], r["b"])
+        assert {i: forest.find(i) for i, _ in texts} == {i: c for i, (_, c) in brute_components(texts, 3, percent).items()}
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    a, b = "one two three four five six seven eight", "red green blue black white brown pink grey"
+    rows = [(5, a), (5, b), (3, b + " x"), (None, a), (None, "q r s t u v"), (9, a), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.near_components(docs, 3, 80).collect())
+    assert got == sorted([("5", 6, "5"), ("5", 6, "3"), ("3", 7, "3"), ("None", 6, "5"), ("None", 4, "None"), ("9", 6, "5"), ("7", 0, "7"), ("7", 0, "7")])
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in jaccard.one_of_each(docs, 3, 80).collect())
+    assert kept == sorted([("5", a), ("3", b + " x"), ("None", "q r s t u v"), ("7", "None")])
+
+
 def test_one_of_each(odd_docs, odd_texts, no_docs, spark):
     want = {i for i, (_, c) in brute_components(odd_texts, 5, 80).items() if c == i}
     kept = jaccard.one_of_each(odd_docs, 5, 80)
@@ -243,7 +275,7 @@ def test_adaptive_links_find_every_component():
                 s.discard(rng.choice(base))
                 s.add(rng.getrandbits(60))
             sets.append(np.array(sorted(s), np.uint64))
-        links = jaccard.adaptive_links(sets, percent, np.zeros(80, bool))
+        links = jaccard.adaptive_links(sets, percent)
         forest, want = jaccard.Forest(80), jaccard.Forest(80)
         for a, b in links:
             forest.join(a, b)
@@ -257,7 +289,7 @@ def test_adaptive_links_find_every_component():
 
 def test_like_sets_share_a_block_key():
     rng = random.Random(9)
-    levels = np.array([rng.choice([0, 0, 0, 1, 5]) for _ in range(jaccard.SLOTS)], np.uint8)
+    levels = np.array([rng.choice([0, 0, 0, 1, 5]) for _ in range(1 << jaccard.SLOT_BITS[0])], np.uint8)
     for percent in (75, 80, 90, 95):
         for _ in range(400):
             n = rng.choice([3, 8, 15, 20, 21, 24, 30, 60, 200])
