@@ -313,33 +313,43 @@ def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int,
 ROUNDS = 8
 
 
+def _labels(groups: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """groups (keys, doc_id, shingles) -> doc_id, label: the least id that links within the group lead to."""
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        ids, forest = pdf["doc_id"].to_numpy(), Forest(len(pdf))
+        for a, b in adaptive_links([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], percent):
+            forest.join(a, b)
+        return pd.DataFrame({"doc_id": ids, "label": ids[[forest.find(i) for i in range(len(ids))]]}, dtype="int64")
+
+    return groups.groupBy(*keys).applyInPandas(label, "doc_id long, label long")
+
+
 def _large_links(sets: DataFrame, percent: int, levels: np.ndarray) -> DataFrame:
     """sets (doc_id, n, component, shingles) of large communities -> links (a, b)."""
-    links = left = None
+    labels = left = None
+    chosen = sets
     for seed in range(ROUNDS):
-        # All sets, then the least of each class.
-        chosen = sets if links is None else sets.join(_classes(sets, links).where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
         count = chosen.groupBy("component").agg(F.count("*").alias("rows"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
         now, most = count.agg(F.sum("rows"), F.max("blocks")).first()
         if left is not None and now > 0.9 * left:
             break
         left = now
         dealt = chosen.drop("blocks").join(count.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
-        more = _join(dealt, percent, "component", "block")
-        links = stored(more if links is None else links.union(more), "links")
+        found = stored(_labels(dealt, percent, "component", "block"), "labels")
+        # A set's label is its class's, and that of the class's least set in this round.
+        new = found.toDF("old", "new")
+        labels = found if labels is None else stored(labels.join(new, F.col("label") == F.col("old"), "left").select("doc_id", F.coalesce("new", "label").alias("label")), "labels")
         if most == 1:
             break
-    return links.union(_open_links(sets, _classes(sets, links), percent, levels))
-
-
-def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, component, label: the least id that links lead to."""
-    found = components(links).toDF("id", "label")
-    return sets.select("doc_id", "component").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "component", F.coalesce("label", "doc_id").alias("label"))
+        chosen = sets.join(found.where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
+    links = labels.where("doc_id <> label").toDF("a", "b")
+    return links.union(_open_links(sets, labels, percent, levels))
 
 
-def _open_links(sets: DataFrame, classes: DataFrame, percent: int, levels: np.ndarray) -> DataFrame:
-    """Links between sets of different classes (doc_id, component, label)."""
+def _open_links(sets: DataFrame, labels: DataFrame, percent: int, levels: np.ndarray) -> DataFrame:
+    """Links between sets of different labels (doc_id, label)."""
     sent = sets.sparkSession.sparkContext.broadcast(levels)
 
     def make(batch: pa.RecordBatch):
@@ -351,9 +361,12 @@ def _open_links(sets: DataFrame, classes: DataFrame, percent: int, levels: np.nd
         doc, component, label = (np.repeat(batch.column(c).to_numpy(), many) for c in ("doc_id", "component", "label"))
         return {"component": component, "token": signed(np.concatenate(prefixes)), "label": label, "doc_id": doc}
 
-    labelled = stored(sets.select("doc_id", "n", "shingles").join(classes, "doc_id"), "labelled")
+    labelled = stored(sets.select("doc_id", "n", "component", "shingles").join(labels, "doc_id"), "labelled")
     tokens = stored(per_batch(labelled, make, "component long, token long, label long, doc_id long"), "tokens")
     shared = tokens.groupBy("component", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("component", "token")
+    shared = stored(shared, "shared")
+    if not shared.limit(1).count():
+        return labels.limit(0).toDF("a", "b")
     rest = stored(labelled.join(tokens.join(shared, ["component", "token"]).select("doc_id").distinct(), "doc_id"), "open")
     # The largest class of a community against the others; its own sets are joined already.
     most = rest.groupBy("component", "label").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("label", F.struct("m", "label")).alias("main"))

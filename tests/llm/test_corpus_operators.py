@@ -42,6 +42,19 @@ def test_tokens_of_strange_characters():
         assert ids == np.array(tok.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_of_other_files(file):
+    """A file that prepares texts in another way goes its own way."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(file)
+    exact = Tokenizer.from_file(path)
+    texts = ["Hello World, this is 2024 text.", "", " two  spaces\n", "don't", "ÄÖ 12a"]
+    got = list(packing.tokens(path).ids([t.encode() for t in texts]))
+    assert got == [np.array(exact.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
