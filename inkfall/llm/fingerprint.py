@@ -6,9 +6,9 @@ bucket of equal digests the canonical bytes themselves are compared; should two
 differ, all but the least get a suffix that tells them apart, so fingerprints are equal exactly
 where canonical texts are.
 
-Digests are counted first.  Those that occur more than once mark their slots in a bitmap of fixed
-size, and only texts of marked slots go to the comparison (a full bitmap would let all pass, which
-costs but changes nothing).  It sees one row of a digest from each batch (copies are compared within
+Digests are counted first.  Those that occur more than once mark their slots in a bitmap that has SPARE slots for each of
+them, so that about one text in SPARE passes by chance, and only texts of marked slots go to the comparison.  Where they are too many for
+a bitmap of MOST_SLOTS (a broadcast of 16 MB), texts are joined with the repeated digests instead.  The comparison sees one row of a digest from each batch (copies are compared within
 the batch already), then streams over partitions sorted by digest; a group of any size takes no memory.
 
 Defined results: a null text is empty, and the empty text has a fingerprint like any other;
@@ -22,17 +22,18 @@ import hashlib
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, parts, per_batch, raw_texts, table
+from .common import id_text, map_batches, parts, per_batch, raw_texts, stored, table
 
-
-SLOTS = 1 << 20
+SPARE = 16
+MOST_SLOTS = 1 << 27
+#: Colliding texts that the driver holds; a 128-bit hash has none to speak of, so more mean that something is broken.
+CLASHES = 10_000
 
 
 def canonical(text: str) -> bytes:
@@ -57,37 +58,37 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return marked
 
 
-def _slot(key: bytes) -> int:
-    return int.from_bytes(key[:4], "little") % SLOTS
+def repeated_digests(docs: DataFrame) -> DataFrame:
+    """key, first (its first four bytes as a number) of the digests that occur more than once, as a table."""
 
+    def digests(batch: pa.RecordBatch):
+        keys = [bytes.fromhex(digest(canonical((t or b"").decode("utf-8")))) for t in raw_texts(batch.column("text"))]
+        return {"key": keys, "first": [_first(k) for k in keys]}
 
-def repeated_slots(docs: DataFrame) -> np.ndarray:
-    """Slots of the digests that occur more than once."""
+    counted = per_batch(docs.select("text"), digests, "key binary, first long").groupBy("key", "first").count()
+    return stored(counted.where("count > 1").select("key", "first"), "digests")
 
-    def digests(batch: pa.RecordBatch):
-        return {"key": [bytes.fromhex(digest(canonical((t or b"").decode("utf-8")))) for t in raw_texts(batch.column("text"))]}
 
-    def mark(batches):
-        bits = np.zeros(SLOTS, bool)
-        for batch in batches:
-            bits[[_slot(k) for k in batch.column("key").to_pylist()]] = True
-        if bits.any():
-            yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+def _first(key: bytes) -> int:
+    return int.from_bytes(key[:4], "little")
 
-    def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
 
-    often = per_batch(docs.select("text"), digests, "key binary").groupBy("key").count().where("count > 1").select("key")
-    maps = map_batches(often, mark, "bits binary").withColumn("part", F.pmod(F.xxhash64("bits"), F.lit(16)))
-    found = np.zeros(SLOTS // 8, np.uint8)
-    for (bits,) in maps.groupBy("part").applyInPandas(together, "bits binary").collect():  # 16 bitmaps at most
-        found |= np.frombuffer(bits, np.uint8)
-    return np.unpackbits(found).astype(bool)
+def slots_of(repeated: DataFrame, n: int) -> np.ndarray | None:
+    """The marked slots of a bitmap for n repeated digests, packed; None if they are too many for one."""
+    slots = 1 << max(16, (SPARE * n - 1).bit_length())
+    if slots > MOST_SLOTS:
+        return None
+    marked = np.zeros(slots, bool)
+    marked[repeated.select((F.col("first") % slots).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True  # MOST_SLOTS / SPARE rows at most
+    return np.packbits(marked, bitorder="little")
 
 
 def collisions(docs: DataFrame) -> DataFrame:
     """fingerprint, canon_sha256: canonical texts of buckets with different ones.  All but always empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(repeated_slots(docs))  # 1 MB
+    repeated = repeated_digests(docs)
+    n = repeated.count()
+    bits = slots_of(repeated, n)
+    sent = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def make(batch: pa.RecordBatch):
         seen: dict[tuple[str, bytes], bytes] = {}
@@ -95,7 +96,11 @@ def collisions(docs: DataFrame) -> DataFrame:
         for text in raw_texts(batch.column("text")):
             canon = canonical((text or b"").decode("utf-8"))
             key = digest(canon)
-            if sent.value[_slot(bytes.fromhex(key))] and (key, canon) not in seen:
+            if sent is not None:
+                at = _first(bytes.fromhex(key)) % (8 * len(sent.value))
+                if not sent.value[at >> 3] >> (at & 7) & 1:
+                    continue
+            if (key, canon) not in seen:
                 seen[key, canon] = squeeze.compress(canon)
         return {"key": [bytes.fromhex(k) for k, _ in seen], "canon": list(seen.values())}
 
@@ -115,8 +120,10 @@ def collisions(docs: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield _named([(key, x) for x in held])
 
-    rows = per_batch(docs.select("text"), make, "key binary, canon binary").repartition("key").sortWithinPartitions("key")
-    return map_batches(rows, compare, "fingerprint string, canon_sha256 string")
+    rows = per_batch(docs.select("text"), make, "key binary, canon binary")
+    if sent is None:
+        rows = rows.join(repeated.select("key"), "key", "left_semi")
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), compare, "fingerprint string, canon_sha256 string")
 
 
 def _named(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -126,7 +133,10 @@ def _named(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 def _clashing(docs: DataFrame) -> dict[tuple[str, str], str]:
     """Suffixes of colliding canonical texts; a 128-bit hash leaves none to speak of."""
     found: dict[str, list[str]] = {}
-    for row in collisions(docs).collect():
+    rows = collisions(docs).limit(CLASHES + 1).collect()
+    if len(rows) > CLASHES:
+        raise RuntimeError(f"more than {CLASHES} different texts share 128-bit digests")
+    for row in rows:
         found.setdefault(row["fingerprint"], []).append(row["canon_sha256"])
     return {(k, s): f"-{i}" for k, v in found.items() for i, s in enumerate(sorted(v)) if i}
 
