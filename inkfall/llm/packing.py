@@ -19,6 +19,7 @@ piece of one id; repeated rows are separate documents.  Ranks follow (doc_id, st
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,22 +31,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, per_batch, raw_texts, stored, table
+from .common import id_text, parts, per_batch, raw_texts, stored, table
 
 CAPACITY = 2048
 END = 1
-#: Pieces of one length that are ranked in one task, about.
-RANKED = 200_000
+#: Pieces of one length that are ranked in one task, about: a task's share of all pieces, but at least and at most so many.
+LEAST_RANKED, RANKED = 1_000, 200_000
+
+#: How a file must prepare texts for ``Tokens`` to take them apart into runs.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 class Tokens:
-    """Ids of texts by a tokenizers file that ignores case and white space and takes runs of letters,
-    single digits and runs of other characters as pretokens.
+    """Ids of texts by a tokenizers file.
 
-    In a text of ASCII and Latin letters (precomposed, without apostrophes, control characters or
+    If the file ignores case and white space and takes runs of letters,
+    single digits and runs of other characters as pretokens (``wordwise``), then
+    in a text of ASCII and Latin letters (precomposed, without apostrophes, control characters or
     special strings) a run of letters and digits and a run of punctuation are pretokens apart, so
     its ids are those of its runs in lower case; runs seen before come from a bounded cache.  All
-    other texts go through the tokenizer whole."""
+    other texts, and all texts of other files, go through the tokenizer whole."""
 
     OTHER = re.compile("[^\t-\r -&(-~\xc0-\xd6\xd8-\xf6\xf8-\u024f]|<\\||\u0130")
     RUNS = re.compile(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
@@ -57,6 +64,13 @@ class Tokens:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.by_runs = self.wordwise(json.loads(self.tok.to_str()))
+
+    @staticmethod
+    def wordwise(file: dict) -> bool:
+        plain = not any(file[c] for c in ("post_processor", "truncation", "padding")) and file["model"]["type"] == "BPE" and not file["model"]["dropout"]
+        special = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in file["added_tokens"])
+        return plain and special and file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,7 +81,7 @@ class Tokens:
             runs, whole = [], {}
             for i, text in enumerate(texts[lo : lo + at_once]):
                 text = (text or b"").decode("utf-8")
-                if self.OTHER.search(text):
+                if not self.by_runs or self.OTHER.search(text):
                     whole[i] = text
                     runs.append([])
                 else:
@@ -167,10 +181,11 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {size: np.array(rows, np.int64) for size, rows in out.items()}
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``rank``: 0, 1, ... within each length, by salt and then (doc_id, start)."""
+def ranked(pieces: DataFrame, total: int) -> DataFrame:
+    """``pieces`` (``total`` rows) with ``rank``: 0, 1, ... within each length, by salt and then (doc_id, start)."""
+    share = min(RANKED, max(LEAST_RANKED, -(-total // parts(pieces.sparkSession))))
     counts = pieces.groupBy("length").agg(F.count("*").alias("n"))
-    salts = counts.select("length", F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)).alias("salts"))
+    salts = counts.select("length", F.greatest(F.lit(1), F.ceil(F.col("n") / share)).alias("salts"))
     # The broadcast table has a row for each length: no more than the capacity.
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts"))).drop("salts")
     per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -204,7 +219,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         kept = {c: batch.column(c) for c in ("doc_id", "start", "ids_crc32", "doc_tokens")}
         return kept | {"length": length.astype(np.int64), "sequence_id": seq, "offset": off}
 
-    return per_batch(ranked(pieces), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return per_batch(ranked(pieces, int(counts.sum())), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:
