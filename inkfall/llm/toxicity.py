@@ -5,8 +5,8 @@ hashed to 2**BITS places.  Words are lower-cased and stripped of ASCII punctuati
 keeps for each place a sum of gradients and of their squares: frequent features get small steps,
 rare ones large steps, and the L1 threshold leaves few weights that are not 0.  Those are broadcast.
 
-The fit takes a bounded sample: the TRAIN_ROWS labelled rows (training part) that come first by a
-hash of the id.  Everything else covers all documents.
+The fit takes a bounded sample: the TRAIN_ROWS labelled ids (training part) that come first by a
+hash of the id, each with one text: of several rows with one id the least.  Everything else covers all documents.
 
 Defined results: a null or empty text has no features and scores as the bias says; without any
 labelled row all scores are 0.5; rows repeated with one id are scored alike; of several labels of
@@ -83,8 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int =
     def make(batch: pa.RecordBatch):
         return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "at": [features(t, bits) for t in raw_texts(batch.column("text"))]}
 
-    # The sample has at most ``rows`` ids, whatever the input.
-    coded = per_batch(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), make, "doc_id long, y int, at array<int>")
+    # The sample has at most ``rows`` ids and as many texts, whatever the input.
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    coded = per_batch(sample, make, "doc_id long, y int, at array<int>")
 
     def train(batches):
         model, kept = Ftrl(bits), []
