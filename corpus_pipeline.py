@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfall.llm.common import id_text, stored, table
+from inkfall.llm.common import drop_stored, id_text, stored, stored_so_far, table
 from inkfall.llm.jaccard import one_of_each
 from inkfall.llm.mixing import mixed
 from inkfall.llm.packing import default_tokenizer, pack, token_pieces
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other.  Once a stage's rows are written, its own tables and its predecessor's rows go."""
+    docs, before = table(spark, sf_dir, "documents"), stored_so_far()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_stored(spark, before, but_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,13 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STORED: list[str] = []
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables that ``stored`` has written in this process; frames made of them end with it."""
-    n = len(_STORED)
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+def stored_so_far() -> int:
+    """How many tables ``stored`` has written in this process and that are still there."""
+    return len(_STORED)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Delete the tables that ``stored`` has written in this process, or those of them after the first ``since`` and before
+    the last ``but_last``; frames made of them end with it."""
+    gone = _STORED[since : len(_STORED) - but_last]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        _STORED.remove(name)
+    return len(gone)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

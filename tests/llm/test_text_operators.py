@@ -115,6 +115,42 @@ def test_equal_digests_are_compared_by_bytes(spark, monkeypatch):
     assert got[0] == got[1] == got[5] != got[2] and got[3] == got[4] and got[0][:32] == got[2][:32]
 
 
+@pytest.mark.parametrize("most", [1 << 27, 1 << 10])
+def test_many_repeated_digests(spark, monkeypatch, most):
+    """By a bitmap, or by a join where they are too many for one."""
+    monkeypatch.setattr(fingerprint, "MOST_SLOTS", most)
+    docs = spark.createDataFrame([(i, f"Text {i % 700}") for i in range(1000)], "doc_id long, text string").repartition(3)
+    repeated = fingerprint.repeated_digests(docs)
+    assert repeated.count() == 300 and (fingerprint.slots_of(repeated, 300) is None) == (most < 1 << 16)
+    got = dict(fingerprint.fingerprints(docs).collect())
+    assert all((got[i] == got[j]) == (i % 700 == j % 700) for i in range(0, 1000, 37) for j in range(1000))
+
+
+def test_scores_by_the_definition(spark, trained):
+    """Scores of texts by their weights, feature by feature."""
+    _, _, (at, w, bias) = trained
+    weight = dict(zip(at.tolist(), w.tolist()))
+    texts = ["", "One two, three!", "the THE the", "é È x", None, "a b c d e f g"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    texts += [r["text"] for r in docs.collect()]
+    got = dict(toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trained[2]).collect())
+    for i, text in enumerate(texts):
+        places = set(toxicity.features((text or "").encode()).tolist())
+        words = [x.strip(toxicity.PUNCTUATION.decode()).lower() for x in (text or "").split()]
+        grams = {(a,) for a in words} | set(zip(words, words[1:])) | {(a, None, b) for a, b in zip(words, words[2:])}
+        assert len(places) >= 0.99 * len(grams) and len(places) <= len(grams)
+        want = 1 / (1 + math.exp(-max(-35, min(35, bias + sum(weight.get(p, 0.0) for p in places)))))
+        assert got[i] == pytest.approx(want, abs=1e-5)
+
+
+def test_one_id_gives_one_row_to_the_fit(spark):
+    rows = [(1, "bad bad words"), (2, "fine words")] * 3
+    many = rows + [(1, "zz " + str(i)) for i in range(200)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, y int")
+    models = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows[:2], many)]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0], models[1]))
+
+
 def test_token_counts(odd_docs, odd_texts, no_docs):
     from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
