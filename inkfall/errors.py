@@ -8,16 +8,18 @@ class TemplateError(Exception):
 
 
 class TemplateSyntaxError(TemplateError):
-    """The template's text, declarations or types are wrong.  ``line`` counts from 1 in the whole source."""
+    """The template's text, declarations or types are wrong.  ``line`` counts from 1 in the whole source, or in the included ``file``."""
 
     kind = "syntax"
+    file: str | None = None
 
     def __init__(self, message: str, line: int | None = None, snippet: str | None = None):
         self.message, self.line, self.snippet = message, line, snippet
         super().__init__(message)
 
     def __str__(self) -> str:
-        return f"template syntax error: {self.message}" + (f" (line {self.line}: {self.snippet})" if self.line else "")
+        place = f" (line {self.line}{f' of {self.file}' if self.file else ''}: {self.snippet})" if self.line else ""
+        return f"template syntax error: {self.message}{place}"
 
 
 class UndefinedVariable(TemplateError):

@@ -19,6 +19,8 @@ from ..plans.types import BOOL, FLOAT, INT, KIND, STR, Enum, List, Option, Struc
 
 #: Nodes up to which a tree becomes one column.
 BUDGET = 2000
+#: Elements up to which a loop is written out, and nodes that this may add to a column.
+SHORT, UNROLLED = 4, 160
 MARK, END = "\x01\x02\x01", "\x01\x03\x01"
 PREFIX = {"undefined_variable": "undefined variable: ", "panic": "template panic: ", "include_not_found": "include not found: ", "missing_params": "missing required parameters: ", "type_mismatch": "type mismatch: ", "extra_params": "extra undeclared parameters: ", "invalid_record": "invalid record: ", "syntax": "template syntax error: "}
 
@@ -41,6 +43,7 @@ class Lowering:
     def __init__(self, column: Callable[[str], Column], catch: bool):
         self.column, self.catch = column, catch
         self.items: dict[int, tuple[Column, Column]] = {}
+        self.unrolled = 0
 
     # --- values -------------------------------------------------------------
 
@@ -136,13 +139,7 @@ class Lowering:
 
     @staticmethod
     def stops(n) -> bool:
-        todo = [n]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, N.Stop):
-                return True
-            todo += N._inside(tuple(vars(x).values()))
-        return False
+        return any(isinstance(x, N.Stop) for x in N.walk(n))
 
     # --- texts --------------------------------------------------------------
 
@@ -179,8 +176,20 @@ class Lowering:
             return self.text(n.body)
 
         got = F.array_join(F.transform(over, body), "", "")
+        if self.unrolls(n):
+            # Short lists by generated code, element by element; lambdas are interpreted.
+            size = F.size(over)
+            each = [F.when(size > k, F.coalesce(body(F.get(over, F.lit(k)), F.lit(k)), F.lit(""))).otherwise("") for k in range(SHORT)]
+            got = F.when(size <= SHORT, F.concat(*each)).otherwise(got)
         return got if n.other is None else F.when(F.size(over) == 0, self.text(n.other)).otherwise(got)
 
+    def unrolls(self, n: N.Loop) -> bool:
+        """Small bodies without loops, as long as the column stays small."""
+        nodes = N.size(n.body)
+        if any(isinstance(x, N.Loop) for x in N.walk(n.body)) or self.unrolled + SHORT * nodes > UNROLLED:
+            return False
+        self.unrolled += SHORT * nodes
+        return True
 
     @staticmethod
     def around(n: N.Loop) -> tuple[str, str] | None:

@@ -333,7 +333,11 @@ class Compiler:
         full = os.path.realpath(os.path.join(scope.unit.base_dir or ".", path))
         if self.load is None or not os.path.exists(full):
             raise IncludeNotFound(path)
-        return self.load(full, scope.unit.env)
+        try:
+            return self.load(full, scope.unit.env)
+        except TemplateSyntaxError as e:
+            e.file = e.file or path  # its line is one of that file
+            raise
 
     def child(self, unit: Unit, name: str, scope: Scope, given: dict, templates: dict, loops: dict) -> N.Node:
         if scope.depth + 1 > self.max_depth:
@@ -366,7 +370,9 @@ class Compiler:
         except TemplateSyntaxError as e:
             if e.message.startswith("in include"):
                 raise
-            raise type(e)(f"in include '{name}': {e.message}", e.line, e.snippet) from None
+            told = type(e)(f"in include '{name}': {e.message}", e.line, e.snippet)
+            told.file = e.file or (name if name.endswith(".tmpl.md") else None)
+            raise told from None
 
     # --- names --------------------------------------------------------------
 

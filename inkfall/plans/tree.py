@@ -109,15 +109,14 @@ class Stop(Node):
     kind: str
 
 
-def size(node: Node) -> int:
-    """Nodes of the tree as written out."""
-    total, todo = 0, [node]
+def walk(node: Node):
+    """The tree's nodes as written out."""
+    todo = [node]
     while todo:
         x = todo.pop()
-        total += 1
+        yield x
         for v in vars(x).values():
             todo += _inside(v)
-    return total
 
 
 def _inside(v) -> list[Node]:
@@ -128,13 +127,10 @@ def _inside(v) -> list[Node]:
     return []
 
 
+def size(node: Node) -> int:
+    return sum(1 for _ in walk(node))
+
+
 def params_of(node: Node) -> set[str]:
     """Names of the parameters the tree reads."""
-    found, todo = set(), [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, Param):
-            found.add(x.name)
-        for v in vars(x).values():
-            todo += _inside(v)
-    return found
+    return {x.name for x in walk(node) if isinstance(x, Param)}

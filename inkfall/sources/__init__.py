@@ -15,9 +15,12 @@ from ..template import Template, load_unit, source_hash
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where it is unset a folder of this machine serves, but
+    only if the executors are on it too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "inkfall")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

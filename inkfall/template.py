@@ -50,7 +50,7 @@ class Template:
             self.tree = Compiler(load, max_include_depth).compile(self.unit, {n: t.unit for n, t in self.given.items()}, allow_unused)
         except errors.TemplateSyntaxError as e:
             lines = self.source.split("\n")
-            if e.line and e.line <= len(lines):
+            if e.line and e.line <= len(lines) and not e.file:
                 e.snippet = lines[e.line - 1].strip()[:80]
             raise
         self._checked: set[str] = set()
