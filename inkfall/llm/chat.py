@@ -118,7 +118,12 @@ def conversations(messages: DataFrame, best: int = 1) -> DataFrame:
 def linear(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as trees without branches: each replies to the one before."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = rows.select(F.col("conv_id").cast("long").alias("tree_id"), F.row_number().over(order).cast("long").alias("msg_id"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    numbered = rows.select(
+        F.col("conv_id").cast("long").alias("tree_id"),
+        F.row_number().over(order).cast("long").alias("msg_id"),
+        F.col("role").cast("string").alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
     return numbered.withColumns({"parent_id": F.when(F.col("msg_id") > 1, F.col("msg_id") - 1), "score": F.lit(0.0)})
 
 

@@ -208,7 +208,9 @@ def edited_digests(df: DataFrame) -> DataFrame:
                     edited = text[: len(text) - cut] + before[3][:cut]
                     new = canonical(edited)
                     new_mark = named(new)
-                    out.append((i, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), mark, new_mark, float(mark == new_mark and canon == new), float(mark == before[2] and canon == before[1])))
+                    out.append(
+                        (i, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), mark, new_mark, float(mark == new_mark and canon == new), float(mark == before[2] and canon == before[1])),
+                    )
                 before = (where, canon, mark, text)
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())

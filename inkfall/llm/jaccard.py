@@ -371,7 +371,9 @@ def _open_links(sets: DataFrame, labels: DataFrame, percent: int, levels: np.nda
     # The largest class of a community against the others; its own sets are joined already.
     most = rest.groupBy("component", "label").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     parted = rest.join(most, "component").withColumn("out", F.col("label") != F.col("main"))
-    sizes = parted.groupBy("component").agg(*[F.coalesce(_blocks(F.sum(F.when(test, 1)), F.sum(F.when(test, F.col("n")))), F.lit(0).cast("long")).alias(name) for name, test in (("outer", F.col("out")), ("inner", ~F.col("out")))])
+    sizes = parted.groupBy("component").agg(
+        *[F.coalesce(_blocks(F.sum(F.when(test, 1)), F.sum(F.when(test, F.col("n")))), F.lit(0).cast("long")).alias(name) for name, test in (("outer", F.col("out")), ("inner", ~F.col("out")))],
+    )
     dealt = parted.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(ROUNDS)), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))))
     # Groups: outer block i with outer block j >= i, and with each inner block j.
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))

@@ -135,7 +135,11 @@ def media_digests(df: DataFrame) -> DataFrame:
             kept = {c: made[c] for c in ("doc_id", "n_bytes")} | {c: _lists(made[c]) for c in ("codes", "times")}
             yield kept | dict(zip(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), zip(*rows)))
 
-    return per_batch(id_text(df), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codes array<int>, times array<int>")
+    return per_batch(
+        id_text(df),
+        make,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codes array<int>, times array<int>",
+    )
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,14 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     found = matched(asked, rules)
     joined = base.drop("tokens").join(found, "key", "left")
     final = F.coalesce("given", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return joined.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", final.alias("verdict"), F.when(F.col("given").isNull(), F.col("confidence")).alias("confidence"))
+    return joined.select(
+        "page_id",
+        F.coalesce("host", F.lit("")).alias("host"),
+        F.coalesce("path", F.lit("")).alias("path"),
+        "rule",
+        final.alias("verdict"),
+        F.when(F.col("given").isNull(), F.col("confidence")).alias("confidence"),
+    )
 
 
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
