@@ -216,7 +216,12 @@ def to_spark(kind: VarType) -> T.DataType:
     raise TemplateSyntaxError(f"{kind} has no column form: pass a template")
 
 
-_WIDER = {"int": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "float": (T.FloatType, T.DoubleType, T.ByteType, T.ShortType, T.IntegerType, T.LongType), "str": (T.StringType,), "bool": (T.BooleanType,)}
+_WIDER = {
+    "int": (T.ByteType, T.ShortType, T.IntegerType, T.LongType),
+    "float": (T.FloatType, T.DoubleType, T.ByteType, T.ShortType, T.IntegerType, T.LongType),
+    "str": (T.StringType,),
+    "bool": (T.BooleanType,),
+}
 
 
 def check_spark(kind: VarType, have: T.DataType, path: str) -> None:
