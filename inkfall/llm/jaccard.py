@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hashes, id_text, map_batches, mixed, packed_texts, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
+from .common import fresh, gram_hashes, id_text, map_batches, mixed, packed_texts, parts, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
 from .components import components
 
 #: Bits of the number of slots: least and most.  Of the most, a task holds 64 MB, the driver as much, and 16 MB are broadcast.
@@ -292,10 +292,18 @@ def _blocks(rows, shingles):
     return F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("long")
 
 
+def _told(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """``rows`` with what ``few`` (a row for each large community, of more than a block) says of their components.  A community may
+    hold a third of all rows, so its row is there once for each task."""
+    n = parts(rows.sparkSession)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(n))).join(salted, ["component", "salt"], "left").drop("salt")
+
+
 def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """members (doc_id, n, component) -> links (a, b) that connect what is alike within each component."""
-    sizes = members.groupBy("component").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
-    placed = members.join(sizes, "component")
+    large = stored(members.groupBy("component").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1"), "large")
+    placed = _told(members, large).withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
 
     def make(batch: pa.RecordBatch):
         kept = {c: batch.column(c) for c in ("doc_id", "n", "component", "blocks")}
@@ -303,7 +311,7 @@ def _community_links(docs: DataFrame, members: DataFrame, k: int, percent: int,
 
     texts = packed_texts(docs).join(placed, "doc_id").select("doc_id", "n", "component", "blocks", "packed")
     sets = per_batch(texts, make, "doc_id long, n long, component long, blocks long, shingles binary")
-    if not sizes.where("blocks > 1").limit(1).count():
+    if not large.limit(1).count():
         return _join(sets, percent, "component")
     sets = stored(sets, "sets")
     found = _join(sets.where("blocks = 1"), percent, "component")
@@ -336,7 +344,7 @@ def _large_links(sets: DataFrame, percent: int, levels: np.ndarray) -> DataFrame
         if left is not None and now > 0.9 * left:
             break
         left = now
-        dealt = chosen.drop("blocks").join(count.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
+        dealt = _told(chosen.drop("blocks"), count.select("component", "blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
         found = stored(_labels(dealt, percent, "component", "block"), "labels")
         # A set's label is its class's, and that of the class's least set in this round.
         new = found.toDF("old", "new")
@@ -370,11 +378,11 @@ def _open_links(sets: DataFrame, labels: DataFrame, percent: int, levels: np.nda
     rest = stored(labelled.join(tokens.join(shared, ["component", "token"]).select("doc_id").distinct(), "doc_id"), "open")
     # The largest class of a community against the others; its own sets are joined already.
     most = rest.groupBy("component", "label").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    parted = rest.join(most, "component").withColumn("out", F.col("label") != F.col("main"))
+    parted = _told(rest, most).withColumn("out", F.col("label") != F.col("main"))
     sizes = parted.groupBy("component").agg(
         *[F.coalesce(_blocks(F.sum(F.when(test, 1)), F.sum(F.when(test, F.col("n")))), F.lit(0).cast("long")).alias(name) for name, test in (("outer", F.col("out")), ("inner", ~F.col("out")))],
     )
-    dealt = parted.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(ROUNDS)), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))))
+    dealt = _told(parted, sizes).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(ROUNDS)), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))))
     # Groups: outer block i with outer block j >= i, and with each inner block j.
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
     own = F.col("own")

@@ -251,7 +251,7 @@ def test_large_communities(spark, monkeypatch, rows):
     members = spark.createDataFrame([(i, len(jaccard.shingle_set(t.encode(), 3)), 0) for i, t in texts], "doc_id long, n long, component long")
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     levels = np.zeros(1 << jaccard.SLOT_BITS[0], np.uint8)
-    for percent in (60, 80, 90):
+    for percent in (60, 85):
         forest = jaccard.Forest(150)
         for r in jaccard._community_links(docs, members, 3, percent, levels).collect():
             forest.join(r["a"], r["b"])
