@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import record_queries
-from .sources import TemplateCatalog, catalog_df, shared_dir
+from .sources import TemplateCatalog, catalog_df, shared_dir, template_folder
 from .streaming import render_stream
 from .template import Template
 
@@ -424,11 +423,7 @@ _FILES = {
 @functools.cache
 def _folder() -> str:
     """The template files of these queries; the driver alone reads them."""
-    folder = tempfile.mkdtemp(prefix="inkfall-templates-")
-    for name, text in _FILES.items():
-        with open(os.path.join(folder, f"{name}.tmpl.md"), "w", encoding="utf-8") as f:
-            f.write(text)
-    return folder
+    return template_folder(_FILES)
 
 
 @_query("q_import_const", "SELECT r_regionkey, r_name || ' parts x,y Build Design/Build' AS out FROM region")

@@ -3,14 +3,14 @@ loading templates gives (as rows of a table)."""
 
 from __future__ import annotations
 
-import os
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors
-from .sources import TemplateCatalog
+from .sources import TemplateCatalog, template_folder
 from .template import Template
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,22 +276,11 @@ _FILES = {
 }
 
 
+@functools.cache
 def _folder() -> str:
-    """Files of the driver alone, written once for each process."""
-    import atexit
-    import shutil
-    import tempfile
+    return template_folder(_FILES)
 
-    if "path" not in _MADE:
-        _MADE["path"] = tempfile.mkdtemp(prefix="inkfall-templates-")
-        atexit.register(shutil.rmtree, _MADE["path"], ignore_errors=True)
-        for name, text in _FILES.items():
-            with open(os.path.join(_MADE["path"], f"{name}.tmpl.md"), "w", encoding="utf-8") as f:
-                f.write(text)
-    return _MADE["path"]
 
-
-_MADE: dict[str, str] = {}
 _STAGE = "types:\n  - Stage = enum(Plan, Make, Ship)\n\n"
 
 #: Faulty sources by name: source, and what compiling tells of it: kind, line, message.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 from collections import OrderedDict
 
@@ -90,6 +92,16 @@ class TemplateCatalog:
         return sorted(f.removesuffix(".tmpl.md") for f in os.listdir(self.directory) if f.endswith(".tmpl.md"))
 
 
+def template_folder(files: dict[str, str]) -> str:
+    """A folder of the driver's own with these template files (name, text), which goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="inkfall-templates-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    for name, text in files.items():
+        with open(os.path.join(folder, f"{name}.tmpl.md"), "w", encoding="utf-8") as f:
+            f.write(text)
+    return folder
+
+
 CATALOG = "name string, description string, source_hash string, params string, defaults string, consts string"
 
 
