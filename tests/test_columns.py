@@ -297,3 +297,11 @@ def test_digits_of_large_and_small_numbers(spark):
     got = [r["out"] for r in t.render(spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)).collect()]
     plain = [format(Decimal(repr(x)), "f") for x in xs]
     assert got == [p.rstrip("0").rstrip(".") if "." in p else p for p in plain]
+
+
+def test_short_and_long_lists_alike(spark):
+    """Loops are written out for short lists and lambdas for long ones."""
+    t = Template(body(["x = list(option(int))", "y = list(a = str)"], "> {% for i in x %}{{ idx(i) }}:{{ i }};{% else %}none{% /for %}|{% for r in y %}{% if idx(r) > 0 %},{% /if %}{{ r.a | upper }}{% /for %}"))
+    records = [{"x": [None if i % 3 == 1 else i for i in range(n)], "y": [{"a": f"v{i}"} for i in range(7 - n)]} for n in range(8)]
+    df = spark.createDataFrame([(r["x"], [(e["a"],) for e in r["y"]]) for r in records], "x array<long>, y array<struct<a:string>>").coalesce(1)
+    assert [r["out"] for r in t.render(df).collect()] == [t.render_dict(r) for r in records]
