@@ -51,3 +51,46 @@ kept AS (
 SELECT d.doc_id, coalesce(k.n, 0)::bigint AS n_words, coalesce(k.removed, 0)::bigint AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::varchar)) || ':' || {0}::varchar END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_CRC = """xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, CASE WHEN source IS NULL THEN '' ELSE ':' || source END AS grp, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM docs),
+nodes AS (
+  SELECT grp, 0 AS lvl, idx, n, leaf AS node FROM leaves
+  UNION ALL SELECT grp, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY grp, lvl, idx // 16, n
+),
+subroots AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+uppers AS (
+  SELECT 0 AS lvl, idx, n, subroot AS node FROM subroots
+  UNION ALL SELECT lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY idx)) FROM uppers WHERE n > 1 GROUP BY lvl, idx // 16, n
+),
+steps AS (
+  SELECT grp, 0 AS part, lvl, idx, n, coalesce(string_agg(node, '') OVER b, '') AS bef, coalesce(string_agg(node, '') OVER a, '') AS aft
+  FROM nodes WINDOW b AS (PARTITION BY grp, lvl, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    a AS (PARTITION BY grp, lvl, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+  UNION ALL
+  SELECT '', 1, lvl, idx, n, coalesce(string_agg(node, '') OVER b, ''), coalesce(string_agg(node, '') OVER a, '')
+  FROM uppers WINDOW b AS (PARTITION BY lvl, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    a AS (PARTITION BY lvl, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+),
+folds AS (
+  SELECT r, grp, 0 AS part, 0 AS lvl, idx, n, coalesce(changed, leaf) AS node, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.r, f.grp, CASE WHEN f.n = 1 THEN 1 ELSE f.part END, CASE WHEN f.n = 1 THEN 0 ELSE f.lvl + 1 END,
+    CASE WHEN f.n = 1 THEN u.idx ELSE f.idx // 16 END, CASE WHEN f.n = 1 THEN u.n ELSE (f.n + 15) // 16 END,
+    CASE WHEN f.n = 1 THEN f.node ELSE sha256(s.bef || f.node || s.aft) END, CASE WHEN f.n = 1 THEN f.proof ELSE f.proof || s.bef || s.aft END
+  FROM folds f JOIN subroots u ON u.grp = f.grp JOIN steps s ON s.part = f.part AND s.grp = CASE WHEN f.part = 0 THEN f.grp ELSE '' END AND s.lvl = f.lvl AND s.idx = f.idx
+  WHERE f.n > 1 OR f.part = 0
+)
+SELECT l.doc_id, l.leaf, s.subroot, t.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
+FROM leaves l JOIN subroots s ON s.grp = l.grp JOIN folds f ON f.r = l.r AND f.part = 1 AND f.n = 1, (SELECT node FROM uppers WHERE n = 1) t
+"""
