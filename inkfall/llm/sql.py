@@ -94,3 +94,20 @@ folds AS (
 SELECT l.doc_id, l.leaf, s.subroot, t.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
 FROM leaves l JOIN subroots s ON s.grp = l.grp JOIN folds f ON f.r = l.r AND f.part = 1 AND f.n = 1, (SELECT node FROM uppers WHERE n = 1) t
 """
+
+NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0
+),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::bigint AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.r, positive_id, positive_score ORDER BY score DESC, vec_id) AS k, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.r = p.r AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, k::int AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
