@@ -4,7 +4,8 @@ Vectors are dealt to blocks by a tree of coordinate splits (fitted on FIT_ROWS v
 neighbours; inside of a block a tree cuts them further, down to leaves of LEAF vectors.  Anchors make groups
 with trees of their own.  Every node has a ball, and for two balls the inner products lie within
 c1.c2 +- (r1 |c2| + r2 |c1| + r1 r2).  A pair of nodes whose interval cannot change any anchor's result is
-left with all that is below it: first group against block, in the join, then node against node.  Pairs of leaves are scored exactly.
+left with all that is below it: first group against block, in the join, then node against node, at last the anchors of a leaf against
+a leaf.  The pairs of leaves that remain are scored exactly.
 
 Two searches.  The first keeps each anchor's best rows of its own label; it starts from a bound that the anchor's own block gives.
 The second keeps, for each positive, the best rows of other labels within a band of scores.
@@ -166,7 +167,8 @@ class Positives:
         self.best = Best(len(self.rows), k, [-np.inf if f is None else f for f in group["floors"]])
 
     def limits(self):
-        return self.tree.over(self.best.floor.astype(np.float64), np.min), None
+        """The scores that each anchor can use: from, to."""
+        return self.best.floor.astype(np.float64), None
 
     def fits(self, i, j, block: Ball) -> np.ndarray:
         a = self.tree
@@ -194,7 +196,7 @@ class Negatives:
         low, high = np.full(len(self.rows), np.inf), np.full(len(self.rows), -np.inf)
         np.minimum.at(low, self.owner, self.best.floor.astype(np.float64))
         np.maximum.at(high, self.owner, self.high.astype(np.float64))
-        return self.tree.over(low, np.min), self.tree.over(high, np.max)
+        return low, high
 
     def fits(self, i, j, block: Ball) -> np.ndarray:
         a = self.tree
@@ -216,21 +218,31 @@ class Negatives:
 
 def meet(search, block: dict, counts: list | None = None) -> None:
     """One group of anchors against one block."""
-    low, high = search.limits()
     a, b = search.tree, block["tree"]
+    low, high = search.limits()
+    node_low, node_high = a.over(low, np.min), None if high is None else a.over(high, np.max)
 
     def keep(i, j, least, most):
-        kept = (most >= low[i]) & search.fits(i, j, b)
-        return kept if high is None else kept & (least <= high[i])
+        kept = (most >= node_low[i]) & search.fits(i, j, b)
+        return kept if high is None else kept & (least <= node_high[i])
 
-    pairs = leaf_pairs(a, b, keep)
+    pairs, wide = leaf_pairs(a, b, keep), min(a.x.shape[1], b.x.shape[1])
+    for i in np.unique(pairs[0]).tolist():
+        (lo, hi), leaves = a.spans[i], np.sort(pairs[1][pairs[0] == i])
+        # The same interval with single anchors in place of their ball.
+        mid, off = a.x[lo:hi, :wide] @ b.center[leaves, :wide].T, np.sqrt((a.x[lo:hi] ** 2).sum(axis=1))[:, None] * b.radius[leaves]
+        off += 1e-9 * (np.abs(mid) + off) + 1e-6
+        used = mid + off >= low[lo:hi, None]
+        if high is not None:
+            used &= mid - off <= high[lo:hi, None]
+        leaves = leaves[used.any(axis=0)]
+        if len(leaves):
+            at = np.concatenate([np.arange(*b.spans[j]) for j in leaves.tolist()])
+            search.score(lo, hi, products(a.x[lo:hi], b.x[at], a.most * b.most), at, block)
+            if counts is not None:
+                counts[0] += (hi - lo) * len(at)
     if counts is not None:
-        counts[0] += sum((a.spans[i][1] - a.spans[i][0]) * (b.spans[j][1] - b.spans[j][0]) for i, j in zip(*pairs))
         counts[1] += len(a.x) * len(b.x)
-    for i in np.unique(pairs[0]).tolist():
-        lo, hi = a.spans[i]
-        at = np.concatenate([np.arange(*b.spans[j]) for j in sorted(pairs[1][pairs[0] == i].tolist())])
-        search.score(lo, hi, products(a.x[lo:hi], b.x[at], a.most * b.most), at, block)
 
 
 # --- blocks and groups ----------------------------------------------------
