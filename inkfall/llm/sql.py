@@ -38,18 +38,18 @@ FROM sets d LEFT JOIN classes k ON k.s = d.s LEFT JOIN least_of l ON l.x = k.rep
 """
 
 SUBSTRING = f"""
-WITH docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20),
-windows AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 19], ' ')) AS h, md5(array_to_string(w[i:i + 19], ' ')) AS m FROM starts),
-repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h, m ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, i + j AS i FROM repeated, range(0, 20) t(j)),
-words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, md5(coalesce(text, '')) AS tag, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+starts AS (SELECT r, doc_id, tag, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20 AND doc_id IS NOT NULL),
+windows AS (SELECT r, doc_id, tag, i, hash(array_to_string(w[i:i + 19], ' ')) AS h, md5(array_to_string(w[i:i + 19], ' ')) AS m FROM starts),
+repeated AS (SELECT r, i FROM (SELECT r, i, rank() OVER (PARTITION BY h, m ORDER BY doc_id, tag, i) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT r, i + j AS i FROM repeated, range(0, 20) t(j)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
 kept AS (
-  SELECT doc_id, count(*) AS n, count(*) FILTER (g.i IS NOT NULL) AS removed, string_agg(word, ' ' ORDER BY words.i) FILTER (g.i IS NULL) AS text
-  FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+  SELECT r, count(*) AS n, count(*) FILTER (g.i IS NOT NULL) AS removed, string_agg(word, ' ' ORDER BY words.i) FILTER (g.i IS NULL) AS text
+  FROM words LEFT JOIN gone g USING (r, i) GROUP BY r
 )
 SELECT d.doc_id, coalesce(k.n, 0)::bigint AS n_words, coalesce(k.removed, 0)::bigint AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM docs d LEFT JOIN kept k USING (doc_id)
+FROM docs d LEFT JOIN kept k USING (r)
 """
 
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::varchar)) || ':' || {0}::varchar END"

@@ -18,8 +18,8 @@ window.  Then all windows of a shard are equal and its automaton is one window,
 shard at every size gets an automaton of bounded size.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none; documents with
-fewer words than a window lose nothing; rows repeated with one id count as one sequence position
-twice, so neither is earlier; rows without an id are left as they are.  Windows are judged on the input.  Words are taken as equal if their
+fewer words than a window lose nothing; rows that share an id and differ in text are documents of their own, in the order of
+their texts' digests (``tag``), and rows alike in both are one document that is kept as often as it is there; rows without an id are left as they are.  Windows are judged on the input.  Words are taken as equal if their
 64-bit hashes are.  Extra columns are ignored.
 """
 
@@ -29,11 +29,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import fresh, gram_hashes, id_text, map_batches, mixed, packed_texts, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
+from .common import fresh, gram_hashes, id_text, map_batches, mixed, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
 
 GRAM = 4
 SHARD = 500
@@ -75,99 +76,117 @@ def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return grams[at[lo]], range_hashes(h, lo, lo + n + window - 1), lo, n
 
 
-def _folded(mini, key, doc, start, n) -> dict:
-    """One row for each (mini, key): its first occurrence, and the others packed as (doc, start) pairs."""
-    order = np.lexsort((start, doc, key, mini))
-    mini, key, doc, start, n = (x[order] for x in (mini, key, doc, start, n))
+def _folded(mini, key, doc, tag, start, n) -> dict:
+    """One row for each (mini, key): its first occurrence, and the others packed as triples of doc, tag and start."""
+    order = np.lexsort((start, tag, doc, key, mini))
+    mini, key, doc, tag, start, n = (x[order] for x in (mini, key, doc, tag, start, n))
     first = np.flatnonzero((np.diff(mini, prepend=~mini[:1]) != 0) | (np.diff(key, prepend=~key[:1]) != 0))
-    packed = np.stack([doc, start], axis=1).astype(np.int64)
+    packed = np.stack([doc, tag, start], axis=1).astype(np.int64)
     ends = np.append(first[1:], len(mini))
     others = [packed[a + 1 : b].tobytes() if b - a > 1 else None for a, b in zip(first.tolist(), ends.tolist())]
-    return {"mini": signed(mini[first]), "key": signed(key[first]), "doc_id": doc[first], "start": start[first].astype(np.int32), "n": n[first].astype(np.int32), "others": others}
+    return {"mini": signed(mini[first]), "key": signed(key[first]), "doc_id": doc[first], "tag": tag[first], "start": start[first].astype(np.int32), "n": n[first].astype(np.int32), "others": others}
 
 
-SEGMENT = "mini long, key long, doc_id long, start int, n int, others binary"
+SEGMENT = "mini long, key long, doc_id long, tag long, start int, n int, others binary"
+
+
+def tag(text: Column) -> Column:
+    """A number of 60 bits that tells the texts of one id apart, in the order of their MD5 digests."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
     def make(batch: pa.RecordBatch):
-        got: list[list] = [[], [], [], [], []]
-        for i, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text"))):
+        got: list[list] = [[], [], [], [], [], []]
+        for i, own, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), raw_texts(batch.column("text"))):
             words = (text or b"").split()
             if len(words) >= window:
                 mini, key, lo, n = segments(word_hashes(words), window, run_lengths(window)[0])
-                for x, y in zip(got, (mini, key, np.full(len(lo), i, np.int64), lo, n)):
+                for x, y in zip(got, (mini, key, np.full(len(lo), i, np.int64), np.full(len(lo), own, np.int64), lo, n)):
                     x.append(y)
         return _folded(*map(np.concatenate, got)) if got[0] else None
 
     return per_batch(docs, make, SEGMENT)
 
 
-MARK = "doc_id long, start int, n int, mini long, whole boolean"
+MARK = "doc_id long, tag long, start int, n int, mini long, whole boolean"
 
 
 def _linked(found: DataFrame) -> DataFrame:
     """Segments of shards with more than one occurrence: ``whole`` ones start earlier altogether,
     the others are first occurrences next to different segments.  Streams over sorted partitions."""
-    sorted_rows = found.repartition("mini").sortWithinPartitions("mini", "key", "doc_id", "start")
+    sorted_rows = found.repartition("mini").sortWithinPartitions("mini", "key", "doc_id", "tag", "start")
 
     def run(batches):
-        pending = None  # the only segment so far of the current minimizer: (mini, key, doc, start, n, told)
+        pending = None  # the only segment so far of the current minimizer: (mini, key, its place, n, told); a place is doc, tag and start
         out: list[tuple] = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("mini", "key", "doc_id", "start", "n", "others")]
-            for mini, key, doc, start, n, others in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("mini", "key", "doc_id", "tag", "start", "n", "others")]
+            for mini, key, doc, own, start, n, others in zip(*cols):
+                at = (doc, own, start)
                 if pending and pending[0] == mini and pending[1] == key:
-                    out.append((doc, start, n, mini, True))  # also if doc and start are equal: see below
-                    if (doc, start) == pending[2:4]:
-                        out.pop()
+                    if at != pending[2]:  # the same place: a row that is repeated as it is
+                        out.append((*at, n, mini, True))
                 else:
                     if pending and pending[0] == mini:
-                        if not pending[5]:
-                            out.append((pending[2], pending[3], pending[4], mini, False))
-                        out.append((doc, start, n, mini, False))
-                        pending = (mini, key, doc, start, n, True)
+                        if not pending[4]:
+                            out.append((*pending[2], pending[3], mini, False))
+                        out.append((*at, n, mini, False))
+                        pending = (mini, key, at, n, True)
                     else:
-                        pending = (mini, key, doc, start, n, False)
+                        pending = (mini, key, at, n, False)
                 if others:
-                    for d, s in np.frombuffer(others, np.int64).reshape(-1, 2).tolist():
-                        if (d, s) != pending[2:4]:
-                            out.append((d, s, n, mini, True))
+                    for place in np.frombuffer(others, np.int64).reshape(-1, 3).tolist():
+                        if tuple(place) != pending[2]:
+                            out.append((*place, n, mini, True))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], ["doc_id", "start", "n", "mini", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], ["doc_id", "tag", "start", "n", "mini", "whole"])
                 out = []
 
     return map_batches(sorted_rows, run, MARK)
 
 
-WORDS = "mini long, doc_id long, start int, n int, words binary"
+WORDS = "mini long, doc_id long, tag long, start int, n int, words binary"
+NAMES = ("mini", "doc_id", "tag", "start", "n", "words")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, packed: each text compressed by itself, for shuffles of whole texts."""
+
+    def make(batch: pa.RecordBatch):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        return {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "packed": [squeeze.compress(t) for t in raw_texts(batch.column("text"))]}
+
+    return per_batch(docs, make, "doc_id long, tag long, packed binary")
 
 
 def _with_words(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """The word hashes of first occurrences: (mini, doc_id, start, n, words)."""
-    lists = marks.groupBy("doc_id").agg(F.collect_list(F.struct("mini", "start", "n")).alias("marks"))
+    """The word hashes of first occurrences."""
+    lists = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("mini", "start", "n")).alias("marks"))
 
     def make(batch: pa.RecordBatch):
         rows = []
-        for i, text, found in zip(batch.column("doc_id").to_pylist(), unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
+        for i, own, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
             h = word_hashes(text.split())
-            rows += [(m["mini"], i, m["start"], m["n"], h[m["start"] : m["start"] + m["n"] + window - 1].tobytes()) for m in found if m["start"] + m["n"] + window - 1 <= len(h)]
-        return dict(zip(("mini", "doc_id", "start", "n", "words"), zip(*rows))) if rows else None
+            rows += [(m["mini"], i, own, m["start"], m["n"], h[m["start"] : m["start"] + m["n"] + window - 1].tobytes()) for m in found if m["start"] + m["n"] + window - 1 <= len(h)]
+        return dict(zip(NAMES, zip(*rows))) if rows else None
 
-    return per_batch(packed_texts(docs).join(lists, "doc_id").select("doc_id", "packed", "marks"), make, WORDS)
+    return per_batch(_packed(docs).join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "marks"), make, WORDS)
 
 
 def _matched(shards: DataFrame, window: int) -> DataFrame:
     """Windows of first occurrences that start earlier, by each shard's automaton."""
-    rows = shards.repartition("mini").sortWithinPartitions("mini", "doc_id", "start")
+    rows = shards.repartition("mini").sortWithinPartitions("mini", "doc_id", "tag", "start")
 
     def run(batches):
-        automaton, current, out = SuffixAutomaton(), None, []
+        automaton, current, last, out = SuffixAutomaton(), None, None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("mini", "doc_id", "start", "n", "words")]
-            for mini, doc, start, n, words in zip(*cols):
+            for mini, doc, own, start, _, words in zip(*(batch.column(c).to_pylist() for c in NAMES)):
                 if mini != current:
-                    automaton, current = SuffixAutomaton(), mini
+                    automaton, current, last = SuffixAutomaton(), mini, None
+                if last == (doc, own, start):
+                    continue  # of a row that is repeated as it is
+                last = (doc, own, start)
                 automaton.start()
                 run_from = run_n = 0
                 for i, value in enumerate(np.frombuffer(words, np.uint64).tolist()):
@@ -177,15 +196,15 @@ def _matched(shards: DataFrame, window: int) -> DataFrame:
                             run_n += 1
                         else:
                             if run_n:
-                                out.append((doc, start + run_from, run_n))
+                                out.append((doc, own, start + run_from, run_n))
                             run_from, run_n = begin, 1
                 if run_n:
-                    out.append((doc, start + run_from, run_n))
+                    out.append((doc, own, start + run_from, run_n))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "tag", "start", "n"])
                 out = []
 
-    return map_batches(rows, run, "doc_id long, start int, n int")
+    return map_batches(rows, run, "doc_id long, tag long, start int, n int")
 
 
 def _split(pieces: DataFrame, window: int, gram: int) -> DataFrame:
@@ -193,22 +212,22 @@ def _split(pieces: DataFrame, window: int, gram: int) -> DataFrame:
 
     def make(batch: pa.RecordBatch):
         rows = []
-        for mini, doc, start, data in zip(*(batch.column(c).to_pylist() for c in ("mini", "doc_id", "start", "words"))):
+        for mini, doc, own, start, _, data in zip(*(batch.column(c).to_pylist() for c in NAMES)):
             h = np.frombuffer(data, np.uint64)
             fine, _, lo, n = segments(h, window, gram)
             fine = signed(mixed(fine + np.uint64(mini & (1 << 64) - 1)))
-            rows += [(m, doc, start + a, k, h[a : a + k + window - 1].tobytes()) for m, a, k in zip(fine.tolist(), lo.tolist(), n.tolist())]
-        return dict(zip(("mini", "doc_id", "start", "n", "words"), zip(*rows))) if rows else None
+            rows += [(m, doc, own, start + a, k, h[a : a + k + window - 1].tobytes()) for m, a, k in zip(fine.tolist(), lo.tolist(), n.tolist())]
+        return dict(zip(NAMES, zip(*rows))) if rows else None
 
     return per_batch(pieces, make, WORDS)
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, n): windows start .. start + n - 1 of the document start earlier in the corpus."""
+    """(doc_id, tag, start, n): windows start .. start + n - 1 of the document start earlier in the corpus.  docs: doc_id, tag, text."""
     docs = docs.where("doc_id is not null")
     marks = stored(_linked(_segments(docs, window)), "marks")
-    pieces = _with_words(docs, marks.where("not whole").select("mini", "doc_id", "start", "n"), window)
-    found = marks.where("whole").select("doc_id", "start", "n")
+    pieces = _with_words(docs, marks.where("not whole").select("mini", "doc_id", "tag", "start", "n"), window)
+    found = marks.where("whole").select("doc_id", "tag", "start", "n")
     counts = marks.where("not whole")
     for gram in run_lengths(window)[1:]:
         large = counts.groupBy("mini").count().where(F.col("count") > SHARD).select("mini", F.lit(True).alias("large"))
@@ -229,18 +248,26 @@ def covered(n_words: int, marks: list[dict], window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _tagged(df: DataFrame) -> DataFrame:
+    return id_text(df).withColumn("tag", tag(F.col("text")))
+
+
+def _lists(docs: DataFrame, window: int) -> DataFrame:
+    return repeated_windows(docs, window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+
+
 def _texts_and_marks(df: DataFrame, window: int) -> DataFrame:
-    docs = id_text(df)
-    lists = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    return packed_texts(docs).join(lists, "doc_id", "left").select("doc_id", "packed", "marks")
+    docs = _tagged(df)
+    return _packed(docs).join(_lists(docs, window), ["doc_id", "tag"], "left").select("doc_id", "packed", "marks")
 
 
 def without_repeats(df: DataFrame, window: int) -> DataFrame:
     """``df`` with its repeated passages removed from ``text`` (the words left joined by a space where
     anything went) and ``n_chars``, if there, counted anew.  All rows and columns stay."""
-    mark, key = fresh(df, "marks"), fresh(df, "marked_id")
-    lists = repeated_windows(id_text(df), window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias(mark)).withColumnRenamed("doc_id", key)
-    joined = df.join(lists, df["doc_id"].cast("long") == lists[key], "left").drop(key)
+    names = {c: fresh(df, f"marked_{c}") for c in ("doc_id", "tag", "marks")}
+    lists = _lists(_tagged(df), window).select(*[F.col(c).alias(n) for c, n in names.items()])
+    own = tag(F.coalesce(df["text"].cast("string"), F.lit("")))
+    joined = df.join(lists, (df["doc_id"].cast("long") == F.col(names["doc_id"])) & (own == F.col(names["tag"])), "left").drop(names["doc_id"], names["tag"])
     text_at = df.columns.index("text")
     chars_at = df.columns.index("n_chars") if "n_chars" in df.columns else None
 
