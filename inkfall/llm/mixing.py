@@ -7,10 +7,11 @@ the two is 0 or 1.  Mass is words: what one gives in (size x probability) the ot
 source's expected words stay what they are at every step, and each probability is a martingale.
 A document that is LARGE in its group is not paired with one other, as it would stay fractional beside
 small ones to the end, but with all smaller ones at once, which share what it gives or takes, each by the room it has.
-Within a group this leaves one fractional document, a small one; these residuals go up a tree: groups of a
+Within a group this leaves one fractional document; these residuals go up a tree: groups of a
 source's documents (by a hash, GROUP documents on average), then groups of FAN groups,
-until one is left for each source.  That last one is rounded to what is nearer to the source's target.  So a source's words miss
-its target by at most half the size of one document, and of a small one where the source has some.
+until one is left for each source.  With them go RESERVE documents of each group, small ones and others, that had a probability too.  When the
+last residual is rounded, it and the reserve (in a source of one group: all its documents) decide how near the source's words come to its
+target: roundings are turned over, one or two at a time, as long as that brings the words nearer, and among few documents all choices are tried.
 
 Randomness is a hash of seed, level and document id: reruns agree, whatever the partitioning.
 Rows that are alike in id, source and text are one unit with as many expected copies as they have together, counted
@@ -39,6 +40,8 @@ MOST = 2.0
 GROUP, FAN = 4000, 64
 #: A document with more than this share of its group's words is large.
 LARGE = 0.004
+#: Rounded documents that a group hands up for the last choice, and how many are few enough to try all choices.
+RESERVE, FEW = 200, 14
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -111,17 +114,64 @@ def pivotal(ids: np.ndarray, mass: np.ndarray, p: np.ndarray, level: int, seed:
     return p
 
 
-UNIT = "src int, grp long, doc_id long, mark long, size long, p double"
+def nearest(mass: np.ndarray, p: np.ndarray, free: np.ndarray, want: float) -> np.ndarray:
+    """Roundings ``p`` (0 or 1) with some of the ``free`` ones turned over so that their words come near to ``want``."""
+    p, at = p.copy(), np.flatnonzero(free)
+    if len(at) <= FEW:
+        fixed = float((mass * p)[~free].sum())
+        chosen = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+        off = np.abs(chosen @ mass[at] + fixed - want)
+        turned = (chosen != p[at]).sum(axis=1)
+        p[at] = chosen[np.lexsort((np.arange(len(off)), turned, np.round(off, 6)))[0]]
+        return p
+    miss = want - float((mass * p).sum())
+    while abs(miss) > 0.5:
+        change = np.where(p[at] == 0, mass[at], -mass[at]).astype(np.float64)
+        order = np.argsort(change, kind="stable")
+        ranked = change[order]
+        # For each document the partner that brings the two nearest.
+        found = []
+        right = np.searchsorted(ranked, miss - ranked)
+        for near in (right - 1, right, right + 1):
+            near = np.clip(near, 0, len(at) - 1)
+            off = np.where(near == np.arange(len(at)), np.inf, np.abs(miss - ranked - ranked[near]))
+            found.append((float(off.min()), int(off.argmin()), int(near[off.argmin()])))
+        two = min(found)
+        one = int(np.abs(miss - ranked).argmin())
+        turn = [one] if abs(miss - ranked[one]) <= two[0] else list(two[1:])
+        left = miss - float(ranked[turn].sum())
+        if abs(left) >= abs(miss) - 1e-6:
+            break
+        p[at[order[turn]]] = 1 - p[at[order[turn]]]
+        miss = left
+    return p
+
+
+def _reserve(mass: np.ndarray, free: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which free documents go up: half of RESERVE by size, the least first, half by ``key``."""
+    at = np.flatnonzero(free)
+    out = np.zeros(len(mass), bool)
+    out[at[np.argsort(mass[at], kind="stable")[: RESERVE // 2]]] = True
+    out[at[np.argsort(key[at], kind="stable")[: RESERVE // 2]]] = True
+    return out
+
+
+UNIT = "src int, grp long, doc_id long, mark long, size long, p double, up boolean"
 
 
 def _round(df: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
-    """One level of the tree: each (src, grp) keeps at most one fractional unit; the last level keeps none."""
+    """One level of the tree: each (src, grp) keeps at most one fractional unit, which goes ``up`` with a reserve; the last level keeps none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "mark"], ascending=[False, True, True], kind="stable")
-        pdf["p"] = pivotal(pdf["doc_id"].to_numpy() ^ pdf["mark"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(), level, seed)
-        if last:  # one at most: to the nearer number, as words are conserved up to here
-            pdf["p"] = np.floor(pdf["p"] + 0.5)
+        ids, mass, p = (pdf[c].to_numpy() for c in ("doc_id", "size", "p"))
+        key = ids ^ pdf["mark"].to_numpy()
+        free = _open(_clean(p)) | pdf["up"].to_numpy()
+        got = pivotal(key, mass, p, level, seed)
+        if last:  # words are conserved up to here
+            pdf["p"], pdf["up"] = nearest(mass, np.floor(got + 0.5), free, float((mass * p).sum())), False
+        else:
+            pdf["p"], pdf["up"] = got, _open(got) | _reserve(mass, free & ~_open(got), key)
         return pdf
 
     return df.groupBy("src", "grp").applyInPandas(run, UNIT)
@@ -159,16 +209,16 @@ def _copies(docs: DataFrame, seed: int, weights, share: float, most: float) -> D
     sources = spark.createDataFrame(rows, "src int, name string, source_size long, target double, rate double, groups long")
     joined = units.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).withColumn("expected", F.col("rate") * F.col("rows"))
     grp = F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.col("groups")).alias("grp")
-    grouped = joined.where("size > 0").select("src", grp, "doc_id", "mark", "size", (F.col("expected") - F.floor("expected")).alias("p"))
-    # The tree: each level's units with a whole number are done, the others go up.
+    grouped = joined.where("size > 0").select("src", grp, "doc_id", "mark", "size", (F.col("expected") - F.floor("expected")).alias("p"), F.lit(False).alias("up"))
+    # The tree: what does not go up is done.
     done, groups, level = [], max((r[5] for r in rows), default=1), 0
     while True:
         last = groups <= 1
         rounded = stored(_round(grouped, level, seed, last), "pivotal")
-        done.append(rounded.where("p = 0 or p = 1"))
+        done.append(rounded.where("not up"))
         if last:
             break
-        grouped = rounded.where("p > 0 and p < 1").withColumn("grp", F.floor(F.col("grp") / FAN))
+        grouped = rounded.where("up").withColumn("grp", F.floor(F.col("grp") / FAN))
         groups, level = -(-groups // FAN), level + 1
     picked = done[0]
     for more in done[1:]:
