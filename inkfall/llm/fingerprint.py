@@ -3,8 +3,8 @@
 The canonical form of a text is NFKC of its case-folded NFKC form, with runs of white space as one
 space and none at the ends.  Its fingerprint is the 128-bit xxhash of its UTF-8 bytes.  Inside each
 bucket of equal digests the canonical bytes themselves are compared; should two texts of a bucket
-differ, all but the least get a suffix that tells them apart, so fingerprints are equal exactly
-where canonical texts are.
+differ, all but the least get a suffix that tells them apart, so fingerprints of documents are equal exactly
+where canonical texts are.  An edited text is compared byte by byte with its own document only.
 
 Digests are counted first.  Those that occur more than once mark their slots in a bitmap that has SPARE slots for each of
 them, so that about one text in SPARE passes by chance, and only texts of marked slots go to the comparison.  Where they are too many for
@@ -12,14 +12,15 @@ a bitmap of MOST_SLOTS (a broadcast of 16 MB), texts are joined with the repeate
 the batch already), then streams over partitions sorted by digest; a group of any size takes no memory.
 
 Defined results: a null text is empty, and the empty text has a fingerprint like any other;
-repeated rows have equal fingerprints; rows without an id have no
-place in the order of ids and are left out of ``edited_digests``; a single document is its own next one.  Extra columns are ignored.
+repeated rows have equal fingerprints; rows without an id come after all others in descending order, in the order of a hash of their
+text, as do rows of one id among themselves; a single document is its own next one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SPARE = 16
 MOST_SLOTS = 1 << 27
 #: Colliding texts that the driver holds; a 128-bit hash has none to speak of, so more mean that something is broken.
 CLASHES = 10_000
+#: Keys from which the ranges of documents are made.
+SAMPLED = 10_000
 
 
 def canonical(text: str) -> bytes:
@@ -156,30 +159,37 @@ def _with_suffixes(marked: DataFrame, docs: DataFrame) -> DataFrame:
     return per_batch(docs, make, "doc_id long, fingerprint string")
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
-    """Documents dealt by ranges of doc_id and sorted there, so that each row's predecessor is the row before.
+def _neighbours(docs: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """Rows dealt by ranges of their keys and sorted there, so that each row's predecessor is the row before.
 
-    Ranges [s_j, s_j+1) begin at ids that exist.  The rows of s_j go to range j, where they come
+    A key is whether there is an id, the id and a hash of the text: rows without an id come before all others, by that hash, so many of them
+    are spread like others.  Ranges [s_j, s_j+1) begin at keys that exist.  The rows of s_j go to range j, where they come
     first and only serve as predecessors, and to range j - 1, where they come last.  The
-    predecessor of the least id is the greatest; that row goes first in range 0 (``lead``)."""
+    predecessor of the least key is the greatest; its row goes first in range 0 (``lead``)."""
     n = parts(docs.sparkSession)
-    quantiles = F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / n) for i in range(n - 1)] or [F.lit(0.5)]), 10000)
-    splits, least, most = docs.agg(quantiles, F.min("doc_id"), F.max("doc_id")).first()
-    at = np.unique(np.array(splits or [], np.int64))
+    keyed = docs.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    key = F.struct("named", "doc_id", "hash")
+    most = keyed.agg(F.max(key).alias("k")).first()["k"]
+    most = tuple(most) if most else None
+    # SAMPLED rows, each as likely as any other, so rows that are repeated count as often as they are there.
+    sample = sorted(tuple(r["k"]) for r in keyed.select(key.alias("k"), F.xxhash64("hash", F.monotonically_increasing_id()).alias("by")).orderBy("by", "k").limit(SAMPLED).select("k").collect())
+    at = sorted({sample[len(sample) * j // n] for j in range(1, n)}) if sample else []
 
     def make(batch: pa.RecordBatch):
-        ids = batch.column("doc_id").to_numpy()
-        texts = raw_texts(batch.column("text"))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("named", "doc_id", "hash"))))
         squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        home = np.searchsorted(at, ids, side="right")
-        packed = [squeeze.compress(t or b"") for t in texts]
-        rows = [(b, i, False, z) for b, i, z in zip(home.tolist(), ids.tolist(), packed)]
-        rows += [(b - 1, i, False, z) for b, i, z in zip(home.tolist(), ids.tolist(), packed) if b and at[b - 1] == i]
-        rows += [(0, i, True, z) for i, z in zip(ids.tolist(), packed) if i == most]
-        return dict(zip(("range", "doc_id", "lead", "packed"), zip(*rows)))
+        rows = []
+        for k, text in zip(keys, raw_texts(batch.column("text"))):
+            z, home = squeeze.compress(text), bisect_right(at, k)
+            rows.append((home, *k, False, z))
+            if home and at[home - 1] == k:
+                rows.append((home - 1, *k, False, z))
+            if k == most:
+                rows.append((0, *k, True, z))
+        return dict(zip(("range", "named", "doc_id", "hash", "lead", "packed"), zip(*rows)))
 
-    dealt = per_batch(docs.where("doc_id is not null"), make, "range int, doc_id long, lead boolean, packed binary")
-    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", F.desc("lead"), "doc_id", "packed"), at.tolist()
+    dealt = per_batch(keyed, make, "range int, named boolean, doc_id long, hash long, lead boolean, packed binary")
+    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", F.desc("lead"), "named", "doc_id", "hash", "packed"), at
 
 
 def edited_digests(df: DataFrame) -> DataFrame:
@@ -197,11 +207,11 @@ def edited_digests(df: DataFrame) -> DataFrame:
         before = None  # (range, canonical bytes, fingerprint, text) of the row before
         for batch in batches:
             out = []
-            for where, i, lead, z in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "lead", "packed"))):
+            for where, known, i, h, lead, z in zip(*(batch.column(c).to_pylist() for c in ("range", "named", "doc_id", "hash", "lead", "packed"))):
                 text = unpack.decompress(z).decode("utf-8")
                 canon = canonical(text)
                 mark = named(canon)
-                owned = not lead and not (where > 0 and at[where - 1] == i)
+                owned = not lead and not (where > 0 and at[where - 1] == (known, i, h))
                 if owned:
                     assert before is not None and before[0] == where
                     cut = len(text) // 3
@@ -209,7 +219,7 @@ def edited_digests(df: DataFrame) -> DataFrame:
                     new = canonical(edited)
                     new_mark = named(new)
                     out.append(
-                        (i, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), mark, new_mark, float(mark == new_mark and canon == new), float(mark == before[2] and canon == before[1])),
+                        (i if known else None, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), mark, new_mark, float(mark == new_mark and canon == new), float(mark == before[2] and canon == before[1])),
                     )
                 before = (where, canon, mark, text)
             if out:

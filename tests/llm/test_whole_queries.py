@@ -19,6 +19,7 @@ TABLES = {
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
     "conversations": "conv_id long, turn int, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 #: Columns of names that operators use inside.
 CLASHES = ", mini string, marks string, row string, n string, component string, mark string, size string, packed string, key string, verdict string"
@@ -45,7 +46,8 @@ def odd(spark, tmp_path_factory):
     chats = [(None, 0, "user", "n"), (1, None, "user", None), (1, 1, None, "x"), (1, 1, None, "x"), (2, 0, "assistant", long)] + [(3, i, "user", str(i)) for i in range(500)]
     pages = [(i, u, None) for i, u in enumerate([None, "", "http://a.net/es/x", "http://a.org/y", "http://a.org/y"])] + [(3, "http://b.com/", "h"), (None, None, None)]
     labels = [(i, i % 2, int(i % 3 == 0)) for i in range(40)] + [(None, 1, 1), (3, None, None), (3, 0, 1)]
-    return write(spark, tmp_path_factory.mktemp("odd"), {"documents": docs, "labels": labels, "pages": pages, "conversations": chats}, CLASHES)
+    vectors = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (5, [0.9, 0.1], 1), (None, [0.8, 0.0], 1), (6, None, 1), (7, [1.0, 1.0], None), (8, [float("nan"), 0.0], 1), (9, [None, 1.0], 0), (11, [], 2), (100, [0.5, 0.5, 0.1], 3), (12, [1.0], 2)]
+    return write(spark, tmp_path_factory.mktemp("odd"), {"documents": docs, "labels": labels, "pages": pages, "conversations": chats, "embeddings": vectors}, CLASHES)
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -58,11 +60,13 @@ def test_queries_of_odd_rows(spark, odd, name):
     rows = queries()[name](spark, odd).collect()
     if name == "op3_url_filter":
         assert len(rows) == 7 and all(r["verdict"] in ("allow", "block") for r in rows)
+    elif name == "op11_hard_negatives":  # both rows of id 0 have label 1, and [256, 0] as anchors; 0.95 of 65536 is 62259
+        both = [(0, 0, 1, 100, 65536, 32768), (0, 5, 1, 100, 58880, 32768), (0, None, 1, 100, 52224, 32768)]
+        assert sorted(map(str, (tuple(r) for r in rows if r["anchor_id"] == 0))) == sorted(map(str, both + both))
     elif name == "op4_chat_format":
         assert {r["conv_id"]: r["n_turns"] for r in rows} == {None: 1, 1: 3, 2: 1, 3: 500, -1: 2}
     else:
         ids = [r["doc_id"] for r in spark.read.parquet(f"{odd}/documents.parquet").collect()]
-        ids = [i for i in ids if i is not None] if name == "op5_fingerprints" else ids
         found = {(r["doc_id"], r["start"], r["ids_crc32"], r["sequence_id"], r["offset"]) for r in rows} if name == "op7_packing" else rows
         assert len(found) == len(rows)
         got = Counter(r["doc_id"] for r in rows if name != "op7_packing" or r["start"] == 0)
@@ -81,6 +85,19 @@ def test_pipeline_of_odd_rows(spark, odd):
     assert {r["doc_id"] for r in last.collect()} <= {r["doc_id"] for r in docs.collect()}
 
 
+def test_pipeline_keeps_unlike_rows_of_one_id(spark, tmp_path):
+    """Rows that share an id and nothing else lose nothing to the stages that compare texts."""
+    import corpus_pipeline as P
+
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("p", "q", "r")]
+    rows = [(1, texts[0]), (5, "x " * 10 + texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[2] + " end"), (5, texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(r["text"] for r in P.substrings(spark, docs, SMALL).collect())
+    assert got == Counter([texts[0], "x " * 9 + "x", texts[1], texts[1], texts[2], texts[2] + " end"])
+    near = Counter(r["text"] for r in P.near_duplicates(spark, docs, SMALL).collect())
+    assert {texts[0], texts[1]} <= set(near)
+
+
 def test_pipeline_by_plain_versions(spark):
     """What is left of each document, how often, and its pieces."""
     import corpus_pipeline as P
