@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..plans import interp
 from ..plans import tree as N
 from ..plans.types import VarType
-from .lower import END, MARK
+from .lower import PREFIX
 
 
 def python_column(node: N.Node, params: dict[str, VarType], columns: dict[str, Column], catch: bool = False, bad: Column | None = None) -> Column:
-    """An Arrow UDF over a struct of the parameters that the tree reads; rows that are ``bad`` don't get there."""
+    """An Arrow UDF over a struct of the parameters that the tree reads; rows that are ``bad`` don't get there.
+    With ``catch`` it gives a struct of text, kind and message."""
     used = sorted(N.params_of(node))
 
     def render(rows: pa.Array) -> pa.Array:
@@ -22,13 +23,14 @@ def python_column(node: N.Node, params: dict[str, VarType], columns: dict[str, C
                 continue
             env = {n: interp.shape(params[n], row[n]) for n in used}
             try:
-                out.append(interp.render(node, env))
+                text = interp.render(node, env)
+                out.append({"text": text} if catch else text)
             except interp.Stopped as e:
                 if not catch:
                     raise interp.as_error(e) from None
-                out.append(f"{MARK}{e.kind}\x01{e.message}{END}")
-        return pa.array(out, pa.string())
+                out.append({"kind": e.kind, "message": PREFIX[e.kind] + e.message})
+        return pa.array(out, pa.struct([(n, pa.string()) for n in ("text", "kind", "message")]) if catch else pa.string())
 
-    run = F.arrow_udf(render, "string")
+    run = F.arrow_udf(render, "text string, kind string, message string" if catch else "string")
     row = F.struct(*[columns[n].alias(n) for n in used], F.lit(1).alias("_"))
     return run(row if bad is None else F.when(~bad, row))

@@ -80,11 +80,12 @@ class Records:
 
     ITEMS, MEMBERS = "array<variant>", "map<string,variant>"
 
-    def found(self, kind: VarType, v: Column, where: str = "") -> Found:
+    def found(self, kind: VarType, v: Column, where: str = "", shape: Column | None = None) -> Found:
+        """``shape``: the schema of ``v``, where it is at hand."""
         if isinstance(kind, Option):
-            return [(v.isNotNull() & ~F.is_variant_null(v) & test, text) for test, text in self.found(kind.inner, v, where)]
+            return [(v.isNotNull() & ~F.is_variant_null(v) & test, text) for test, text in self.found(kind.inner, v, where, shape)]
         out: Found = [(v.isNull(), F.lit(f"{where}': expected {kind}, got missing ()"))]
-        shape = F.schema_of_variant(v)
+        shape = F.schema_of_variant(v) if shape is None else shape
         wrong = _mismatch(where, kind, self.shown(v, shape))
         if isinstance(kind, Scalar):
             out.append((~self.fits(kind, shape), wrong))
@@ -127,11 +128,11 @@ class Records:
         return F.concat(name, F.lit(" ("), value, F.lit(")"))
 
     def value(self, kind: VarType, v: Column) -> Column:
-        """The value as the type's column; null where it does not fit."""
+        """The value, in which nothing has been found wrong, as the type's column."""
         if isinstance(kind, Option):
             return F.when(~F.is_variant_null(v), self.value(kind.inner, v))
         if isinstance(kind, Scalar):
-            return F.when(self.fits(kind, F.schema_of_variant(v)), v.try_cast(to_spark(kind)))
+            return v.try_cast(to_spark(kind))
         if isinstance(kind, List):
             return F.transform(v.try_cast(self.ITEMS), lambda e: self.value(kind.item, e))
         members, name = self.named(v)

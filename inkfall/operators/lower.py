@@ -3,8 +3,8 @@
 Everything is built from expressions of the catalogue, so Catalyst sees which input columns and
 nested fields are read, folds constants, and generates code for templates without loops.
 
-With ``catch`` an error does not end the job: a stop writes its kind and message between marks
-into the text, where ``split_error`` finds the first one."""
+Errors are a channel of their own.  A text that stops raises an error; with ``catch`` it goes on with an empty text, and ``fault`` is a
+second column beside it: kind and message of the first stop that the row's path through the tree reaches."""
 
 from __future__ import annotations
 
@@ -21,7 +21,6 @@ from ..plans.types import BOOL, FLOAT, INT, KIND, STR, Enum, List, Option, Struc
 BUDGET = 2000
 #: Elements up to which a loop is written out, and nodes that this may add to a column.
 SHORT, UNROLLED = 4, 160
-MARK, END = "\x01\x02\x01", "\x01\x03\x01"
 PREFIX = {"undefined_variable": "undefined variable: ", "panic": "template panic: ", "include_not_found": "include not found: ", "missing_params": "missing required parameters: ", "type_mismatch": "type mismatch: ", "extra_params": "extra undeclared parameters: ", "invalid_record": "invalid record: ", "syntax": "template syntax error: "}
 
 
@@ -156,13 +155,47 @@ class Lowering:
         if isinstance(n, N.Loop):
             return self.loop(n)
         if isinstance(n, N.Stop):
-            message = self.text(n.message)
-            if self.catch:
-                return F.concat(F.lit(MARK + n.kind + "\x01"), message, F.lit(END))
-            return F.raise_error(F.concat(F.lit(PREFIX[n.kind]), message)).cast("string")
+            return F.lit("") if self.catch else F.raise_error(self.said(n)).cast("string")
         got = self.value(n)
         return got
 
+    def said(self, n: N.Stop) -> Column:
+        return F.concat(F.lit(PREFIX[n.kind]), self.text(n.message))
+
+    # --- faults -------------------------------------------------------------
+
+    def fault(self, n: N.Node) -> Column | None:
+        """The first stop that is reached, in the order in which texts are made; null if none is, None if there is none."""
+        if not self.stops(n):
+            return None
+        if isinstance(n, N.Stop):
+            return _first(self.fault(n.message), F.struct(F.lit(n.kind).alias("kind"), self.said(n).alias("message")))
+        if isinstance(n, N.Choice):
+            got = self.fault(n.other)
+            for test, body in reversed(n.branches):
+                inside = self.fault(body)
+                chosen = NO_FAULT() if inside is None else inside
+                got = _first(self.fault(test), F.when(self.test(test), chosen).otherwise(NO_FAULT() if got is None else got))
+            return got
+        if isinstance(n, N.Loop):
+            over, found = self.value(n.over), [self.fault(n.over)]
+            if self.stops(n.body):
+
+                def body(x: Column, i: Column) -> Column:
+                    self.items[n.number] = (x, i)
+                    return self.fault(n.body)
+
+                found.append(F.get(F.filter(F.transform(over, body), lambda f: f.isNotNull()), F.lit(0)))
+            if n.other is not None and self.stops(n.other):
+                found.append(F.when(F.size(over) == 0, self.fault(n.other)))
+            return _first(*found)
+        if isinstance(n, N.Test) and n.op in ("and", "or"):
+            a, b = n.args
+            other = self.fault(b)
+            reached = self.test(a) if n.op == "and" else ~self.test(a)
+            return _first(self.fault(a), None if other is None else F.when(reached, other))
+        return _first(*map(self.fault, N.children(n)))
+
     def loop(self, n: N.Loop) -> Column:
         over = self.value(n.over)
         around = self.around(n)
@@ -203,16 +236,20 @@ class Lowering:
         return "".join(p.value for p in parts[: items[0]]), "".join(p.value for p in parts[items[0] + 1 :])
 
 
-def lower(node: N.Node, column: Callable[[str], Column], catch: bool = False) -> Column:
-    got = Lowering(column, catch).text(node)
-    return got.cast("string")
+def NO_FAULT() -> Column:
+    return F.lit(None).cast("struct<kind:string,message:string>")
+
+
+def _first(*faults: Column | None) -> Column | None:
+    found = [f for f in faults if f is not None]
+    return F.coalesce(*found) if found else None
+
+
+def lower(node: N.Node, column: Callable[[str], Column]) -> Column:
+    return Lowering(column, False).text(node).cast("string")
 
 
-def split_error(text: Column) -> tuple[Column, Column, Column]:
-    """(value, kind, message) of a caught text; the value is null where there was an error."""
-    found = F.instr(text, MARK) > 0
-    after = F.substring_index(F.substr(text, F.instr(text, MARK) + len(MARK)), END, 1)
-    kind = F.when(found, F.substring_index(after, "\x01", 1))
-    words = F.create_map(*[F.lit(x) for pair in PREFIX.items() for x in pair])
-    message = F.when(found, F.concat(F.element_at(words, kind), F.substr(after, F.length(kind) + 2)))
-    return F.when(~found, text), kind, message
+def lower_caught(node: N.Node, column: Callable[[str], Column]) -> tuple[Column, Column | None]:
+    """The text, to be used where there is no fault, and the fault."""
+    made = Lowering(column, True)
+    return made.text(node).cast("string"), made.fault(node)

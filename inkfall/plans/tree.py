@@ -119,6 +119,11 @@ def walk(node: Node):
             todo += _inside(v)
 
 
+def children(node: Node) -> list[Node]:
+    """The nodes right below, in the order of their fields."""
+    return [n for v in vars(node).values() for n in _inside(v)]
+
+
 def _inside(v) -> list[Node]:
     if isinstance(v, Node):
         return [v]

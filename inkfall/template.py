@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from . import errors
 from .operators.batches import python_column
 from .operators.checks import Columns, Records
-from .operators.lower import BUDGET, END, MARK, PREFIX, constant, lower, split_error
+from .operators.lower import BUDGET, PREFIX, constant, lower, lower_caught
 from .plans import interp
 from .plans import tree as N
 from .plans.analysis import MAX_DEPTH, Compiler, Unit, _is_tmpl
@@ -159,35 +159,42 @@ class Template:
         if extra and not allow_extra:
             raise errors.ExtraParams(extra)
 
-    def column(self, df: DataFrame, *, allow_extra: bool = True, unchecked: bool = False, engine: str = "auto", catch: bool = False) -> Column:
+    def column(self, df: DataFrame, *, allow_extra: bool = True, unchecked: bool = False, engine: str = "auto") -> Column:
         """The rendered text of each row of ``df``, whose columns are the parameters."""
+        columns, faults = self._checks(df, allow_extra, unchecked)
+        bad = _any(test for test, _, _ in faults)
+        text = lower(self.tree, columns.__getitem__) if self.engine(engine) == "catalyst" else python_column(self.tree, self._types(), columns, False, bad)
+        if bad is None:
+            return text
+        told = F.coalesce(*[F.when(test, F.raise_error(message).cast("string")) for test, _, message in faults])
+        return F.when(bad, told).otherwise(text)
+
+    def _checks(self, df: DataFrame, allow_extra: bool, unchecked: bool):
         key = f"{df.schema.json()}{allow_extra}"
         if key not in self._checked:
             self.check_schema(df.schema, allow_extra)
             self._checked.add(key)
         columns = self._inputs(df)
-        return self._text(columns, [] if unchecked else self._faults(df, columns), engine, catch)
+        return columns, [] if unchecked else [(test, kind, F.concat(F.lit("type mismatch for "), text)) for test, kind, text in self._faults(df, columns)]
 
-    def _text(self, columns: dict[str, Column], faults: list[tuple[Column, str, Column]], engine: str, catch: bool) -> Column:
-        """The text, or the error of the first fault (test, kind, message) that a row has."""
-        bad = None
-        for test, _, _ in faults:
-            bad = test if bad is None else bad | test
+    def _types(self) -> dict[str, VarType]:
+        return {d.name: d.type for d in self._columns()}
+
+    def _caught(self, df: DataFrame, columns: dict[str, Column], told: Column | None, engine: str, out: str) -> DataFrame:
+        """``df`` with the text, and the kind and message of what the row fails by: ``told`` (a struct), else the first stop of the tree."""
+        held = {n: _fresh(df, n) for n in ("_fault", "_made")}
+        fault, made = F.col(held["_fault"]), F.col(held["_made"])
+        step = df.withColumn(held["_fault"], F.lit(None).cast("struct<kind:string,message:string>") if told is None else told)
         if self.engine(engine) == "catalyst":
-            text = lower(self.tree, columns.__getitem__, catch)
+            text, stop = lower_caught(self.tree, columns.__getitem__)
+            if stop is not None:
+                step = step.withColumn(held["_fault"], F.coalesce(fault, stop))
+            step = step.withColumn(held["_made"], F.when(fault.isNull(), text))
         else:
-            text = python_column(self.tree, {d.name: d.type for d in self._columns()}, columns, catch, bad)
-        if bad is None:
-            return text
-        told = F.coalesce(*[F.when(test, self._error(kind, message, catch)) for test, kind, message in faults])
-        return F.when(bad, told).otherwise(text)
-
-    @staticmethod
-    def _error(kind: str, message: Column, catch: bool) -> Column:
-        if catch:
-            return F.concat(F.lit(f"{MARK}{kind}\x01"), message, F.lit(END))
-        prefix = "type mismatch for " if kind == "type_mismatch" else PREFIX[kind]
-        return F.raise_error(F.concat(F.lit(prefix), message)).cast("string")
+            step = step.withColumn(held["_made"], python_column(self.tree, self._types(), columns, True, fault.isNotNull()))
+            stop = F.when(made["kind"].isNotNull(), F.struct(made["kind"].alias("kind"), made["message"].alias("message")))
+            step = step.withColumn(held["_fault"], F.coalesce(fault, stop)).withColumn(held["_made"], made["text"])
+        return step.withColumns({out: made, "error_kind": fault["kind"], "error": fault["message"]}).drop(*held.values())
 
     def engine(self, asked: str = "auto") -> str:
         """``catalyst``, or ``python`` for a tree beyond the budget of one column."""
@@ -222,11 +229,11 @@ class Template:
         """``df`` with the text appended to a column of text; the other columns are the parameters."""
         return df.withColumn(to, F.concat(F.coalesce(F.col(to), F.lit("")), self.column(df, **how)))
 
-    def render_try(self, df: DataFrame, out: str = "out", **how) -> DataFrame:
+    def render_try(self, df: DataFrame, out: str = "out", *, allow_extra: bool = True, unchecked: bool = False, engine: str = "auto") -> DataFrame:
         """``df`` with the text, and where it failed with ``error_kind`` and ``error`` in place of it."""
-        held = df.withColumn("_caught", self.column(df, catch=True, **how))
-        value, kind, message = split_error(F.col("_caught"))
-        return held.withColumns({out: value, "error_kind": kind, "error": message}).drop("_caught")
+        columns, faults = self._checks(df, allow_extra, unchecked)
+        told = [F.when(test, F.struct(F.lit(kind).alias("kind"), F.concat(F.lit("type mismatch: "), F.substr(message, F.lit(len("type mismatch for ") + 1))).alias("message"))) for test, kind, message in faults]
+        return self._caught(df, columns, F.coalesce(*told) if told else None, engine, out)
 
     def render_json(self, df: DataFrame, json: str = "json", out: str = "out", **how) -> DataFrame:
         """Rows of a JSON column as the parameters: an absent key has its default, a null is none; kinds must fit
@@ -246,35 +253,41 @@ class Template:
         return self._render_records(df, binary.json_text(F.col(buffers), binary.flexbuffer), out, **how)
 
     def _render_records(self, df: DataFrame, json: Column, out: str, *, allow_extra: bool = False, engine: str = "auto", catch: bool = False) -> DataFrame:
-        """With ``catch`` errors are columns, as in ``render_try``."""
-        # Each step is a projection of its own, so a record is parsed once.
-        parsed = df.withColumn("_variant", F.try_parse_json(json)).withColumn("_record", F.col("_variant").try_cast("map<string,variant>"))
-        record, rules, columns, fields = F.col("_record"), Records(), {}, []
-        faults = [(record.isNull(), "invalid_record", F.when(F.col("_variant").isNull(), "not JSON").otherwise("no object"))]
-        absent = {d.name: ~F.map_contains_key(record, d.name) for d in self._columns()}
+        """With ``catch`` errors are columns, as in ``render_try``.
+
+        Each step is a projection of its own, so a record is parsed once, each parameter is looked up once, and its kind is asked for once."""
+        at = {n: _fresh(df, n) for n in ("_variant", "_record", "_fault", "_params", *[f"{k}_{d.name}" for d in self._columns() for k in ("_own", "_kind")])}
+        parsed = df.withColumn(at["_variant"], F.try_parse_json(json)).withColumn(at["_record"], F.col(at["_variant"]).try_cast("map<string,variant>"))
+        record, rules = F.col(at["_record"]), Records()
+        own = {d.name: F.col(at[f"_own_{d.name}"]) for d in self._columns()}
+        shape = {d.name: F.col(at[f"_kind_{d.name}"]) for d in self._columns()}
+        if own:
+            parsed = parsed.withColumns({at[f"_own_{n}"]: F.try_element_at(record, F.lit(n)) for n in own})
+            parsed = parsed.withColumns({at[f"_kind_{n}"]: F.schema_of_variant(own[n]) for n in own})
+        faults: list[tuple[Column, str, Column]] = [(record.isNull(), "invalid_record", F.when(F.col(at["_variant"]).isNull(), "not JSON").otherwise("no object"))]
         required = [d.name for d in self._columns() if d.required]
         if required:
-            names = F.concat_ws(", ", *[F.when(absent[n], n) for n in required])
-            faults.append((names != "", "missing_params", names))
+            faults.append((_any(own[n].isNull() for n in required), "missing_params", F.concat_ws(", ", *[F.when(own[n].isNull(), n) for n in required])))
+        fields = []
         for d in self._columns():
-            own = F.try_element_at(record, F.lit(d.name))
-            for test, text in rules.found(d.type, own):
-                faults.append((~absent[d.name] & test, "type_mismatch", F.concat(F.lit(f"'{d.name}"), text)))
-            value = rules.value(d.type, own)
-            fields.append((value if d.required else F.when(absent[d.name], constant(d.default, d.type)).otherwise(value)).alias(d.name))
-            columns[d.name] = F.col("_params").getField(d.name)
+            here = own[d.name].isNotNull()
+            faults += [(here & test, "type_mismatch", F.concat(F.lit(f"'{d.name}"), text)) for test, text in rules.found(d.type, own[d.name], shape=shape[d.name])]
+            value = rules.value(d.type, own[d.name])
+            fields.append((value if d.required else F.when(here, value).otherwise(constant(d.default, d.type))).alias(d.name))
         if not allow_extra:
-            extra = F.concat_ws(", ", F.sort_array(F.array_except(F.map_keys(record), F.array(*map(F.lit, absent)).cast("array<string>"))))
-            faults.append((extra != "", "extra_params", extra))
+            known = sum((own[n].isNotNull().cast("int") for n in own), F.lit(0))
+            extra = F.array_join(F.sort_array(F.array_except(F.map_keys(record), F.array(*map(F.lit, own)).cast("array<string>"))), ", ")
+            faults.append((F.size(record) > known, "extra_params", extra))
         # Values are made of records without a fault only.
-        told = F.coalesce(*[F.when(test, F.struct(F.lit(kind).alias("kind"), message.alias("message"))) for test, kind, message in faults])
-        checked = parsed.withColumn("_fault", told).withColumn("_params", F.when(F.col("_fault").isNull(), F.struct(F.lit(1).alias("_"), *fields)))
-        text = self._text(columns, [(F.col("_fault.kind") == kind, kind, F.col("_fault.message")) for kind in ("invalid_record", "missing_params", "type_mismatch", "extra_params")], engine, catch)
-        done = checked.withColumn("_text", text).drop("_variant", "_record", "_fault", "_params")
-        if not catch:
-            return done.withColumn(out, F.col("_text")).drop("_text")
-        value, kind, message = split_error(F.col("_text"))
-        return done.withColumns({out: value, "error_kind": kind, "error": message}).drop("_text")
+        told = F.coalesce(*[F.when(test, F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(PREFIX[kind]), message).alias("message"))) for test, kind, message in faults])
+        fault, columns = F.col(at["_fault"]), {n: F.col(at["_params"]).getField(n) for n in own}
+        checked = parsed.withColumn(at["_fault"], told).drop(at["_variant"]).withColumn(at["_params"], F.when(fault.isNull(), F.struct(F.lit(1).alias("_"), *fields)))
+        if catch:
+            return self._caught(checked, columns, fault, engine, out).drop(*at.values())
+        bad = fault.isNotNull()
+        text = lower(self.tree, columns.__getitem__) if self.engine(engine) == "catalyst" else python_column(self.tree, self._types(), columns, False, bad)
+        raised = F.raise_error(F.regexp_replace(fault["message"], "^type mismatch: ", "type mismatch for ")).cast("string")
+        return checked.withColumn(at["_fault"], F.when(bad, raised).otherwise(text)).drop(*[n for n in at.values() if n != at["_fault"]]).withColumn(out, fault).drop(at["_fault"])
 
     def document(self, df: DataFrame, order: list[str], separator: str = "", **how) -> DataFrame:
         """One text of all rows in order; for reports that one task can hold."""
@@ -303,6 +316,21 @@ class Template:
         return self.render_dict({})
 
 
+def _any(tests) -> Column | None:
+    got = None
+    for test in tests:
+        got = test if got is None else got | test
+    return got
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spark_value(kind: VarType, value):
     """A Python value as ``createDataFrame`` takes it for the type's column."""
     if value is None:
