@@ -83,7 +83,9 @@ def _folded(mini, key, doc, tag, start, n) -> dict:
     first = np.flatnonzero((np.diff(mini, prepend=~mini[:1]) != 0) | (np.diff(key, prepend=~key[:1]) != 0))
     packed = np.stack([doc, tag, start], axis=1).astype(np.int64)
     ends = np.append(first[1:], len(mini))
-    others = [packed[a + 1 : b].tobytes() if b - a > 1 else None for a, b in zip(first.tolist(), ends.tolist())]
+    others = [None] * len(first)
+    for k in np.flatnonzero(ends - first > 1).tolist():
+        others[k] = packed[first[k] + 1 : ends[k]].tobytes()
     return {"mini": signed(mini[first]), "key": signed(key[first]), "doc_id": doc[first], "tag": tag[first], "start": start[first].astype(np.int32), "n": n[first].astype(np.int32), "others": others}
 
 
@@ -118,30 +120,48 @@ def _linked(found: DataFrame) -> DataFrame:
     sorted_rows = found.repartition("mini").sortWithinPartitions("mini", "key", "doc_id", "tag", "start")
 
     def run(batches):
-        pending = None  # the only segment so far of the current minimizer: (mini, key, its place, n, told); a place is doc, tag and start
-        out: list[tuple] = []
+        carry = None  # of the last minimizer: itself, its last key, that run's first place, and its first row if it is the only one so far
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("mini", "key", "doc_id", "tag", "start", "n", "others")]
-            for mini, key, doc, own, start, n, others in zip(*cols):
-                at = (doc, own, start)
-                if pending and pending[0] == mini and pending[1] == key:
-                    if at != pending[2]:  # the same place: a row that is repeated as it is
-                        out.append((*at, n, mini, True))
-                else:
-                    if pending and pending[0] == mini:
-                        if not pending[4]:
-                            out.append((*pending[2], pending[3], mini, False))
-                        out.append((*at, n, mini, False))
-                        pending = (mini, key, at, n, True)
-                    else:
-                        pending = (mini, key, at, n, False)
-                if others:
-                    for place in np.frombuffer(others, np.int64).reshape(-1, 3).tolist():
-                        if tuple(place) != pending[2]:
-                            out.append((*place, n, mini, True))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], ["doc_id", "tag", "start", "n", "mini", "whole"])
-                out = []
+            if not batch.num_rows:
+                continue
+            mini, key, doc, own, start, n = (batch.column(c).to_numpy() for c in ("mini", "key", "doc_id", "tag", "start", "n"))
+            place = np.stack([doc, own, start.astype(np.int64)], axis=1)
+            new_mini = np.append(True, mini[1:] != mini[:-1])
+            new_run = np.append(True, (mini[1:] != mini[:-1]) | (key[1:] != key[:-1]))
+            goes_on = carry is not None and carry[0] == mini[0]
+            if goes_on:
+                new_mini[0], new_run[0] = False, carry[1] != key[0]
+            # Each row beside the first of its run, which may stand in an earlier batch.
+            runs = np.flatnonzero(new_run)
+            at = np.cumsum(new_run) - 1
+            firsts = np.concatenate([place[runs], [carry[2] if goes_on else place[0]]])[at]  # -1 is the run that goes on
+            later = ~new_run & (firsts != place).any(axis=1)  # the same place: a row that is repeated as it is
+            out = [(place[later], n[later], mini[later], np.ones(int(later.sum()), bool))]
+            # First occurrences next to different segments.
+            group = np.cumsum(new_mini) - (0 if goes_on else 1)
+            keys = np.bincount(group[runs], minlength=int(group[-1]) + 1) if len(runs) else np.zeros(int(group[-1]) + 1, np.int64)
+            if goes_on:
+                keys[0] += 1 if carry[3] is not None else 2  # 2: others are told already
+            told = runs[keys[group[runs]] > 1]
+            out.append((place[told], n[told], mini[told], np.zeros(len(told), bool)))
+            alone = carry[3] if goes_on else None
+            if alone is not None and keys[0] > 1:
+                out.append((alone[0][None], alone[1][None], mini[:1], np.zeros(1, bool)))
+                alone = None
+            others = batch.column("others")
+            for i in np.flatnonzero(others.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                more = np.frombuffer(others[i].as_py(), np.int64).reshape(-1, 3)
+                more = more[(more != firsts[i]).any(axis=1)]
+                out.append((more, np.full(len(more), n[i], np.int32), np.full(len(more), mini[i], np.int64), np.ones(len(more), bool)))
+            last = int(group[-1])
+            if keys[last] > 1:
+                alone = None
+            elif last or not goes_on:
+                alone = (place[runs[-1]], n[runs[-1]])
+            carry = (mini[-1], key[-1], firsts[-1] if not new_run[-1] else place[-1], alone)
+            found, count, minis, whole = (np.concatenate(c) for c in zip(*out))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(minis), pa.array(whole)], ["doc_id", "tag", "start", "n", "mini", "whole"])
 
     return map_batches(sorted_rows, run, MARK)
 

@@ -415,8 +415,18 @@ def brute_rows(rows, window):
     return sorted(map(str, ((i, *(whole(t or "") if i is None else by[named[i, md5(t), t or ""]])) for i, t in rows)))
 
 
+@pytest.fixture(params=["10000", "3"])
+def batches(spark, request):
+    """Arrow batches of several sizes: groups of rows reach over their ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("window,shard", [(5, 2000), (3, 2), (2, 1)])
-def test_rows_that_share_an_id(spark, monkeypatch, window, shard):
+def test_rows_that_share_an_id(spark, monkeypatch, batches, window, shard):
     monkeypatch.setattr(substring, "SHARD", shard)
     rng = random.Random(window)
     rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, "", " ".join(rng.choice("abcd") for _ in range(rng.randrange(25)))])) for _ in range(60)]
