@@ -42,6 +42,7 @@ class Lowering:
     def __init__(self, column: Callable[[str], Column], catch: bool):
         self.column, self.catch = column, catch
         self.items: dict[int, tuple[Column, Column]] = {}
+        self.bound: dict[N.Node, Column] = {}  # values that are columns already
         self.unrolled = 0
 
     # --- values -------------------------------------------------------------
@@ -64,6 +65,8 @@ class Lowering:
         return self.apply(n)
 
     def apply(self, n: N.Apply) -> Column:
+        if self.bound and n in self.bound:
+            return self.bound[n]
         op = n.op
         if op == "test":
             return self.test(n.base)
@@ -152,6 +155,9 @@ class Lowering:
             for test, body in n.branches:
                 got = F.when(self.test(test), self.text(body)) if got is None else got.when(self.test(test), self.text(body))
             return got.otherwise(self.text(n.other))
+        if isinstance(n, N.Switch):
+            key, other = self.value(n.key), self.text(n.other)
+            return searched(key, [(name, self.text(body)) for name, body in n.cases], other)
         if isinstance(n, N.Loop):
             return self.loop(n)
         if isinstance(n, N.Stop):
@@ -177,6 +183,10 @@ class Lowering:
                 chosen = NO_FAULT() if inside is None else inside
                 got = _first(self.fault(test), F.when(self.test(test), chosen).otherwise(NO_FAULT() if got is None else got))
             return got
+        if isinstance(n, N.Switch):
+            key, other = self.value(n.key), self.fault(n.other)
+            cases = [(name, NO_FAULT() if found is None else found) for name, body in n.cases for found in [self.fault(body)]]
+            return _first(self.fault(n.key), searched(key, cases, NO_FAULT() if other is None else other))
         if isinstance(n, N.Loop):
             over, found = self.value(n.over), [self.fault(n.over)]
             if self.stops(n.body):
@@ -236,6 +246,22 @@ class Lowering:
         return "".join(p.value for p in parts[: items[0]]), "".join(p.value for p in parts[items[0] + 1 :])
 
 
+def searched(key: Column, cases: list[tuple[str, Column]], other: Column) -> Column:
+    """The column of the case that ``key`` names, by halves: texts are in the order of their bytes."""
+    cases = sorted(cases, key=lambda c: c[0].encode("utf-8"))
+
+    def between(lo: int, hi: int) -> Column:
+        if hi - lo <= 4:
+            got = None
+            for name, made in cases[lo:hi]:
+                got = F.when(key == name, made) if got is None else got.when(key == name, made)
+            return other if got is None else got.otherwise(other)
+        mid = (lo + hi) // 2
+        return F.when(key < cases[mid][0], between(lo, mid)).otherwise(between(mid, hi))
+
+    return between(0, len(cases))
+
+
 def NO_FAULT() -> Column:
     return F.lit(None).cast("struct<kind:string,message:string>")
 

@@ -17,7 +17,6 @@ from .types import BOOL, FLOAT, INT, NUMBERS, RESERVED, STR, Enum, List, Option,
 
 MAX_DEPTH = 16
 MAX_NODES = 200_000
-MAX_FILES = 500
 NEAR = 2
 PREFIXES = ("consts", "opts", "options", "params")
 ABSENT = "absent"
@@ -76,6 +75,21 @@ class OneOf:
     names: tuple[str, ...]
 
 
+@dataclass(frozen=True, eq=False)
+class Routed:
+    """A template that a row chooses: the parameter is a text, the name of one of these."""
+
+    name: str
+    units: dict[str, Unit]
+
+
+def _units(given) -> list[Unit]:
+    """The templates that a value of a template parameter can be."""
+    if given is None:
+        return []
+    return list(given.units.values() if isinstance(given, Routed) else given.values() if isinstance(given, dict) else [given])
+
+
 class Compiler:
     def __init__(self, load=None, max_depth: int = MAX_DEPTH):
         self.load, self.max_depth = load, max_depth
@@ -93,8 +107,10 @@ class Compiler:
         for d in head.params:
             if _is_tmpl(d.type):
                 given[d.name] = templates.get(d.name)
-                if given[d.name] is not None:
-                    self.signature(d.name, d.type, given[d.name])
+                for u in _units(given[d.name]):
+                    self.signature(d.name, d.type, u)
+                if isinstance(given[d.name], dict):
+                    given[d.name] = Routed(d.name, given[d.name])
         got = self.block(unit.body.nodes, Scope(unit, names, given))
         if not (allow_unused or head.allow_unused):
             free = [d.name for d in head.params if d.name not in self.used | self.mentioned(unit)]
@@ -287,6 +303,10 @@ class Compiler:
             if n.name in scope.names:
                 raise TemplateSyntaxError(f"'{n.name}' is not a template")
             unit = self.file(f"./{n.name}.tmpl.md", scope)
+        if isinstance(unit, Routed):
+            key = N.Param(unit.name, STR)
+            cases = tuple((name, self.child(u, n.name, scope, given, templates, loops or {})) for name, u in sorted(unit.units.items()))
+            return N.Switch(key, cases, N.Stop(key, "include_not_found"))
         return self.child(unit, n.name, scope, given, templates, loops or {})
 
     def template_named(self, expr, scope: Scope):
@@ -314,20 +334,20 @@ class Compiler:
         if not open_parts:
             strict_path(path, "include path")
             return self.child(self.file(path, scope), path, scope, given, templates, loops)
-        # The path depends on the row: one branch for each file that it can name.
+        # The path depends on the row: one case for each file that it can name.
         strict_path(path, "include path") if not path.startswith("\0") else None
         pieces = path.split("\0")
         whole = text_of([x for pair in zip([N.Const(p, STR) for p in pieces], [*[self.shown(o, "path") for o in open_parts], N.Const("", STR)]) for x in pair])
         base = scope.unit.base_dir or "."
         pattern = re.compile(".*".join(map(re.escape, pieces)))
-        branches = []
+        cases = []
         for name in (n for n in _files(base) if pattern.fullmatch(n)):
             try:
                 body = self.child(self.file(name, scope), name, scope, given, templates, loops)
             except TemplateSyntaxError as e:  # the fault of a file is that of the rows that name it
                 body = N.Stop(N.Const(f"in include '{name}': {e.message}", STR), "syntax")
-            branches.append((N.Test("eq", (whole, N.Const(name, STR))), body))
-        return choice(branches, N.Stop(whole, "include_not_found"))
+            cases.append((name, body))
+        return N.Switch(whole, tuple(cases), N.Stop(whole, "include_not_found"))
 
     def file(self, path: str, scope: Scope) -> Unit:
         full = os.path.realpath(os.path.join(scope.unit.base_dir or ".", path))
@@ -353,8 +373,8 @@ class Compiler:
                 if d.name not in templates and d.required and not isinstance(d.type, Option):
                     raise TemplateSyntaxError(f"in include '{name}': missing required parameters: {d.name}")
                 subs[d.name] = templates.get(d.name)
-                if subs[d.name] is not None:
-                    self.signature(d.name, d.type, subs[d.name])
+                for u in _units(subs[d.name]):
+                    self.signature(d.name, d.type, u)
             elif d.name in given:
                 got = given[d.name]
                 if not fits(d.type, got):
@@ -649,8 +669,6 @@ def _files(base: str) -> list[str]:
     found = []
     for folder, _, names in sorted(os.walk(base)):
         found += [os.path.join(".", os.path.relpath(os.path.join(folder, n), base)) for n in sorted(names) if n.endswith(".tmpl.md")]
-        if len(found) > MAX_FILES:
-            raise TemplateSyntaxError(f"more than {MAX_FILES} template files below '{base}': name the include's file")
     return found
 
 

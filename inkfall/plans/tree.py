@@ -4,7 +4,7 @@ Two back ends read it: ``lower`` makes a Spark column, ``interp`` renders one Py
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from .types import VarType
@@ -93,6 +93,18 @@ class Choice(Node):
     other: Node
 
 
+@dataclass(frozen=True)
+class Switch(Node):
+    """The case that a text names, or the other one; cases are many, so back ends search for the name."""
+
+    key: Node
+    cases: tuple[tuple[str, Node], ...]
+    other: Node
+
+    def __hash__(self):
+        return hash((self.key, tuple(n for n, _ in self.cases)))
+
+
 @dataclass(frozen=True)
 class Loop(Node):
     number: int
@@ -139,3 +151,19 @@ def size(node: Node) -> int:
 def params_of(node: Node) -> set[str]:
     """Names of the parameters the tree reads."""
     return {x.name for x in walk(node) if isinstance(x, Param)}
+
+
+def pruned(node: Node, keep) -> Node:
+    """The tree with only the cases of each switch that ``keep`` (from the switch to names, or None for all) names."""
+    def inside(v):
+        if isinstance(v, Node):
+            return pruned(v, keep)
+        return tuple(map(inside, v)) if isinstance(v, tuple) else v
+
+    if isinstance(node, Switch):
+        names = keep(node)
+        if names is not None:
+            node = replace(node, cases=tuple(c for c in node.cases if c[0] in names))
+    if not any(isinstance(x, Switch) for x in walk(node)):
+        return node
+    return replace(node, **{k: inside(v) for k, v in vars(node).items()})

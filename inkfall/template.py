@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from pyspark.sql import types as T
 from . import errors
 from .operators.batches import python_column
 from .operators.checks import Columns, Records
-from .operators.lower import BUDGET, PREFIX, constant, lower, lower_caught
+from .operators.lower import BUDGET, PREFIX, Lowering, constant, lower, lower_caught
+from .operators.staged import CASES, with_text
 from .plans import interp
 from .plans import tree as N
 from .plans.analysis import MAX_DEPTH, Compiler, Unit, _is_tmpl
 from .plans.frontmatter import Decl
-from .plans.types import FLOAT, INT, KIND, Enum, List, Option, Struct, VarType, check_spark, check_value, to_spark
+from .plans.types import FLOAT, INT, KIND, STR, Enum, List, Option, Struct, VarType, check_spark, check_value, to_spark
 
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -47,7 +49,8 @@ class Template:
         self.given = dict(templates or {})
         try:
             self.unit = Unit.of(self.source, base_dir, env)
-            self.tree = Compiler(load, max_include_depth).compile(self.unit, {n: t.unit for n, t in self.given.items()}, allow_unused)
+            units = {n: {k: x.unit for k, x in t.items()} if isinstance(t, dict) else t.unit for n, t in self.given.items()}
+            self.tree = Compiler(load, max_include_depth).compile(self.unit, units, allow_unused)
         except errors.TemplateSyntaxError as e:
             lines = self.source.split("\n")
             if e.line and e.line <= len(lines) and not e.file:
@@ -78,8 +81,9 @@ class Template:
             raise errors.TemplateIOError(f"failed to load template: {e}") from None
         return cls(source, **({"base_dir": os.path.dirname(os.path.abspath(path))} | how))
 
-    def bind(self, **templates: "Template") -> "Template":
-        """This template with values of its ``tmpl(...)`` parameters."""
+    def bind(self, **templates: "Template | dict[str, Template]") -> "Template":
+        """This template with values of its ``tmpl(...)`` parameters.  A dict of templates makes the parameter a column of
+        text: each row names the one that it is rendered with."""
         return Template(self.source, templates=self.given | templates, **self._how)
 
     # --- what it declares ---------------------------------------------------
@@ -135,7 +139,14 @@ class Template:
         return spark.createDataFrame([tuple(spark_value(d.type, r.get(d.name)) for d in decls) for r in records], kinds)
 
     def _columns(self) -> list[Decl]:
-        return [d for d in self.unit.head.params if not _is_tmpl(d.type)]
+        routed = [replace(d, type=STR) for d in self.unit.head.params if isinstance(self.given.get(d.name), dict)]
+        return [d for d in self.unit.head.params if not _is_tmpl(d.type)] + routed
+
+    def _missing(self, have) -> list[str]:
+        """Required parameters that are neither in ``have`` nor given as templates."""
+        columns = {d.name for d in self._columns()}
+        optional = lambda d: _is_tmpl(d.type) and isinstance(d.type, Option) and d.name not in columns
+        return [d.name for d in self.unit.head.params if d.required and d.name not in (have if d.name in columns else self.given) and not optional(d)]
 
     def validate_declarations(self, other: "Template") -> None:
         """The other template takes the same parameters."""
@@ -149,7 +160,7 @@ class Template:
     def check_schema(self, schema: T.StructType, allow_extra: bool = False) -> None:
         """Missing, then mismatched, then extra columns."""
         have = {f.name: f.dataType for f in schema.fields}
-        missing = [d.name for d in self.unit.head.params if d.required and d.name not in (self.given if _is_tmpl(d.type) else have) and not (_is_tmpl(d.type) and isinstance(d.type, Option))]
+        missing = self._missing(have)
         if missing:
             raise errors.MissingParams(missing)
         for d in self._columns():
@@ -177,6 +188,18 @@ class Template:
         columns = self._inputs(df)
         return columns, [] if unchecked else [(test, kind, F.concat(F.lit("type mismatch for "), text)) for test, kind, text in self._faults(df, columns)]
 
+    def _used_cases(self, df: DataFrame, columns: dict[str, Column]) -> N.Node:
+        """The tree with the cases of its large switches that rows of ``df`` name; one pass over what the names are made of.
+        Of a stream, or of a name that is made in a loop, all cases stay."""
+        def keep(switch: N.Switch) -> set[str] | None:
+            inner = isinstance(switch.key, N.Stop) or any(isinstance(x, (N.Item, N.Index, N.Stop)) for x in N.walk(switch.key))
+            if len(switch.cases) <= CASES or inner or df.isStreaming:
+                return None
+            named = df.select(Lowering(columns.__getitem__, True).value(switch.key).alias("name")).where(F.col("name").isin([n for n, _ in switch.cases]))
+            return {r["name"] for r in named.distinct().collect()}  # the switch's cases at most
+
+        return N.pruned(self.tree, keep)
+
     def _types(self) -> dict[str, VarType]:
         return {d.name: d.type for d in self._columns()}
 
@@ -185,7 +208,13 @@ class Template:
         held = {n: _fresh(df, n) for n in ("_fault", "_made")}
         fault, made = F.col(held["_fault"]), F.col(held["_made"])
         step = df.withColumn(held["_fault"], F.lit(None).cast("struct<kind:string,message:string>") if told is None else told)
-        if self.engine(engine) == "catalyst":
+        if engine == "auto" and N.size(self.tree) > BUDGET:
+            lowering, tree = Lowering(columns.__getitem__, True), self._used_cases(step, columns)
+            stop = lowering.fault(tree)
+            if stop is not None:
+                step = step.withColumn(held["_fault"], F.coalesce(fault, stop))
+            step = with_text(step, tree, lowering, held["_made"], _fresh_prefix(step), fault.isNull())
+        elif self.engine(engine) == "catalyst":
             text, stop = lower_caught(self.tree, columns.__getitem__)
             if stop is not None:
                 step = step.withColumn(held["_fault"], F.coalesce(fault, stop))
@@ -197,7 +226,7 @@ class Template:
         return step.withColumns({out: made, "error_kind": fault["kind"], "error": fault["message"]}).drop(*held.values())
 
     def engine(self, asked: str = "auto") -> str:
-        """``catalyst``, or ``python`` for a tree beyond the budget of one column."""
+        """``catalyst``, or ``python`` for a tree beyond the budget where only one column is asked for."""
         return asked if asked != "auto" else "catalyst" if N.size(self.tree) <= BUDGET else "python"
 
     def _inputs(self, df: DataFrame) -> dict[str, Column]:
@@ -221,9 +250,17 @@ class Template:
                 out += [(test, "type_mismatch", F.concat(F.lit(f"'{d.name}"), text)) for test, text in found]
         return out
 
-    def render(self, df: DataFrame, out: str = "out", **how) -> DataFrame:
-        """``df`` with the text in a new column."""
-        return df.withColumn(out, self.column(df, **how))
+    def render(self, df: DataFrame, out: str = "out", *, allow_extra: bool = True, unchecked: bool = False, engine: str = "auto") -> DataFrame:
+        """``df`` with the text in a new column; of a large template by several projections (``operators/staged.py``)."""
+        if engine != "auto" or N.size(self.tree) <= BUDGET:
+            return df.withColumn(out, self.column(df, allow_extra=allow_extra, unchecked=unchecked, engine=engine))
+        columns, faults = self._checks(df, allow_extra, unchecked)
+        bad, made = _any(test for test, _, _ in faults), _fresh(df, "_made")
+        step = with_text(df, self._used_cases(df, columns), Lowering(columns.__getitem__, False), made, _fresh_prefix(df), None if bad is None else ~bad)
+        if bad is None:
+            return step.withColumn(out, F.col(made)).drop(made)
+        told = F.coalesce(*[F.when(test, F.raise_error(message).cast("string")) for test, _, message in faults])
+        return step.withColumn(made, F.when(bad, told).otherwise(F.col(made))).withColumn(out, F.col(made)).drop(made)
 
     def append(self, df: DataFrame, to: str, **how) -> DataFrame:
         """``df`` with the text appended to a column of text; the other columns are the parameters."""
@@ -300,7 +337,7 @@ class Template:
         """One record, on the driver."""
         values = values or {}
         columns = self._columns()
-        missing = [d.name for d in self.unit.head.params if d.required and d.name not in (self.given if _is_tmpl(d.type) else values) and not (_is_tmpl(d.type) and isinstance(d.type, Option))]
+        missing = self._missing(values)
         if missing:
             raise errors.MissingParams(missing)
         env = {d.name: check_value(d.type, values[d.name], d.name) if d.name in values else d.default for d in columns}
@@ -323,6 +360,14 @@ def _any(tests) -> Column | None:
     return got
 
 
+def _fresh_prefix(df: DataFrame) -> str:
+    """What no column of ``df`` begins with."""
+    prefix = "_piece"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def _fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -305,3 +305,103 @@ def test_short_and_long_lists_alike(spark):
     records = [{"x": [None if i % 3 == 1 else i for i in range(n)], "y": [{"a": f"v{i}"} for i in range(7 - n)]} for n in range(8)]
     df = spark.createDataFrame([(r["x"], [(e["a"],) for e in r["y"]]) for r in records], "x array<long>, y array<struct<a:string>>").coalesce(1)
     assert [r["out"] for r in t.render(df).collect()] == [t.render_dict(r) for r in records]
+
+
+def large(n):
+    """A template of about 10 n nodes: choices, matches, filters, nested large branches and stops."""
+    out = []
+    for i in range(n):
+        k = i % 5
+        if k == 0:
+            out.append(f"\n- row {i}: {{{{ f | upper }}}} {{{{ q | add({i}) }}}} {{{{ d }}}}\n")
+        elif k == 1:
+            out.append(f"\n> {{% if q > {i % 50} && f == \"A\" %}}a{i}{{% elif d < 0.0{i % 9} %}}b{{{{ d }}}}{{% else %}}c{i}{{% /if %}}\n")
+        elif k == 2:
+            out.append(f"\nx{i} {{{{ d | fixed(2) }}}}\n")
+        elif k == 3:
+            out.append(f"\n> {{% match f %}}{{% case \"A\" | \"N\" %}}{{{{ q | sub({i}) }}}}{{% else %}}r{i}{{% /match %}}\n")
+        else:
+            out.append(f"\n> {{% if q == {i} %}}{{% panic(\"stop {i} of {{{{ f }}}}\") %}}{{% /if %}}\n")
+    half = "".join(out[: n // 2])
+    return body(["q = int", "d = float", "f = str"], f"> {{% if f == \"R\" %}}\n{half}\n> {{% else %}}\n\nother\n{''.join(out[n // 2:])}\n> {{% /if %}}\n" + "".join(out[:20]))
+
+
+def test_large_template_by_projections(spark):
+    t = Template(large(400))
+    rows = [(i % 60, i / 16, "ANR"[i % 3]) for i in range(120)] + [(None, 1.0, "R"), (3, None, "A")]
+    df = spark.createDataFrame(rows, "q long, d double, f string").coalesce(1)
+    shown = t.render_try(df)
+    assert "Python" not in shown._jdf.queryExecution().executedPlan().toString()
+    kinds = set()
+    for (q, d, f), r in zip(rows, shown.collect()):
+        assert (r["out"], r["error_kind"]) == ((None, "type_mismatch") if q is None or d is None else expected(t, {"q": q, "d": d, "f": f}))
+        kinds.add(r["error_kind"])
+        assert r["error"] is None or r["error_kind"] != "panic" or r["error"] == f"template panic: stop {q} of {f}"
+    assert kinds == {None, "panic", "type_mismatch"}
+    good = df.where("q is not null and d is not null").where("q % 5 <> 4").withColumn("_piece0", F.lit("kept"))
+    got = t.render(good)
+    assert got.columns == ["q", "d", "f", "_piece0", "out"]
+    assert all(r["out"] == t.render_dict({"q": r["q"], "d": r["d"], "f": r["f"]}) and r["_piece0"] == "kept" for r in got.collect())
+
+
+HOSTILE = [f"a\x01\x02\x01panic\x01boo\x01\x03\x01b", *map(chr, range(0x20)), "\x7f\x85\u2028\ufeff", "panic", "error: template panic: x", "\x01\x03\x01"]
+
+
+@pytest.mark.parametrize("engine", ["catalyst", "python"])
+def test_errors_cannot_be_forged(spark, engine):
+    t = Template(body(["name = str", "xs = list(str)", "go = bool"], "{{ name }}|\n\n> {% for x in xs %}{{ x }}{% if go %}{% panic(\"no {{ x }}{{ name }}\") %}{% /if %}{% /for %}"))
+    rows = [(n, [n, "y"], go) for n in HOSTILE for go in (False, True)] + [("z", [], True)]
+    df = spark.createDataFrame(rows, "name string, xs array<string>, go boolean").coalesce(1)
+    for (name, xs, go), r in zip(rows, t.render_try(df, engine=engine).collect()):
+        if go and xs:
+            assert (r["out"], r["error_kind"], r["error"]) == (None, "panic", f"template panic: no {name}{name}")
+        else:
+            assert (r["out"], r["error_kind"], r["error"]) == (t.render_dict({"name": name, "xs": xs, "go": go}), None, None)
+
+
+def test_the_first_stop_is_told(spark):
+    """In conditions, messages, loops and what follows, in the order of the text."""
+    source = body(["a = int", "xs = list(int)"], "> {% for x in xs %}{% if x > a %}{% panic(\"big {{ x }}\") %}{% elif x == 0 %}{% panic(\"zero\") %}{% /if %}{{ x }}{% else %}{% panic(\"none\") %}{% /for %}\n\n> {% if a > 5 && a < 8 %}{% panic(\"late\") %}{% /if %}")
+    t = Template(source)
+    rows = [(a, xs) for a in (1, 6, 9) for xs in ([], [1], [0, 7], [7, 0], [1, 1, 8])]
+    got = t.render_try(spark.createDataFrame(rows, "a long, xs array<long>").coalesce(1)).collect()
+    for (a, xs), r in zip(rows, got):
+        try:
+            want = (t.render_dict({"a": a, "xs": xs}), None)
+        except errors.TemplateError as e:
+            want = (None, str(e))
+        assert (r["out"], r["error"]) == want
+
+
+def test_templates_by_row(spark):
+    """A row names its template; the parameters of all are checked once, an unknown name is the row's error."""
+    own = {f"t{i}": Template(body(["x = str", "n = int := 3"], f"<{i} {{{{ x | upper }}}} {{{{ n }}}}" + (" {% panic(\"never {{ x }}\") %}" if i == 7 else "") + ">")) for i in range(60)}
+    t = Template(body(["w = tmpl(x = str)", "xs = list(str)", "s = str"], "{% include w with x=s %}\n\n> {% for y in xs %}{% include w with x=y %};{% /for %}".replace("{%", "> {%", 1))).bind(w=own)
+    assert [f.name for f in t.schema().fields] == ["xs", "s", "w"]
+    rows = [(f"t{i % 62}" if i != 5 else None, ["a", "b"][: i % 3], f"s{i}") for i in range(130)]
+    df = spark.createDataFrame(rows, "w string, xs array<string>, s string").coalesce(1)
+    shown = t.render_try(df)
+    assert "Python" not in shown._jdf.queryExecution().executedPlan().toString()
+    kinds = set()
+    for (w, xs, s), r in zip(rows, shown.collect()):
+        if w is None:
+            assert r["error_kind"] == "type_mismatch" and "'w'" in r["error"]
+            continue
+        assert (r["out"], r["error_kind"]) == expected(t, {"w": w, "xs": xs, "s": s})
+        kinds.add(r["error_kind"])
+    assert kinds == {None, "panic", "include_not_found"}
+    good = df.where("w not in ('t7', 't60', 't61')")
+    assert all(r["out"] == t.render_dict({"w": r["w"], "xs": r["xs"], "s": r["s"]}) for r in t.render(good).collect())
+    with pytest.raises(errors.TemplateSyntaxError, match="does not match"):
+        t.bind(w=own | {"bad": Template(body(["x = int"], "{{ x }}"))})
+
+
+def test_paths_among_many_files(spark, tmp_path):
+    for i in range(1200):
+        (tmp_path / f"f{i}.tmpl.md").write_text(body(["n = str"], f"{i}: {{{{ n }}}}"))
+    t = Template(body(["n = str", "k = str"], "> {% include [f](./f{{ k }}.tmpl.md) with n=n %}"), base_dir=str(tmp_path))
+    rows = [(f"x{i}", str(i * 37 % 1300)) for i in range(200)]
+    shown = t.render_try(spark.createDataFrame(rows, "n string, k string").coalesce(1))
+    assert "Python" not in shown._jdf.queryExecution().executedPlan().toString()
+    for (n, k), r in zip(rows, shown.collect()):
+        assert (r["out"], r["error_kind"]) == ((f"{k}: {n}", None) if int(k) < 1200 else (None, "include_not_found"))
