@@ -326,10 +326,22 @@ class Template:
         raised = F.raise_error(F.regexp_replace(fault["message"], "^type mismatch: ", "type mismatch for ")).cast("string")
         return checked.withColumn(at["_fault"], F.when(bad, raised).otherwise(text)).drop(*[n for n in at.values() if n != at["_fault"]]).withColumn(out, fault).drop(at["_fault"])
 
+    def document_parts(self, df: DataFrame, order: list[str], separator: str = "", size: int = 1 << 20, **how) -> DataFrame:
+        """One document of all rows in order, of any size, as rows: part, start, bytes, text.  Parts follow each other; each has the texts that
+        begin in its ``size`` bytes."""
+        from .operators import documents
+
+        name = _fresh(df, "_text")
+        return documents.parts(self.render(df, name, **how), order, name, separator, size)
+
+    def write_document(self, df: DataFrame, order: list[str], path: str, separator: str = "", size: int = 1 << 24, **how) -> None:
+        """The parts as a table at ``path`` in the order of the document."""
+        self.document_parts(df, order, separator, size, **how).sort("part").write.parquet(path)
+
     def document(self, df: DataFrame, order: list[str], separator: str = "", **how) -> DataFrame:
-        """One text of all rows in order; for reports that one task can hold."""
-        rows = df.select(F.struct(*order).alias("k"), self.column(df, **how).alias("t"))
-        return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), separator).alias("out"))
+        """The document as one text, for those that one row can hold."""
+        parts = self.document_parts(df, order, separator, **how)
+        return parts.agg(F.coalesce(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY part)"), F.lit("")).alias("out"))
 
     # --- rendering of one record --------------------------------------------
 

@@ -405,3 +405,23 @@ def test_paths_among_many_files(spark, tmp_path):
     assert "Python" not in shown._jdf.queryExecution().executedPlan().toString()
     for (n, k), r in zip(rows, shown.collect()):
         assert (r["out"], r["error_kind"]) == ((f"{k}: {n}", None) if int(k) < 1200 else (None, "include_not_found"))
+
+
+@pytest.mark.parametrize("separator,size", [("", 1 << 20), ("--é", 40), ("", 1), ("\n", 1000)])
+def test_document_in_parts(spark, separator, size):
+    """Parts join to the rows' texts in order, and are the same however the rows are dealt."""
+    rng = __import__("random").Random(size)
+    rows = [(rng.choice([None, *range(30)]), rng.choice("ab"), rng.choice(["", "é", "x" * rng.randrange(60)])) for _ in range(400)] + [(7, "a", "same")] * 300
+    t = Template(body(["s = str"], "<{{ s }}>"))
+    want = [f"<{s}>" for _, _, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], f"{separator}<{r[2]}>".encode()))]
+    found = []
+    for n in (1, 3, 8):
+        df = spark.createDataFrame(rows, "k int, c string, s string").repartition(n)
+        got = t.document_parts(df, ["k", "c"], separator, size).sort("part").collect()
+        assert separator.join(want) == "".join(r["text"] for r in got)
+        assert [r["start"] for r in got] == [sum(x["bytes"] for x in got[:i]) for i in range(len(got))]
+        assert all(r["bytes"] == len(r["text"].encode()) and r["part"] == r["start"] // size for r in got)
+        found.append([tuple(r) for r in got])
+    assert found[0] == found[1] == found[2]
+    assert t.document(df.limit(0), ["k"]).first()["out"] == ""
+    assert t.document(df, ["k", "c"], separator).first()["out"] == separator.join(want)
