@@ -23,6 +23,14 @@ def _large(x: Column) -> Column:
     return F.coalesce(*[F.when(f.cast("double") == x, f) for f in forms]).cast("decimal(38,0)").cast("string")
 
 
+def _least(x: Column) -> Column:
+    """Below 1e-300, where few of the JVM's digits mean anything: as few digits as read as the same number."""
+    forms = [F.format_string(f"%.{n}e", x) for n in range(17)]
+    found = F.coalesce(*[F.when(f.cast("double") == x, f) for f in forms])
+    digits = F.regexp_replace(F.substring_index(found, "e", 1), r"\.", "")
+    return F.concat(F.lit("0."), F.repeat(F.lit("0"), F.substring_index(found, "e-", -1).cast("int") - 1), digits)
+
+
 def show_float(x: Column) -> Column:
     """Shortest digits without an exponent; -0.0 is 0.
 
@@ -36,6 +44,7 @@ def show_float(x: Column) -> Column:
         .when((size >= 1e-3) & (size < 1e7), x.cast("string"))
         .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
         .when((size >= 2.0**53) & (size < 1e30), F.concat(F.when(x < 0, "-").otherwise(""), F.when(size < 9.2e18, _whole(size)).otherwise(_large(size))))
+        .when(size < 1e-300, F.concat(F.when(x < 0, "-").otherwise(""), _least(size)))
         .otherwise(F.call_function("format_number", x, F.lit("0." + "#" * 340)))
     )
 

@@ -184,9 +184,11 @@ class Lowering:
                 got = _first(self.fault(test), F.when(self.test(test), chosen).otherwise(NO_FAULT() if got is None else got))
             return got
         if isinstance(n, N.Switch):
-            key, other = self.value(n.key), self.fault(n.other)
-            cases = [(name, NO_FAULT() if found is None else found) for name, body in n.cases for found in [self.fault(body)]]
-            return _first(self.fault(n.key), searched(key, cases, NO_FAULT() if other is None else other))
+            key, names = self.value(n.key), [name for name, _ in n.cases]
+            cases = [(name, found) for name, body in n.cases for found in [self.fault(body)] if found is not None]
+            inside, other = searched(key, cases, NO_FAULT()) if cases else NO_FAULT(), self.fault(n.other)
+            told = F.when(key.isin(names), inside).otherwise(other) if names and other is not None else inside if other is None else other
+            return _first(self.fault(n.key), told)
         if isinstance(n, N.Loop):
             over, found = self.value(n.over), [self.fault(n.over)]
             if self.stops(n.body):

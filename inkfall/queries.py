@@ -671,16 +671,15 @@ def _(spark, sf_dir):
     return df.select("c_custkey", t.column(df, engine="python").alias("out"))
 
 
-@_query(
-    "q_catalog",
-    (
-        "SELECT * FROM (VALUES ('fancy', 'name = str', ''), ('lib', '', 'DIR, NAMES'), ('plain', 'name = str', ''), ('row', "
-        "'nation = struct(key = int, name = str), mark = str', '')) t(name, params, consts)"
-    ),
-)
+@_query("q_catalog", "SELECT n_name AS name, 'of nation ' || n_nationkey AS description, 'name = str, k = int' AS params, 'k' AS defaults, 'REGION' AS consts FROM nation")
 def _(spark, sf_dir):
-    catalog = TemplateCatalog(_folder())
-    return catalog_df(spark, {n: catalog.load(n) for n in catalog.names()}).select("name", "params", "consts")
+    """A catalogue with a file for each nation, and its metadata as a table."""
+    files = {
+        r["n_name"]: _source("name = str\nk = int := 1", "{{ name }} {{ k }} {{ REGION }}", f"description: of nation {r['n_nationkey']}\nconsts:\n  - REGION = int := {r['n_regionkey']}\n\n")
+        for r in _table(spark, sf_dir, "nation").collect()
+    }
+    catalog = TemplateCatalog(template_folder(files))
+    return catalog_df(spark, {n: catalog.load(n) for n in catalog.names()}).select("name", "description", "params", "defaults", "consts")
 
 
 @_query("q_document", "SELECT string_agg('* ' || r_name || chr(10), '' ORDER BY r_regionkey) AS out FROM region")

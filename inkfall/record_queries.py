@@ -110,18 +110,25 @@ def _(spark, sf_dir):
     return t.render_json(df, catch=True).select("event_id", "out", "error_kind", "error")
 
 
-@_query("q_objects", _values([(1, "1 a 2.5 x,y Done bob"), (2, "2 b 0  Open")], "id, out"))
+OBJECTS_SQL = """
+SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey || ' ' || lower(n_name) || ' ' || (n_nationkey + 0.5) || ' x,' || n_regionkey || ' Done ' || n_name
+  ELSE n_nationkey || ' ' || lower(n_name) || ' 0  Open' END AS out
+FROM nation
+"""
+
+
+@_query("q_objects", OBJECTS_SQL)
 def _(spark, sf_dir):
-    """Records of the host language: lists, structs, variants, and defaults of what they leave out."""
+    """Records of the host language, one for each nation: lists, structs and variants."""
     kinds = "types:\n  - S = enum(Open, Done(by = str))\n\n"
-    body = "{{ id }} {{ u.n }} {{ f }} {{ xs | join(\",\") }} {{ kind(s) }}{% match s case Done %} {{ s.by }}{% /match %}"
+    body = "{{ id }} {{ u.n | lower }} {{ f }} {{ xs | join(\",\") }} {{ kind(s) }}{% match s case Done %} {{ s.by }}{% /match %}"
     t = Template(_source(["id = int", "u = struct(n = str)", "f = float", "xs = list(str)", "s = S"], body, kinds))
-    done = {"__kind__": "Done", "by": "bob"}
-    records = [
-        {"id": 1, "u": {"n": "a"}, "f": 2.5, "xs": ["x", "y"], "s": done},
-        {"id": 2, "u": {"n": "b"}, "f": 0, "xs": [], "s": {"__kind__": "Open"}},
-    ]
-    df = t.frame(spark, records)
+
+    def record(key: int, name: str, region: int) -> dict:
+        even = {"f": key + 0.5, "xs": ["x", str(region)], "s": {"__kind__": "Done", "by": name}}
+        return {"id": key, "u": {"n": name}} | (even if key % 2 == 0 else {"f": 0, "xs": [], "s": {"__kind__": "Open"}})
+
+    df = t.frame(spark, [record(*r) for r in _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()])
     return df.select("id", t.column(df).alias("out"))
 
 
@@ -266,6 +273,146 @@ def _(spark, sf_dir):
     return t.render_try(df).select("r_regionkey", "out", "error_kind", "error")
 
 
+# --- large templates, templates by row, many files --------------------------
+
+#: A template of 1000 parts, about 10 000 nodes, and the SQL of each part.
+_PARTS = 1000
+
+
+def _large_part(i: int) -> tuple[str, str]:
+    q, f, d = "(l_quantity::bigint)", "l_returnflag", "l_discount"
+    shown = f"regexp_replace({d}::varchar, '\\.0$', '')"
+    kind = i % 4
+    if kind == 0:
+        return f"r{i} {{{{ f | lower }}}} {{{{ q | add({i}) }}}};", f"'r{i} ' || lower({f}) || ' ' || ({q} + {i}) || ';'"
+    if kind == 1:
+        text = f"{{% if q > {i % 50} && f == \"A\" %}}a{i}{{% elif d < 0.0{i % 9} %}}b{{{{ d }}}}{{% else %}}c{i}{{% /if %}};"
+        return text, f"CASE WHEN {q} > {i % 50} AND {f} = 'A' THEN 'a{i}' WHEN {d} < 0.0{i % 9} THEN 'b' || {shown} ELSE 'c{i}' END || ';'"
+    if kind == 2:
+        return f"x{i} {{{{ d | fixed(2) }}}};", f"'x{i} ' || printf('%.2f', {d}) || ';'"
+    return f"{{% match f %}}{{% case \"A\" | \"N\" %}}{{{{ q | sub({i}) }}}}{{% else %}}r{i}{{% /match %}};", f"CASE WHEN {f} IN ('A', 'N') THEN ({q} - {i})::varchar ELSE 'r{i}' END || ';'"
+
+
+LARGE_SQL = "SELECT l_orderkey, l_linenumber, length(t)::int AS size, md5(t) AS digest FROM (SELECT l_orderkey, l_linenumber, concat('parts: ', {}) AS t FROM lineitem)"
+
+
+@_query("q_large_template", LARGE_SQL.format(", ".join(_large_part(i)[1] for i in range(_PARTS))))
+def _(spark, sf_dir):
+    """A text of 1000 parts for each line, by several projections of generated code."""
+    t = Template(_source(["q = int", "d = float", "f = str"], "parts: " + "".join(_large_part(i)[0] for i in range(_PARTS))))
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), F.col("l_discount").alias("d"), F.col("l_returnflag").alias("f"))
+    return t.render(df).select("l_orderkey", "l_linenumber", F.length("out").alias("size"), F.md5(F.col("out").cast("binary")).alias("digest"))
+
+
+BY_ROW_SQL = """
+SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN '[' || k || '] ' || upper(c_name) WHEN c_nationkey % 3 = 1 THEN k || ': ' || c_name || ' in ' || lower(c_mktsegment)
+  ELSE CASE WHEN c_acctbal > 5000 THEN 'rich ' || k ELSE c_name || '/' || k END END AS out
+FROM (SELECT *, c_nationkey || CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'good' END AS k FROM customer)
+"""
+
+
+@_query("q_template_by_row", BY_ROW_SQL)
+def _(spark, sf_dir):
+    """Each customer names one of 50 templates, by nation and balance."""
+
+    def own(nation: int, k: str) -> Template:
+        bodies = (f"[{k}] {{{{ n | upper }}}}", f"{k}: {{{{ n }}}} in {{{{ s | lower }}}}", f"> {{% if b > 5000 %}}rich {k}{{% else %}}{{{{ n }}}}/{k}{{% /if %}}")
+        return Template(_source(["n = str", "s = str", "b = float"], bodies[nation % 3] + "{# {{ n }} {{ s }} {{ b }} #}"))
+
+    t = Template(_source(["page = tmpl(n = str, s = str, b = float)", "n = str", "s = str", "b = float"], "> {% include page with n=n, s=s, b=b %}"))
+    t = t.bind(page={f"{n}{k}": own(n, f"{n}{k}") for n in range(25) for k in ("debt", "good")})
+    page = F.concat(F.col("c_nationkey").cast("string"), F.when(F.col("c_acctbal") < 0, "debt").otherwise("good"))
+    df = _table(spark, sf_dir, "customer").select("c_custkey", page.alias("page"), F.col("c_name").alias("n"), F.col("c_mktsegment").alias("s"), F.col("c_acctbal").alias("b"))
+    return t.render(df).select("c_custkey", "out")
+
+
+FILES_SQL = """
+SELECT o_orderkey, CASE WHEN o_custkey % 211 < 200 THEN 'file ' || (o_custkey % 211 * 25) || ' of ' || o_orderstatus END AS out,
+  CASE WHEN o_custkey % 211 >= 200 THEN 'include_not_found' END AS error_kind,
+  CASE WHEN o_custkey % 211 >= 200 THEN 'include not found: ./f' || (o_custkey % 211 * 25) || '.tmpl.md' END AS error
+FROM orders
+"""
+
+
+@functools.cache
+def _many_files() -> str:
+    return template_folder({f"f{i}": _source(["s = str"], f"file {i} of {{{{ s }}}}") for i in range(5000)})
+
+
+@_query("q_include_files", FILES_SQL)
+def _(spark, sf_dir):
+    """A path that depends on the row, among 5000 files."""
+    t = Template(_source(["k = int", "s = str"], "> {% include [f](./f{{ k }}.tmpl.md) with s=s %}"), base_dir=_many_files())
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 211 * 25).cast("long").alias("k"), F.col("o_orderstatus").alias("s"))
+    return t.render_try(df).select("o_orderkey", "out", "error_kind", "error")
+
+
+HOSTILE_SQL = """
+SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN name || ' ok' END AS out, CASE WHEN c_acctbal < 0 THEN 'panic' END AS error_kind,
+  CASE WHEN c_acctbal < 0 THEN 'template panic: debt of ' || name END AS error
+FROM (SELECT *, chr(1) || chr(2) || chr(1) || 'panic' || chr(1) || c_name || chr(1) || chr(3) || chr(1) || chr(1 + (c_custkey % 31)::int) AS name FROM customer)
+"""
+
+
+@_query("q_render_try_hostile", HOSTILE_SQL)
+def _(spark, sf_dir):
+    """Names of control characters neither look like errors nor hide them."""
+    t = Template(_source(["name = str", "b = float"], "{{ name }} {% if b < 0 %}{% panic(\"debt of {{ name }}\") %}{% /if %}ok"))
+    c = lambda n: F.lit(chr(n))
+    name = F.concat(c(1), c(2), c(1), F.lit("panic"), c(1), F.col("c_name"), c(1), c(3), c(1), F.char((1 + F.col("c_custkey") % 31).cast("long")))
+    df = _table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), F.col("c_acctbal").alias("b"))
+    return t.render_try(df).select("c_custkey", "out", "error_kind", "error")
+
+
+NESTED_SQL = f"""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) - 1 AS i FROM lineitem),
+o AS (
+  SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i,
+    CASE WHEN o_totalprice > 150000 THEN '!' ELSE '' END AS mark
+  FROM orders
+),
+t AS (
+  SELECT o.o_custkey, o.i, o.mark, o.o_orderkey, coalesce(string_agg('(' || o.i || '.' || l.i || ' ' || lower(l_returnflag) || {_DIGITS} ||
+    CASE WHEN l_quantity > 25 THEN '+' ELSE '' END || ')', '' ORDER BY l.i), 'empty') AS lines
+  FROM o LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4
+)
+SELECT c_custkey, c_name || ':' || coalesce(string_agg(' ' || t.o_orderkey || mark || '=' || lines, '' ORDER BY t.i), ' no orders') AS out
+FROM customer LEFT JOIN t ON o_custkey = c_custkey GROUP BY c_custkey, c_name
+"""
+
+
+@_query("q_customer_orders", NESTED_SQL)
+def _(spark, sf_dir):
+    """Three levels: each customer's orders, their lines, with indexes of both loops and what stands where a list is empty."""
+    none = F.array().cast("array<struct<no:bigint,q:double,flag:string>>")
+    orders = _table(spark, sf_dir, "orders").join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    order = F.struct(F.col("o_orderkey").cast("long").alias("key"), (F.col("o_totalprice") > 150000).alias("big"), F.coalesce("lines", none).alias("lines"))
+    lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("orders"))
+    df = _table(spark, sf_dir, "customer").join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
+    empty = F.array().cast("array<struct<key:bigint,big:boolean,lines:array<struct<no:bigint,q:double,flag:string>>>>")
+    df = df.select("c_custkey", F.col("c_name").alias("name"), F.coalesce("orders", empty).alias("orders"))
+    line = "{% for l in o.lines %}({{ idx(o) }}.{{ idx(l) }} {{ l.flag | lower }}{{ l.q }}{% if l.q > 25 %}+{% /if %}){% else %}empty{% /for %}"
+    body = "{{ name }}:{% for o in orders %} {{ o.key }}{% if o.big %}!{% /if %}=" + line + "{% else %} no orders{% /for %}"
+    t = Template(_source(["name = str", "orders = list(key = int, big = bool, lines = list(no = int, q = float, flag = str))"], body))
+    return t.render(df).select("c_custkey", "out")
+
+
+PARTS_SQL = """
+SELECT (begin // 65536)::bigint AS part, min(begin)::bigint AS start, sum(strlen(t))::bigint AS bytes, md5(string_agg(t, '' ORDER BY begin)) AS digest
+FROM (SELECT t, coalesce(sum(strlen(t)) OVER (ORDER BY l_orderkey, l_linenumber, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM (SELECT l_orderkey, l_linenumber, '- ' || l_orderkey || '.' || l_linenumber || ' ' || l_returnflag || ' ' || (l_quantity::bigint) || chr(10) AS t FROM lineitem))
+GROUP BY 1
+"""
+
+
+@_query("q_document_parts", PARTS_SQL)
+def _(spark, sf_dir):
+    """One document of all lines, in parts of 64 KB."""
+    t = Template(_source(["k = int", "n = int", "f = str", "q = int"], "- {{ k }}.{{ n }} {{ f }} {{ q }}\n"))
+    df = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("long").alias("q"))
+    return t.document_parts(df, ["k", "n"], size=1 << 16).select("part", "start", "bytes", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # --- compiling and loading --------------------------------------------------
 
 #: Template files of these queries.
@@ -302,17 +449,18 @@ FAULTS: dict[str, tuple[str, str, int | None, str]] = {
 }
 
 
-@_query("q_compile_faults", _values([(n, kind, line, "yes") for n, (_, kind, line, _) in FAULTS.items()], "name, error_kind, line, told"))
+@_query("q_compile_faults", f"SELECT n_nationkey, f.* FROM nation, ({_values([(n, kind, line, 'yes') for n, (_, kind, line, _) in FAULTS.items()], 'name, error_kind, line, told')}) f")
 def _(spark, sf_dir):
-    """What each faulty source gives: the kind of error, its line, and whether the message says what it must."""
+    """What each faulty source gives, with every nation's name in a comment: the kind of error, its line, and whether the message says what it must."""
     rows = []
-    for name, (source, _, _, words) in FAULTS.items():
-        try:
-            Template(source, base_dir=_folder(), env={"E": "e"})
-            rows.append((name, None, None, "no"))
-        except errors.TemplateError as e:
-            rows.append((name, e.kind, getattr(e, "line", None), "yes" if words in str(e) else str(e)))
-    return spark.createDataFrame(rows, "name string, error_kind string, line int, told string")
+    for key, nation in _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
+        for name, (source, _, _, words) in FAULTS.items():
+            try:
+                Template(f"{source}\n\n> {{# {nation} #}}\n", base_dir=_folder(), env={"E": "e"})
+                rows.append((key, name, None, None, "no"))
+            except errors.TemplateError as e:
+                rows.append((key, name, e.kind, getattr(e, "line", None), "yes" if words in str(e) else str(e)))
+    return spark.createDataFrame(rows, "n_nationkey int, name string, error_kind string, line int, told string")
 
 
 def _caught(run: Callable[[], object]) -> str:
@@ -378,10 +526,11 @@ def _unchecked(spark: SparkSession) -> str:
     return "".join(r["out"] for r in shown.orderBy("k").collect())
 
 
-@_query("q_api", _values([(name, want) for name, (_, want) in API.items()], "name, result"))
+@_query("q_api", f"SELECT r_regionkey, f.* FROM region, ({_values([(name, want) for name, (_, want) in API.items()], 'name, result')}) f")
 def _(spark, sf_dir):
-    """Calls of the library that are no rendering of a table, and what they give."""
-    return spark.createDataFrame([(name, run(spark)) for name, (run, _) in API.items()], "name string, result string")
+    """Calls of the library that are no rendering of a table, and what they give, once for each region."""
+    keys = [r[0] for r in _table(spark, sf_dir, "region").select("r_regionkey").collect()]
+    return spark.createDataFrame([(key, name, run(spark)) for key in keys for name, (run, _) in API.items()], "r_regionkey int, name string, result string")
 
 
 def queries() -> dict[str, Query]:

@@ -292,7 +292,9 @@ def test_digits_of_large_and_small_numbers(spark):
     rng = random.Random(11)
     xs = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(1500)] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 20) for _ in range(1500)]
     xs += [-7.42745909780761e17, 2e23, 1e23, 9e-22, 1.7976931348623157e308, 9007199254740993.0, 1039514241563211.8, 9.223372036854775e18, 123456789.125]
-    xs = [x for x in xs if math.isfinite(x) and abs(x) > 1e-300]  # the JVM shows the least of all as 4.9e-324
+    xs += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(rng.randint(1, 52)) | 1))[0] * rng.choice((1, -1)) for _ in range(1500)]  # below the normal ones
+    xs += [k * 5e-324 for k in range(1, 120)] + [2.2250738585072014e-308, 1e-300, 9.999e-301]
+    xs = [x for x in xs if math.isfinite(x)]
     t = Template(body(["x = float"], "{{ x }}"))
     got = [r["out"] for r in t.render(spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)).collect()]
     plain = [format(Decimal(repr(x)), "f") for x in xs]
