@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import errors
+from .operators import columnar
 from .operators.batches import python_column
 from .operators.checks import Columns, Records
 from .operators.lower import BUDGET, PREFIX, Lowering, constant, lower, lower_caught
@@ -226,8 +227,11 @@ class Template:
         return step.withColumns({out: made, "error_kind": fault["kind"], "error": fault["message"]}).drop(*held.values())
 
     def engine(self, asked: str = "auto") -> str:
-        """``catalyst``, or ``python`` for a tree beyond the budget where only one column is asked for."""
-        return asked if asked != "auto" else "catalyst" if N.size(self.tree) <= BUDGET else "python"
+        """``catalyst``, or ``python`` (Arrow batches): for loops in loops, which go by columns there and by lambdas else, and for a
+        tree beyond the budget where only one column is asked for."""
+        if asked != "auto":
+            return asked
+        return "python" if N.size(self.tree) > BUDGET or columnar.nested(self.tree) and columnar.supported(self.tree) else "catalyst"
 
     def _inputs(self, df: DataFrame) -> dict[str, Column]:
         out = {}

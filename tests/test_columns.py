@@ -427,3 +427,37 @@ def test_document_in_parts(spark, separator, size):
     assert found[0] == found[1] == found[2]
     assert t.document(df.limit(0), ["k"]).first()["out"] == ""
     assert t.document(df, ["k", "c"], separator).first()["out"] == separator.join(want)
+
+
+COLUMNAR = body(
+    ["name = str", "f = float", "parts = list(h = str, o = option(int), rows = list(n = str, on = bool, x = float, k = K, marks = list(str), m = int))"],
+    "# {{ name | upper }} {{ f | fixed(2) }}\n\n> {% for p in parts %}\n\n## {{ idx(p) }} {{ p.h | trim }}{% match p.o %}{% case Some %} o{{ p.o }}{% case None %} no{% /match %}\n\n"
+    "> {% for r in p.rows %}\n\n- {{ idx(p) }}.{{ idx(r) }} {{ r.n | lower }} {{ r.x }} {{ r.m | add(9223372036854775000) }} {{ kind(r.k) }} {{ r.marks | limit(2) | join(\"+\") }} of {{ name }}\n\n"
+    "> {% if r.on && r.x > 1 || !(r.m >= 2) %}\n\nyes {{ r.x | fixed(1) }}\n\n> {% elif r.n == p.h %}\n\nsame\n\n> {% elif r.m > 7 %}\n\n{% panic(\"seven {{ r.n }}\") %}\n\n> {% else %}\n\nno {{ len(r.marks) }}\n\n> {% /if %}\n"
+    "> {% for t in r.marks %}\n\n  * {{ t }}/{{ p.h }}\n\n> {% else %}\n\nbare\n\n> {% /for %}\n> {% else %}\n\nempty {{ name }}\n\n> {% /for %}\n> {% else %}\n\nnothing\n\n> {% /for %}\n",
+    "types:\n  - K = enum(A, B)\n\n",
+)
+
+
+def test_loops_by_columns(spark):
+    """Nested loops in Arrow batches against single records: lists of every length, stops, nulls, text beyond ASCII."""
+    from inkfall.operators import columnar
+
+    rng = __import__("random").Random(6)
+    t = Template(COLUMNAR.replace("\n{% panic", "\n> {% panic"))
+    assert columnar.nested(t.tree) and columnar.supported(t.tree) and t.engine() == "python"
+    word = lambda: rng.choice(["", "a", " b ", "Straße", "ΑΣ", "x\x1cy", "long word"])
+    row = lambda: {"n": word(), "on": rng.random() < 0.5, "x": rng.choice([0.0, 1.5, -0.0, 1e300, 0.125, float("nan")]), "k": rng.choice("AB"), "marks": [word() for _ in range(rng.randrange(4))], "m": rng.choice([0, 1, 2, 5, 2**62, 8])}
+    part = lambda: {"h": word(), "o": rng.choice([None, 3]), "rows": [row() for _ in range(rng.randrange(4))]}
+    records = [{"name": word(), "f": rng.random(), "parts": [part() for _ in range(rng.randrange(4))]} for _ in range(300)]
+    df = t.frame(spark, records).withColumn("name", F.when(F.col("f") > 0.05, F.col("name"))).coalesce(1)
+    kinds = set()
+    for r, record in zip(t.render_try(df).collect(), records):
+        want = (None, "type_mismatch") if record["f"] <= 0.05 else expected(t, record)
+        assert (r["out"], r["error_kind"]) == want
+        kinds.add(r["error_kind"])
+    assert kinds == {None, "panic", "type_mismatch"}
+    asked = __import__("pyarrow").array([{"name": r["name"], "f": r["f"], "parts": r["parts"]} for r in records])
+    texts, stopped = columnar.render(t.tree, asked)
+    assert [expected(t, r)[1] == "panic" for r in records] == stopped.tolist()
+    assert all(s or x.as_py() == expected(t, r)[0] for x, s, r in zip(texts, stopped, records))
