@@ -64,6 +64,26 @@ def _(spark, sf_dir):
     return Template(CUSTOMER).render_cbor(df).select("c_custkey", "out")
 
 
+CBOR_LINES_SQL = """
+SELECT l_orderkey, l_linenumber, l_orderkey || ' ' || l_returnflag || ' [' || (l_quantity::bigint) || ',' || l_linenumber || '] 7 ' ||
+  CASE WHEN l_linenumber % 2 = 0 THEN 'odd' ELSE l_linestatus END AS out
+FROM lineitem
+"""
+
+
+@_query("q_cbor_lines", CBOR_LINES_SQL)
+def _(spark, sf_dir):
+    """A map of four with a list of numbers and an optional record in it, for each line; what is absent has its default."""
+    eight = lambda e: f"'1B', lpad(hex(cast({e} as bigint)), 16, '0')"
+    short = lambda e: f"'61', hex({e})"
+    some = f"concat('A16173', {short('l_linestatus')})"
+    parts = ["'A4616B'", eight("l_orderkey"), "'6166'", short("l_returnflag"), "'627873', '82'", eight("l_quantity"), eight("l_linenumber"), "'616F'", f"if(l_linenumber % 2 = 0, 'F6', {some})"]
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_bytes(*parts)).alias("cbor"))
+    body = "{{ k }} {{ f }} [{{ xs | join(\",\") }}] {{ n }} {% match o %}{% case Some %}{{ o.s }}{% case None %}odd{% /match %}"
+    t = Template(_source(["k = int", "f = str", "xs = list(int)", "n = int := 7", "o = option(struct(s = str))"], body))
+    return t.render_cbor(df).select("l_orderkey", "l_linenumber", "out")
+
+
 @_query("q_flexbuffers", CUSTOMER_SQL)
 def _(spark, sf_dir):
     """Keys, the text, a vector of key offsets, then a map of eight-byte values: k in place, s by its offset."""

@@ -283,8 +283,13 @@ class Template:
 
     def render_cbor(self, df: DataFrame, cbor: str = "cbor", out: str = "out", **how) -> DataFrame:
         """Rows of a column of CBOR records as the parameters, as for JSON."""
-        from .sources import binary
+        from .sources import binary, cbor_batches
 
+        kinds = {d.name: d.type for d in self._columns()}
+        if kinds and all(map(cbor_batches.supported, kinds.values())):
+            typed, optional = _fresh(df, "_typed"), {d.name for d in self._columns() if not d.required}
+            held = df.withColumn(typed, binary.cbor_struct(F.col(cbor), kinds, optional, how.get("allow_extra", False)))
+            return self._render_records(held, F.col(typed)["json"], out, typed=F.col(typed), **how).drop(typed)
         return self._render_records(df, binary.json_text(F.col(cbor), binary.cbor), out, **how)
 
     def render_flexbuffers(self, df: DataFrame, buffers: str = "buffers", out: str = "out", **how) -> DataFrame:
@@ -293,8 +298,8 @@ class Template:
 
         return self._render_records(df, binary.json_text(F.col(buffers), binary.flexbuffer), out, **how)
 
-    def _render_records(self, df: DataFrame, json: Column, out: str, *, allow_extra: bool = False, engine: str = "auto", catch: bool = False) -> DataFrame:
-        """With ``catch`` errors are columns, as in ``render_try``.
+    def _render_records(self, df: DataFrame, json: Column, out: str, *, allow_extra: bool = False, engine: str = "auto", catch: bool = False, typed: Column | None = None) -> DataFrame:
+        """``typed`` are values that are known without their JSON.  With ``catch`` errors are columns, as in ``render_try``.
 
         Each step is a projection of its own, so a record is parsed once, each parameter is looked up once, and its kind is asked for once."""
         at = {n: _fresh(df, n) for n in ("_variant", "_record", "_fault", "_params", *[f"{k}_{d.name}" for d in self._columns() for k in ("_own", "_kind")])}
@@ -322,7 +327,12 @@ class Template:
         # Values are made of records without a fault only.
         told = F.coalesce(*[F.when(test, F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(PREFIX[kind]), message).alias("message"))) for test, kind, message in faults])
         fault, columns = F.col(at["_fault"]), {n: F.col(at["_params"]).getField(n) for n in own}
-        checked = parsed.withColumn(at["_fault"], told).drop(at["_variant"]).withColumn(at["_params"], F.when(fault.isNull(), F.struct(F.lit(1).alias("_"), *fields)))
+        made = F.when(fault.isNull(), F.struct(F.lit(1).alias("_"), *fields))
+        if typed is not None:
+            told = F.when(~typed["ok"], told)
+            known = lambda d: typed["value"][d.name] if d.required else F.when(typed["there"][d.name], typed["value"][d.name]).otherwise(constant(d.default, d.type))
+            made = F.when(typed["ok"], F.struct(F.lit(1).alias("_"), *[known(d).alias(d.name) for d in self._columns()])).otherwise(made)
+        checked = parsed.withColumn(at["_fault"], told).drop(at["_variant"]).withColumn(at["_params"], made)
         if catch:
             return self._caught(checked, columns, fault, engine, out).drop(*at.values())
         bad = fault.isNotNull()

@@ -461,3 +461,55 @@ def test_loops_by_columns(spark):
     texts, stopped = columnar.render(t.tree, asked)
     assert [expected(t, r)[1] == "panic" for r in records] == stopped.tolist()
     assert all(s or x.as_py() == expected(t, r)[0] for x, s, r in zip(texts, stopped, records))
+
+
+def test_cbor_by_batches(spark):
+    """The batch decoder against the one for single records: it gives the same values, or leaves the record to it."""
+    import pyarrow as pa
+
+    from inkfall.plans.types import FLOAT, INT, STR
+    from inkfall.sources import binary, cbor_batches
+
+    rng = __import__("random").Random(12)
+    t = Template(body(["n = int := 3", "s = str", "f = float", "o = option(struct(m = list(list(int)), t = str))", "ks = list(K)", "rows = list(a = str, b = bool, o = option(int))"], "{{ n }}{{ s }}{{ f }}{% match o case Some %}{{ len(o.m) }}{{ o.t }}{% /match %}{{ ks | join(\",\") }}\n\n> {% for r in rows %}{{ r.a }}{{ r.b }};{% /for %}", "types:\n  - K = enum(A, B)\n\n") + "{# {{ n }} #}")
+    word = lambda: rng.choice(["", "a", "é" * 30, "x" * 300])
+    number = lambda: rng.choice([0, -1, 23, 24, 255, 256, -70000, 2**40, -(2**63), 2**63 - 1])
+
+    def record():
+        got = {"n": number(), "s": word(), "f": rng.choice([1.5, -0.25, 3, 1e300]), "o": rng.choice([None, {"m": [[number()] * rng.randrange(3)] * rng.randrange(3), "t": word(), "more": rng.choice(["t", None, 5, 2.5])}]), "ks": [rng.choice("AB") for _ in range(rng.randrange(30))], "rows": [{"b": rng.random() < 0.5, "a": word(), "o": rng.choice([None, 7])} for _ in range(rng.randrange(4))]}
+        return {k: got[k] for k in rng.sample(list(got), len(got)) if k != "n" or rng.random() < 0.7}
+
+    good = [record() for _ in range(400)]
+    kinds = {d.name: d.type for d in t._columns()}
+    data = [cbor_bytes(r) for r in good]
+    arrays, there, odd = cbor_batches.decoded(pa.array(data, pa.binary()), kinds, {"n"}, False)
+    assert not odd.any()
+    shape = lambda k, v: None if v is None else {n: shape(x, v.get(n)) for n, x in k.fields} if hasattr(k, "fields") else [shape(k.item, x) for x in v] if hasattr(k, "item") else shape(k.inner, v) if hasattr(k, "inner") else float(v) if k == FLOAT else v
+    for name, values, has in zip(kinds, arrays, there):
+        assert has.tolist() == [name in r for r in good]
+        assert values.to_pylist() == [shape(kinds[name], r[name]) if name in r else None for r in good]
+    # Whatever is done to the bytes, both decoders agree, or the record is left to the other one.
+    broken = []
+    for _ in range(3000):
+        b = bytearray(rng.choice(data[:60]))
+        for _ in range(rng.randrange(1, 3)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        broken.append(bytes(b[: rng.randrange(len(b) + 1)] if rng.random() < 0.3 else b))
+    for flat in ({"s": STR, "n": INT}, kinds):
+        for b in broken:
+            try:
+                arrays, there, odd = cbor_batches.decoded(pa.array([b], pa.binary()), flat, set(flat), True)
+            except pa.ArrowException:
+                continue
+            if odd[0]:
+                continue
+            want = binary.cbor(b)
+            for name, values, has in zip(flat, arrays, there):
+                assert has[0] == (name in want) and (not has[0] or str(values[0].as_py()) == str(shape(flat[name], want[name])))
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(data[:100] + broken[:300])], "id long, cbor binary").coalesce(1)
+    from pyspark.sql import functions as F
+
+    plain = df.withColumn("json", binary.json_text(F.col("cbor"), binary.cbor))
+    one = t.render_cbor(df, catch=True).select("id", "out", "error_kind", "error").orderBy("id").collect()
+    assert one == t.render_json(plain, catch=True).select("id", "out", "error_kind", "error").orderBy("id").collect()
+    assert [r["out"] for r in one[:100]] == [t.render_dict(r if r["o"] is None else r | {"o": {k: v for k, v in r["o"].items() if k != "more"}}) for r in good[:100]]
