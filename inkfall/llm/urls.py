@@ -174,8 +174,11 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url.alias("key"), tokens_of(url).alias("tokens"))
     rule, verdict = given_rule(F.col("host"), F.col("path"))
     base = base.withColumns({"rule": rule, "given": verdict})
-    # Urls are looked up once each, however many rows have them.
-    asked = base.where("given is null and size(tokens) > 0").select("key", "tokens").distinct()
+    # Urls are looked up once each, however many rows have them.  Rows that need no look-up get keys that no url has, so that they are
+    # spread over the join: those without a url would meet in one task.
+    needed = F.col("given").isNull() & (F.size("tokens") > 0)
+    base = base.withColumn("key", F.when(needed, F.col("key")).otherwise(F.concat(F.lit("-"), (F.monotonically_increasing_id() % 4096).cast("string"))))
+    asked = base.where(needed).select("key", "tokens").distinct()
     found = matched(asked, rules)
     joined = base.drop("tokens").join(found, "key", "left")
     final = F.coalesce("given", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))

@@ -144,6 +144,29 @@ def test_mined_rules_hold_on_other_pages(spark):
     assert n > 150 and good / n > 0.9
 
 
+def test_mined_rules_on_uncovered_pages(spark):
+    """Labels that bear on urls, with noise, on pages that no given rule covers; judged on pages that were not learned from."""
+    rng = random.Random(31)
+    words, places, rows = ["casino", "poker", "news", "maps", "blog", "shop"], ["en", "de", "item", "win", "free"], []
+    for i in range(4000):
+        host, path, keys = rng.choice(words), rng.choice(places), rng.choice(["", "?ref=1", "?bonus=1"])
+        url = f"https://{rng.choice(['www', 'm', 'x' + str(i % 40)])}.{host}-{rng.choice('abc')}.org/{path}/{i}{keys}"
+        shady = host in ("casino", "poker") or (path == "win" and "bonus" in keys)
+        rows.append((i, url, rng.random() < (0.93 if shady else 0.03), shady))
+    labelled = spark.createDataFrame(rows, "page_id long, url string, bad boolean, shady boolean").repartition(3)
+    held = F.col("page_id") % 4 == 1
+    rules = urls.mined_rules(labelled.where(~held).select("url", "bad"))
+    named = {tuple(sorted(r["antecedent"])) for r in rules.collect()}
+    assert {("w:casino",), ("w:poker",)} <= named and ("p:win", "q:bonus") in named
+    got = urls.judged(labelled.where(held).select("page_id", "url"), rules).collect()
+    truth = {i: (bad, shady) for i, _, bad, shady in rows}
+    blocked = [truth[r["page_id"]] for r in got if r["verdict"] == "block"]
+    base = sum(truth[r["page_id"]][0] for r in got) / len(got)
+    assert len(got) == 1000 and len(blocked) > 300
+    assert sum(bad for bad, _ in blocked) / len(blocked) >= 2 * base
+    assert all(truth[r["page_id"]][1] == (r["verdict"] == "block") for r in got)
+
+
 @pytest.mark.parametrize("labels", [0, 1])
 def test_url_query_of_odd_tables(spark, tmp_path, labels):
     """Empty labels or pages; nulls, repeated rows, columns of clashing names, one very long url."""
