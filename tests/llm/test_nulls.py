@@ -1,7 +1,11 @@
 """Rows with nulls in every column, in every operator on documents."""
 
+import ctypes
+import hashlib
+
 import numpy as np
 import pytest
+import xxhash
 
 from inkfall.llm import fingerprint, jaccard, media, mixing, packing, substring, tokencount, toxicity
 
@@ -32,8 +36,18 @@ def test_every_row_comes_back(docs, name, make):
     assert got == sorted((i is None, i or 0) for i, _, _ in ROWS)
 
 
-def test_rows_without_id_have_no_neighbour(docs):
-    assert sorted(r["doc_id"] for r in fingerprint.edited_digests(docs).collect()) == [1, 1, 2, 2, 3]
+@pytest.mark.parametrize("copies", [1, 40])
+def test_neighbours_of_rows_without_id(spark, copies):
+    """Rows without an id come last in descending order, by a hash of their text; each row's next one is the row before in the other order."""
+    rows = [(i, t) for i, t in [(None, "b b b b"), (None, "c é c"), (None, ""), (2, "xyz xyz"), (2, "other"), (-1, "minus one"), (7, None)] for _ in range(copies)]
+    hashed = lambda t: ctypes.c_int64(xxhash.xxh64_intdigest(t.encode(), 42)).value
+    order = sorted((i is not None, i or 0, hashed(t or ""), t or "") for i, t in rows)
+    want = []
+    for at, (known, i, _, text) in enumerate(order):
+        cut, after = len(text) // 3, order[at - 1][3]
+        want.append((i if known else None, len(text), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
+    got = fingerprint.edited_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
 def test_labels_with_nulls(spark, docs):
