@@ -11,7 +11,7 @@ from .conftest import SMALL
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.sql(oracle_sql()[name])
     df = queries()[name](spark, SMALL)
