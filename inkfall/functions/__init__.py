@@ -31,6 +31,10 @@ def _least(x: Column) -> Column:
     return F.concat(F.lit("0."), F.repeat(F.lit("0"), F.substring_index(found, "e-", -1).cast("int") - 1), digits)
 
 
+def _endless(x: Column) -> Column:
+    return F.when(x > 0, "inf").otherwise("-inf")
+
+
 def show_float(x: Column) -> Column:
     """Shortest digits without an exponent; -0.0 is 0.
 
@@ -42,7 +46,7 @@ def show_float(x: Column) -> Column:
         F.when(F.isnan(x), "NaN")
         .when((x == F.floor(x)) & (size < 1e15), x.cast("long").cast("string"))
         .when((size >= 1e-3) & (size < 1e7), x.cast("string"))
-        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when(size == float("inf"), _endless(x))
         .when((size >= 2.0**53) & (size < 1e30), F.concat(F.when(x < 0, "-").otherwise(""), F.when(size < 9.2e18, _whole(size)).otherwise(_large(size))))
         .when(size < 1e-300, F.concat(F.when(x < 0, "-").otherwise(""), _least(size)))
         .otherwise(F.call_function("format_number", x, F.lit("0." + "#" * 340)))
@@ -56,7 +60,7 @@ def trim_space(x: Column) -> Column:
 def fixed_exact(x: Column, n: int) -> Column:
     """N decimals of the exact binary value, ties to even."""
     made = F.call_function("format_number", x, F.lit("0" + ("." + "0" * n if n else "")))
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), show_float(x)).otherwise(made)
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), _endless(x)).otherwise(made)
 
 
 def fixed_fast(x: Column, n: int) -> Column:
