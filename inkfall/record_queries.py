@@ -318,10 +318,11 @@ LARGE_SQL = "SELECT l_orderkey, l_linenumber, length(t)::int AS size, md5(t) AS
 
 @_query("q_large_template", LARGE_SQL.format(", ".join(_large_part(i)[1] for i in range(_PARTS))))
 def _(spark, sf_dir):
-    """A text of 1000 parts for each line, by several projections of generated code."""
+    """A text of 1000 parts for each line, by several projections of generated code, once for lines of equal parameters."""
     t = Template(_source(["q = int", "d = float", "f = str"], "parts: " + "".join(_large_part(i)[0] for i in range(_PARTS))))
     df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), F.col("l_discount").alias("d"), F.col("l_returnflag").alias("f"))
-    return t.render(df).select("l_orderkey", "l_linenumber", F.length("out").alias("size"), F.md5(F.col("out").cast("binary")).alias("digest"))
+    made = {"size": F.length("out"), "digest": F.md5(F.col("out").cast("binary"))}
+    return t.render_distinct(df, made).select("l_orderkey", "l_linenumber", *made)
 
 
 BY_ROW_SQL = """

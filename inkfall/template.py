@@ -21,6 +21,8 @@ from .plans.analysis import MAX_DEPTH, Compiler, Unit, _is_tmpl
 from .plans.frontmatter import Decl
 from .plans.types import FLOAT, INT, KIND, STR, Enum, List, Option, Struct, VarType, check_spark, check_value, to_spark
 
+#: Kinds of columns that group as they are shown, but for the sign of zero.
+PLAIN = (T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.StringType())
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
@@ -266,6 +268,28 @@ class Template:
         told = F.coalesce(*[F.when(test, F.raise_error(message).cast("string")) for test, _, message in faults])
         return step.withColumn(made, F.when(bad, told).otherwise(F.col(made))).withColumn(out, F.col(made)).drop(made)
 
+    def render_distinct(self, df: DataFrame, made: dict[str, Column] | None = None, out: str = "out", *, allow_extra: bool = True, **how) -> DataFrame:
+        """``df`` with the text, or with the columns that ``made`` makes of it, for rows that repeat their parameters: a text depends on nothing
+        else, so each set of parameters is rendered once and joined to its rows.  Without ``made`` the join moves whole texts.  ``df`` is
+        read twice and must give the same rows; streams, and parameters that are not plain numbers, texts and booleans, are rendered row by row."""
+        self.check_schema(df.schema, allow_extra)
+        made = {out: F.col(out)} if made is None else made
+        kinds = {d.name: df.schema[d.name].dataType for d in self._columns() if d.name in df.columns}
+        if df.isStreaming or not kinds or not all(k in PLAIN for k in kinds.values()):
+            held = self.render(df, out, **how)
+            return held.select(*df.columns, *[c.alias(n) for n, c in made.items()])
+        # Grouping takes 0.0 and -0.0 as one, which texts may tell apart: the zeros' texts are keys too, and give the sets their signs back.
+        prefix = _fresh_prefix(df)
+        signed = {n: f"{prefix}zero_{n}" for n, k in kinds.items() if isinstance(k, (T.FloatType, T.DoubleType))}
+        zeros = {z: F.when(F.col(n) == 0, F.col(n).cast("string")) for n, z in signed.items()}
+        keyed, keys = df.withColumns(zeros), [*kinds, *zeros]
+        # A set of parameters is few bytes and much work, so sets are dealt out by number, not by size.
+        sets = keyed.select(*keys).distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        sets = sets.withColumns({n: F.coalesce(F.col(z).cast(kinds[n]), F.col(n)) for n, z in signed.items()})
+        texts = self.render(sets, out, **how).select(*[F.col(k).alias(f"{prefix}of_{k}") for k in keys], *[c.alias(n) for n, c in made.items()])
+        same = [keyed[k].eqNullSafe(texts[f"{prefix}of_{k}"]) for k in keys]
+        return keyed.join(texts, same).select(*df.columns, *made)
+
     def append(self, df: DataFrame, to: str, **how) -> DataFrame:
         """``df`` with the text appended to a column of text; the other columns are the parameters."""
         return df.withColumn(to, F.concat(F.coalesce(F.col(to), F.lit("")), self.column(df, **how)))

@@ -346,6 +346,31 @@ def test_large_template_by_projections(spark):
     assert all(r["out"] == t.render_dict({"q": r["q"], "d": r["d"], "f": r["f"]}) and r["_piece0"] == "kept" for r in got.collect())
 
 
+def test_equal_parameters_are_rendered_once(spark):
+    """Each row has the text that rendering row by row gives it: zeros of both signs, NaN and missing options are sets of their own."""
+    t = Template(body(["x = float", "n = option(int)", "f = str"], "{{ x }}|{{ x | fixed(1) }}|{% if x == 0.0 %}plus{% else %}other{% /if %}|{{ n }}|{{ f | upper }}"))
+    xs, ns, fs = [0.0, -0.0, math.nan, math.inf, 1.5, -1.5], [None, 0, (1 << 63) - 1], ["", "a", "A", "a "]
+    rows = [(i, xs[i % 6], ns[i // 6 % 3], fs[i // 18 % 4]) for i in range(720)]
+    df = spark.createDataFrame(rows, "id long, x double, n long, f string").repartition(3)
+    want = {r["id"]: r["out"] for r in t.render(df).collect()}
+    assert len(set(want.values())) == 54, "a and A read alike here, the zeros do not"
+    got = t.render_distinct(df)
+    assert got.columns == ["id", "x", "n", "f", "out"]
+    shown = got.collect()
+    assert len(shown) == 720 and {r["id"]: r["out"] for r in shown} == want
+    sized = t.render_distinct(df, {"size": F.length("out")})
+    assert {(r["id"], r["size"]) for r in sized.select("id", "size").collect()} == {(i, len(x)) for i, x in want.items()}
+    plan = sized._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Project", plan.index("AS size")) < plan.index("Aggregate"), "texts are made above the distinct sets"
+    with pytest.raises(Exception, match="type mismatch for 'x'"):
+        t.render_distinct(df.withColumn("x", F.when(F.col("id") != 7, F.col("x")))).collect()
+    with pytest.raises(errors.ExtraParams):
+        t.render_distinct(df, allow_extra=False)
+    lists = Template(body(["xs = list(float)"], "> {% for x in xs %}{{ x | fixed(1) }};{% /for %}"))
+    many = spark.createDataFrame([([0.0, -0.0],), ([-0.0, 0.0],), ([],)], "xs array<double>").coalesce(1)
+    assert [r["out"] for r in lists.render_distinct(many).collect()] == [r["out"] for r in lists.render(many).collect()]
+
+
 HOSTILE = [f"a\x01\x02\x01panic\x01boo\x01\x03\x01b", *map(chr, range(0x20)), "\x7f\x85\u2028\ufeff", "panic", "error: template panic: x", "\x01\x03\x01"]
 
 
