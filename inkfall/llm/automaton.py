@@ -51,14 +51,43 @@ class SuffixAutomaton:
         self.last = new
         return self.length[self.link[new]]
 
+    def feed(self, values) -> list[int]:
+        """Another sequence: what ``extend`` returns for each of its values."""
+        follow, link, length, out = self.next, self.link, self.length, []
+        self.last = last = 0
+        for value in values:
+            if value in follow[last]:
+                self.last = last
+                out.append(self.extend(value))
+                last = self.last
+                continue
+            new = len(length)
+            follow.append({})
+            length.append(length[last] + 1)
+            p = last
+            while p >= 0 and value not in follow[p]:
+                follow[p][value] = new
+                p = link[p]
+            if p < 0:
+                link.append(0)
+                out.append(0)
+            else:
+                q = follow[p][value]
+                link.append(0)
+                link[new] = q = q if length[q] == length[p] + 1 else self._clone(p, value, q)
+                out.append(length[q])
+            last = new
+        self.last = last
+        return out
+
     def matches(self, values) -> list[int]:
         """Matching statistics of a sequence against the automaton as it is."""
-        state, size, out = 0, 0, []
+        follow, link, length, state, size, out = self.next, self.link, self.length, 0, 0, []
         for value in values:
-            while state and value not in self.next[state]:
-                state = self.link[state]
-                size = self.length[state]
-            if value in self.next[state]:
-                state, size = self.next[state][value], size + 1
+            while state and value not in follow[state]:
+                state = link[state]
+                size = length[state]
+            if value in follow[state]:
+                state, size = follow[state][value], size + 1
             out.append(size)
         return out

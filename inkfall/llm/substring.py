@@ -26,18 +26,24 @@ their texts' digests (``tag``), and rows alike in both are one document that is
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import fresh, gram_hashes, id_text, map_batches, mixed, per_batch, raw_texts, signed, stored, table, unpacked, word_hashes
+from .common import fresh, gram_hashes, id_text, map_batches, mixed, per_batch, raw_texts, signed, stored, table, unpacked
 
 GRAM = 4
 SHARD = 500
+#: Bytes of texts whose words are hashed at once (a longer text by itself), and of the longest word hashed by columns.
+CHUNK = 1 << 18
+LONG_WORD = 64
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _B = np.uint64(0x2545F4914F6CDD1D)
 _B_INVERSE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -60,25 +66,81 @@ def range_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
 
 
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """First and end of runs of texts of up to CHUNK bytes, one text at least."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > CHUNK:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if texts:
+        yield first, len(texts)
+
+
+def text_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, and where each text's begin, with the end."""
+    data = b" " + b" ".join(texts) + b" " * 16
+    raw = np.frombuffer(data, np.uint8)
+    space = (raw == 32) | (raw - np.uint8(9) <= 4)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    at, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # eight bytes from each place on
+    h = mixed(size.astype(np.uint64) * _B)
+    inside = size <= LONG_WORD
+    for i in np.flatnonzero(~inside).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + size[i]])
+    rest = slice(None) if inside.all() else np.flatnonzero(inside)
+    where, left = at[rest], size[rest]
+    while len(where):
+        h[rest] = mixed(h[rest] ^ (eights[where] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        rest = more if isinstance(rest, slice) else rest[more]
+        where, left = where[more] + 8, left[more] - 8
+    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return h, np.searchsorted(at, begins)
+
+
+def least_at(x: np.ndarray, wide: int) -> np.ndarray:
+    """Place of the least of each ``wide`` consecutive values, the first of equal ones."""
+    at, have = np.arange(len(x)), 1
+    while have < wide:
+        step = min(have, wide - have)
+        at = np.where(x[step:] < x[:-step], at[step:], at[:-step])
+        x = np.minimum(x[step:], x[:-step])
+        have += step
+    return at
+
+
 def run_lengths(window: int) -> list[int]:
     """Words of the runs whose hashes make minimizers, from level to level; the last is the window itself."""
     first = min(GRAM, window)
     return sorted({first, (first + window) // 2, window})
 
 
-def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, key, first window and number of windows of each segment of a run of word hashes."""
+def segments(h: np.ndarray, begins: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Number of the run, minimizer, key, first window in the run and number of windows of each segment of runs of word
+    hashes; the i-th run is h[begins[i]:begins[i + 1]]."""
+    windows = np.maximum(np.diff(begins) - (window - 1), 0)
+    if not windows.any():
+        none = np.empty(0, np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
     grams = gram_hashes(h, gram)
-    wide = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1)
-    lo = np.flatnonzero(np.diff(at, prepend=-1))
+    run = np.repeat(np.arange(len(windows)), windows)
+    first = np.cumsum(windows) - windows
+    place = np.arange(len(run)) + (begins[:-1] - first)[run]  # of each window in h
+    at = least_at(grams, window - gram + 1)[place]
+    new = np.append(True, (at[1:] != at[:-1]) | (run[1:] != run[:-1]))
+    lo = np.flatnonzero(new)
     n = np.diff(lo, append=len(at))
-    return grams[at[lo]], range_hashes(h, lo, lo + n + window - 1), lo, n
+    run, place = run[lo], place[lo]
+    return run, grams[at[lo]], range_hashes(h, place, place + n + window - 1), place - begins[run], n
 
 
 def _folded(mini, key, doc, tag, start, n) -> dict:
-    """One row for each (mini, key): its first occurrence, and the others packed as triples of doc, tag and start."""
-    order = np.lexsort((start, tag, doc, key, mini))
+    """One row for each (mini, key), which come in the order of doc, tag and start: its first occurrence, and the others packed
+    as triples of them."""
+    order = np.argsort(key, kind="stable")  # equal keys are of equal words and so of one minimizer
     mini, key, doc, tag, start, n = (x[order] for x in (mini, key, doc, tag, start, n))
     first = np.flatnonzero((np.diff(mini, prepend=~mini[:1]) != 0) | (np.diff(key, prepend=~key[:1]) != 0))
     packed = np.stack([doc, tag, start], axis=1).astype(np.int64)
@@ -99,14 +161,15 @@ def tag(text: Column) -> Column:
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
     def make(batch: pa.RecordBatch):
-        got: list[list] = [[], [], [], [], [], []]
-        for i, own, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), raw_texts(batch.column("text"))):
-            words = (text or b"").split()
-            if len(words) >= window:
-                mini, key, lo, n = segments(word_hashes(words), window, run_lengths(window)[0])
-                for x, y in zip(got, (mini, key, np.full(len(lo), i, np.int64), np.full(len(lo), own, np.int64), lo, n)):
-                    x.append(y)
-        return _folded(*map(np.concatenate, got)) if got[0] else None
+        doc, own = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+        order, texts, got = np.lexsort((own, doc)), raw_texts(batch.column("text")), []
+        texts = [texts[i] or b"" for i in order.tolist()]
+        for a, b in chunks(texts):
+            run, mini, key, lo, n = segments(*text_hashes(texts[a:b]), window, run_lengths(window)[0])
+            rows = order[a:b][run]
+            got.append((mini, key, doc[rows], own[rows], lo, n))
+        got = [np.concatenate(x) for x in zip(*got)]
+        return _folded(*got) if len(got[0]) else None
 
     return per_batch(docs, make, SEGMENT)
 
@@ -170,6 +233,13 @@ WORDS = "mini long, doc_id long, tag long, start int, n int, words binary"
 NAMES = ("mini", "doc_id", "tag", "start", "n", "words")
 
 
+def _cut(h: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of h[lo:lo + size] for many ranges."""
+    ends = np.append(0, np.cumsum(size))
+    words = h[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(8 * ends), pa.py_buffer(words)])
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, tag, packed: each text compressed by itself, for shuffles of whole texts."""
 
@@ -185,44 +255,64 @@ def _with_words(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     lists = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("mini", "start", "n")).alias("marks"))
 
     def make(batch: pa.RecordBatch):
-        rows = []
-        for i, own, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
-            h = word_hashes(text.split())
-            rows += [(m["mini"], i, own, m["start"], m["n"], h[m["start"] : m["start"] + m["n"] + window - 1].tobytes()) for m in found if m["start"] + m["n"] + window - 1 <= len(h)]
-        return dict(zip(NAMES, zip(*rows))) if rows else None
+        doc, own, found = (batch.column(c) for c in ("doc_id", "tag", "marks"))
+        doc, own = doc.to_numpy(), own.to_numpy()
+        mark, ends = found.flatten(), np.append(0, np.cumsum(found.value_lengths().to_numpy()))
+        mini, start, n = (mark.field(c).to_numpy().astype(np.int64) for c in ("mini", "start", "n"))
+        texts = list(unpacked(batch.column("packed")))
+        for a, b in chunks(texts):
+            h, begins = text_hashes(texts[a:b])
+            row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+            at = slice(ends[a], ends[b])
+            lo, size = begins[row] + start[at], n[at] + window - 1
+            there = np.flatnonzero(lo + size <= begins[row + 1])
+            row = row[there] + a
+            yield dict(zip(NAMES, (mini[at][there], doc[row], own[row], start[at][there].astype(np.int32), n[at][there].astype(np.int32), _cut(h, lo[there], size[there]))))
 
     return per_batch(_packed(docs).join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "marks"), make, WORDS)
 
 
+def _windows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "tag", "start", "n"])
+
+
 def _matched(shards: DataFrame, window: int) -> DataFrame:
     """Windows of first occurrences that start earlier, by each shard's automaton."""
     rows = shards.repartition("mini").sortWithinPartitions("mini", "doc_id", "tag", "start")
 
     def run(batches):
-        automaton, current, last, out = SuffixAutomaton(), None, None, []
+        automaton, current, last, held, out = SuffixAutomaton(), None, None, None, []
+
+        def stream(doc, own, start, words, more):
+            # No window is twice in one segment, so the last one of a shard is only matched, not added.
+            values = np.frombuffer(words, np.uint64).tolist()
+            sizes = automaton.feed(values) if more else automaton.matches(values)
+            if max(sizes) < window:
+                return
+            begin = None
+            for i, size in enumerate([*sizes, 0], start - window + 1):
+                if size >= window:
+                    begin = i if begin is None else begin
+                elif begin is not None:
+                    out.append((doc, own, begin, i - begin))
+                    begin = None
+
         for batch in batches:
             for mini, doc, own, start, _, words in zip(*(batch.column(c).to_pylist() for c in NAMES)):
-                if mini != current:
-                    automaton, current, last = SuffixAutomaton(), mini, None
-                if last == (doc, own, start):
+                if mini == current and last == (doc, own, start):
                     continue  # of a row that is repeated as it is
-                last = (doc, own, start)
-                automaton.start()
-                run_from = run_n = 0
-                for i, value in enumerate(np.frombuffer(words, np.uint64).tolist()):
-                    if automaton.extend(value) >= window:
-                        begin = i - window + 1
-                        if run_n and run_from + run_n == begin:
-                            run_n += 1
-                        else:
-                            if run_n:
-                                out.append((doc, own, start + run_from, run_n))
-                            run_from, run_n = begin, 1
-                if run_n:
-                    out.append((doc, own, start + run_from, run_n))
+                if held:
+                    stream(*held, mini == current)
+                if mini != current:
+                    automaton, current = SuffixAutomaton(), mini
+                last, held = (doc, own, start), (doc, own, start, words)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "tag", "start", "n"])
-                out = []
+                yield _windows(out)
+                out.clear()
+        if held:
+            stream(*held, False)
+        if out:
+            yield _windows(out)
 
     return map_batches(rows, run, "doc_id long, tag long, start int, n int")
 
@@ -231,13 +321,12 @@ def _split(pieces: DataFrame, window: int, gram: int) -> DataFrame:
     """Pieces of shards that are too large, cut again by the minimizers of runs of ``gram`` words."""
 
     def make(batch: pa.RecordBatch):
-        rows = []
-        for mini, doc, own, start, _, data in zip(*(batch.column(c).to_pylist() for c in NAMES)):
-            h = np.frombuffer(data, np.uint64)
-            fine, _, lo, n = segments(h, window, gram)
-            fine = signed(mixed(fine + np.uint64(mini & (1 << 64) - 1)))
-            rows += [(m, doc, own, start + a, k, h[a : a + k + window - 1].tobytes()) for m, a, k in zip(fine.tolist(), lo.tolist(), n.tolist())]
-        return dict(zip(NAMES, zip(*rows))) if rows else None
+        mini, doc, own, start = (batch.column(c).to_numpy() for c in NAMES[:4])
+        data = batch.column("words").to_pylist()
+        h, begins = np.frombuffer(b"".join(data), np.uint64), np.cumsum([0] + [len(d) // 8 for d in data])
+        row, fine, _, lo, n = segments(h, begins, window, gram)
+        fine = signed(mixed(fine + mini[row].view(np.uint64)))
+        return dict(zip(NAMES, (fine, doc[row], own[row], (start[row] + lo).astype(np.int32), n.astype(np.int32), _cut(h, begins[row] + lo, n + window - 1))))
 
     return per_batch(pieces, make, WORDS)
 
@@ -258,14 +347,22 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     return found.union(_matched(pieces, window))
 
 
-def covered(n_words: int, marks: list[dict], window: int) -> np.ndarray:
-    """Which words the marked windows cover."""
-    change = np.zeros(n_words + 1, np.int64)
-    for m in marks or ():
-        if m["start"] < n_words:
-            change[m["start"]] += 1
-            change[min(n_words, m["start"] + m["n"] + window - 1)] -= 1
-    return np.cumsum(change[:-1]) > 0
+def kept(words: list[bytes], starts: np.ndarray, counts: np.ndarray, window: int) -> list[bytes]:
+    """The words that no marked window covers."""
+    order, out, at = np.argsort(starts, kind="stable"), [], 0
+    for start, n in zip(starts[order].tolist(), counts[order].tolist()):
+        out += words[at:start]
+        at = max(at, start + n + window - 1)
+    return out + words[at:]
+
+
+def _left(texts, marks: pa.Array, window: int) -> Iterator[tuple[bytes, list[bytes], list[bytes]]]:
+    """Each text, its words and those of them that are left."""
+    mark, ends = marks.flatten(), np.append(0, np.cumsum(marks.value_lengths().fill_null(0).to_numpy())).tolist()
+    start, n = mark.field("start").to_numpy(), mark.field("n").to_numpy()
+    for i, text in enumerate(texts):
+        words, at = (text or b"").split(), slice(ends[i], ends[i + 1])
+        yield text, words, kept(words, start[at], n[at], window) if at.stop > at.start else words
 
 
 def _tagged(df: DataFrame) -> DataFrame:
@@ -294,10 +391,10 @@ def without_repeats(df: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, counts = [], batch.column(chars_at).to_pylist() if chars_at is not None else None
-            for i, (text, marks) in enumerate(zip(raw_texts(batch.column(text_at)), batch.column(batch.num_columns - 1).to_pylist())):
-                if marks:
-                    words = text.split()
-                    text = b" ".join(w for w, d in zip(words, covered(len(words), marks, window).tolist()) if not d)
+            marks = batch.column(batch.num_columns - 1)
+            for i, ((text, words, left), marked) in enumerate(zip(_left(raw_texts(batch.column(text_at)), marks, window), marks.is_valid().to_pylist())):
+                if marked:
+                    text = b" ".join(left)
                     if counts is not None:
                         counts[i] = len(text.decode("utf-8"))
                 texts.append(text)
@@ -314,12 +411,7 @@ def repeat_digests(df: DataFrame, window: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
 
     def make(batch: pa.RecordBatch):
-        rows = []
-        for text, marks in zip(unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
-            words = text.split()
-            drop = covered(len(words), marks, window)
-            kept = [w for w, d in zip(words, drop.tolist()) if not d] if marks else words
-            rows.append((len(words), int(drop.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        rows = [(len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()) for _, words, left in _left(unpacked(batch.column("packed")), batch.column("marks"), window)]
         return {"doc_id": batch.column("doc_id")} | dict(zip(("n_words", "n_removed", "kept_sha256"), zip(*rows)))
 
     return per_batch(_texts_and_marks(df, window), make, "doc_id long, n_words long, n_removed long, kept_sha256 string")

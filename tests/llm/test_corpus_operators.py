@@ -4,9 +4,11 @@ import ast
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkfall.llm import jaccard, mixing, packing, substring
@@ -482,3 +484,61 @@ def test_words_of_long_documents_stay_whole(spark):
     docs = spark.createDataFrame([(1, text), (2, words(rng, 40) + " " + text)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in substring.repeat_digests(docs, 20).collect()}
     assert got == {1: 0, 2: 20000}
+
+
+def test_texts_are_cut_together_as_one_by_one(monkeypatch):
+    rng = random.Random(11)
+    pool = [bytes(rng.choice(b"ab\x00\x1c\xc3\xa9.") for _ in range(n)) for n in [*range(1, 26), 63, 64, 65, 66, 128, 700] for _ in range(3)]
+    texts = [b"".join(rng.choice(pool) + rng.choice([b" ", b"\t", b"\n", b"\x0b\x0c", b"\r "]) for _ in range(rng.choice([0, 0, 1, 19, 20, 21, 60, 300]))) for _ in range(80)]
+    texts += [b"", b" ", b"\n\t", b"a " * 90, b"a b " * 40, b" x", b"x"]
+    h, begins = substring.text_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert np.diff(begins).tolist() == [len(t.split()) for t in texts] and len(h) == len(words)
+    assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+    monkeypatch.setattr(substring, "CHUNK", 3000)
+    assert [i for a, b in substring.chunks(texts) for i in range(a, b)] == list(range(len(texts)))
+    for x, y in substring.chunks(texts):
+        part, edges = substring.text_hashes(texts[x:y])
+        assert (part == h[begins[x] : begins[y]]).all() and (edges == begins[x : y + 1] - begins[x]).all()
+    for window, gram in ((1, 1), (20, 4), (20, 12), (20, 20), (50, 4)):
+        together = list(zip(*(c.tolist() for c in substring.segments(h, begins, window, gram))))
+        single = [(i, *row[1:]) for i, (a, b) in enumerate(zip(begins, begins[1:])) for row in zip(*(c.tolist() for c in substring.segments(h[a:b], np.array([0, b - a]), window, gram)))]
+        assert together == single
+        assert sum(row[4] for row in together) == sum(max(0, len(t.split()) - window + 1) for t in texts)
+    x = np.array([rng.randrange(6) for _ in range(500)], np.uint64)
+    for wide in (1, 2, 3, 9, 17, 31, 500):
+        assert substring.least_at(x, wide).tolist() == [i + int(x[i : i + wide].argmin()) for i in range(len(x) - wide + 1)]
+    for _ in range(200):
+        n, window = rng.randrange(40), rng.choice([1, 2, 20])
+        marks = [(rng.randrange(45), rng.randrange(1, 6)) for _ in range(rng.randrange(6))]
+        gone = {i for a, k in marks for i in range(a, a + k + window - 1)}
+        text = [b"%d" % i for i in range(n)]
+        assert substring.kept(text, *np.array(marks, np.int64).reshape(-1, 2).T, window) == [w for i, w in enumerate(text) if i not in gone]
+
+
+def test_fed_sequences_match_as_extended_ones():
+    rng = random.Random(3)
+    for _ in range(60):
+        plain, fed = SuffixAutomaton(), SuffixAutomaton()
+        for _ in range(rng.randrange(1, 8)):
+            values = [rng.randrange(3) for _ in range(rng.randrange(30))]
+            plain.start()
+            assert fed.feed(values) == [plain.extend(v) for v in values]
+
+
+def test_cutting_texts_costs_little_more_than_splitting_them(monkeypatch):
+    """CPU time of the segments of a batch, in that of splitting its texts into words: 14 when each text and word was hashed by itself."""
+    monkeypatch.setattr(substring, "per_batch", lambda docs, make, schema: make)
+    make, rng = substring._segments(None, 20), random.Random(5)
+    texts = [" ".join(f"{rng.randrange(10**rng.randint(1, 9)):x}" for _ in range(500)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(texts)], ["doc_id", "tag", "text"])
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: make(batch)) < 6 * least(lambda: [t.encode().split() for t in texts])
